@@ -26,6 +26,7 @@ class Settings:
     sample_per_lang: int = 400
     sample_total: int = 4000
     rounds: int = 8
+    least_share: float = 0.05
     reject_share: float = 0.5
 
 
@@ -73,20 +74,21 @@ def counts(text: str | None, buckets: int) -> np.ndarray:
 
 
 def _weigh(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(tf).astype(np.float32) * idf
+    x = np.sqrt(tf, dtype=np.float32) * idf
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def _cluster(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from the points that are farthest from those taken before; the centroids and each point's."""
-    centers = [x.mean(0)]
-    for _ in range(min(k, len(x)) - 1):
-        centers.append(x[np.argmin(np.max(x @ np.array(centers).T, axis=1))])
-    c = np.array(centers)
-    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+def _cluster(x: np.ndarray, k: int, rounds: int, least_share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means; the centroids and each point's. It begins from points spread evenly by their similarity to the mean.
+
+    Clusters with less than ``least_share`` of the points, a few odd texts, are dissolved.
+    """
+    order = np.argsort(x @ x.mean(0), kind="stable")
+    k = min(k, len(x))
+    c = x[order[[(2 * j + 1) * len(x) // (2 * k) for j in range(k)]]]
     for _ in range(rounds):
         own = np.argmax(x @ c.T, axis=1)
-        c = np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(len(c))])
+        c = np.array([x[own == j].mean(0) for j in range(len(c)) if (own == j).mean() >= least_share])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
     return c, np.argmax(x @ c.T, axis=1)
 
@@ -149,7 +151,7 @@ def fit(docs: DataFrame, learnable: Column, *, settings: Settings = Settings(),
         x = _weigh(tf[tf.any(1)], idf)
         if not len(x):
             continue
-        c, member = _cluster(x, settings.clusters, settings.rounds)
+        c, member = _cluster(x, settings.clusters, settings.rounds, settings.least_share)
         for j in range(len(c)):
             near = (x[member == j] @ c[j]) if (member == j).any() else np.zeros(1)
             names.append(lang)
