@@ -5,9 +5,10 @@ faces of 32 bits; two fingerprints at a distance of at most D have a face in whi
 grid range-join finds those: each fingerprint enters its own grid point of each face and the neighbouring points, and two
 fingerprints meet in a point halfway between them. What meets is verified on all 64 bits.
 
-A grid point that holds more than ``cell_cap`` fingerprints isn't joined with itself. Its fingerprints take another exact way:
-each enters all points of the 64-bit space within D / 2 of it, and everything in a point links to the smallest there. Two
-fingerprints link so if and only if they are at most D apart, or both link to a third one; no pairs are made.
+A grid point that holds more than ``cell_cap`` fingerprints isn't joined with itself. Its fingerprints enter a grid of narrower
+segments, which has more points; if points of the finest one are too full as well, another exact way is left: each fingerprint
+enters all points of the 64-bit space within D / 2 of it, and everything in a point links to the smallest there. Fingerprints at
+most D apart share such a point, those in one are at most D apart, and no pairs are made.
 """
 
 from __future__ import annotations
@@ -114,23 +115,30 @@ def _points(fps: DataFrame, kind, *args) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "point long, fp long")
 
 
-def links(fps: DataFrame, *, max_distance: int = 4, segment_bits: int = 2, cell_cap: int = 2000) -> DataFrame:
-    """Links (a, b), a < b, between distinct fingerprints ``fp`` that connect exactly those which pairs at up to ``max_distance`` connect."""
-    if max_distance not in (0, 2, 4) or segment_bits not in (1, 2, 4, 8):
-        raise ValueError("max_distance must be 0, 2 or 4, and segment_bits 1, 2, 4 or 8")
-    cells = _points(fps, grid_points, segment_bits, max_distance // 2 and 1)
-    shared = cut(cells.groupBy("point").agg(F.count("*").alias("n")).where("n > 1"))
-    live = cells.join(shared.where(F.col("n") <= cell_cap).select("point"), "point")
-    a, b = live.select("point", F.col("fp").alias("a")), live.select("point", F.col("fp").alias("b"))
+def links(fps: DataFrame, *, max_distance: int = 4, segment_bits: tuple[int, ...] = (2, 1), cell_cap: int = 2000) -> DataFrame:
+    """Links (a, b), a < b, between distinct fingerprints ``fp`` that connect exactly those which pairs at up to ``max_distance`` connect.
+
+    Grids of the widths in ``segment_bits`` (1, 2, 4 or 8, falling) are used in turn: the next one for the fingerprints of points
+    that hold more than ``cell_cap``, and the balls for those of the last one's.
+    """
+    if max_distance not in (0, 2, 4) or not {*segment_bits} <= {1, 2, 4, 8}:
+        raise ValueError("max_distance must be 0, 2 or 4, and segment_bits of 1, 2, 4 and 8")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance
-    found = a.join(b, (a["point"] == b["point"]) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    hot = shared.where(F.col("n") > cell_cap)
-    if not hot.isEmpty():
-        crowd = cut(cells.join(hot.select("point"), "point").select("fp").distinct())
-        ball = _points(crowd, ball_points, max_distance // 2)
-        least = ball.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-        found = found.union(ball.join(least, "point").where("a < fp").select("a", F.col("fp").alias("b")).distinct()).distinct()
-    return found
+    found, crowd = None, fps
+    for width in segment_bits:
+        cells = _points(crowd, grid_points, width, max_distance // 2 and 1)
+        hot = cut(cells.groupBy("point").agg(F.count("*").alias("n")).where(F.col("n") > cell_cap).select("point"))
+        full = not hot.isEmpty()
+        live = cells.join(hot, "point", "left_anti") if full else cells
+        a, b = live.select("point", F.col("fp").alias("a")), live.select("point", F.col("fp").alias("b"))
+        met = a.join(b, (a["point"] == b["point"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
+        found = met if found is None else found.union(met)
+        if not full:
+            return found.distinct()
+        crowd = cut(cells.join(hot, "point", "left_semi").select("fp").distinct())
+    ball = _points(crowd, ball_points, max_distance // 2)
+    least = ball.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return found.union(ball.join(least, "point").where("a < fp").select("a", F.col("fp").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, *, most_rounds: int = 50) -> DataFrame:
@@ -159,7 +167,7 @@ def components(edges: DataFrame, *, most_rounds: int = 50) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, shingle_words: int = 4, max_distance: int = 4, segment_bits: int = 2, cell_cap: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle_words: int = 4, max_distance: int = 4, segment_bits: tuple[int, ...] = (2, 1), cell_cap: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id``, ``key`` (hash of its text), ``fp`` (signed fingerprint), ``root`` (a fingerprint that names the component) and ``component_id``.
 
     The component is the smallest id that links reach; a null id never is, unless a component has no other. A document without
