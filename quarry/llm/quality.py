@@ -38,8 +38,8 @@ class Rule:
 RULES = (
     Rule("word_length", "word_chars", "n_words", 2.0, 12.0),
     Rule("symbols", "n_symbols", "n_words", None, 0.2),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.3),
-    Rule("repeated_line_chars", "dup_line_chars", "n_chars", None, 0.3),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.5),
+    Rule("repeated_line_chars", "dup_line_chars", "n_chars", None, 0.5),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 0.3),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", None, 0.9),
     Rule("words_with_letters", "n_alpha_words", "n_words", 0.6, None),
@@ -49,23 +49,19 @@ RULES = (
 LEAST_WORDS, WINDOW, MOST_REPEATED_PERCENT = 20, 8, 30
 
 
-def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
-    """How many words are in windows of ``window`` words (a power of two) that occur twice or more, the first included.
+def with_windows(rows: DataFrame, hashes: str, out: str, window: int = WINDOW) -> DataFrame:
+    """Add ``out``: the hash of each run of ``window`` (a power of two) words, from the words' hashes.
 
-    ``hashes`` are the words' hashes. Hashes of runs are doubled: a run of 2n is a hash of the two runs of n. Equal windows are neighbours in
-    the sorted array; only where there are any, the windows are sorted with their positions and their words united.
+    Hashes of runs are doubled: that of a run of 2n is a hash of those of two runs of n. Each doubling is a projection of its own, so
+    that no array is computed twice.
     """
-    runs, width = hashes, 1
+    kept, runs, width = rows.columns, hashes, 1
     while width < window:
-        n = F.greatest(F.size(runs) - width, F.lit(0))
-        runs = F.zip_with(F.slice(runs, F.lit(1), n), F.slice(runs, F.lit(width + 1), n), lambda a, b: F.xxhash64(a, b))
-        width *= 2
-    return runs
-
-
-def _pairs(sorted_: Column, same) -> Column:
-    n = F.greatest(F.size(sorted_) - 1, F.lit(0))
-    return F.zip_with(F.slice(sorted_, F.lit(1), n), F.slice(sorted_, F.lit(2), n), same)
+        after = F.slice(runs, width + 1, F.greatest(F.size(runs), F.lit(1)))
+        rows = rows.select("*", F.zip_with(runs, after, lambda a, b: F.xxhash64(a, b)).alias(f"_runs{2 * width}"))
+        runs, width = f"_runs{2 * width}", 2 * width
+    whole = F.greatest(F.size(runs) - (window - 1), F.lit(0))  # behind it are runs that the text's end cuts short
+    return rows.select(*kept, F.slice(runs, F.lit(1), whole).alias(out))
 
 
 def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,15 +69,14 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t")).select("id", "t", words(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     rows = rows.select("*", F.transform("w", lambda x: F.xxhash64(x)).alias("h"), F.array_distinct("lines").alias("kinds"))
-    rows = rows.select("*", repeated_words(F.col("h")).alias("g"))
-    rows = rows.select("*", F.exists(_pairs(F.sort_array("g"), lambda a, b: a == b), lambda x: x).alias("again"))
-    placed = F.array_sort(F.transform("g", lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
-    rows = rows.withColumn("placed", F.when(F.col("again"), placed))
-    found = _pairs(F.col("placed"), lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])))
-    starts = F.array_sort(F.array_distinct(F.flatten(F.filter(found, lambda x: x.isNotNull()))))
-    rows = rows.withColumn("starts", F.when(F.col("again"), starts))
-    gaps = _pairs(F.col("starts"), lambda a, b: F.least(b - a, F.lit(WINDOW)))
-    n_repeat = F.when(F.col("again"), F.aggregate(gaps, F.lit(WINDOW).cast("long"), lambda s, x: s + x)).otherwise(F.lit(0))
+    rows = with_windows(rows, "h", "g").drop("h")
+    rows = rows.withColumn("again", F.size(F.array_distinct("g")) < F.size("g"))
+    # only where a window occurs twice: sort the windows with their places, so that equal ones are neighbours, and unite their words
+    rows = rows.withColumn("placed", F.when(F.col("again"), F.array_sort(F.transform("g", lambda x, i: F.struct(x.alias("g"), i.alias("i")))))).drop("g")
+    both = F.zip_with("placed", F.slice("placed", 2, F.greatest(F.size("placed"), F.lit(1))), lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])))
+    rows = rows.withColumn("starts", F.when(F.col("again"), F.array_sort(F.array_distinct(F.flatten(F.filter(both, lambda x: x.isNotNull())))))).drop("placed")
+    gaps = F.zip_with("starts", F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), lambda a, b: F.least(b - a, F.lit(WINDOW)))  # the last window has no next one: all its words
+    n_repeat = F.when(F.col("again"), F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x)).otherwise(F.lit(0))
     chars = lambda x: F.char_length(x).cast("long")
     total = lambda array, f: F.aggregate(array, F.lit(0).cast("long"), lambda s, x: s + f(x))
     without = lambda symbols: F.col("t") if not symbols else F.replace(without(symbols[1:]), F.lit(symbols[0]), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, htmltext, langid, simhash, urlfilter
+from quarry.llm import chat, htmltext, langid, mixing, quality, simhash, urlfilter
 from quarry.llm.common import table
 
 URL_RULES = [
@@ -22,11 +22,20 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 def held_out(doc_id) -> F.Column:
     """Rows that language identification doesn't learn from; a null id is one."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True))
@@ -52,7 +61,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_text": op1_html_text,
+    "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
+    "op5_mixing": op5_mixing,
     "op7_langid": op7_langid,
     "op8_chat_format": op8_chat_format,
     "op10_url_filter": op10_url_filter,

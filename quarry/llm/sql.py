@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express over whole tables."""
 
+from quarry.llm.quality import STOP_WORDS
+
 OP8 = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
@@ -33,4 +35,39 @@ WITH parts AS (
 SELECT page_id, host, path, split_part(hit, ' ', 1) AS rule, coalesce(nullif(split_part(coalesce(hit, ''), ' ', 2), ''), 'allow') AS verdict FROM found
 """
 
-ORACLES = {"op8_chat_format": OP8, "op10_url_filter": OP10}
+_STOP = ", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))
+OP3 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), parts AS (
+  SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM docs
+), windows AS (
+  SELECT r, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM parts)
+), twice AS (
+  SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1
+), repeated AS (
+  SELECT r, sum(least(8, coalesce(after - i, 8))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS after FROM twice) GROUP BY r
+), measures AS (
+  SELECT p.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(length(t) AS BIGINT) AS n_chars, CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(coalesce(list_sum(list_transform(lines, lambda x: length(x))), 0) - coalesce(list_sum(list_transform(list_distinct(lines), lambda x: length(x))), 0) AS BIGINT) AS dup_line_chars,
+    CAST(len(list_filter(lines, lambda x: rtrim(x, ' ') LIKE '%...' OR rtrim(x, ' ') LIKE '%…')) AS BIGINT) AS n_ellipsis_lines,
+    CAST(len(list_filter(lines, lambda x: substr(ltrim(x, ' '), 1, 1) IN ('-', '*', '•'))) AS BIGINT) AS n_bullet_lines,
+    CAST(len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS BIGINT) AS n_alpha_words,
+    CAST(length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS BIGINT) AS n_upper,
+    CAST(len(list_filter(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN ({_STOP}))) AS BIGINT) AS n_stop_words
+  FROM parts p LEFT JOIN repeated USING (r)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+  AND word_chars >= 2.0 * n_words AND word_chars <= 12.0 * n_words AND n_symbols <= 0.2 * n_words AND n_dup_lines <= 0.5 * n_lines
+  AND dup_line_chars <= 0.5 * n_chars AND n_ellipsis_lines <= 0.3 * n_lines AND n_bullet_lines <= 0.9 * n_lines
+  AND n_alpha_words >= 0.6 * n_words AND n_upper <= 0.4 * n_chars AND (n_stop_words >= 0.02 * n_words OR n_words < 50) AS kept
+FROM measures
+"""
+
+ORACLES = {"op3_quality_rules": OP3, "op8_chat_format": OP8, "op10_url_filter": OP10}
