@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, fits, words
+from quarry.llm.common import cut, fits, stored, words
 
 MARGINS = 1 << 16  # bins of the rounding's margins, which lie between -1 and 1
 WIDEST = 700.0  # of an exponent
@@ -41,9 +41,9 @@ def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFram
             "left_weight": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
         }
     )
-    # the level: words for each unit of weight, from the first source that isn't capped when its turn comes
+    # the level: words for each unit of weight, from the first source that isn't capped when its turn comes; later ones have less left
     filled = filled.withColumn("level", F.when(F.col("cap") / F.col("weight") >= F.col("left") / F.col("left_weight"), F.col("left") / F.col("left_weight")))
-    filled = filled.withColumn("level", F.min("level").over(everything))
+    filled = filled.withColumn("level", F.max("level").over(everything))
     return filled.select("source", "total", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
@@ -62,7 +62,7 @@ def multipliers(sizes: DataFrame, goals: DataFrame, *, most: float, rounds: int
     state = goals.join(means, goals["source"].eqNullSafe(means["source"])).select(goals["source"], "total", "mean", "target")
     open_ = (F.col("target") < most * F.col("total")) & (F.col("total") > 0)
     state = state.withColumns({"multiplier": F.when(open_, F.lit(0.0)), "low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "gap": F.lit(None).cast("double")})
-    state = cut(state.coalesce(1))
+    state = stored(state.coalesce(1))
     small = fits(state, most_broadcast)
     for _ in range(rounds):
         now = state.where("multiplier IS NOT NULL").select(F.col("source").alias("s"), "multiplier", "mean")
@@ -77,8 +77,7 @@ def multipliers(sizes: DataFrame, goals: DataFrame, *, most: float, rounds: int
         middle = F.when(F.col("low").isNotNull() & F.col("high").isNotNull(), (F.col("low") + F.col("high")) / 2).when(F.col("low").isNull(), 2 * F.col("high") - 8).otherwise(2 * F.col("low") + 8)
         inside = step.isNotNull() & (F.col("low").isNull() | (step > F.col("low"))) & (F.col("high").isNull() | (step < F.col("high"))) & (F.abs(step - F.col("multiplier")) < 64)
         met = met.withColumn("multiplier", F.when(F.col("gap") <= tolerance, F.col("multiplier")).when(F.col("multiplier").isNotNull(), F.when(inside, step).otherwise(middle)))
-        state = cut(met.select(*state.columns))
-        import time; print("round", _, time.time(), state.agg(F.max("gap"), F.sum((F.col("gap")>tolerance).cast("int"))).first(), flush=True)
+        state = stored(met.select(*state.columns).coalesce(1))
         if (state.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
             break
     return state.select("source", "total", "mean", "target", "multiplier")
