@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, htmltext, langid, mixing, quality, simhash, urlfilter
+from quarry.llm import chat, decontam, htmltext, langid, mixing, quality, simhash, urlfilter
 from quarry.llm.common import table
 
 URL_RULES = [
@@ -36,6 +36,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def held_out(doc_id) -> F.Column:
     """Rows that language identification doesn't learn from; a null id is one."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True))
@@ -64,6 +69,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "op6_decontamination": op6_decontamination,
     "op7_langid": op7_langid,
     "op8_chat_format": op8_chat_format,
     "op10_url_filter": op10_url_filter,
