@@ -36,7 +36,7 @@ def _joined(array: str, other: str, by: int, how) -> Column:
 
 
 def with_fingerprints(rows: DataFrame, *, window: int, short: tuple[int, ...]) -> DataFrame:
-    """Add ``marks``: structs (fp, at, size) of what is kept of ``words``; at is the place of its first word, size its words.
+    """Add ``marks``: structs (fp, size) of what is kept of ``words``, see ``_mark``. ``short`` are the lengths of short items.
 
     Hashes of runs are made from those of shorter runs, minima of runs of k-grams from minima of shorter ones, each in a projection of its
     own, so that none is computed twice.
@@ -65,10 +65,10 @@ def with_fingerprints(rows: DataFrame, *, window: int, short: tuple[int, ...]) -
     last = _joined(f"_m{width}", f"_m{width}", span - width, least) if span > width else F.col(f"_m{width}")
     rows = rows.select("*", F.slice(last, F.lit(1), F.greatest(F.size("words") - (window - 1), F.lit(0))).alias("_least"))
     rows = rows.select("*", F.array_distinct("_least").alias("_own"))
-    marks = F.transform("_own", lambda x: F.struct(x.alias("fp"), F.lit(GRAM).alias("size")))
+    marks = F.transform("_own", _mark(GRAM))
     for n in short:
         whole = F.slice(made[n], F.lit(1), F.greatest(F.size("words") - (n - 1), F.lit(0)))
-        marks = F.concat(marks, F.transform(F.array_distinct(whole), lambda x, n=n: F.struct(x.alias("fp"), F.lit(-n).alias("size"))))
+        marks = F.concat(marks, F.transform(F.array_distinct(whole), _mark(-n)))
     return rows.select(*kept, marks.alias("marks"))
 
 
@@ -83,6 +83,11 @@ def _all_starts(words: Column, size: Column | int) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
+def _mark(size: int):
+    """A fingerprint of a k-gram that winnowing keeps, or, with a negative size, of a whole run of so many words."""
+    return lambda x: F.struct(x.alias("fp"), F.lit(size).alias("size"))
+
+
 def _each(rows: DataFrame, array: str | Column, name: str, *keep: str) -> DataFrame:
     """Explode an array. ``explode`` itself would have a test of the array's size pushed below all projections that make it, and
     those inlined there; ``explode_outer`` hasn't, and its rows for empty arrays go here."""
@@ -149,7 +154,7 @@ def _with_starts(rows: DataFrame, window: int, short: tuple[int, ...]) -> DataFr
     rows = rows.select("*", F.array_distinct(starts).alias("_starts"))
     runs = _runs(F.col("words"), F.col("_starts"), window)
     for n in short:
-        asked = F.exists("met", lambda m, n=n: m["size"] == -n)
+        asked = F.array_contains(F.transform("met", lambda m: m["size"]), -n)
         runs = F.concat(runs, F.when(asked, _runs(F.col("words"), _all_starts(F.col("words"), n), n)).otherwise(F.slice(runs, 1, 0)))
     return rows.select("id", "key", runs.alias("runs"))
 

@@ -83,39 +83,71 @@ def multipliers(sizes: DataFrame, goals: DataFrame, *, most: float, rounds: int
     return state.select("source", "total", "mean", "target", "multiplier")
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """What decisions depend on: ``_id``, ``_key`` (hash of the text), ``_source`` and ``_size``."""
+    size = F.size(words(F.col(text_col).cast("string"))).cast("long")
+    return [F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_key"), F.col(source_col).cast("string").alias("_source"), size.alias("_size")]
+
+
+def _rated(rows: DataFrame, solved: DataFrame, most: int, small: bool) -> DataFrame:
+    """Add the source's solution, ``rate``, ``whole`` (copies that are sure) and ``bin`` (of the margin; null if no copy can come on top)."""
+    joined = rows.join(F.broadcast(solved) if small else solved, F.col("_source").eqNullSafe(F.col("source"))).drop("source")
+    tilted = _rate(F.col("multiplier"), F.col("_size") / F.col("mean"), float(most))
+    rate = F.when(F.col("_size") == 0, F.lit(1.0)).when(F.col("multiplier").isNull(), F.lit(float(most))).otherwise(tilted)
+    joined = joined.withColumn("rate", rate).withColumn("whole", F.least(F.floor("rate"), F.lit(most)))
+    luck = F.shiftrightunsigned(F.xxhash64("_id", "_key"), 11) / F.lit(float(1 << 53))
+    margin = luck - (F.col("rate") - F.col("whole"))
+    return joined.withColumn("bin", F.when((F.col("whole") < most) & (F.col("_size") > 0), F.floor((margin + 1) * (MARGINS // 2))))
+
+
+def _copies(rated: DataFrame) -> Column:
+    """The next whole number where the margin is in or below the source's last bin."""
+    return (F.col("whole") + F.when(F.col("bin") <= F.col("last"), 1).otherwise(0)).cast("long")
+
+
+def solve(sized: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = 3, share: float = 1.0, most_broadcast: int = 50_000) -> tuple[DataFrame, bool]:
+    """One row (source, total, mean, target, multiplier, last) a source, and whether it is small enough to broadcast."""
+    sizes = cut(sized.groupBy(F.col("_source").alias("source"), F.col("_size").alias("size")).agg(F.count("*").alias("n")))
+    sizes = sizes.coalesce(1 + sizes.count() // 100_000)
+    totals = cut(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("double").alias("total")).coalesce(1))
+    shared = targets(totals.withColumn("total", F.col("total") * share), weights, most / share)
+    goals = stored(shared.select("source", (F.col("total") / share).alias("total"), "target"))
+    solved = multipliers(sizes, goals, most=float(most), most_broadcast=most_broadcast)
+    small = fits(solved, most_broadcast)
+    rated = _rated(sized, solved, most, small)
+    bins = rated.groupBy(F.col("_source").alias("source"), "bin").agg(F.sum(F.col("whole") * F.col("_size")).alias("sure"), F.sum("_size").alias("more"), F.max("target").alias("target"))
+    whole = Window.partitionBy("source")
+    upto = whole.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    added = F.sum(F.when(F.col("bin").isNotNull(), F.col("more")).otherwise(0)).over(upto)
+    reached = bins.withColumns({"sure": F.sum("sure").over(whole), "added": added}).select("source", "bin", "sure", "added", "target")
+    none = reached.select("source", F.lit(-1).cast("long").alias("bin"), "sure", F.lit(0).cast("long").alias("added"), "target")
+    off = F.abs(F.col("sure") + F.col("added") - F.col("target"))
+    last = reached.where("bin IS NOT NULL").union(none).groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("bin").alias("bin"))).getField("bin").alias("last"))
+    last = last.withColumnRenamed("source", "s")
+    return stored(solved.join(F.broadcast(last) if small else last, F.col("source").eqNullSafe(F.col("s"))).drop("s")), small
+
+
 def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = 3, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: ``id``, ``key`` (hash of its text), ``source``, ``size`` (words), ``source_size``, ``target``, ``rate``, ``copies`` and ``taken``.
+    """One row per document: ``id``, ``source``, ``size`` (words), ``source_size``, ``target``, ``rate``, ``copies`` and ``taken``.
 
     Sources share ``share`` of all words. ``copies`` are whole and at most ``most``; ``taken`` is copies times size. A null text has size 0;
     documents of size 0 take nothing and get one copy. A null source is a source. Repeated rows are decided alike, and each counts. The hash is of id and
     text, so reruns agree. An empty table gives an empty result; other columns aren't read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col).cast("string"))).cast("long").alias("size"))
-    rows = cut(rows)
-    sizes = cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
-    sizes = sizes.coalesce(1 + sizes.count() // 100_000)
-    totals = cut(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total")).coalesce(1))
-    goals = cut(targets(totals.withColumn("total", F.col("total") * F.lit(share)), weights, most / share).select("source", "target").alias("g"))
-    goals = totals.join(goals.withColumnRenamed("source", "s"), totals["source"].eqNullSafe(F.col("s"))).select("source", F.col("total").cast("double").alias("total"), "target")
-    solved = multipliers(sizes, cut(goals), most=float(most)).withColumnRenamed("source", "s")
-    small = fits(solved, 50_000)
-    solved = F.broadcast(solved) if small else solved
-
-    joined = rows.join(solved, rows["source"].eqNullSafe(F.col("s"))).drop("s")
-    rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("multiplier").isNull(), F.lit(float(most))).otherwise(_rate(F.col("multiplier"), F.col("size") / F.col("mean"), float(most)))
-    joined = joined.withColumn("rate", rate).withColumn("whole", F.least(F.floor("rate"), F.lit(most)))
-    luck = F.shiftrightunsigned(F.xxhash64("id", "key"), 11) / F.lit(float(1 << 53))
-    # the next whole number if the margin is below the threshold, which is about 0
-    joined = joined.withColumn("margin", F.when((F.col("whole") < most) & (F.col("size") > 0), luck - (F.col("rate") - F.col("whole"))))
-    joined = joined.withColumn("bin", F.floor((F.col("margin") + 1) * (MARGINS // 2)))
-    bins = joined.groupBy("source", "bin").agg(F.sum(F.col("whole") * F.col("size")).alias("sure"), F.sum("size").alias("more"), F.max("target").alias("target"))
-    upto = Window.partitionBy("source").orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    reached = bins.withColumns({"sure": F.sum("sure").over(Window.partitionBy("source")), "added": F.sum(F.when(F.col("bin").isNotNull(), F.col("more")).otherwise(0)).over(upto)})
-    choice = reached.select("source", F.struct(F.abs(F.col("sure") + F.col("added") - F.col("target")).alias("off"), F.coalesce("bin", F.lit(-1)).alias("bin")).alias("c"))
-    nothing = reached.groupBy("source").agg(F.min(F.struct(F.abs(F.col("sure") - F.col("target")).alias("off"), F.lit(-1).cast("long").alias("bin"))).alias("c"))
-    last = choice.union(nothing).groupBy("source").agg(F.min("c").getField("bin").alias("last")).withColumnRenamed("source", "s")
-    last = cut(last)
-    rounded = joined.join(F.broadcast(last) if small else last, joined["source"].eqNullSafe(F.col("s"))).drop("s")
-    copies = (F.col("whole") + F.when(F.col("bin") <= F.col("last"), 1).otherwise(0)).cast("long")
-    rounded = rounded.withColumn("copies", F.coalesce(copies, F.col("whole").cast("long")))
-    return rounded.select("id", "key", "source", "size", F.col("total").cast("long").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    sized = cut(docs.select(*_sized(docs, id_col, text_col, source_col)))
+    solved, small = solve(sized, weights=weights, most=most, share=share)
+    rated = _rated(sized, solved, most, small)
+    copies = _copies(rated)
+    return rated.select(F.col("_id").alias("id"), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("total").cast("long").alias("source_size"), "target", "rate", copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = 3, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows and columns of ``docs``, each as often as ``mix`` has copies of it, with a last column ``copy``: 1, 2, ...
+
+    Texts aren't shuffled: decisions depend on a row and its source's solution only.
+    """
+    solved, small = solve(cut(docs.select(*_sized(docs, id_col, text_col, source_col))), weights=weights, most=most, share=share)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *_sized(docs, id_col, text_col, source_col))
+    rated = _rated(rows, solved, most, small)
+    rated = rated.select("_row", _copies(rated).alias("_n")).where("_n > 0")
+    return rated.select("_row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("copy"))

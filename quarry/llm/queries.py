@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontam, htmltext, langid, mixing, quality, simhash, urlfilter
+from quarry.llm import chat, decontam, htmltext, langid, mixing, pii, quality, simhash, urlfilter
 from quarry.llm.common import table
 
 URL_RULES = [
@@ -64,6 +64,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "page_id")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [pii.count(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.BASE]
+    found = found.select("id", "spans", pii.listed(F.col("base")).alias("base_listed"), *counts)
+    return found.select(F.col("id").alias("doc_id"), *[f"n_{k}" for k in pii.BASE], F.sha2(F.col("base_listed").cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op3_quality_rules": op3_quality_rules,
@@ -72,5 +79,6 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_langid": op7_langid,
     "op8_chat_format": op8_chat_format,
+    "op9_personal_data": op9_personal_data,
     "op10_url_filter": op10_url_filter,
 }
