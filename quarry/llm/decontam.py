@@ -126,8 +126,10 @@ def hits(docs: DataFrame, items: DataFrame, *, window: int = 10, most_broadcast:
     marks = _each(with_fingerprints(rows, window=window, short=short), "marks", "m", "id", "key").select("id", "key", "m.fp", "m.size")
     met = cut(_join(marks, known, ["fp", "size"], "left_semi", small, "id").groupBy("id", "key").agg(F.collect_set(F.struct("fp", "size")).alias("met")))
     # extension: again the words, of the texts that met a fingerprint only, and all runs that contain a k-gram which was met
-    found = rows.join(met.withColumnsRenamed({"id": "i", "key": "k"}), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i"))).drop("i", "k")
-    found = found.groupBy("id", "key").agg(F.first("words").alias("words"), F.first("met").alias("met"))
+    own = met.withColumnsRenamed({"id": "i", "key": "k"})
+    texts = docs.select(F.col(doc_id).alias("id"), text_key(F.col(doc_text)).alias("key"), F.col(doc_text).alias("text"))
+    texts = texts.join(F.broadcast(own) if fits(met, most_broadcast) else own, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i"))).drop("i", "k")
+    found = texts.dropDuplicates(["id", "key"]).select("id", "key", "met", item_words(F.col("text")).alias("words"))
     found = _each(_with_starts(found, window, short), "runs", "r", "id", "key").select("id", "key", "r.at", "r.size", "r.run")
     # a text holds a run at many places; which runs are the items' is asked once for each
     placed = found.groupBy("id", "key", "size", "run").agg(F.collect_list("at").alias("at"))
