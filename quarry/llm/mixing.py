@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, fits, stored, words
 
-MARGINS = 1 << 16  # bins of the rounding's margins, which lie between -1 and 1
+MARGINS = 1 << 13  # bins of the rounding's margins, which lie between -1 and 1
 WIDEST = 700.0  # of an exponent
 
 
