@@ -347,7 +347,7 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 def first_hit_rank(spark: SparkSession, d: str) -> DataFrame:
     found = evaluate.retrieval_scores(_ranks(spark, d))
-    return found.select("qid", _long("first_hit_rank").alias("first_hit_rank"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "hit_5")
+    return found.select("qid", F.coalesce(_long("first_hit_rank"), F.lit(0).cast("long")).alias("first_hit_rank"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "hit_5")
 
 
 def eval_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -489,7 +489,7 @@ ORACLES = {
     "norm_span": f"SELECT item_id, {_NORM.format(x='text')} AS span FROM benchmark",
     "sentences": f"SELECT doc_id, unnest(range(0, len(ss))) AS i, unnest(ss) AS sentence FROM (SELECT doc_id, {_SENTENCES} AS ss FROM documents)",
     "snippet": "SELECT doc_id, replace(CASE WHEN length(text) > 240 THEN substr(text, 1, 239) || '…' ELSE text END, chr(10), ' ') AS snippet FROM documents",
-    "file_names": r"SELECT page_id, regexp_extract(url, '^[^?#]*?([^/?#]*)(?:[?#].*)?$', 1) AS file, 'html' AS suffix FROM pages",
+    "file_names": r"SELECT page_id, regexp_extract(url, '^[^?#]*?([^/?#]*)(?:[?#].*)?$', 1) AS file, CASE WHEN file = '' THEN '' ELSE 'html' END AS suffix FROM pages",
     "supported_files": """SELECT CASE doc_id % 5 WHEN 0 THEN 'md' WHEN 1 THEN 'html' WHEN 2 THEN 'txt' WHEN 3 THEN 'pdf' ELSE '' END AS suffix, doc_id % 5 IN (0, 1, 3) AS supported, count(*) AS n FROM documents GROUP BY ALL""",
     "sentence_pack": f"{_PACK} SELECT doc_id, CAST(i AS BIGINT) AS i, piece, tokens FROM pieces",
     "chunk_ids": f"{_PACK} SELECT CAST(doc_id AS VARCHAR) AS doc, CAST(i AS BIGINT) AS i, {_uuid_sql('''doc_id || ':' || i || ':' || hash''')} AS chunk_id FROM (SELECT p.doc_id, p.i, sha256(d.text) AS hash FROM pieces p JOIN documents d USING (doc_id))",
@@ -519,7 +519,7 @@ ORACLES = {
     "citations_extract": """SELECT conv_id, turn, CASE turn % 4 WHEN 2 THEN '2,1' WHEN 1 THEN '1,2' WHEN 3 THEN '3,2,1' ELSE '2,1' END AS numbers, '1].' AS tail FROM conversations""",
     "golden_match": f"WITH d AS (SELECT doc_id, {_NORM.format(x='text')} AS t FROM documents), i AS (SELECT item_id, {_NORM.format(x='text')} AS s FROM benchmark) SELECT item_id, doc_id FROM i JOIN d ON contains(t, s) WHERE s <> ''",
     "recall_at_k": f"WITH {_HITS}, {_SUMMARY} SELECT * FROM metrics",
-    "first_hit_rank": f"WITH {_HITS} SELECT qid, rank AS first_hit_rank, round(coalesce(1.0 / rank, 0), 6) AS reciprocal_rank, CAST(coalesce(rank <= 5, false) AS DOUBLE) AS hit_5 FROM ranks",
+    "first_hit_rank": f"WITH {_HITS} SELECT qid, coalesce(rank, 0) AS first_hit_rank, round(coalesce(1.0 / rank, 0), 6) AS reciprocal_rank, CAST(coalesce(rank <= 5, false) AS DOUBLE) AS hit_5 FROM ranks",
     "eval_summary": """WITH x AS (SELECT doc_id % 5 = 0 AS refusal, toxic = 1 AS refused, CASE WHEN doc_id % 4 <> 0 THEN CAST(quality AS DOUBLE) END AS p FROM labels)
       SELECT 'false_refusal_rate' AS metric, round(avg(CAST(refused AS DOUBLE)) FILTER (NOT refusal), 6) AS value FROM x UNION ALL SELECT 'refusal_accuracy', round(avg(CAST(refused AS DOUBLE)) FILTER (refusal), 6) FROM x
       UNION ALL SELECT 'citation_precision', round(avg(p) FILTER (NOT refusal), 6) FROM x UNION ALL SELECT 'citation_hit_rate', round(avg(CASE WHEN coalesce(p, 0) > 0 THEN 1.0 ELSE 0.0 END) FILTER (NOT refusal), 6) FROM x""",
