@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from quarry.functions import columns as C
 from quarry.operators.parse import SUPPORTED
 
 
+MOST_HIDDEN_BYTES = 64 << 20
+
+
 class FileSystem:
     def __init__(self, spark: SparkSession):
         self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -37,6 +42,19 @@ class FileSystem:
         finally:
             stream.close()
 
+    def read_bytes(self, path: str) -> bytes:
+        fs, p = self._at(path)
+        stream = fs.open(p)
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def modified(self, path: str) -> float:
+        """Seconds since 1970."""
+        fs, p = self._at(path)
+        return fs.getFileStatus(p).getModificationTime() / 1000
+
     def replace(self, path: str, text: str) -> None:
         """Write beside the file, then rename over it: readers see the old or the new one."""
         fs, p = self._at(path)
@@ -77,17 +95,24 @@ class FileSystem:
 def scan_folder(spark: SparkSession, root: str, *, source: str = "local", include_hidden: bool = False) -> tuple[DataFrame, int]:
     """(files, how many were skipped as unsupported). Files have source, uri, content, content_hash, last_modified and size_bytes.
 
-    Raises if the root isn't a folder. The driver lists names, so files that begin with an underscore, which Spark takes for its own, are there;
-    contents are read by the executors.
+    Raises if the root isn't a folder. The driver lists names and the executors read contents. Spark's readers leave out files whose names begin with an
+    underscore or a dot; the driver reads these few itself, and raises if they have more than ``MOST_HIDDEN_BYTES``.
     """
     fs = FileSystem(spark)
     if not fs.is_folder(root):
         raise NotADirectoryError(f"{root} is not a folder")
-    names = [path for path, _ in fs.tree(root, include_hidden)]
-    wanted = [n for n in names if n.rsplit("/", 1)[-1].rpartition(".")[2].lower() in SUPPORTED and "." in n.rsplit("/", 1)[-1][1:]]
+    found = fs.tree(root, include_hidden)
+    name = lambda path: path.rsplit("/", 1)[-1]
+    wanted = [(p, n) for p, n in found if name(p)[1:].rpartition(".")[2].lower() in SUPPORTED and "." in name(p)[1:]]
+    hidden = [(p, n) for p, n in wanted if name(p)[0] in "_."]
+    shown = [p for p, _ in wanted if name(p)[0] not in "_."]
+    if sum(n for _, n in hidden) > MOST_HIDDEN_BYTES:
+        raise ValueError(f"files with hidden names have more than {MOST_HIDDEN_BYTES} bytes")
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.read.schema(schema).format("binaryFile").load(wanted) if wanted else spark.createDataFrame([], schema)
-    return described(files, source), len(names) - len(wanted)
+    files = spark.read.schema(schema).format("binaryFile").load(shown) if shown else spark.createDataFrame([], schema)
+    if hidden:
+        files = files.union(spark.createDataFrame([(p, datetime.fromtimestamp(fs.modified(p)), n, bytearray(fs.read_bytes(p))) for p, n in hidden], schema))
+    return described(files, source), len(found) - len(wanted)
 
 
 def described(files: DataFrame, source: str = "local") -> DataFrame:
