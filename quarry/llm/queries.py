@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontam, htmltext, langid, mixing, pii, quality, simhash, urlfilter
+from quarry.llm import chat, decontam, htmltext, langid, licenses, mixing, pii, quality, simhash, urlfilter
 from quarry.llm.common import table
 
 URL_RULES = [
@@ -22,6 +22,11 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.licences(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.size("sentences").cast("long").alias("n_sentences"), F.array_join("licences", ",").alias("licences"), F.array_join("kinds", ",").alias("kinds"), F.array_join("sentences", ",").alias("sentences"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -73,6 +78,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_text": op1_html_text,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
