@@ -294,8 +294,8 @@ class Wrapper:
 
         return cls([(node(n), optional) for n, optional in json.loads(text)])
 
-    def _main(self) -> list[tuple[int, int]]:
-        """Ranges of nodes that make up the article: those of the first of MAIN_KINDS that there is, else all."""
+    def _main(self) -> tuple[str, list[tuple[int, int]]]:
+        """The first of MAIN_KINDS that there is and the ranges of nodes that make up the article; without any, all nodes."""
         for kind in MAIN_KINDS:
             ranges, at = [], 0
             while at < len(self.nodes):
@@ -314,8 +314,8 @@ class Wrapper:
                     at = end
                 at += 1
             if ranges:
-                return ranges
-        return [(0, len(self.nodes))]
+                return kind, ranges
+        return "", [(0, len(self.nodes))]
 
     def _compiled(self):
         if self._regex is None:
@@ -326,22 +326,25 @@ class Wrapper:
                     return f"(?:{''.join(map(part, node))})+"
                 return codes.setdefault(node, chr(0x4E00 + len(codes)))
 
-            source, ranges = [], self._main()
+            source, (kind, ranges) = [], self._main()
             for k, (node, optional) in enumerate(self.nodes):
                 source += ["("] * sum(a == k for a, _ in ranges)
                 source.append(f"(?:{part(node)})?" if optional else part(node))
                 source += [")"] * sum(b == k + 1 for _, b in ranges)
-            self._regex = regex.compile("".join(source)), codes
+            self._regex = regex.compile("".join(source)), codes, kind
         return self._regex
 
     def spans(self, tokens: list[str]) -> list[tuple[int, int]] | None:
-        """None if the wrapper doesn't match."""
-        compiled, codes = self._compiled()
+        """None if the wrapper doesn't match. An optional article that the page doesn't have gives no part."""
+        compiled, codes, kind = self._compiled()
         try:
             found = compiled.fullmatch("".join(codes.get(t, "\0") for t in tokens), timeout=5.0)
         except TimeoutError:
             return None
-        return [found.span(k + 1) for k in range(compiled.groups) if found.span(k + 1)[0] >= 0] if found else None
+        if not found:
+            return None
+        parts = [found.span(k + 1) for k in range(compiled.groups)]
+        return [(a, b) for a, b in parts if a >= 0 and (not kind or any(t.endswith(f" {kind}") for t in tokens[a:b]))]
 
 
 def main_text(page: str | None, wrapper: Wrapper | None) -> str:
@@ -351,7 +354,7 @@ def main_text(page: str | None, wrapper: Wrapper | None) -> str:
     if spans is None:
         spans = (wrapper.with_page(tokens) if wrapper else Wrapper.infer([tokens])).spans(tokens)
     if not spans or not any(texts[k] for a, b in spans for k in range(a, b)):
-        # an optional article that this page doesn't have: its own structure counts
+        # the host's article isn't in this page: its own structure counts
         spans = Wrapper.infer([tokens]).spans(tokens) or [(0, len(tokens))]
     return " ".join(texts[k] for a, b in spans for k in range(a, b) if texts[k])
 

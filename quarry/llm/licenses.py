@@ -84,6 +84,11 @@ RULES = (
     Rule("proprietary", ("no-permission",), "proprietary"),
     Rule("proprietary", ("reserved",), "proprietary"),
 )
+#: How identifiers are written.
+SPDX = {
+    x.lower(): x
+    for x in "MIT ISC Unlicense 0BSD Zlib Apache-1.1 Apache-2.0 BSD-2-Clause BSD-3-Clause MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0".split()
+}
 _PATTERNS = [(name, re.compile(pattern)) for name, pattern in SENTENCES.items()]
 _MARK = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/|//+|#+|\*+|;+|--|<!--|-->|\"{3}|'{3})[ \t]?")
 _QUOTES = str.maketrans({"“": '"', "”": '"', "„": '"', "‘": "'", "’": "'", "`": "'", " ": " "})
@@ -116,7 +121,7 @@ def _name(licence: str, captures: tuple[str, ...]) -> str:
         return f"CC-{parts.upper()}" + (f"-{version}" if version else "")
     if family.startswith("Apache-") and family.endswith("-2"):
         return "Apache-2.0"
-    return out.rstrip("-")
+    return SPDX.get(out.lower(), out.rstrip("-"))
 
 
 def scan(text: str | None) -> tuple[list[str], list[tuple[str, str]]]:

@@ -40,12 +40,10 @@ def test_quality_measures(spark):
         r, e = found[k], brute.measures(text)
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == e, k
         assert r["base_failed"] == (e[0] < 20 or 100 * e[4] > 30 * e[0]) and (not r["kept"] or not r["base_failed"])
-    assert quality.judge(docs_of(spark, []) if False else docs_of(spark, ["x"]).where("false")).count() == 0
+    assert quality.judge(docs_of(spark, ["x"]).where("false")).count() == 0
 
 
 def test_quality_keeps_prose_and_drops_junk(spark):
-    import __spark_entry__  # noqa: F401  the package is importable from the entry
-
     prose = spark.read.parquet(f"{SMALL}/documents.parquet").join(spark.read.parquet(f"{SMALL}/labels.parquet"), "doc_id")
     judged = quality.judge(prose).join(prose.select(F.col("doc_id").alias("id"), "quality"), "id").where("NOT base_failed")
     good, bad = judged.where("quality = 1"), judged.where("quality = 0")
