@@ -6,8 +6,9 @@ rate = most / (1 + (most - 1) exp(-lambda x)), x being the size over the source'
 convex dual, whose gradient is the words at these rates less the target; Newton steps, kept within a bracket, find its root.
 
 Rates depend on source and size alone, so the sums run over a table of (source, size, documents) made by one aggregation. Rates are rounded
-to whole copies: a document gets the next whole number if a hash of it falls below the fraction of its rate. A last pass over a histogram of these
-margins moves each source's threshold to where its words are nearest to the target.
+to whole copies: a document's margin is a hash of it less the fraction of its rate, and of the lowest margins so many documents get the next whole number as the
+target leaves room for. That takes passes over a histogram of margins: each fills the room up to the first document that is too large for what is left, the
+next one goes on with the documents that aren't, and a last one is let in if that comes nearer.
 """
 
 from __future__ import annotations
@@ -100,13 +101,18 @@ def _rated(rows: DataFrame, solved: DataFrame, most: int, small: bool) -> DataFr
     return joined.withColumn("bin", F.when((F.col("whole") < most) & (F.col("_size") > 0), F.floor((margin + 1) * (MARGINS // 2))))
 
 
-def _copies(rated: DataFrame) -> Column:
-    """The next whole number where the margin is in or below the source's last bin."""
-    return (F.col("whole") + F.when(F.col("bin") <= F.col("last"), 1).otherwise(0)).cast("long")
+def _extra() -> Column:
+    """Whether a document gets the next whole number: one of the source's steps takes its margin and its size."""
+    return F.coalesce(F.exists("steps", lambda s: (F.col("bin") <= s["last"]) & (F.col("_size") <= s["most"])), F.lit(False))
 
 
-def solve(sized: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = 3, share: float = 1.0, most_broadcast: int = 50_000) -> tuple[DataFrame, bool]:
-    """One row (source, total, mean, target, multiplier, last) a source, and whether it is small enough to broadcast."""
+def _copies() -> Column:
+    return (F.col("whole") + F.when(_extra(), 1).otherwise(0)).cast("long")
+
+
+def solve(sized: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = 3, share: float = 1.0, fills: int = 6, near: float = 1e-4, most_broadcast: int = 50_000) -> tuple[DataFrame, bool]:
+    """One row (source, total, mean, target, multiplier, steps) a source, and whether that is small enough to broadcast. Up to ``fills`` steps are made, until
+    all sources are as ``near`` to their targets as that share."""
     sizes = cut(sized.groupBy(F.col("_source").alias("source"), F.col("_size").alias("size")).agg(F.count("*").alias("n")))
     sizes = sizes.coalesce(1 + sizes.count() // 100_000)
     totals = cut(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("double").alias("total")).coalesce(1))
@@ -114,17 +120,27 @@ def solve(sized: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int =
     goals = stored(shared.select("source", (F.col("total") / share).alias("total"), "target"))
     solved = multipliers(sizes, goals, most=float(most), most_broadcast=most_broadcast)
     small = fits(solved, most_broadcast)
-    rated = _rated(sized, solved, most, small)
-    bins = rated.groupBy(F.col("_source").alias("source"), "bin").agg(F.sum(F.col("whole") * F.col("_size")).alias("sure"), F.sum("_size").alias("more"), F.max("target").alias("target"))
-    whole = Window.partitionBy("source")
-    upto = whole.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    added = F.sum(F.when(F.col("bin").isNotNull(), F.col("more")).otherwise(0)).over(upto)
-    reached = bins.withColumns({"sure": F.sum("sure").over(whole), "added": added}).select("source", "bin", "sure", "added", "target")
-    none = reached.select("source", F.lit(-1).cast("long").alias("bin"), "sure", F.lit(0).cast("long").alias("added"), "target")
-    off = F.abs(F.col("sure") + F.col("added") - F.col("target"))
-    last = reached.where("bin IS NOT NULL").union(none).groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("bin").alias("bin"))).getField("bin").alias("last"))
-    last = last.withColumnRenamed("source", "s")
-    return stored(solved.join(F.broadcast(last) if small else last, F.col("source").eqNullSafe(F.col("s"))).drop("s")), small
+    sure = _rated(sized, solved, most, small).groupBy(F.col("_source").alias("s")).agg(F.sum(F.col("whole") * F.col("_size")).alias("sure"))
+    state = solved.join(F.broadcast(sure) if small else sure, F.col("source").eqNullSafe(F.col("s"))).withColumn("room", F.col("target") - F.col("sure")).drop("s", "sure")
+    state = stored(state.withColumn("steps", F.array().cast("array<struct<last:bigint,most:double>>")).coalesce(1))
+    for _ in range(fills):
+        open_ = _rated(sized, state, most, small).where(F.col("bin").isNotNull() & (F.col("_size") <= F.col("room")) & ~_extra())
+        bins = open_.groupBy(F.col("_source").alias("source"), "bin").agg(F.sum("_size").alias("words"), F.max("room").alias("room"))
+        upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        full = bins.withColumn("upto", upto).where(F.col("upto") <= F.col("room")).groupBy(F.col("source").alias("s")).agg(F.max("bin").alias("last"), F.max("upto").alias("got"))
+        met = state.join(F.broadcast(full) if small else full, F.col("source").eqNullSafe(F.col("s")), "left")
+        step = F.struct(F.coalesce("last", F.lit(-1).cast("long")).alias("last"), F.col("room").alias("most"))
+        met = met.withColumns({"steps": F.concat("steps", F.array(step)), "room": F.col("room") - F.coalesce("got", F.lit(0))})
+        state = stored(met.select(*state.columns).coalesce(1))
+        if (state.agg(F.max(F.try_divide(F.col("room"), F.col("target")))).first()[0] or 0.0) <= near:
+            break
+    # what is left is too large for the room; the smallest of it goes in if that comes nearer to the target
+    rest = _rated(sized, state, most, small).where(F.col("bin").isNotNull() & ~_extra() & (F.col("_size") < 2 * F.col("room")))
+    rest = rest.groupBy(F.col("_source").alias("s"), "_size", "bin").agg(F.sum("_size").alias("words")).groupBy("s").agg(F.min(F.struct("_size", "bin", "words")).alias("one"))
+    met = state.join(F.broadcast(rest) if small else rest, F.col("source").eqNullSafe(F.col("s")), "left")
+    step = F.struct(F.col("one.bin").alias("last"), F.col("one._size").cast("double").alias("most"))
+    met = met.withColumn("steps", F.when(F.col("one.words") < 2 * F.col("room"), F.concat("steps", F.array(step))).otherwise(F.col("steps")))
+    return stored(met.select(*state.columns).drop("room").coalesce(1)), small
 
 
 def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = 3, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -137,7 +153,7 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = 3,
     sized = cut(docs.select(*_sized(docs, id_col, text_col, source_col)))
     solved, small = solve(sized, weights=weights, most=most, share=share)
     rated = _rated(sized, solved, most, small)
-    copies = _copies(rated)
+    copies = _copies()
     return rated.select(F.col("_id").alias("id"), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("total").cast("long").alias("source_size"), "target", "rate", copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
 
 
@@ -149,5 +165,5 @@ def mixed(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int =
     solved, small = solve(cut(docs.select(*_sized(docs, id_col, text_col, source_col))), weights=weights, most=most, share=share)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *_sized(docs, id_col, text_col, source_col))
     rated = _rated(rows, solved, most, small)
-    rated = rated.select("_row", _copies(rated).alias("_n")).where("_n > 0")
+    rated = rated.select("_row", _copies().alias("_n")).where("_n > 0")
     return rated.select("_row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("copy"))
