@@ -66,21 +66,22 @@ def parse_bytes(extension: str, data: bytes) -> dict:
 
 def parsed(files: DataFrame) -> DataFrame:
     """``files`` (source, uri, content, last_modified, size_bytes) as normalised documents with a column ``error``; a failed file has no blocks."""
-    rows = files.select("uri", "content", C.suffix("uri").alias("extension"))
-    fields = "title string, doc_type string, parser string, parser_version string, metadata string, error string"
+    about = ["source", "uri", "content_hash", "last_modified", "size_bytes"]
+    rows = files.select(*about, C.suffix("uri").alias("extension"), "content")
+    made = ["title", "doc_type", "parser", "parser_version", "metadata", "error"]
     kind = pa.list_(
         pa.struct([("type", pa.string()), ("text", pa.string()), ("level", pa.int32()), ("page", pa.int32()), ("bbox", pa.list_(pa.float64())), ("table_html", pa.string()), ("language", pa.string())])
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [parse_bytes(x.as_py(), d.as_py() or b"") for d, x in zip(batch.column(1), batch.column(2), strict=True)]
-            names = ["title", "doc_type", "parser", "parser_version", "metadata", "error"]
-            cols = [pa.array([f[n] for f in found], pa.string()) for n in names]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array([f["blocks"] for f in found], kind)], names=["uri", *names, "blocks"])
+            *kept, extensions, contents = batch.columns
+            found = [parse_bytes(x.as_py(), d.as_py() or b"") for x, d in zip(extensions, contents, strict=True)]
+            cols = [pa.array([f[n] for f in found], pa.string()) for n in made]
+            yield pa.RecordBatch.from_arrays([*kept, *cols, pa.array([f["blocks"] for f in found], kind)], names=[*about, *made, "blocks"])
 
-    made = rows.mapInArrow(run, f"uri string, {fields}, blocks {BLOCK_ARRAY}")
-    joined = files.drop("content").withColumn("content_hash", F.col("content_hash")).join(made, "uri")
+    schema = "source string, uri string, content_hash string, last_modified timestamp, size_bytes long, " + "".join(f"{n} string, " for n in made)
+    joined = rows.mapInArrow(run, f"{schema}blocks {BLOCK_ARRAY}")
     named = joined.withColumn("title", F.coalesce(F.when(F.trim("title") != "", F.col("title")), C.stem("uri")))
     named = named.withColumn("metadata", F.to_json(F.struct(C.file_name("uri").alias("filename"), F.col("size_bytes"), F.col("metadata").alias("parser"))))
     return normalised(named.withColumn("doc_id", C.doc_id("source", "uri")).withColumn("acl", F.array().cast("array<string>")))
