@@ -20,6 +20,13 @@ USER = "Documents:\n\n{context}\n\nQuestion: {question}"
 Generate = Callable[[str, str], dict]
 
 
+def prompt(question: Column | str, context: Column | str) -> Column:
+    """The user's message for a model."""
+    before, between, after = USER.partition("{context}")[0], USER.partition("{context}")[2].partition("{question}")[0], USER.partition("{question}")[2]
+    one = lambda x: F.col(x) if isinstance(x, str) else x
+    return F.concat(F.lit(before), one(context), F.lit(between), one(question), F.lit(after))
+
+
 def valid_numbers(answer: Column | str, listed: Column, size: Column) -> Column:
     """Numbers of documents from the markers, then from the model's list; each once, and only those that exist."""
     return F.array_distinct(F.filter(F.concat(C.citation_numbers(answer), F.coalesce(listed, F.array().cast("array<int>"))), lambda n: (n >= 1) & (n <= size)))

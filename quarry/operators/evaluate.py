@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -150,3 +151,37 @@ def deduplicated(candidates: DataFrame, *, question: str = "question", order: Se
 def numbered(candidates: DataFrame, order: str = "arrival") -> DataFrame:
     """Ids ``syn-0001``, ... in order. Candidates are a bounded sample's."""
     return candidates.withColumn("id", F.format_string("syn-%04d", F.row_number().over(Window.orderBy(order))))
+
+
+def smoke(expected: DataFrame, answers: DataFrame) -> DataFrame:
+    """One row per smoke question with ``passed``. ``expected`` has qid, expect_file, expect_text and expect_refusal, ``answers`` qid, answer, refused and cited.
+
+    A refusal passes if one is expected; else some citation's file must end in ``expect_file`` and the answer must hold ``expect_text``, where they are given.
+    """
+    rows = expected.join(answers.select("qid", "answer", "refused", "cited"), "qid", "left")
+    file = F.col("expect_file").isNull() | F.exists("cited", lambda c: c["uri"].endswith(F.col("expect_file")))
+    text = F.col("expect_text").isNull() | C.norm("answer").contains(C.norm("expect_text"))
+    ok = F.when(F.coalesce("expect_refusal", F.lit(False)), F.col("refused")).otherwise(~F.col("refused") & file & text)
+    return rows.select("qid", F.coalesce(ok, F.lit(False)).alias("passed"))
+
+
+def smoke_rate(scores: DataFrame) -> DataFrame:
+    return scores.agg(F.count("*").alias("n"), F.count_if(~F.col("passed")).alias("failed"), F.avg(F.col("passed").cast("double")).alias("rate"))
+
+
+#: question, answer, contexts and a reference answer or None to measures between 0 and 1 by name
+Judge = Callable[[str, str, list[str], str | None], dict[str, float]]
+
+
+def judged(answers: DataFrame, golden: DataFrame, judge: Judge, concurrency: int = 4) -> DataFrame:
+    """Long rows (metric, value): the means of what an injected judge says of each answer that isn't a refusal, as ``judge_<name>``. Measures that need a reference
+    answer are the judge's to leave out without one."""
+    rows = answers.where(~F.col("refused")).join(golden.select(F.col("id").alias("qid"), F.col("answer").alias("reference")), "qid")
+    rows = rows.select("question", "answer", F.transform("chunks", lambda c: c["text"]).alias("contexts"), "reference")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [(f"judge_{k}", float(v)) for r in batch.to_pylist() for k, v in judge(r["question"], r["answer"], r["contexts"] or [], r["reference"]).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in said], pa.string()), pa.array([v for _, v in said], pa.float64())], names=["metric", "value"])
+
+    return rows.repartition(concurrency).mapInArrow(run, "metric string, value double").groupBy("metric").agg(F.avg("value").alias("value"))

@@ -9,6 +9,7 @@ from quarry.config import Chunking, Embedding, Retrieval
 from quarry.functions import columns as C
 from quarry.operators import answer, assemble, chunk, embed, evaluate, parse, retrieve, tables
 from quarry.plans import ingest, store
+from quarry.sources.files import scratch
 from quarry.streaming import arrivals
 
 TARGET = 60  # words of a piece
@@ -380,6 +381,19 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return arrivals.event_counts(table(spark, d, "events"))
 
 
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    return arrivals.streamed_counts(spark, f"{d}/events.parquet", scratch(spark, "stream"))
+
+
+def smoke_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents as smoke questions: each cites itself, expects a file of its own source, and toxic ones are refused."""
+    docs = _docs(spark, d).join(table(spark, d, "labels"), "doc_id")
+    expected = docs.select(F.col("doc_id").alias("qid"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("0/"), "source")).alias("expect_file"), F.when(F.col("doc_id") % 2 > 0, F.substring("text", 3, 9)).alias("expect_text"), (F.col("doc_id") % 10 == 0).alias("expect_refusal"))
+    given = docs.select(F.col("doc_id").alias("qid"), F.substring("text", 1, 30).alias("answer"), (F.col("toxic") == 1).alias("refused"), F.array(F.struct(F.concat((F.col("doc_id") % 20).cast("string"), F.lit("/"), "source").alias("uri"))).alias("cited"))
+    found = evaluate.smoke_rate(evaluate.smoke(expected, given))
+    return found.select("n", "failed", F.round("rate", 6).alias("rate"))
+
+
 # -- parsing
 
 
@@ -468,7 +482,7 @@ QUERIES = {
         dense_retrieve, dense_topk, dense_topk_filtered, cap_per_doc, cosine_expression, reciprocal_rank_fusion, doc_id, content_hash, cache_key, token_count, normalize_text, norm_span, sentences, snippet, file_names, supported_files,
         sentence_pack, chunk_ids, chunk_overlap, min_words, seeded_sample, cache_misses, embed_stats, embed_vectors, hash_vector, ingest_plan, ingest_report, prune, upsert_snapshot, list_documents, find_document, cached_vectors,
         payload_project, exact_count, scroll_doc, assemble_budget, render_document, citations_extract, golden_match, recall_at_k, first_hit_rank, eval_summary, baseline_compare, duplicate_ids, dedupe_questions, trace_latency,
-        event_windows, html_title, html_h1, html_blocks, plain_text, md_table, html_table, pages_without_text, bm25,
+        event_windows, stream_windows, smoke_rate, html_title, html_h1, html_blocks, plain_text, md_table, html_table, pages_without_text, bm25,
     )
 }
 
@@ -529,6 +543,9 @@ ORACLES = {
     "dedupe_questions": f"SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY {_NORM.format(x='text')} ORDER BY conv_id, turn) = 1",
     "trace_latency": "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, max(value) AS longest, count(*) FILTER (value > 50) AS slow FROM events GROUP BY event_type",
     "event_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "stream_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "smoke_rate": f"""WITH x AS (SELECT doc_id, toxic = 1 AS refused, doc_id % 3 = 0 OR doc_id % 10 = 0 AS file, doc_id % 2 = 0 OR contains({_NORM.format(x='substr(text, 1, 30)')}, {_NORM.format(x='substr(text, 3, 9)')}) AS held FROM documents JOIN labels USING (doc_id)),
+      y AS (SELECT CASE WHEN doc_id % 10 = 0 THEN refused ELSE NOT refused AND file AND held END AS passed FROM x) SELECT count(*) AS n, count(*) FILTER (NOT passed) AS failed, round(avg(CAST(passed AS DOUBLE)), 6) AS rate FROM y""",
     "html_title": f"SELECT page_id || '.html' AS uri, trim(regexp_replace({_unescaped(_TITLE)}, '\\s+', ' ', 'g')) AS title FROM pages",
     "html_h1": f"SELECT page_id || '.html' AS uri, trim(regexp_replace({_unescaped(_H1)}, '\\s+', ' ', 'g')) AS h1 FROM pages",
     "md_table": """SELECT n_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' \\| x |', chr(10) ORDER BY n_nationkey) AS md FROM nation GROUP BY n_regionkey""",

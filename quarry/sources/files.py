@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +94,12 @@ class FileSystem:
         return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a run's own tables, in that which the cluster shares (``spark.checkpoint.dir``), or a temporary one where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 def scan_folder(spark: SparkSession, root: str, *, source: str = "local", include_hidden: bool = False) -> tuple[DataFrame, int]:
     """(files, how many were skipped as unsupported). Files have source, uri, content, content_hash, last_modified and size_bytes.
 

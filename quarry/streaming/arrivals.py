@@ -14,7 +14,7 @@ from quarry.operators.embed import Embedder
 from quarry.operators.parse import supported
 from quarry.plans.ingest import config_of, index_files
 from quarry.plans.store import Store
-from quarry.sources.files import described
+from quarry.sources.files import FileSystem, described
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -36,6 +36,20 @@ def ingest_arrivals(spark: SparkSession, store: Store, root: str, embedder: Embe
 
 def event_counts(events: DataFrame, *, late: str = "1 hour", window: str = "1 day") -> DataFrame:
     """Trace-like events counted by type in windows; works on a stream with a watermark and on a table."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    kind = events.schema["ts"].dataType
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events  # a watermark needs a time zone
     grouped = rows.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return grouped.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return grouped.select(F.col("w.start").cast(kind).alias("start"), "event_type", "n", "total")
+
+
+def streamed_counts(spark: SparkSession, path: str, folder: str, **how: str) -> DataFrame:
+    """``event_counts`` of a table read as a stream: all that is there, in batches, into a table in ``folder``. The state is kept in the folder too, so that a later call goes on."""
+    reader, (above, _, name) = spark.readStream.schema(spark.read.parquet(path).schema), path.rpartition("/")
+    # a stream reads folders: of a table that is one file, that with the file's name
+    events = reader.parquet(path) if FileSystem(spark).is_folder(path) else reader.option("pathGlobFilter", name).parquet(above)
+
+    def batch(rows: DataFrame, _: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/counts")
+
+    event_counts(events, **how).writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/counts")

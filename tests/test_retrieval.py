@@ -155,3 +155,34 @@ def test_candidates(spark):
     made = generate.candidates(rows, propose, most_chunks=4).collect()
     assert [r["id"] for r in made] == ["syn-0001"] and made[0]["expected"][0]["span"]
     assert generate.candidates(rows, generate.first_sentences, most_chunks=4).count() >= 4
+
+
+def test_judges_and_prompts(spark):
+    rows = spark.createDataFrame([("a", "q?", "x", False, [("t1",)]), ("b", "r?", "y", True, []), ("c", "s?", "z", False, [])], "qid string, question string, answer string, refused boolean, chunks array<struct<text:string>>")
+    items = golden(spark, *[(k, "?", "ref" if k == "a" else None, [], "factual", "manual", None) for k in "abc"])
+
+    def judge(question, answer_, contexts, reference):
+        return {"faith": float(len(contexts))} | ({"recall": 1.0} if reference else {})
+
+    assert {r["metric"]: r["value"] for r in evaluate.judged(rows, items, judge).collect()} == {"judge_faith": 0.5, "judge_recall": 1.0}
+    assert rows.select(answer.prompt("question", "answer")).first()[0] == answer.USER.format(context="x", question="q?")
+
+
+def test_smoke(spark):
+    wanted = spark.createDataFrame([("a", "d.md", "25", None), ("b", None, None, True), ("c", "e.md", None, None), ("d", None, "x", False)], "qid string, expect_file string, expect_text string, expect_refusal boolean")
+    given = spark.createDataFrame([("a", "It is 25.", False, [("y/d.md",)]), ("b", "no", True, []), ("c", "z", False, [("y/d.md",)])], "qid string, answer string, refused boolean, cited array<struct<uri:string>>")
+    assert {r["qid"]: r["passed"] for r in evaluate.smoke(wanted, given).collect()} == {"a": True, "b": True, "c": False, "d": False}
+
+
+def test_a_byte_pair_counter():
+    from quarry.config import Chunking
+    from quarry.operators import chunk
+    from quarry.operators.htmldoc import block
+
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not __import__("os").path.exists(path):
+        pytest.skip("no vocabulary file here")
+    count = chunk.bpe_counter(path)()
+    assert count("hello world") == 2
+    found = chunk.fold("T", [block("paragraph", "Some words here. " * 100)], Chunking(40, 60, 6, 30), count)
+    assert len(found) > 3 and all(count(c["text"]) <= 66 for c in found)
