@@ -122,7 +122,11 @@ def revealing_terms(texts: DataFrame, found: DataFrame, *, least_texts: int = 3,
     around = F.array_distinct(F.concat(_terms(F.col("left")), _terms(F.col("right"))))
     pairs = found.select("h", "entity", F.explode(around).alias("term")).where((F.char_length("term") >= least_chars) & F.col("term").rlike(r"\p{L}"))
     both = pairs.distinct().groupBy("entity", "term").agg(F.count("*").alias("f_both")).where(F.col("f_both") >= least_texts)
-    both = cut(both.join(entities, "entity"))
+    # Reaching the threshold bounds a term's frequency by f_both (N / f_entity) ** (1 - disclosure). Its texts beside any entity are a part of all its texts,
+    # so terms that exceed the bound there, such as function words, needn't be counted in the corpus.
+    beside = pairs.select("h", "term").distinct().groupBy("term").agg(F.count("*").alias("f_beside"))
+    bound = F.col("f_both") * F.pow(total / F.col("f_entity").cast("double"), F.lit(1 - disclosure)) * 1.000001
+    both = cut(both.join(entities, "entity").join(beside, "term").where(F.col("f_beside") <= bound).drop("f_beside"))
     if both.isEmpty():
         return both.select("entity", "term")
     asked = cut(both.select("term").distinct())
