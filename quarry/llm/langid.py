@@ -140,7 +140,8 @@ def fit(docs: DataFrame, learnable: Column, *, settings: Settings = Settings(),
             yield pa.RecordBatch.from_arrays(cols, names=["lang", "h", "at", "tf"])
 
     sample: dict[str, list] = {}
-    for r in picked.mapInArrow(features, "lang string, h long, at binary, tf binary").toLocalIterator():
+    few = picked.mapInArrow(features, "lang string, h long, at binary, tf binary").repartition(4)  # the iterator runs a job for each partition
+    for r in few.toLocalIterator():
         sample.setdefault(r["lang"], []).append((r["h"], bytes(r["at"]), bytes(r["tf"])))
     names, centroids, floors = [], [], []
     for lang in sorted(sample):
