@@ -51,7 +51,7 @@ def norm(text: Column | str) -> Column:
 
 def normalize_text(text: Column | str) -> Column:
     """No-break spaces are spaces; blanks in a line are one and its ends trimmed; no two empty lines in a row."""
-    plain = F.regexp_replace(F.regexp_replace(_c(text), " ", " "), r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85  ]", "\n")
+    plain = F.regexp_replace(F.regexp_replace(_c(text), r"\x{a0}", " "), r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]", "\n")
     lines = F.transform(F.split(plain, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " ")))
     return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 

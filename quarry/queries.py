@@ -413,7 +413,7 @@ def html_h1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return parse.exploded(_parsed_pages(spark, d)).select("doc_id", _long("block_index").alias("block_index"), "type", "text", _long("level").alias("level"))
+    return parse.exploded(_parsed_pages(spark, d)).select("doc_id", _long("block_index").alias("block_index"), "type", "text", F.coalesce(_long("level"), F.lit(0).cast("long")).alias("level"))
 
 
 def plain_text(spark: SparkSession, d: str) -> DataFrame:
@@ -463,6 +463,14 @@ def _unescaped(x: str) -> str:
     return f"regexp_replace({x}, '&amp$', '&')"
 
 
+#: The blocks of the generated pages: what stands between nav and footer, cut at block tags; headings are marked.
+_BLOCKS = rf"""SELECT page_id, starts_with(p, chr(2)) AS head, text, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS i FROM (
+  SELECT page_id, p, k, trim(regexp_replace({_unescaped("regexp_replace(replace(p, chr(2), ''), '</?b>', '', 'g')")}, '\s+', ' ', 'g')) AS text FROM (
+    SELECT page_id, unnest(ps) AS p, unnest(range(len(ps))) AS k FROM (
+      SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)</nav>(.*?)<footer>', 1), '(?s)<!--.*?-->', '', 'g'), '<br>', ' ', 'g'), '<h1>', chr(1) || chr(2), 'g'),
+        '</?(?:div|article|p|h1)(?: [^>]*)?>', chr(1), 'g'), chr(1)) AS ps FROM pages))) WHERE text <> ''"""
+
+
 def _attribute_sql(x: str) -> str:
     e = f"replace(replace(replace({x}, '&', '&amp;'), '>', '&gt;'), '<', '&lt;')"
     return f"""CASE WHEN NOT contains({x}, '"') THEN '"' || {e} || '"' WHEN NOT contains({x}, '''') THEN '''' || {e} || '''' ELSE '"' || replace({e}, '"', '&quot;') || '"' END"""
@@ -548,6 +556,8 @@ ORACLES = {
       y AS (SELECT CASE WHEN doc_id % 10 = 0 THEN refused ELSE NOT refused AND file AND held END AS passed FROM x) SELECT count(*) AS n, count(*) FILTER (NOT passed) AS failed, round(avg(CAST(passed AS DOUBLE)), 6) AS rate FROM y""",
     "html_title": f"SELECT page_id || '.html' AS uri, trim(regexp_replace({_unescaped(_TITLE)}, '\\s+', ' ', 'g')) AS title FROM pages",
     "html_h1": f"SELECT page_id || '.html' AS uri, trim(regexp_replace({_unescaped(_H1)}, '\\s+', ' ', 'g')) AS h1 FROM pages",
+    "html_blocks": f"SELECT {_uuid_sql(chr(39) + 'pages:' + chr(39) + ' || page_id || ' + chr(39) + '.html' + chr(39))} AS doc_id, i AS block_index, CASE WHEN head THEN 'heading' ELSE 'paragraph' END AS type, text, CAST(CASE WHEN head THEN 1 ELSE 0 END AS BIGINT) AS level FROM ({_BLOCKS})",
+    "plain_text": f"SELECT page_id || '.html' AS uri, string_agg(text, chr(10) || chr(10) ORDER BY i) AS text, true AS no_pages FROM ({_BLOCKS}) GROUP BY page_id",
     "md_table": """SELECT n_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' \\| x |', chr(10) ORDER BY n_nationkey) AS md FROM nation GROUP BY n_regionkey""",
     "html_table": """SELECT n_regionkey, '<table><thead><tr><th>key</th><th>name &amp; &lt;more&gt;</th></tr></thead><tbody>' || string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || ' | x</td></tr>', '' ORDER BY n_nationkey) || '</tbody></table>' AS html FROM nation GROUP BY n_regionkey""",
     "pages_without_text": """SELECT conv_id, coalesce(array_to_string(list_filter(range(1, 9), lambda x: NOT list_contains(list(turn) FILTER (trim(coalesce(text, '')) <> ''), x)), ','), '') AS pages FROM conversations GROUP BY conv_id""",

@@ -23,7 +23,8 @@ def test_ids_equal_python(spark):
 
 
 def test_normalising(spark):
-    assert one(spark, C.normalize_text("x"), x="a \t b\r\n\n\n\n c d  ") == "a b\n\nc d"
+    assert one(spark, C.normalize_text("x"), x="a \t b\r\n\n\n\n c\u00a0d  ") == "a b\n\nc d"
+    assert one(spark, C.normalize_text("x"), x="a\u2028b\x0cc\rd") == "a\nb\nc\nd"
     assert one(spark, C.norm("x"), x="  A   b\nC ") == "a b c"
     assert one(spark, C.norm("x"), x=None) == ""
 
