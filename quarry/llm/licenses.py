@@ -91,7 +91,7 @@ SPDX = {
 }
 _PATTERNS = [(name, re.compile(pattern)) for name, pattern in SENTENCES.items()]
 _MARK = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/|//+|#+|\*+|;+|--|<!--|-->|\"{3}|'{3})[ \t]?")
-_QUOTES = str.maketrans({"“": '"', "”": '"', "„": '"', "‘": "'", "’": "'", "`": "'", " ": " "})
+_QUOTES = str.maketrans({"“": '"', "”": '"', "„": '"', "‘": "'", "’": "'", "`": "'", "\u00a0": " "})
 _END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*\n\s*")
 
 
