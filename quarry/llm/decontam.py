@@ -190,9 +190,11 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, doc_id
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, *, window: int = 10, doc_id: str = "doc_id", doc_text: str = "text", **how) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, *, window: int = 10, most_broadcast: int = 200_000, doc_id: str = "doc_id", doc_text: str = "text", **how) -> DataFrame:
     """The rows of ``docs``, all columns, that no item's run occurs in."""
-    found = hits(docs, items, window=window, doc_id=doc_id, doc_text=doc_text, **how).select(F.col("id").alias("_q_id"), F.col("key").alias("_q_key"))
+    found = hits(docs, items, window=window, doc_id=doc_id, doc_text=doc_text, most_broadcast=most_broadcast, **how)
+    found = cut(found.select(F.col("id").alias("_q_id"), F.col("key").alias("_q_key")))
+    found = F.broadcast(found) if fits(found, most_broadcast) else found
     rows = docs.withColumn("_q_text_key", text_key(F.col(doc_text)))
     kept = rows.join(found, (F.col("_q_text_key") == F.col("_q_key")) & F.col(doc_id).eqNullSafe(F.col("_q_id")), "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

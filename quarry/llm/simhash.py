@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, text_key
+from quarry.llm.common import cut, fits, text_key
 
 BLOCK = 1 << 16  # shingles whose bits are unpacked at once
 
@@ -186,13 +186,25 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 4, max_distance: in
     return labelled.select("id", "key", "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 200_000, **how) -> DataFrame:
     """The rows of ``docs``, all columns, but of each near-duplicate component only the document with the smallest id.
 
-    Of repeated rows of that document one stays; if it comes with several texts in one component, that of the smallest hash.
+    Of repeated rows of that document one stays; if it comes with several texts in one component, that of the smallest hash. What goes is joined with the
+    documents: up to ``most_broadcast`` of them are broadcast, so that texts aren't shuffled.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where(F.col("id").eqNullSafe(F.col("component_id")))
-    stay = found.groupBy("root").agg(F.min(F.struct("id", "key")).alias("one")).select(F.col("one.id").alias("_q_id"), F.col("one.key").alias("_q_key"))
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
+    own = found.groupBy("id", "key").agg(F.first("root").alias("root"), F.first("component_id").alias("component_id"), F.count("*").alias("n"))
+    first = F.min(F.struct(F.when(F.col("id").eqNullSafe(F.col("component_id")), 0).otherwise(1), "id", "key"))
+    stay = found.groupBy("root").agg(first.alias("one")).select(F.col("one.id").alias("_q_id"), F.col("one.key").alias("_q_key"))
+    same = F.col("id").eqNullSafe(F.col("_q_id")) & (F.col("key") == F.col("_q_key"))
+    gone = cut(own.join(stay, same, "left_anti").select(F.col("id").alias("_q_id"), F.col("key").alias("_q_key")))
+    again = cut(own.where("n > 1").join(stay, same, "left_semi").select(F.col("id").alias("_q_id"), F.col("key").alias("_q_key")))
+
     rows = docs.withColumn("_q_text_key", text_key(F.col(text_col)))
-    kept = rows.join(stay, F.col(id_col).eqNullSafe(F.col("_q_id")) & (F.col("_q_text_key") == F.col("_q_key")), "left_semi")
-    return kept.dropDuplicates([id_col, "_q_text_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    match = F.col(id_col).eqNullSafe(F.col("_q_id")) & (F.col("_q_text_key") == F.col("_q_key"))
+    sized = lambda df: F.broadcast(df) if fits(df, most_broadcast) else df
+    kept = rows.join(sized(gone), match, "left_anti")
+    if not again.isEmpty():  # rows that stay, but repeat
+        once = sized(again)
+        kept = kept.join(once, match, "left_anti").unionByName(kept.join(once, match, "left_semi").dropDuplicates([id_col, "_q_text_key"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
