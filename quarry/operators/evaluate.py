@@ -132,9 +132,14 @@ def misses(golden: DataFrame, scores: DataFrame) -> DataFrame:
     return golden.where(~expects_refusal()).join(scores.where("first_hit_rank IS NULL").select(F.col("qid").alias("id")), "id", "left_semi")
 
 
+def sample_order(id_col: str, seed: int) -> Column:
+    """A seeded order that doesn't depend on partitions or runs."""
+    return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
+
+
 def sampled(chunks: DataFrame, n: int, seed: int, *, least_words: int = 12, id_col: str = "chunk_id") -> DataFrame:
-    """``n`` chunks of at least ``least_words`` words, in the order of a seeded hash: the same for each run and partitioning."""
-    return chunks.where(C.token_count("text") >= least_words).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+    """``n`` chunks of at least ``least_words`` words, the first in a seeded order."""
+    return chunks.where(C.token_count("text") >= least_words).orderBy(sample_order(id_col, seed), id_col).limit(n)
 
 
 def verbatim(candidates: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def candidates(chunks: DataFrame, propose: Propose, *, most_chunks: int = 60, pe
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "proposed"])
 
     made = picked.repartition(concurrency).mapInArrow(run, picked.schema.simpleString()[7:-1].replace(":", " ") + ", proposed array<struct<question:string,answer:string,span:string>>")
-    order = F.xxhash64(F.col("chunk_id"), F.lit(seed))
+    order = evaluate.sample_order("chunk_id", seed)
     each = made.select("*", F.posexplode("proposed").alias("n", "p")).withColumn("arrival", F.struct(order.alias("o"), F.col("chunk_id"), F.col("n")))
     each = each.select("chunk_id", "chunk_index", "uri", "text", "arrival", F.trim("p.question").alias("question"), F.trim("p.answer").alias("answer"), F.trim("p.span").alias("span"))
     kept = evaluate.numbered(evaluate.deduplicated(evaluate.verbatim(each)))

@@ -516,6 +516,7 @@ ORACLES = {
     "sentence_pack": f"{_PACK} SELECT doc_id, CAST(i AS BIGINT) AS i, piece, tokens FROM pieces",
     "chunk_ids": f"{_PACK} SELECT CAST(doc_id AS VARCHAR) AS doc, CAST(i AS BIGINT) AS i, {_uuid_sql('''doc_id || ':' || i || ':' || hash''')} AS chunk_id FROM (SELECT p.doc_id, p.i, sha256(d.text) AS hash FROM pieces p JOIN documents d USING (doc_id))",
     "min_words": f"SELECT doc_id FROM documents WHERE {_TOKENS.format(x='text')} >= 12",
+    "seeded_sample": f"SELECT doc_id FROM documents WHERE {_TOKENS.format(x='text')} >= 12 ORDER BY md5(doc_id || ':7'), doc_id LIMIT 60",
     "cache_misses": "SELECT DISTINCT sha256(text || chr(0) || 'm' || chr(0) || '64') AS key FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0)",
     "embed_stats": f"""WITH m AS (SELECT DISTINCT text FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0)), t AS (SELECT count(*) AS embedded, CAST(sum({_TOKENS.format(x='text')}) AS BIGINT) AS tokens FROM m)
       SELECT (SELECT count(*) FROM documents) AS texts, (SELECT count(*) FROM documents) - embedded AS hits, embedded, CAST(ceil(embedded / 256) AS BIGINT) AS api_calls, tokens, round(tokens / 1e6 * 0.13, 9) AS usd FROM t""",
