@@ -188,14 +188,13 @@ def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
     A null text, or one without a letter, has the language ``und``, the score 0, and is rejected; so does every text without a
     model. Repeated rows have the same result; names of other columns can't clash, for they aren't read by name.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores, rejected = predict(batch.column(batch.num_columns - 1).to_pylist(), shared.value)
+            langs, scores, rejected = predict(batch.column(place).cast(pa.string()).to_pylist(), shared.value)
             found = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["lang", "score", "rejected"])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], "_langid"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_langid"])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(text_col).cast("string").alias("_q_text"))
     schema = T.StructType([*docs.schema.fields, T.StructField("_langid", T.StructType.fromDDL("lang string, score double, rejected boolean"))])
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
