@@ -47,11 +47,16 @@ def with_fingerprints(rows: DataFrame, *, window: int, short: tuple[int, ...]) -
     rows = rows.select("*", _joined("_g1", "_g1", 1, fuse).alias("_g2"))
     rows = rows.select("*", _joined("_g2", "_g2", 2, fuse).alias("_g4"))
     made = {1: "_g1", 2: "_g2", 4: "_g4"}
-    for n in sorted({*short, *(8 for s in short if s > 8)} - {*made}):
-        head = max(m for m in (1, 2, 4, 8) if m < n and m in made)
-        if n - head not in made:
-            raise ValueError(f"runs of {n} words can't be made")  # n - head is 1, 2, 3 or 4, made before
-        rows = rows.select("*", _joined(made[head], made[n - head], head, fuse).alias(f"_g{n}"))
+    parts: dict[int, tuple[int, int]] = {}  # each further length: a power of two and the rest
+    todo = list(short)
+    while todo:
+        n = todo.pop()
+        if n not in made and n not in parts:
+            head = 1 << ((n - 1).bit_length() - 1)
+            parts[n] = head, n - head
+            todo += parts[n]
+    for n, (head, rest) in sorted(parts.items()):
+        rows = rows.select("*", _joined(made[head], made[rest], head, fuse).alias(f"_g{n}"))
         made[n] = f"_g{n}"
     # the smallest of window - GRAM + 1 k-grams with its place; where equal, the later one
     span = window - GRAM + 1

@@ -122,6 +122,18 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [k for k, t in enumerate(texts) if not brute.contamination(t, items)[1]]
 
 
+@pytest.mark.parametrize("lengths", [[7], [5, 8], [9], [6], [2, 4]])
+def test_decontamination_by_short_items(spark, lengths):
+    rng = random.Random(13)
+    words = lambda n: [rng.choice("abcdefgh") for _ in range(n)]
+    items = [(k, " ".join(words(n))) for k, n in enumerate([*lengths, 12])]
+    texts = [" ".join(words(rng.randint(0, 200))) for _ in range(40)] + [f"x {t} y" for _, t in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for r in decontam.contamination(docs_of(spark, texts), bench).collect():
+        n, hit, met = brute.contamination(texts[r["id"]], items)
+        assert (r["n_words"], r["n_hit"], r["items"]) == (n, hit, sorted(map(str, met)))
+
+
 def test_decontamination_of_nothing(spark):
     docs, none = docs_of(spark, ["a b c"]), spark.createDataFrame([], "item_id long, text string")
     assert decontam.contamination(docs, none).first()["n_hit"] == 0 and decontam.clean(docs, none).count() == 1
