@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LOWER, UPPER, cut, fits, text_key
+from quarry.llm.common import LOWER, UPPER, cut, fits, settled, text_key
 
 KINDS = ("email", "ip", "card", "phone", "term")  # in the order of spans that begin alike
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
@@ -88,7 +88,7 @@ def with_base(rows: DataFrame) -> DataFrame:
     for k, (kind, (_, pattern, test)) in enumerate(BASE.items()):
         own = F.filter(_placed(F.col("t"), pattern, F.col(f"_{kind}"), k), _passes(test))
         spans.append(F.when(F.size(f"_{kind}") > 0, own).otherwise(F.array().cast(_SPAN)))
-    return rows.select(*kept, F.concat(*spans).alias("base"))
+    return settled(rows.select(*kept, F.concat(*spans).alias("base")), "base")
 
 
 def _entity(span: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LOWER, UPPER, words
+from quarry.llm.common import LOWER, UPPER, settled, words
 
 SYMBOLS = "[#*$%&|<>]"
 #: Frequent function words of the languages that the documents are in.
@@ -81,7 +81,7 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     total = lambda array, f: F.aggregate(array, F.lit(0).cast("long"), lambda s, x: s + f(x))
     without = lambda symbols: F.col("t") if not symbols else F.replace(without(symbols[1:]), F.lit(symbols[0]), F.lit(""))
     stop = [F.lit(x) for x in dict.fromkeys(STOP_WORDS)]
-    return rows.select(
+    measured = rows.select(
         "id",
         F.size("w").cast("long").alias("n_words"),
         total(F.col("w"), chars).alias("word_chars"),
@@ -97,6 +97,7 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         (chars(F.col("t")) - chars(F.translate("t", UPPER, ""))).alias("n_upper"),
         F.size(F.filter("w", lambda x: F.translate(x, UPPER, LOWER).isin(*stop))).cast("long").alias("n_stop_words"),
     )
+    return settled(measured, *measured.columns[1:])
 
 
 def compile_rules(rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
