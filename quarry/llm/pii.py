@@ -2,8 +2,11 @@
 
 Emails, IP addresses, card and phone numbers are found by patterns; what they find are the protected entities. The disclosure of an entity e by a term
 t is its pointwise mutual information as a share of the entity's information, log(N f(t,e) / (f(t) f(e))) / log(N / f(e)), with frequencies counted over distinct
-texts of the whole corpus: 1 if t only occurs with e, 0 if t is independent of it. Terms near an entity whose disclosure reaches a threshold, in
-enough texts, are spans too, in each text that has the entity; sanitising puts a general label for them, as for the entities.
+texts of the whole corpus: 1 if t only occurs with e, 0 if t is independent of it. Terms anywhere in a text with an entity, whose disclosure reaches a
+threshold, are spans too, in each text of the corpus; sanitising puts a general label for them, as for the entities.
+
+In one or two texts every rare word reaches the threshold by chance, so a term also needs one of three kinds of evidence: it meets the entity in enough texts;
+or an email's local part names it; or, for a number of fewer texts, which names nobody, it is written as a name, with a capital within a sentence.
 
 All spans are [start, end) in code points. Everything is DataFrame operations; patterns give pieces and matches, from which the positions follow.
 """
@@ -29,6 +32,8 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}(?![ -]?[0-9])"
 #: \+[0-9][\x20().0-9-]+[0-9]
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 TERM = r"[\p{L}\p{N}]+"
+#: a term with a capital that doesn't begin a sentence or line
+NAME = r"(?<=[\p{L}\p{N},;:(] {1,2})\p{Lu}[\p{L}\p{N}]+"
 SALTS = 16
 
 
@@ -101,34 +106,61 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(f"({TERM})"), F.lit(1))
 
 
-def mentions(texts: DataFrame, *, near: int = 80) -> DataFrame:
-    """Distinct rows (h, entity, left, right): the hash of a text, an entity in it, and up to ``near`` characters on both sides."""
-    # not explode, nor a test of the array before: both would be pushed below the projections that make it and evaluate the patterns again
-    rows = texts.select(text_key(F.col("t")).alias("h"), "t", F.explode_outer("base").alias("s")).where(F.col("s").isNotNull())
-    left = F.substring(F.col("t"), F.greatest(F.col("s.start") - near, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(near)))
-    return rows.select("h", _entity(F.col("s")).alias("entity"), left.alias("left"), F.substring(F.col("t"), F.col("s.end") + 1, F.lit(near)).alias("right")).distinct()
+def _replaced(text: Column, united: Column, label) -> Column:
+    """The text with ``label`` of each of the united spans in its place."""
+    nothing = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("kind")))
+    before = F.zip_with(united, F.concat(nothing, F.slice(united, F.lit(1), F.size(united) - 1)), lambda s, p: F.concat(F.substring(text, p["end"] + 1, s["start"] - p["end"]), label(s)))
+    return F.concat(F.array_join(before, ""), F.substring(text, F.element_at(united, -1)["end"] + 1, F.char_length(text)))
+
+
+def owners(texts: DataFrame) -> DataFrame:
+    """Rows (h, entities, terms, names) of the texts with an entity: a text's hash, its entities, the terms outside them and those of the terms that are written as names."""
+    found = texts.select(text_key(F.col("t")).alias("h"), "t", "base").where(F.size("base") > 0)
+    found = found.select("h", F.array_distinct(F.transform("base", _entity)).alias("entities"), _replaced(F.col("t"), _united(F.array_sort("base")), lambda s: F.lit(" 0 ")).alias("rest"))
+    return found.select("h", "entities", F.array_distinct(_terms(F.col("rest"))).alias("terms"), F.array_distinct(F.transform(F.regexp_extract_all("rest", F.lit(f"({NAME})"), F.lit(1)), lambda x: F.translate(x, UPPER, LOWER))).alias("names"))
+
+
+def _named(entity: Column) -> Column:
+    """What an email may name in its local part: the runs of letters, and of four letters or more what those begin and end with (jsmith: smith). A longer run than
+    a local part may be is only taken whole."""
+    runs = F.split(F.regexp_replace(F.substring_index(F.substring(entity, 3, 1 << 30), "@", 1), "[^a-z]+", " "), " ")
+    size = lambda r: F.when(F.char_length(r).between(4, 64), F.sequence(F.lit(4), F.greatest(F.char_length(r), F.lit(4)))).otherwise(F.array().cast("array<int>"))
+    each = F.transform(runs, lambda r: F.concat(F.array(r), F.transform(size(r), lambda n: F.left(r, n)), F.transform(size(r), lambda n: F.right(r, n))))
+    return F.array_distinct(F.flatten(each))
 
 
-def revealing_terms(texts: DataFrame, found: DataFrame, *, least_texts: int = 3, disclosure: float = 0.9, least_chars: int = 3, most_broadcast: int = 200_000) -> DataFrame:
-    """Rows (entity, term) where the term discloses the entity.
+def revealing_terms(texts: DataFrame, met: DataFrame, *, least_texts: int = 3, disclosure: float = 0.9, least_chars: int = 3, most_broadcast: int = 200_000) -> DataFrame:
+    """Rows (h, term) of all texts, told by a hash, and the terms in them that disclose an entity.
 
-    ``texts`` has the column ``t`` and ``found`` is what ``mentions`` gives. Candidates are the terms of at least ``least_chars`` characters, one of them a
-    letter, beside an entity in at least ``least_texts`` distinct texts, told by a hash. Frequencies of entities and of candidate terms are counted over
-    all distinct texts.
+    ``texts`` has the column ``t`` and ``met`` is what ``owners`` gives. Candidates are the terms of at least ``least_chars`` characters, one of them a letter,
+    that stand in a text with an entity and are supported by ``least_texts`` distinct texts with both, by the email's own name, or by being written as a name beside
+    a number of fewer texts. Frequencies of entities and of candidate terms are counted over all distinct texts.
     """
     hashed = texts.select("t", text_key(F.col("t")).alias("h"))
     total = hashed.select("h").distinct().count()
-    entities = found.groupBy("entity").agg(F.count_distinct("h").alias("f_entity")).where(F.col("f_entity") >= least_texts)
-    around = F.array_distinct(F.concat(_terms(F.col("left")), _terms(F.col("right"))))
-    pairs = found.select("h", "entity", F.explode(around).alias("term")).where((F.char_length("term") >= least_chars) & F.col("term").rlike(r"\p{L}"))
-    both = pairs.distinct().groupBy("entity", "term").agg(F.count("*").alias("f_both")).where(F.col("f_both") >= least_texts)
-    # Reaching the threshold bounds a term's frequency by f_both (N / f_entity) ** (1 - disclosure). Its texts beside any entity are a part of all its texts,
-    # so terms that exceed the bound there, such as function words, needn't be counted in the corpus.
-    beside = pairs.select("h", "term").distinct().groupBy("term").agg(F.count("*").alias("f_beside"))
+    found = cut(met.select("h", F.explode("entities").alias("entity")).distinct())
+    usable = (F.char_length("term") >= least_chars) & F.col("term").rlike(r"\p{L}")
+    words = cut(met.select("h", F.explode("terms").alias("term"), "names").select("h", "term", F.array_contains("names", F.col("term")).alias("name")).where(usable).distinct())
+    # A term's texts with any entity are a part of all its texts.
+    beside = words.groupBy("term").agg(F.count("*").alias("f_beside"))
+    rated = found.groupBy("entity").agg(F.count("*").alias("f_entity"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s")).where(F.col("f_entity") < total)
+    rated = cut(rated.withColumn("number", ~F.col("entity").startswith("0:")))
+    # entities of the same texts have the same frequencies with all terms, so one stands for them: a list of numbers doesn't meet a list of names pair by pair
+    one = rated.groupBy("number", "f_entity", "x", "s").agg(F.min("entity").alias("entity")).drop("x", "s")
+    heard = found.join(one, "entity")
+    often = heard.where(F.col("f_entity") >= least_texts).join(words.join(beside.where(F.col("f_beside") >= least_texts).select("term"), "term"), "h").select("entity", "term", "h")
+    often = often.groupBy("entity", "term").agg(F.count("*").alias("f_both")).where(F.col("f_both") >= least_texts)
+    written = heard.where(F.col("number") & (F.col("f_entity") < least_texts)).select("entity", "h")
+    written = written.join(words, "h").groupBy("entity", "term").agg(F.count("*").alias("f_both"), F.max("name").alias("name")).where("name").drop("name")
+    parts = found.join(rated.where(~F.col("number")).select("entity"), "entity").select("h", "entity", F.explode(_named(F.col("entity"))).alias("term"))
+    named = parts.join(words, ["h", "term"]).groupBy("entity", "term").agg(F.count("*").alias("f_both"))
+    # Reaching the threshold bounds a term's frequency by f_both (N / f_entity) ** (1 - disclosure), so terms that exceed the bound beside entities, such as
+    # function words, needn't be counted in the corpus.
     bound = F.col("f_both") * F.pow(total / F.col("f_entity").cast("double"), F.lit(1 - disclosure)) * 1.000001
-    both = cut(both.join(entities, "entity").join(beside, "term").where(F.col("f_beside") <= bound).drop("f_beside"))
+    both = often.union(written).union(named).distinct().join(rated.select("entity", "f_entity"), "entity").join(beside, "term")
+    both = cut(both.where(F.col("f_beside") <= bound).drop("f_beside"))
     if both.isEmpty():
-        return both.select("entity", "term")
+        return words.select("h", "term").limit(0)
     asked = cut(both.select("term").distinct())
     small = fits(asked, most_broadcast)
     each = hashed.select("h", F.explode_outer(F.array_distinct(_terms(F.col("t")))).alias("term")).where(F.col("term").isNotNull())
@@ -137,10 +169,11 @@ def revealing_terms(texts: DataFrame, found: DataFrame, *, least_texts: int = 3,
     else:  # words are many, and some are in every text: deal them out with salts
         salted = asked.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
         each = each.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"]).drop("salt")
-    frequent = each.distinct().groupBy("term").agg(F.count("*").alias("f_term"))
-    rated = both.join(F.broadcast(frequent) if small else frequent, "term")
+    each = cut(each.select("h", "term").distinct())
+    frequent = each.groupBy("term").agg(F.count("*").alias("f_term"))
     share = F.log(total * F.col("f_both") / (F.col("f_term") * F.col("f_entity")).cast("double")) / F.log(total / F.col("f_entity").cast("double"))
-    return cut(rated.where((F.col("f_entity") < total) & (share >= disclosure)).select("entity", "term"))
+    revealing = cut(both.join(F.broadcast(frequent) if small else frequent, "term").where(share >= disclosure - 1e-12).select("term").distinct())
+    return cut(each.join(F.broadcast(revealing) if small else revealing, "term").select("h", "term"))
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 200_000, **how) -> DataFrame:
@@ -152,19 +185,16 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mos
     return _find(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")), most_broadcast, how)
 
 
-def _find(rows: DataFrame, most_broadcast: int, how: dict, near: int = 80) -> DataFrame:
+def _find(rows: DataFrame, most_broadcast: int, how: dict) -> DataFrame:
     """``rows`` has ``t`` and other columns, which stay."""
     based = with_base(rows)
-    met = cut(mentions(with_base(rows.select("t")), near=near))
+    met = cut(owners(with_base(rows.select("t"))))
     revealing = revealing_terms(rows, met, most_broadcast=most_broadcast, **how)
     plain = lambda df: df.select(*rows.columns, "base", F.array_sort("base").alias("spans"))
     if revealing.isEmpty():
         return plain(based)
-    # the terms of each text that has a revealed entity; such texts are told by a hash
-    small = fits(revealing, most_broadcast)
-    owned = met.select("h", "entity").distinct().join(F.broadcast(revealing) if small else revealing, "entity")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_sort(F.collect_set("term")), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    by_text = cut(owned.groupBy("h").agg(pattern.alias("pattern")))
+    by_text = cut(revealing.groupBy("h").agg(pattern.alias("pattern")))
     few = fits(by_text, most_broadcast)
     joined = based.withColumn("_h", text_key(F.col("t"))).join(F.broadcast(by_text) if few else by_text, F.col("_h") == F.col("h"), "left")
     lowered = F.translate("t", UPPER, LOWER)
@@ -207,8 +237,7 @@ def sanitise(docs: DataFrame, *, text_col: str = "text", chars_col: str | None =
     found = _find(rows, most_broadcast, how)
     labels = F.array(*[F.lit(LABELS[k]) for k in KINDS])
     found = found.select("row", "t", F.when(F.size("spans") > 0, _united(F.col("spans"))).alias("u"))
-    before = F.zip_with("u", F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("kind"))), F.slice("u", F.lit(1), F.size("u") - 1)), lambda s, p: F.concat(F.substring(F.col("t"), p["end"] + 1, s["start"] - p["end"]), F.get(labels, s["kind"])))
-    text = F.concat(F.array_join(before, ""), F.substring(F.col("t"), F.element_at("u", -1)["end"] + 1, F.char_length("t")))
+    text = _replaced(F.col("t"), F.col("u"), lambda s: F.get(labels, s["kind"]))
     found = found.select("row", F.when(F.col("u").isNotNull(), text).alias("new"))
     columns = []
     for c in names:

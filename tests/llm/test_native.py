@@ -172,6 +172,22 @@ def test_terms_that_reveal_an_entity(spark):
     assert "[TERM] [EMAIL], [TERM]" in clean[0] and "hello [EMAIL]" in clean[5] and clean[20] == texts[20]
 
 
+def test_terms_that_reveal_a_rare_entity(spark):
+    rng = random.Random(12)
+    common = [f"word{k}" for k in range(40)]
+    filler = lambda n: " ".join(rng.choices(common, k=n))
+    texts = [f"page of Quillfeather {filler(60)} write to: anna.quillfeather@corp.example now {filler(5)}"]  # more than 80 characters away
+    texts += [f"{filler(9)} jvanterpool@corp.example {filler(50)} vanterpool {filler(5)}"]
+    texts += [f"{filler(9)} ring +44 20 7946 0018, ask for Oddfellow {filler(9)} seldom {filler(20 + k)}" for k in range(2)]
+    texts += [f"host 10.1.2.3 {filler(60)} zanzibarov {filler(k)}" for k in range(4)] + [f"elsewhere zanzibarov {filler(9)}"]
+    texts += [f"{filler(9)} info@corp.example {filler(9)} info"] + [f"info host {filler(9 + k % 3)} Word1" for k in range(300)] + [f"only rare{k} words" for k in range(20)]
+    wanted = {0: {"quillfeather"}, 1: {"vanterpool"}, 2: {"oddfellow"}, 3: {"oddfellow"}} | dict.fromkeys(range(4, 9), {"zanzibarov"})
+    docs = docs_of(spark, texts)
+    for how in ({}, {"most_broadcast": 0}):
+        for r in pii.find(docs, **how).collect():
+            assert {s["found"] for s in r["spans"] if s["kind"] == pii.KINDS.index("term")} == wanted.get(r["id"], set()), texts[r["id"]]
+
+
 def test_sanitising(spark):
     texts = [None, "", "none", "a@b.co", "x a@b.co y 1.2.3.4", "é😀 +1 (017) 555-7713 z 4111111111111111", "+4111111111111111"]
     docs = spark.createDataFrame([(k, t, len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, n_chars int")
