@@ -14,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Without one of these, in lower case, no pattern matches a text.
-TRIGGERS = ("licen", "permission", "redistribut", "as is", "public domain", "rights reserved", "copyright", "creative commons", "neither the name", "cc by", "cc-by", "cc0", "patent", "warrant", "compliance with")
 #: identifier: pattern, searched in a normalised sentence. Versions and variants are captured and become part of the identifier.
 SENTENCES: dict[str, str] = {
     "spdx": r"spdx-license-identifier: ?([\w.+-]+)",
@@ -46,6 +44,36 @@ SENTENCES: dict[str, str] = {
     "no-permission": r"(?:may not|must not) be (?:copied|reproduced|redistributed|distributed) .{0,80}without (?:the )?(?:prior |express |written )+(?:permission|consent)",
 }
 
+#: What each match of a pattern contains, one of them at least.
+TRIGGERS: dict[str, tuple[str, ...]] = {
+    "spdx": ("spdx-license-identifier",),
+    "mit-grant": ("permission is hereby granted",),
+    "mit-notice": ("permission notice",),
+    "isc-grant": ("permission to use",),
+    "as-is": ("as is",),
+    "bsd-grant": ("redistribution",),
+    "bsd-source": ("redistribution",),
+    "bsd-binary": ("redistribution",),
+    "bsd-name": ("neither the name",),
+    "bsd-warranty": ("as is",),
+    "apache": ("apache",),
+    "apache-compliance": ("in compliance with",),
+    "apache-copy": ("obtain a copy of the license",),
+    "apache-warranty": ("required by applicable law",),
+    "gnu-free": ("general public license",),
+    "gnu": ("general public license",),
+    "gpl-short": ("gpl",),
+    "mit": ("mit licen",),
+    "bsd": ("bsd",),
+    "mpl": ("mozilla public",),
+    "cc0": ("cc0", "creative commons", "public domain"),
+    "cc": ("creative commons", "cc by", "cc-by", "cc attribution", "cc-attribution"),
+    "unlicense": ("unencumbered",),
+    "public-domain": ("public domain",),
+    "reserved": ("rights reserved",),
+    "no-permission": ("permission", "consent"),
+}
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -89,21 +117,26 @@ SPDX = {
     x.lower(): x
     for x in "MIT ISC Unlicense 0BSD Zlib Apache-1.1 Apache-2.0 BSD-2-Clause BSD-3-Clause MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0".split()
 }
-_PATTERNS = [(name, re.compile(pattern)) for name, pattern in SENTENCES.items()]
+_PATTERNS = [(name, re.compile(pattern), TRIGGERS[name]) for name, pattern in SENTENCES.items()]
+_ANY = tuple(dict.fromkeys(t for ts in TRIGGERS.values() for t in ts))
 _MARK = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/|//+|#+|\*+|;+|--|<!--|-->|\"{3}|'{3})[ \t]?")
 _QUOTES = str.maketrans({"“": '"', "”": '"', "„": '"', "‘": "'", "’": "'", "`": "'", "\u00a0": " "})
 _END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*\n\s*")
 
 
 def normalised(text: str) -> list[str]:
-    """The normalised sentences of a whole text."""
-    plain = _MARK.sub("", text.translate(_QUOTES)).lower()
-    return [" ".join(s.split()) for s in _END.split(plain) if s.strip()]
+    """The normalised sentences of a whole text; none if no pattern can match."""
+    plain = _MARK.sub("", text.translate(_QUOTES))
+    low = plain.lower()
+    whole = " ".join(low.split())  # each sentence is a part of this
+    if not any(t in whole for t in _ANY):
+        return []
+    return [" ".join(s.split()) for s in _END.split(low) if s.strip()]
 
 
 def identify(sentence: str) -> list[tuple[str, tuple[str, ...]]]:
     """(identifier, captures) of the patterns that occur in a sentence, by place."""
-    found = [(m.start(), name, tuple(g or "" for g in m.groups())) for name, pattern in _PATTERNS if (m := pattern.search(sentence))]
+    found = [(m.start(), name, tuple(g or "" for g in m.groups())) for name, pattern, triggers in _PATTERNS if any(t in sentence for t in triggers) and (m := pattern.search(sentence))]
     return [(name, groups) for _, name, groups in sorted(found)]
 
 
@@ -126,9 +159,6 @@ def _name(licence: str, captures: tuple[str, ...]) -> str:
 
 def scan(text: str | None) -> tuple[list[str], list[tuple[str, str]]]:
     """(identifiers in order, (licence, kind) in order of their first sentence). Identifiers that no rule uses give the licence ``unknown``."""
-    low = (text or "").lower()
-    if not any(t in low for t in TRIGGERS):
-        return [], []
     marks = [(at, name, groups) for at, s in enumerate(normalised(text or "")) for name, groups in identify(s)]
     used: set[int] = set()
     found: list[tuple[int, str, str]] = []

@@ -113,6 +113,29 @@ def test_licences(text, wanted):
     assert [name for name, _ in licenses.scan(text)[1]] == wanted
 
 
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("Released under the GPL v3.", ["GPL-3.0"]),
+        ("Available under LGPL 2.1", ["LGPL-2.1"]),
+        ("Distributed under the BSD-3-Clause.", ["BSD"]),
+        ("It may not be copied or reproduced in any form without prior written consent", ["proprietary"]),
+        ("All rights\nreserved.", ["proprietary"]),
+        ("# This is in the public\n# domain.", ["public domain"]),
+    ],
+)
+def test_licences_in_texts_of_few_words(text, wanted):
+    assert [name for name, _ in licenses.scan(text)[1]] == wanted
+
+
+@pytest.mark.parametrize("name", licenses.SENTENCES)
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_each_match_has_a_trigger(name, data):
+    match = data.draw(st.from_regex(re.compile(licenses.SENTENCES[name], re.ASCII), fullmatch=True))
+    assert any(t in match for t in licenses.TRIGGERS[name])
+
+
 def test_licence_query(spark):
     found = {r["doc_id"]: r for r in queries.op2_license_scan(spark, SMALL).collect()}
     for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
