@@ -1,7 +1,8 @@
 """Licence scans by sentence rules: normalised sentences become licence-sentence identifiers, and sequences of those licences.
 
 A text is normalised (comment marks, quotes, case, white space) and cut into sentences. A sentence that a known pattern matches gets its identifier. Rules, from the
-most specific to the least, are sequences of identifiers; a match names a licence and uses its sentences up. Identifiers that no rule uses are reported as unknown.
+most specific to the least, are sequences of identifiers; a match names a licence and uses its sentences up. Identifiers that no rule uses and that don't belong
+to the text of a licence found are reported as unknown.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: identifier: pattern, searched in a normalised sentence. Versions and variants are captured and become part of the identifier.
 SENTENCES: dict[str, str] = {
-    "spdx": r"spdx-license-identifier: ?([\w.+-]+)",
+    "spdx": r"spdx-license-identifier: ?([\w.+()&|~-]+)",
     "mit-grant": r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mit-notice": r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "isc-grant": r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
@@ -121,12 +122,16 @@ _PATTERNS = [(name, re.compile(pattern), TRIGGERS[name]) for name, pattern in SE
 _ANY = tuple(dict.fromkeys(t for ts in TRIGGERS.values() for t in ts))
 _MARK = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/|//+|#+|\*+|;+|--|<!--|-->|\"{3}|'{3})[ \t]?")
 _QUOTES = str.maketrans({"“": '"', "”": '"', "„": '"', "‘": "'", "’": "'", "`": "'", "\u00a0": " "})
+#: An SPDX expression, while operators are told by case and a line's end still ends it. Its operators become &, | and ~.
+_EXPRESSION = re.compile(r"(?i:spdx-license-identifier):[ \t]*(?:\([ \t]*)*[\w.+-]+(?:[ \t]*\))*(?:[ \t]+(?:AND|OR|WITH)[ \t]+(?:\([ \t]*)*[\w.+-]+(?:[ \t]*\))*)*")
+_OPERATOR = re.compile(r"[ \t]+(AND|OR|WITH)[ \t]+")
 _END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*\n\s*")
 
 
 def normalised(text: str) -> list[str]:
     """The normalised sentences of a whole text; none if no pattern can match."""
     plain = _MARK.sub("", text.translate(_QUOTES))
+    plain = _EXPRESSION.sub(lambda m: re.sub(r"[ \t]", "", _OPERATOR.sub(lambda o: {"AND": "&", "OR": "|", "WITH": "~"}[o[1]], m[0])), plain)
     low = plain.lower()
     whole = " ".join(low.split())  # each sentence is a part of this
     if not any(t in whole for t in _ANY):
@@ -135,8 +140,8 @@ def normalised(text: str) -> list[str]:
 
 
 def identify(sentence: str) -> list[tuple[str, tuple[str, ...]]]:
-    """(identifier, captures) of the patterns that occur in a sentence, by place."""
-    found = [(m.start(), name, tuple(g or "" for g in m.groups())) for name, pattern, triggers in _PATTERNS if any(t in sentence for t in triggers) and (m := pattern.search(sentence))]
+    """(identifier, captures) of all matches of the patterns in a sentence, by place."""
+    found = [(m.start(), name, tuple(g or "" for g in m.groups())) for name, pattern, triggers in _PATTERNS if any(t in sentence for t in triggers) for m in pattern.finditer(sentence)]
     return [(name, groups) for _, name, groups in sorted(found)]
 
 
@@ -157,11 +162,28 @@ def _name(licence: str, captures: tuple[str, ...]) -> str:
     return SPDX.get(out.lower(), out.rstrip("-"))
 
 
+def _names(rule: Rule, captures: tuple[str, ...]) -> list[str]:
+    """The licences that a match names: one, or those of an SPDX expression, each with its exception."""
+    if rule.sentences != ("spdx",):
+        return [_name(rule.licence, captures)]
+    parts = [[x.strip(".") for x in part.split("~")] for part in re.split(r"[&|()]+", captures[0])]
+    return [" WITH ".join([SPDX.get(part[0], part[0].rstrip("-")), *part[1:]]) for part in parts if part[0]]
+
+
+def _belongs(name: str, licence: str) -> bool:
+    """Whether a sentence is of a kind that the licence's text has."""
+    return name == "as-is" or licence.lower().startswith(name.split("-")[0])
+
+
 def scan(text: str | None) -> tuple[list[str], list[tuple[str, str]]]:
-    """(identifiers in order, (licence, kind) in order of their first sentence). Identifiers that no rule uses give the licence ``unknown``."""
+    """(identifiers in order, (licence, kind) in order of their first sentence).
+
+    An identifier that no rule uses gives the licence ``unknown``, unless it stands between the sentences of a licence found, or beside them and is of a kind that its text has.
+    """
     marks = [(at, name, groups) for at, s in enumerate(normalised(text or "")) for name, groups in identify(s)]
     used: set[int] = set()
-    found: list[tuple[int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []
+    spans: list[tuple[int, int, int, str]] = []
     for rule in RULES:
         size = len(rule.sentences)
         for k in range(len(marks) - size + 1):
@@ -170,12 +192,19 @@ def scan(text: str | None) -> tuple[list[str], list[tuple[str, str]]]:
                 continue
             if all(marks[i + 1][0] - marks[i][0] - 1 <= rule.gap for i in part[:-1]):
                 used.update(part)
-                found.append((k, _name(rule.licence, marks[k][2]), rule.kind))
+                names = _names(rule, marks[k][2])
+                found += [(k, i, licence, rule.kind) for i, licence in enumerate(names)]
+                spans.append((k, k + size - 1, rule.gap, names[0] if names else ""))
     # what belongs to a licence's text beyond the sentences of its rule isn't another licence
-    left = [k for k in range(len(marks)) if k not in used]
-    if left and not found:
-        found.append((left[0], "unknown", "unknown"))
-    return [name for _, name, _ in marks], [(licence, kind) for _, licence, kind in sorted(found)]
+    of_licence = set(used)
+    for first, last, gap, licence in spans:
+        for step, edge in ((-1, first), (1, last)):
+            k = edge + step
+            while 0 <= k < len(marks) and k not in used and abs(marks[k][0] - marks[edge][0]) - 1 <= gap and _belongs(marks[k][1], licence):
+                of_licence.add(k)
+                edge, k = k, k + step
+    found += [(k, 0, "unknown", "unknown") for k in range(len(marks)) if k not in of_licence and (k == 0 or k - 1 in of_licence)]
+    return [name for _, name, _ in marks], [(licence, kind) for _, _, licence, kind in sorted(found)]
 
 
 def licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

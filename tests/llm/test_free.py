@@ -128,6 +128,29 @@ def test_licences_in_texts_of_few_words(text, wanted):
     assert [name for name, _ in licenses.scan(text)[1]] == wanted
 
 
+NOTICE = "Redistributions of source code must retain the above copyright notice."
+APACHE = "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License. You may obtain a copy of the License at"
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0", ["MIT", "Apache-2.0"]),
+        ("\n".join(f"// SPDX-License-Identifier: {x}" for x in ("MIT", "ISC", "MPL-2.0", "Zlib")), ["MIT", "ISC", "MPL-2.0", "Zlib"]),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]),
+        ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) AND ( MIT OR ISC ) */", ["GPL-2.0-only WITH linux-syscall-note", "MIT", "ISC"]),
+        ("SPDX-License-Identifier: MIT or so.\nOR nothing", ["MIT"]),
+        ("Licensed under CC BY-NC 4.0\nLicensed under CC BY 4.0", ["CC-BY-NC-4.0", "CC-BY-4.0"]),
+        (f"Released under the MIT License.\n\n{NOTICE}", ["MIT", "unknown"]),
+        (f"{NOTICE}\n\n{MIT}", ["unknown", "MIT"]),
+        (f"{APACHE}\n\nhttp://x.example", ["Apache-2.0"]),
+        (f"{MIT}\n\n{' One sentence.' * 9} Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", ["MIT", "unknown"]),
+    ],
+)
+def test_all_licences_of_a_text(text, wanted):
+    assert [name for name, _ in licenses.scan(text)[1]] == wanted
+
+
 @pytest.mark.parametrize("name", licenses.SENTENCES)
 @settings(max_examples=60, deadline=None)
 @given(st.data())
