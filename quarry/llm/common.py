@@ -39,6 +39,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it while the table has a column that is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether a table has at most so many rows. It counts no further than that."""
     return df.limit(rows + 1).count() <= rows

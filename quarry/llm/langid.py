@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.common import free_name
+
 BLOCK = 1 << 20  # characters whose n-grams are hashed at once
 
 
@@ -26,7 +28,6 @@ class Settings:
     sample_per_lang: int = 400
     sample_total: int = 4000
     rounds: int = 8
-    least_share: float = 0.05
     reject_share: float = 0.5
 
 
@@ -78,19 +79,24 @@ def _weigh(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def _cluster(x: np.ndarray, k: int, rounds: int, least_share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means; the centroids and each point's. It begins from points spread evenly by their similarity to the mean.
+def _cluster(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means; the centroids and each point's. There are ``k``, or as many as there are different points.
 
-    Clusters with less than ``least_share`` of the points, a few odd texts, are dissolved.
+    It begins from points spread evenly by their similarity to the mean. A centroid that loses all its points takes the half of the largest cluster that is farther
+    from its centroid; the last round keeps what it has split.
     """
+    k = min(k, len(np.unique(x, axis=0)))
     order = np.argsort(x @ x.mean(0), kind="stable")
-    k = min(k, len(x))
     c = x[order[[(2 * j + 1) * len(x) // (2 * k) for j in range(k)]]]
     for _ in range(rounds):
         own = np.argmax(x @ c.T, axis=1)
-        c = np.array([x[own == j].mean(0) for j in range(len(c)) if (own == j).mean() >= least_share])
+        for j in np.flatnonzero(np.bincount(own, minlength=k) == 0):
+            largest = np.argmax(np.bincount(own, minlength=k))
+            members = np.flatnonzero(own == largest)
+            own[members[np.argsort(x[members] @ c[largest], kind="stable")[: len(members) // 2]]] = j
+        c = np.array([x[own == j].mean(0) for j in range(k)])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-    return c, np.argmax(x @ c.T, axis=1)
+    return c, own
 
 
 def fit(docs: DataFrame, learnable: Column, *, settings: Settings = Settings(), text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model | None:
@@ -152,9 +158,9 @@ def fit(docs: DataFrame, learnable: Column, *, settings: Settings = Settings(),
         x = _weigh(tf[tf.any(1)], idf)
         if not len(x):
             continue
-        c, member = _cluster(x, settings.clusters, settings.rounds, settings.least_share)
+        c, member = _cluster(x, settings.clusters, settings.rounds)
         for j in range(len(c)):
-            near = (x[member == j] @ c[j]) if (member == j).any() else np.zeros(1)
+            near = x[member == j] @ c[j]
             names.append(lang)
             centroids.append(c[j])
             floors.append(settings.reject_share * max(0.0, float(near.min())))
@@ -183,18 +189,20 @@ def predict(texts: pd.Series | list, model: Model | None) -> tuple[list[str], li
 
 
 def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
-    """The rows and columns of ``docs`` with a last column ``_langid``, a struct of ``lang``, ``score`` and ``rejected``.
+    """The rows and columns of ``docs`` with a last column, a struct of ``lang``, ``score`` and ``rejected``. It is called ``_langid``, with underscores after it
+    while ``docs`` has such a column.
 
-    A null text, or one without a letter, has the language ``und``, the score 0, and is rejected; so does every text without a
-    model. Repeated rows have the same result; names of other columns can't clash, for they aren't read by name.
+    A null or empty text, or one without a letter, has the language ``und``, the score 0, and is rejected; so does every text without a
+    model. A very long text is read whole, in blocks. Of centroids that are equally near, the first one counts. Repeated rows have the same result; an empty table
+    gives an empty one.
     """
-    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    shared, place, name = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col), free_name(docs, "_langid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores, rejected = predict(batch.column(place).cast(pa.string()).to_pylist(), shared.value)
             found = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["lang", "score", "rejected"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_langid"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_langid", T.StructType.fromDDL("lang string, score double, rejected boolean"))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StructType.fromDDL("lang string, score double, rejected boolean"))])
     return docs.mapInArrow(run, schema)

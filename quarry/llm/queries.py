@@ -55,7 +55,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, ~held_out("doc_id"))
     found = langid.identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out("doc_id").alias("held_out"), F.col("_langid.lang").alias("lang_pred"), F.col("_langid.score").alias("score"), F.col("_langid.rejected").alias("rejected"))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), *[F.col(f"_langid.{c}").alias(name) for c, name in (("lang", "lang_pred"), ("score", "score"), ("rejected", "rejected"))])
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
