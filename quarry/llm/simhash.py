@@ -3,9 +3,10 @@
 The Manhattan distance of two embeddings is a lower bound of the Hamming distance of the fingerprints. A fingerprint has two
 faces of 32 bits; two fingerprints at a distance of at most D have a face in which their embeddings are at most D // 2 apart. A
 grid range-join finds those: each fingerprint enters its own grid point of each face and the neighbouring points, and two
-fingerprints meet in a point halfway between them. What meets is verified on all 64 bits.
+fingerprints meet in a point halfway between them. What meets is verified on all 64 bits, and of what is near only as many links are kept as connect it: a
+group of n near copies gives n - 1 links in a point, not its pairs.
 
-A grid point that holds more than ``cell_cap`` fingerprints isn't joined with itself. Its fingerprints enter a grid of narrower
+A grid point that holds more than ``cell_cap`` fingerprints goes further. Its fingerprints enter a grid of narrower
 segments, which has more points; if points of the finest one are too full as well, another exact way is left: each fingerprint
 enters all points of the 64-bit space within D / 2 of it, and everything in a point links to the smallest there. Fingerprints at
 most D apart share such a point, those in one are at most D apart, and no pairs are made.
@@ -115,59 +116,117 @@ def _points(fps: DataFrame, kind, *args) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "point long, fp long")
 
 
-def links(fps: DataFrame, *, max_distance: int = 4, segment_bits: tuple[int, ...] = (2, 1), cell_cap: int = 2000) -> DataFrame:
+def _spanning(fps: np.ndarray, max_distance: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Links (one, others) that connect what pairs at up to ``max_distance`` connect, one fewer than a component has members. Each fingerprint that is reached
+    is compared once with those that aren't, so a dense group takes few comparisons and none makes pairs."""
+    left = fps
+    while len(left) > 1:
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            one = reached.pop()
+            near = np.bitwise_count(left ^ one) <= max_distance
+            if near.any():
+                yield int(one), left[near]
+                reached.extend(left[near])
+                left = left[~near]
+
+
+def _linked(cells: DataFrame, max_distance: int, cell_cap: int) -> DataFrame:
+    """Links (a, b), a < b, within each point of ``cells`` (point, fp), and (fp, null) for the fingerprints of points that hold more than ``cell_cap``.
+
+    Points pass through the tasks as streams sorted by point, of which a task holds one point at a time, up to the cap.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        point, fp, full = np.empty(0, np.int64), np.empty(0, np.int64), None
+        for batch in batches:
+            point, fp = (np.concatenate([h, batch.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate((point, fp)))
+            if full is not None:  # the rest of a point that is too full
+                end = int(np.searchsorted(point, full, side="right"))
+                yield _links(fp[:end], None)
+                point, fp = point[end:], fp[end:]
+            if not len(point):
+                continue
+            last = int(np.searchsorted(point, point[-1]))  # the last point may go on in the next batch
+            yield from _within(point[:last], fp[:last])
+            point, fp, full = point[last:], fp[last:], None
+            if len(point) > cell_cap:
+                yield _links(fp, None)
+                point, fp, full = point[:0], fp[:0], int(point[0])
+        yield from _within(point, fp)
+
+    def _links(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        low, high = (pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64())) if b is None else (pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)))
+        return pa.RecordBatch.from_arrays([low, high], names=["a", "b"])
+
+    def _within(point: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(point):
+            return
+        begin = np.flatnonzero(np.concatenate([[True], point[1:] != point[:-1]]))
+        size = np.diff(begin, append=len(point))
+        twos = begin[size == 2]
+        one, other = fp[twos], fp[twos + 1] if len(twos) else fp[:0]
+        near = np.bitwise_count(one.view(np.uint64) ^ other.view(np.uint64)) <= max_distance
+        ends, crowded = [(one[near], other[near])], [fp[:0]]
+        for at, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            own = fp[at : at + n]
+            if n > cell_cap:
+                crowded.append(own)
+            else:
+                ends += [(np.full(len(others), one, np.uint64).view(np.int64), others.view(np.int64)) for one, others in _spanning(own.view(np.uint64), max_distance)]
+        yield _links(*(np.concatenate([x[k] for x in ends]) for k in (0, 1)))
+        yield _links(np.concatenate(crowded), None)
+
+    return cells.select("point", "fp").repartition("point").sortWithinPartitions("point").mapInArrow(run, "a long, b long").distinct()
+
+
+def links(fps: DataFrame, *, max_distance: int = 4, segment_bits: tuple[int, ...] | None = None, cell_cap: int = 10_000) -> DataFrame:
     """Links (a, b), a < b, between distinct fingerprints ``fp`` that connect exactly those which pairs at up to ``max_distance`` connect.
 
     Grids of the widths in ``segment_bits`` (1, 2, 4 or 8, falling) are used in turn: the next one for the fingerprints of points
-    that hold more than ``cell_cap``, and the balls for those of the last one's.
+    that hold more than ``cell_cap``, and the balls for those of the last one's. In a point each fingerprint gives as many links as connect it. Widths only
+    decide what meets by chance, not the result; by default they are 2 and 1, but 1 alone for so many fingerprints that most points of width 2 hold some.
     """
-    if max_distance not in (0, 2, 4) or not {*segment_bits} <= {1, 2, 4, 8}:
+    widths = segment_bits or ((2, 1) if fits(fps, 4_000_000) else (1,))
+    if max_distance not in (0, 2, 4) or not {*widths} <= {1, 2, 4, 8}:
         raise ValueError("max_distance must be 0, 2 or 4, and segment_bits of 1, 2, 4 and 8")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance
     found, crowd = None, fps
-    for width in segment_bits:
-        cells = _points(crowd, grid_points, width, max_distance // 2 and 1)
-        hot = cut(cells.groupBy("point").agg(F.count("*").alias("n")).where(F.col("n") > cell_cap).select("point"))
-        full = not hot.isEmpty()
-        live = cells.join(hot, "point", "left_anti") if full else cells
-        a, b = live.select("point", F.col("fp").alias("a")), live.select("point", F.col("fp").alias("b"))
-        met = a.join(b, (a["point"] == b["point"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
-        found = met if found is None else found.union(met)
-        if not full:
+    for width in widths:
+        met = cut(_linked(_points(crowd, grid_points, width, max_distance // 2 and 1), max_distance, cell_cap))
+        near = met.where("b IS NOT NULL")
+        found = near if found is None else found.union(near)
+        crowd = met.where("b IS NULL").select(F.col("a").alias("fp"))
+        if crowd.isEmpty():
             return found.distinct()
-        crowd = cut(cells.join(hot, "point", "left_semi").select("fp").distinct())
     ball = _points(crowd, ball_points, max_distance // 2)
     least = ball.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     return found.union(ball.join(least, "point").where("a < fp").select("a", F.col("fp").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, *, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (node, root) for each node with a link; the root is the smallest node.
 
-    Large stars and small stars in turn: each round is two grouped minima and joins, and a checkpoint cuts the lineage.
+    Large stars and small stars in turn, until neither changes a link: each round is two grouped minima and joins, and a checkpoint cuts the lineage. The number
+    of rounds grows with the logarithm of the longest path.
     """
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     edges = cut(edges.select("a", "b"))
-    before = state(edges)
-    for _ in range(most_rounds):
+    before = None
+    while (now := state(edges)) != before:
+        before = now
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         up = large.groupBy("b").agg(F.min("a").alias("m"))
         met = large.join(up, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
         edges = cut(met.select("e.a", "e.b").where("a < b").distinct())
-        if (now := state(edges)) == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, shingle_words: int = 4, max_distance: int = 4, segment_bits: tuple[int, ...] = (2, 1), cell_cap: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle_words: int = 4, max_distance: int = 4, segment_bits: tuple[int, ...] | None = None, cell_cap: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id``, ``key`` (hash of its text), ``fp`` (signed fingerprint), ``root`` (a fingerprint that names the component) and ``component_id``.
 
     The component is the smallest id that links reach; a null id never is, unless a component has no other. A document without
