@@ -47,9 +47,16 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether a table has at most so many rows. It counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+MOST_BYTES = 64 << 20  # of variable columns in a broadcast
+
+
+def fits(df: DataFrame, rows: int, *texts: str) -> bool:
+    """Whether a table has at most so many rows, and its columns ``texts``, which may be of any size, at most ``MOST_BYTES`` in all. It counts no further than that."""
+    if not texts:
+        return df.limit(rows + 1).count() <= rows
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in texts), F.lit(0))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("bytes")).first()
+    return found["n"] <= rows and (found["bytes"] or 0) <= MOST_BYTES
 
 
 def settled(rows: DataFrame, *names: str) -> DataFrame:
@@ -59,6 +66,34 @@ def settled(rows: DataFrame, *names: str) -> DataFrame:
     return rows.select(*rest, F.explode_outer(F.array(F.struct(*names))).alias("_settled")).select(*rest, "_settled.*")
 
 
+def running(values: Column, first: Column, step) -> Column:
+    """The running results of ``step`` over an array, from ``first`` on. Results are gathered in blocks, so that a long array isn't copied for each element."""
+    none = F.array_remove(F.array(first), first)
+    start = F.struct(first.alias("last"), none.alias("block"), F.array_remove(F.array(none), none).alias("blocks"))
+
+    def add(s: Column, x: Column) -> Column:
+        full, now = F.size(s["block"]) >= 256, F.array(step(s["last"], x))
+        return F.struct(
+            step(s["last"], x).alias("last"),
+            F.when(full, now).otherwise(F.concat(s["block"], now)).alias("block"),
+            F.when(full, F.concat(s["blocks"], F.array(s["block"]))).otherwise(s["blocks"]).alias("blocks"),
+        )
+
+    return F.aggregate(values, start, add, lambda s: F.flatten(F.concat(s["blocks"], F.array(s["block"]))))
+
+
+def united(spans: Column, apart) -> Column:
+    """Sorted spans (structs with ``start`` and ``end``) of which those that aren't ``apart`` (a test of an end and a later start) are one: a struct with the first
+    one's fields and the largest end. Give a column that has been computed, for it's used several times."""
+    ends = running(F.transform(spans, lambda s: s["end"]), F.lit(0), F.greatest)
+    both = F.zip_with(spans, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+    before = F.concat(F.array(F.lit(-1)), F.slice(ends, F.lit(1), F.greatest(F.size(spans) - 1, F.lit(0))))
+    after = F.concat(F.slice(F.transform(spans, lambda s: s["start"]), 2, F.greatest(F.size(spans), F.lit(1))), F.array(F.lit(None).cast("int")))
+    first = F.filter(F.zip_with(both, before, lambda x, b: F.when((b < 0) | apart(b, x["s"]["start"]), x["s"])), lambda x: x.isNotNull())
+    last = F.filter(F.zip_with(both, after, lambda x, a: F.when(a.isNull() | apart(x["e"], a), x["e"])), lambda x: x.isNotNull())
+    return F.zip_with(first, last, lambda s, e: s.withField("end", e))
+
+
 def words(text: Column) -> Column:
     """The runs of characters that are not white space; none for null.
 

@@ -71,9 +71,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
-    counts = [pii.count(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.BASE]
+    counts = [pii.count(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
     found = found.select("id", "spans", pii.listed(F.col("base")).alias("base_listed"), *counts)
-    return found.select(F.col("id").alias("doc_id"), *[f"n_{k}" for k in pii.BASE], F.sha2(F.col("base_listed").cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    found = found.withColumn("base_sha256", F.sha2(F.col("base_listed").cast("binary"), 256)).withColumn("spans", pii.listed(F.col("spans")))
+    return found.select(F.col("id").alias("doc_id"), *[f"n_{k}" for k in pii.BASE], "base_sha256", "spans", "n_term", "n_secret")
 
 
 QUERIES = {

@@ -1,8 +1,10 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
 
+import regex
 import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,6 +107,41 @@ def personal(text):
     return sorted((m.start(), k, m.end()) for k, (pattern, test) in enumerate(PERSONAL.values()) for m in re.finditer(pattern, text or "") if test(m[0]))
 
 
+KEYED = regex.compile(r"(?<![\p{L}\p{N}_.-])(\p{L}[\p{L}\p{N}_.-]*)[ \t]*[=:][ \t]*[\"']?([^\s\"'=:,;|<>]+)")
+
+
+def opaque(value):
+    return len(value) >= 16 and re.fullmatch("[A-Za-z0-9_+/-]+", value) is not None and len(re.findall("[0-9_+/-]+(?=[A-Za-z])", value)) >= 3
+
+
+def masked(text):
+    out = list(text or "")
+    for a, _, b in personal(text):
+        out[a:b] = "0" * (b - a)
+    return "".join(out)
+
+
+def keyed(text):
+    return [(m[1].translate(UPPER), m[2], m.start(2), m.end(2)) for m in KEYED.finditer(masked(text))]
+
+
+def disclosing_keys(texts, disclosure=0.9):
+    """{key: share}"""
+    texts, holding, opaques = {t or "" for t in texts}, {}, {}
+    for t in texts:
+        for key, value, _, _ in keyed(t):
+            holding.setdefault(key, set()).add(t)
+            if opaque(value):
+                opaques.setdefault(key, set()).add(t)
+    secret = (len({t for own in opaques.values() for t in own}) + 0.5) / (len(texts) + 1)
+    shares = {key: math.log((len(own) + 0.5) / (len(holding[key]) + 1) / secret) / math.log(1 / secret) for key, own in opaques.items()}
+    return {key: share for key, share in shares.items() if share >= disclosure}
+
+
+def secrets(text, keys):
+    return [(a, b) for key, _, a, b in keyed(text) if key in keys]
+
+
 def listed(spans):
     names = list(PERSONAL)
     return ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)

@@ -1,5 +1,6 @@
 """Quality rules, mixing, decontamination and personal data: against brute force, in edge cases, and without Python in their plans."""
 
+import itertools
 import random
 from collections import defaultdict
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from quarry.llm import decontam, mixing, pii, quality, queries, sql
+from quarry.llm import common, decontam, mixing, pii, quality, queries, sql
 from tests.conftest import SMALL
 
 PLAIN = ["op3_quality_rules", "op5_mixing", "op6_decontamination", "op9_personal_data"]
@@ -188,6 +189,49 @@ def test_terms_that_reveal_a_rare_entity(spark):
             assert {s["found"] for s in r["spans"] if s["kind"] == pii.KINDS.index("term")} == wanted.get(r["id"], set()), texts[r["id"]]
 
 
+def test_keys_that_disclose_secrets(spark):
+    rng = random.Random(15)
+    hexed = lambda: "".join(rng.choice("0a1b2c3d4e5f") for _ in range(24))
+    texts = [f'line {k}\ntoken = "{hexed()}" and more' for k in range(8)] + [f"TOKEN: none{k}; é😀 a token here" for k in range(2)]
+    texts += [f"commit: {hexed()}" for _ in range(5)] + [f"commit: fixed{k}" for k in range(10)]
+    texts += [f"api_key={hexed()} and {hexed()}", f"mail: a@b.co token: x@y.co id={hexed()}", "title: A\nname: b", None, "", "=: = a:b=c", "key = " + "ab1" * 20_000, "k:v " * 20_000]
+    texts += [texts[0], texts[0]] + [f"plain words {k}" for k in range(900)]
+    docs = docs_of(spark, texts, keys=["x"] * len(texts))
+    wanted = brute.disclosing_keys(texts)
+    assert {"token", "api_key", "id", "key"} == wanted.keys()
+    met = pii.owners(pii.with_base(docs.select(F.coalesce("text", F.lit("")).alias("t"))))
+    found = sorted(r["share"] for r in pii.disclosing_keys(met, len(set(t or "" for t in texts))).collect())
+    assert found == pytest.approx(sorted(wanted.values()))
+    for how in ({}, {"most_broadcast": 0}):
+        for r in pii.find(docs, **how).collect():
+            assert [(x["start"], x["end"]) for x in r["spans"] if x["kind"] == pii.KINDS.index("secret")] == brute.secrets(texts[r["id"]], wanted), texts[r["id"]]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[0] == 'line 0\ntoken = "[SECRET]" and more' and clean[10] == texts[10] and clean[8] == "TOKEN: [SECRET]; é😀 a token here"
+
+
+def test_running_results(spark):
+    rng = random.Random(16)
+    rows = [([rng.randint(-5, 9) for _ in range(n)],) for n in (0, 1, 2, 255, 256, 257, 1000, 3000)]
+    df = spark.createDataFrame(rows, "x array<int>")
+    for r in df.select("x", common.running(F.col("x"), F.lit(0), lambda s, x: s + x).alias("s"), common.running(F.col("x"), F.lit(0), F.greatest).alias("m")).collect():
+        assert r["s"] == list(itertools.accumulate(r["x"])) and r["m"] == list(itertools.accumulate([0, *r["x"]], max))[1:]
+
+
+def test_united_spans(spark):
+    rng = random.Random(17)
+    rows = [(k, sorted((a, a + rng.randint(1, 9), k) for a in [rng.randint(0, 400) for _ in range(rng.randint(0, 60))])) for k in range(60)]
+    df = spark.createDataFrame(rows, "k int, spans array<struct<start:int,end:int,kind:int>>")
+    for apart, gap in ((lambda e, s: s >= e, 0), (lambda e, s: s > e, 1)):
+        for r in df.select("spans", common.united(F.col("spans"), apart).alias("u")).collect():
+            wanted = []
+            for x in r["spans"]:
+                if wanted and x["start"] < wanted[-1][1] + gap:
+                    wanted[-1][1] = max(wanted[-1][1], x["end"])
+                else:
+                    wanted.append([x["start"], x["end"], x["kind"]])
+            assert [list(x) for x in r["u"]] == wanted
+
+
 def test_sanitising(spark):
     texts = [None, "", "none", "a@b.co", "x a@b.co y 1.2.3.4", "é😀 +1 (017) 555-7713 z 4111111111111111", "+4111111111111111"]
     docs = spark.createDataFrame([(k, t, len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, n_chars int")
