@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LOWER, UPPER, cut, fits, text_key
+from quarry.llm.common import LOWER, UPPER, cut, fits, text_key, united
 
 GRAM = 4
 SALTS = 16
@@ -140,9 +140,9 @@ def hits(docs: DataFrame, items: DataFrame, *, window: int = 10, most_broadcast:
     placed = found.groupBy("id", "key", "size", "run").agg(F.collect_list("at").alias("at"))
     theirs = runs.select("size", "run").distinct()
     hit = cut(_join(placed, theirs, ["size", "run"], "left_semi", small, "id"))
-    spans = hit.select("id", "key", "size", F.explode("at").alias("at")).groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("at", (F.col("at") + F.col("size")).alias("end")))).alias("s"))
-    spans = spans.select("id", "key", _united(F.col("s")).alias("spans"))
-    spans = spans.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["at"]))
+    spans = hit.select("id", "key", "size", F.explode("at").alias("at")).groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end")))).alias("s"))
+    spans = cut(spans).select("id", "key", united(F.col("s"), lambda end, start: start > end).alias("spans"))
+    spans = spans.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]))
     listed = _join(hit.select("id", "key", "size", "run"), runs, ["size", "run"], "inner", small, "id").groupBy("id", "key").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
     same = (spans["key"] == listed["key"]) & spans["id"].eqNullSafe(listed["id"])
     return spans.join(listed, same).select(spans["id"], spans["key"], "spans", "n_hit", "items")
@@ -166,19 +166,6 @@ def _with_starts(rows: DataFrame, window: int, short: tuple[int, ...]) -> DataFr
     return rows.select("id", "key", runs.alias("runs"))
 
 
-def _united(spans: Column) -> Column:
-    """Unite sorted spans that touch or overlap: a span begins where the largest end before it is smaller than its start."""
-    ends = F.aggregate(
-        spans,
-        F.struct(F.lit(-1).alias("at"), F.lit(-1).alias("end"), F.slice(spans, 1, 0).alias("done")),
-        lambda s, x: F.when(x["at"] <= s["end"], F.struct(s["at"].alias("at"), F.greatest(s["end"], x["end"]).alias("end"), s["done"].alias("done"))).otherwise(
-            F.struct(x["at"].alias("at"), x["end"].alias("end"), F.when(s["at"] >= 0, F.concat(s["done"], F.array(F.struct(s["at"].alias("at"), s["end"].alias("end"))))).otherwise(s["done"]).alias("done"))
-        ),
-        lambda s: F.concat(s["done"], F.array(F.struct(s["at"].alias("at"), s["end"].alias("end")))),
-    )
-    return F.when(F.size(spans) > 0, ends).otherwise(spans)
-
-
 def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, doc_id: str = "doc_id", doc_text: str = "text", **how) -> DataFrame:
     """One row per document: ``id``, ``key``, ``n_words``, ``n_hit``, ``items`` (empty if none), ``spans`` and ``contaminated``."""
     found = hits(docs, items, window=window, doc_id=doc_id, doc_text=doc_text, **how).withColumnsRenamed({"id": "i", "key": "k"})
