@@ -1,10 +1,13 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from the pages of a host.
 
-A page is a stream of block tags and text slots (inline markup belongs to the slot). Adjacent equal runs become a repeated group.
-The streams of a host are aligned one after the other: what both have stays, what only one has becomes optional. The wrapper is
-the resulting expression - tags, slots, ``( )+`` and ``( )?``, no unions - with the article's part marked. Each page is matched with
-its host's wrapper, and the text of the slots in the marked part is its main text. A page that the wrapper doesn't match is aligned with
-it as well, which makes one that does.
+A page is a stream of block tags and text slots (inline markup belongs to the slot). The streams of a host are aligned one after the other, element by element from the root: a
+tag is the same where its name, its classes and what it stands in are. Mismatches widen the wrapper. A tag that only some of its parent's pages have becomes optional,
+``( )?``; one that repeats in its parent a repeated group, ``( )+``; a text that differs becomes a slot, ``#``, and one that all pages have stays fixed. Aligning two
+wrappers is the same as aligning the pages of both, in any order, so tasks make wrappers of the pages they read and those of a host are aligned at the end. All pages count.
+
+The wrapper tells what the article is. Where the host's pages mark it (``article``, ``main`` and their like), it is the marked part. Elsewhere it is the deepest container that holds
+what varies from page to page; fixed texts are the site's and go. Menus, footers, forms and the like go by their tags, roles or names, since their texts may vary too. A page
+is read along its host's wrapper, in linear time.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, fits
@@ -27,34 +30,47 @@ RAW = frozenset("script style noscript template iframe textarea title xmp noembe
 SKIPPED = frozenset("head script style noscript template iframe textarea title svg math object canvas audio video select option button form nav footer aside dialog menu input fieldset noembed noframes".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 SKIPPED_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead notice notices cookie cookies consent gdpr popup modal newsletter subscribe signup comment comments respond disqus share sharing social".split())
-#: The article is in the first kind that a page has.
+#: What a skipped name may be joined with: cookie-bar, main-menu, ad-box-2. A class with any other part, such as has-sidebar or social-studies, isn't skipped.
+BESIDE_NAMES = frozenset("area bar block bottom box button buttons container form global group header inner item items left link links list main outer page panel primary right secondary section site slot thread top unit widget wrap wrapper".split())
+#: The article is in the first kind that the host's pages have.
 MAIN_KINDS = ("article", "body-of-article", "main", "named")
 MAIN_NAMES = frozenset("article content story entry main".split())
 PLAIN = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())  # what their classes are called doesn't count
-LONGEST_GROUP = 32  # tokens of a repeated group
+CONTAINERS = frozenset("html body div section main article center table tbody tr td".split())
+#: An element that ends an open one of these, if it begins in it.
+ENDED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+SHARE = 0.9  # of the varying text that the article's container holds
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"/?([A-Za-z][^\s/>]*)")
-_PARTS = re.compile(r"[^a-z0-9]+")
+_PARTS = re.compile(r"[^a-z]+")
 
 
-def _kind(name: str, attributes: str, in_article: bool) -> str:
-    """``-`` for what isn't the article, a kind of MAIN_KINDS for what may hold it, else empty."""
-    if name in SKIPPED or name == "header" and not in_article:
-        return "-"
-    found = {}
-    if attributes.strip(" /\t\n\r\f"):
-        found = {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in _ATTRIBUTE.finditer(attributes)}
-    role = found.get("role", "")
-    names = {x for part in (found.get("class", ""), found.get("id", "")) for x in _PARTS.split(part) if x} if name not in PLAIN else set()
-    if role in SKIPPED_ROLES or names & SKIPPED_NAMES or "header" in names and not in_article:
+def _attributes(text: str) -> dict[str, str]:
+    if not text.strip(" /\t\n\r\f"):
+        return {}
+    return {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in _ATTRIBUTE.finditer(text)}
+
+
+def _skips(name: str) -> bool:
+    """Whether a class or id says that its element isn't the article."""
+    parts = {x for x in _PARTS.split(name) if x}
+    return bool(parts & SKIPPED_NAMES) and parts <= SKIPPED_NAMES | BESIDE_NAMES
+
+
+def _kind(name: str, found: dict[str, str], in_article: bool) -> str:
+    """``-`` for what isn't the article by its tag or role, ``~`` by its name, a kind of MAIN_KINDS for what may hold it, else empty."""
+    if name in SKIPPED or name == "header" and not in_article or found.get("role", "") in SKIPPED_ROLES:
         return "-"
+    names = f"{found.get('class', '')} {found.get('id', '')}".split() if name not in PLAIN else []
+    if any(_skips(x) or x == "header" and not in_article for x in names):
+        return "~"
     if name == "article":
         return "article"
     if found.get("itemprop") == "articlebody":
         return "body-of-article"
-    if name == "main" or role == "main":
+    if name == "main" or found.get("role") == "main":
         return "main"
-    return "named" if name in ("div", "section", "td") and names & MAIN_NAMES else ""
+    return "named" if name in ("div", "section", "td") and {x for part in names for x in _PARTS.split(part)} & MAIN_NAMES else ""
 
 
 def _pieces(page: str) -> Iterator[tuple[str, str]]:
@@ -101,316 +117,305 @@ def _pieces(page: str) -> Iterator[tuple[str, str]]:
             at = closing.start() if closing else n
 
 
-def stream(page: str | None) -> tuple[list[str], list[str]]:
-    """The page's tokens: tags like ``<p``, ``</p``, ``<div -``, ``<article article`` and ``T`` for a slot; and each slot's text.
+def _hash(text: str) -> str:
+    return xxhash.xxh64_hexdigest(text.encode("utf-8", "surrogatepass"))
+
 
-    A slot that isn't part of the article has an empty text. Character references are decoded and white space is one space.
+class Page:
+    """A page's elements and slots.
+
+    ``elements`` are (path, parent's path, key, whether it repeats in its parent); a path is a hash of the keys from the root, and an element in one of the same key is the
+    same node, so that nesting doesn't deepen the paths without end. ``slots`` are (path, text, letters in links, kinds of the elements around). Texts that aren't the article's by
+    a tag, role or name around them are left out. Character references are decoded and white space is one space.
     """
-    tokens: list[str] = []
-    texts: list[str] = []
-    open_: list[tuple[str, str]] = []  # name, kind
-    skipped = articles = 0
-    run: list[str] = []
-
-    def close_run() -> None:
-        text = " ".join("".join(run).split())
-        run.clear()
-        if text:
-            tokens.append("T")
-            texts.append(text)
-
-    def pop() -> None:
-        nonlocal skipped, articles
-        _, kind = open_.pop()
-        skipped -= kind == "-"
-        articles -= kind in ("article", "main")
-
-    for what, value in _pieces(page or ""):
-        if what == "text":
-            if not skipped:
-                run.append(entities.unescape(value))
-            continue
-        name = _NAME.match(value)[1].lower()
-        block = name not in INLINE
-        if value[0] == "/":
+
+    def __init__(self, page: str | None):
+        self.elements: list[tuple[str, str, str, bool]] = []
+        self.slots: list[tuple[str, str, int, frozenset[str]]] = []
+        open_: list[tuple] = []  # name, kind, path, key, kinds, skipped before, children's keys
+        root: dict[str, bool] = {}
+        run: list[str] = []
+        skipped = articles = links = linked = 0
+        kinds: frozenset[str] = frozenset()
+        counts = {}  # open elements of each name
+
+        def close_run() -> None:
+            nonlocal linked
+            text = " ".join("".join(run).split())
+            run.clear()
+            if text:
+                self.slots.append((open_[-1][2] if open_ else "", text, linked, kinds))
+            linked = 0
+
+        def pop() -> None:
+            nonlocal skipped, articles, kinds
+            name, kind, _, _, kinds, skipped, _ = open_.pop()
+            counts[name] -= 1
+            articles -= kind in ("article", "main")
+
+        for what, value in _pieces(page or ""):
+            if what == "text":
+                if not skipped:
+                    text = entities.unescape(value)
+                    run.append(text)
+                    if links:
+                        linked += len(text)
+                continue
+            name = _NAME.match(value)[1].lower()
+            if name == "br":
+                run.append(" ")
+                continue
+            if name == "a":
+                links = max(0, links + (1 if value[0] != "/" else -1))
+            block = name not in INLINE
+            if value[0] == "/":
+                if block:
+                    close_run()
+                if counts.get(name):
+                    while open_[-1][0] != name:
+                        pop()
+                    pop()
+                continue
+            if name == "body":  # ends a head that was left open
+                close_run()
+                while open_:
+                    pop()
+            found = _attributes(value[len(name) :])
+            kind = _kind(name, found, articles > 0)
             if block:
                 close_run()
-            if any(x == name for x, _ in open_):
-                while open_[-1][0] != name:
+                ends = ENDED.get(name, ("p",))
+                while open_ and open_[-1][0] in ends:
                     pop()
-                pop()
-            if block and name not in VOID:
-                tokens.append(f"</{name}")
-                texts.append("")
-            continue
-        if name == "br":
-            run.append(" ")
-            continue
-        if name == "body":  # ends a head that was left open
-            while open_:
-                pop()
-        kind = _kind(name, value[len(name) :], articles > 0)
-        if block:
-            close_run()
-            tokens.append(f"<{name} {kind}" if kind else f"<{name}")
-            texts.append("")
-        if name not in VOID and not value.endswith("/"):
-            open_.append((name, kind))
-            skipped += kind == "-"
-            articles += kind in ("article", "main")
-    close_run()
-    return tokens, texts
-
-
-# Nodes of a wrapper: a token is a string; a repeated group is a tuple of nodes.
-
-
-def grouped(tokens: list) -> list:
-    """Replace adjacent equal runs by a repeated group, short runs first, so that groups nest."""
-    for size in range(1, LONGEST_GROUP + 1):
-        if len(tokens) < 2 * size:
-            break
-        out, at, end = [], 0, len(tokens)
-        while at < end:
-            again = at + size
-            if again + size <= end and tokens[at] == tokens[again] and tokens[at:again] == tokens[again : again + size]:
-                unit = tokens[at:again]
-                while tokens[again : again + size] == unit:
-                    again += size
-                out.append(tuple(unit) if size > 1 or isinstance(unit[0], str) else unit[0])
-                at = again
-            else:
-                out.append(tokens[at])
-                at += 1
-        tokens = out
-    return tokens
-
-
-def flat(nodes) -> list[str]:
-    """A shortest stream with the same groups: each repeated group twice."""
-    out: list[str] = []
-    for node in nodes:
-        if isinstance(node, tuple):
-            out += 2 * flat(node)
-        else:
-            out.append(node)
-    return out
-
-
-def _single(nodes: list, units: list[tuple]) -> list:
-    """Make a single occurrence of a group that repeats elsewhere a group too."""
-    for unit in units:
-        if len(unit) > len(nodes):
-            continue
-        out, at = [], 0
-        while at < len(nodes):
-            if nodes[at] == unit[0] and tuple(nodes[at : at + len(unit)]) == unit:
-                if not (out and out[-1] == unit):
-                    out.append(unit)
-                at += len(unit)
-            elif nodes[at] == unit:
-                if not (out and out[-1] == unit):
-                    out.append(unit)
-                at += 1
+            if name in VOID or value.endswith("/"):
+                continue
+            if block:
+                parent, key_above, siblings = (open_[-1][2], open_[-1][3], open_[-1][6]) if open_ else ("", "", root)
+                key = " ".join([name, *sorted({y for x in found.get("class", "").split() if (y := "-".join(z for z in _PARTS.split(x) if z))})])
+                path = parent if key == key_above else _hash(f"{parent} {key}")
+                if path != parent:
+                    self.elements.append((path, parent, key, siblings.get(key, False)))
+                    siblings[key] = True
+                own = {} if path != parent else siblings
             else:
-                out.append(nodes[at])
-                at += 1
-        nodes = out
-    return nodes
-
-
-def _units(nodes) -> Iterator[tuple]:
-    for node in nodes:
-        if isinstance(node, tuple):
-            yield node
-            yield from _units(node)
-
-
-def _align(a: list, b: list) -> Iterator[tuple[int | None, int | None]]:
-    """Index pairs of a longest common subsequence in order, with what only one side has as (i, None) or (None, j)."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    yield from ((k, k) for k in range(head))
-    i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            yield head + i, head + j
-            i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            yield head + i, None
-            i += 1
-        else:
-            yield None, head + j
-            j += 1
-    yield from ((len(a) - k, len(b) - k) for k in range(tail, 0, -1))
+                path, key, own = (open_[-1][2], open_[-1][3], open_[-1][6]) if open_ else ("", "", root)
+            open_.append((name, kind, path, key, kinds, skipped, own))
+            counts[name] = counts.get(name, 0) + 1
+            if kind in MAIN_KINDS:
+                if kind != "named" and skipped < 1_000_000:  # what a name would skip isn't skipped if the article is in it
+                    skipped = 0
+                kinds = kinds | {kind}
+            elif kind:
+                skipped += 1_000_000 if kind == "-" else 1
+            articles += kind in ("article", "main")
+        close_run()
+
+    def places(self) -> list[list[str]]:
+        """For each slot its places: among the first and the last three of its path."""
+        total: dict[str, int] = {}
+        for path, *_ in self.slots:
+            total[path] = total.get(path, 0) + 1
+        at: dict[str, int] = {}
+        out = []
+        for path, *_ in self.slots:
+            k = at.get(path, 0)
+            at[path] = k + 1
+            out.append([f"{path}{i:+}" for i in (k, k - total[path]) if -3 <= i < 3])
+        return out
 
 
 class Wrapper:
-    """``nodes`` with a flag each for optional; ``spans(tokens)`` are the article's parts of a page's stream."""
+    """``nodes``: {path: [parent's path, key, pages, repeats, sum of its first places, letters of text]}; ``texts``: {place: [text's hash, or none where it varies, length,
+    pages]}; ``kinds``: the kinds of MAIN_KINDS that have a text, with the number of pages."""
 
-    def __init__(self, nodes: list[tuple], seen: int = 1):
-        self.nodes, self._regex = nodes, None
+    def __init__(self, nodes=None, texts=None, kinds=None, pages: int = 0):
+        self.nodes, self.texts, self.kinds, self.pages = nodes or {}, texts or {}, kinds or {}, pages
 
     @classmethod
-    def infer(cls, streams: list[list[str]]) -> Wrapper:
-        pages = [grouped(list(s)) for s in streams]
-        units = sorted({u for p in pages for u in _units(p)}, key=lambda u: (-len(flat(u)), str(u)))
-        found = cls([(n, False) for n in _single(pages[0], units)])
-        for page in pages[1:]:
-            found = found.widened(_single(page, units))
-        return found
+    def of(cls, page: Page) -> Wrapper:
+        nodes: dict[str, list] = {"": ["", "", 1, False, 0, 0]}
+        for at, (path, parent, key, again) in enumerate(page.elements):
+            node = nodes.setdefault(path, [parent, key, 1, False, at, 0])
+            node[3] = node[3] or again
+        texts: dict[str, list] = {}
+        for (path, text, linked, _), places in zip(page.slots, page.places(), strict=True):
+            nodes[path][5] += max(0, len(text) - linked)
+            for place in places:
+                texts[place] = [_hash(text), len(text), 1]
+        return cls(nodes, texts, {k: 1 for k in {k for *_, kinds in page.slots for k in kinds}}, 1)
 
-    def widened(self, page: list) -> Wrapper:
-        """The wrapper after alignment with one more page: it matches all that it did, and that page."""
-        own = [n for n, _ in self.nodes]
-        out = []
-        for i, j in _align(own, page):
-            if j is None:
-                out.append((own[i], True))
-            else:
-                out.append((page[j], True) if i is None else self.nodes[i])
-        return Wrapper(out)
+    @classmethod
+    def infer(cls, pages: list[str | None]) -> Wrapper:
+        found = cls()
+        for page in pages:
+            found.align(cls.of(Page(page)))
+        return found
 
-    def with_page(self, tokens: list[str]) -> Wrapper:
-        units = sorted({u for n, _ in self.nodes for u in _units([n])}, key=lambda u: (-len(flat(u)), str(u)))
-        return self.widened(_single(grouped(tokens), units))
+    def align(self, other: Wrapper) -> None:
+        """Widen this wrapper so that it has what the other one has."""
+        for path, (parent, key, pages, repeats, places, letters) in other.nodes.items():
+            node = self.nodes.setdefault(path, [parent, key, 0, False, 0, 0])
+            node[2:] = node[2] + pages, node[3] or repeats, node[4] + places, node[5] + letters
+        for place, (text, size, pages) in other.texts.items():
+            own = self.texts.setdefault(place, [text, size, 0])
+            own[:] = (text, size, own[2] + pages) if own[0] == text else (None, 0, own[2] + pages)
+        for kind, pages in other.kinds.items():
+            self.kinds[kind] = self.kinds.get(kind, 0) + pages
+        self.pages += other.pages
 
     def dumps(self) -> str:
-        return json.dumps(self.nodes, separators=(",", ":"))
+        return json.dumps([self.nodes, self.texts, self.kinds, self.pages], separators=(",", ":"))
 
     @classmethod
     def loads(cls, text: str) -> Wrapper:
-        def node(x):
-            return x if isinstance(x, str) else tuple(map(node, x))
-
-        return cls([(node(n), optional) for n, optional in json.loads(text)])
-
-    def _main(self) -> tuple[str, list[tuple[int, int]]]:
-        """The first of MAIN_KINDS that there is and the ranges of nodes that make up the article; without any, all nodes."""
-        for kind in MAIN_KINDS:
-            ranges, at = [], 0
-            while at < len(self.nodes):
-                node = self.nodes[at][0]
-                if isinstance(node, tuple):
-                    if any(t.endswith(f" {kind}") for t in flat(node)):
-                        ranges.append((at, at + 1))
-                elif node.endswith(f" {kind}"):
-                    name, depth, end = node[1:].split(" ")[0], 0, at
-                    for end in range(at, len(self.nodes)):
-                        for token in flat([self.nodes[end][0]]) if isinstance(self.nodes[end][0], str) else ():
-                            depth += (token.split(" ")[0] == f"<{name}") - (token == f"</{name}")
-                        if depth <= 0:
-                            break
-                    ranges.append((at, end + 1))
-                    at = end
-                at += 1
-            if ranges:
-                return kind, ranges
-        return "", [(0, len(self.nodes))]
-
-    def _compiled(self):
-        if self._regex is None:
-            codes: dict[str, str] = {}
-
-            def part(node) -> str:
-                if isinstance(node, tuple):
-                    return f"(?:{''.join(map(part, node))})+"
-                return codes.setdefault(node, chr(0x4E00 + len(codes)))
-
-            source, (kind, ranges) = [], self._main()
-            for k, (node, optional) in enumerate(self.nodes):
-                source += ["("] * sum(a == k for a, _ in ranges)
-                source.append(f"(?:{part(node)})?" if optional else part(node))
-                source += [")"] * sum(b == k + 1 for _, b in ranges)
-            self._regex = regex.compile("".join(source)), codes, kind
-        return self._regex
-
-    def spans(self, tokens: list[str]) -> list[tuple[int, int]] | None:
-        """None if the wrapper doesn't match. An optional article that the page doesn't have gives no part."""
-        compiled, codes, kind = self._compiled()
-        try:
-            found = compiled.fullmatch("".join(codes.get(t, "\0") for t in tokens), timeout=5.0)
-        except TimeoutError:
-            return None
-        if not found:
-            return None
-        parts = [found.span(k + 1) for k in range(compiled.groups)]
-        return [(a, b) for a, b in parts if a >= 0 and (not kind or any(t.endswith(f" {kind}") for t in tokens[a:b]))]
-
-
-def main_text(page: str | None, wrapper: Wrapper | None) -> str:
-    """The article's text: the slots in the marked part, in order, joined by a space. Empty for null."""
-    tokens, texts = stream(page)
-    spans = wrapper.spans(tokens) if wrapper else None
-    if spans is None:
-        spans = (wrapper.with_page(tokens) if wrapper else Wrapper.infer([tokens])).spans(tokens)
-    if not spans or not any(texts[k] for a, b in spans for k in range(a, b)):
-        # the host's article isn't in this page: its own structure counts
-        spans = Wrapper.infer([tokens]).spans(tokens) or [(0, len(tokens))]
-    return " ".join(texts[k] for a, b in spans for k in range(a, b) if texts[k])
+        return cls(*json.loads(text))
+
+    def expression(self) -> str:
+        """The wrapper as a union-free expression, children by their mean place."""
+        below: dict[str, list[str]] = {}
+        for path, node in self.nodes.items():
+            if path:
+                below.setdefault(node[0], []).append(path)
+
+        def part(path: str) -> str:
+            parent, key, pages, repeats, *_ = self.nodes[path]
+            inner = " ".join(part(x) for x in sorted(below.get(path, ()), key=lambda x: (self.nodes[x][4] / self.nodes[x][2], x)))
+            texts = [self.texts[f"{path}{k:+}"] for k in range(3) if f"{path}{k:+}" in self.texts]
+            inner = " ".join([*("#" if t[0] is None else f"'{t[0]}'" for t in texts), *([inner] if inner else [])])
+            if not path:
+                return inner
+            out = f"({key}: {inner})" if inner else f"({key})"
+            return out + ("+" if repeats else "") if pages >= self.nodes[parent][2] else f"({out}{'+' if repeats else ''})?"
+
+        return part("") if self.nodes else ""
+
+    def decision(self) -> dict:
+        """What pages are read by: ``kind``, that which the host marks its articles by; or ``path``, the container of what varies, and ``fixed``, the host's own texts (path and hash)."""
+        kind = next((k for k in MAIN_KINDS if k in self.kinds), "")
+        if kind:
+            return {"kind": kind}
+        if all(text is not None for text, *_ in self.texts.values()):  # one page, or copies of one: nothing varies
+            return {}
+        fixed = {(place[:-2], text): size * pages for place, (text, size, pages) in self.texts.items() if text is not None and pages > 1 and self.pages > 2}
+        mass = {path: node[5] for path, node in self.nodes.items()}
+        for (path, _), letters in fixed.items():
+            mass[path] = max(0, mass[path] - letters)
+        for path in reversed(self._from_the_root()):
+            if path:
+                mass[self.nodes[path][0]] += mass[path]
+        at, below = "", {}
+        for path, node in self.nodes.items():
+            if path and node[1].split(" ")[0] in CONTAINERS:
+                below.setdefault(node[0], []).append(path)
+        while heavy := [x for x in below.get(at, ()) if mass[x] >= SHARE * mass[""]]:
+            at = min(heavy)
+        return {"path": at, "fixed": sorted(f"{path} {text}" for path, text in fixed)}
+
+    def _from_the_root(self) -> list[str]:
+        below: dict[str, list[str]] = {}
+        for path, node in self.nodes.items():
+            if path:
+                below.setdefault(node[0], []).append(path)
+        out = [""] if "" in self.nodes else []
+        for path in out:
+            out += below.get(path, ())
+        return out
+
+
+def main_text(page: str | None, decision: dict | None) -> str:
+    """The article's text: the slots that the host's wrapper says are the article's, in order, joined by a space. Empty for null.
+
+    A page without anything of the host's article is read by itself: by the first kind that it has, else all of its slots.
+    """
+    own = Page(page)
+    taken: list[str] = []
+    if decision and "kind" in decision:
+        taken = [text for _, text, _, kinds in own.slots if decision["kind"] in kinds]
+    elif decision and "path" in decision:
+        inside, fixed = {decision["path"]}, decision["fixed"]
+        for path, parent, *_ in own.elements:
+            if parent in inside:
+                inside.add(path)
+        taken = [text for path, text, *_ in own.slots if path in inside and f"{path} {_hash(text)}" not in fixed]
+    if not taken:
+        kind = next((k for k in MAIN_KINDS if any(k in kinds for *_, kinds in own.slots)), None)
+        taken = [text for _, text, _, kinds in own.slots if kind is None or kind in kinds]
+    return " ".join(taken)
 
 
 def _host(url: F.Column) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"://([^/?#]*)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame, *, pages_per_host: int = 24, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row (host, wrapper) per host, inferred from its ``pages_per_host`` most frequent structures.
+def wrappers(pages: DataFrame, *, held: int = 5_000, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row (host, wrapper) per host, of all its pages.
 
-    A structure is a page's stream with each repeated group cut to two; equal structures are counted before the shuffle, so a
-    host with a third of all pages brings few rows. The bound is on what the wrapper is inferred from; all pages are extracted.
+    A task aligns the pages it reads, so a host with a third of all pages brings a wrapper for each task, not its pages; beyond ``held`` hosts it gives out what it has and
+    begins anew. Equal wrappers' rows and the hosts' others are then aligned as a stream sorted by host, one host at a time.
     """
 
-    def structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, Wrapper] = {}
+        for batch in batches:
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found.setdefault(host, Wrapper()).align(Wrapper.of(Page(page.as_py())))
+                if len(found) > held:
+                    yield _rows(found)
+                    found = {}
+        yield _rows(found)
+
+    def _rows(found: dict[str, Wrapper]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([w.dumps() for w in found.values()], pa.string())], names=["host", "wrapper"])
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[str, Wrapper] = {}
         for batch in batches:
-            found = ["\n".join(flat(grouped(stream(x.as_py())[0]))) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["host", "structure"])
+            for host, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if last and host not in last:
+                    yield _rows(last)
+                    last = {}
+                last.setdefault(host, Wrapper()).align(Wrapper.loads(text.as_py()))
+        yield _rows(last)
 
     rows = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    counted = rows.mapInArrow(structures, "host string, structure string").groupBy("host", "structure").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("host").orderBy(F.desc("n"), "structure")
-    top = counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pages_per_host)
-    sample = top.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "structure"))).alias("s")).select("host", F.col("s.structure").alias("structures"))
+    parts = rows.mapInArrow(partial, "host string, wrapper string")
+    return parts.repartition("host").sortWithinPartitions("host").mapInArrow(align, "host string, wrapper string")
 
-    def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def decisions(found: DataFrame) -> DataFrame:
+    """One row (host, decision) per row of ``wrappers``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Wrapper.infer([s.split("\n") if s else [] for s in x]).dumps() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["host", "wrapper"])
+            out = [json.dumps(Wrapper.loads(x.as_py()).decision(), separators=(",", ":")) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["host", "decision"])
 
-    return sample.mapInArrow(infer, "host string, wrapper string")
+    return found.mapInArrow(run, "host string, decision string")
 
 
-def extract(pages: DataFrame, *, pages_per_host: int = 24, most_broadcast: int = 20_000, salts: int = 32, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, *, most_broadcast: int = 200_000, salts: int = 32, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: its id, its url and ``text``, the main text of the whole page.
 
-    A null or empty page, or one without text, has an empty text. Pages with a null url, or without ``://``, share the host "".
-    Repeated rows give repeated results; an empty table an empty one; other columns aren't read.
+    A null or empty page, or one without text, has an empty text. Pages with a null url, or without ``://``, share the host "". Of containers that hold the same, the
+    smallest hash counts. Repeated rows give repeated results and can't make a text fixed that differs elsewhere; an empty table gives an empty one. Very long pages are read
+    whole, in linear time. Other columns aren't read, so their names can't clash.
 
-    Up to ``most_broadcast`` hosts, the wrappers are broadcast and pages aren't shuffled. Beyond, pages are joined with wrappers by host
+    Up to ``most_broadcast`` hosts, if their decisions are small, those are broadcast and pages aren't shuffled. Beyond, pages are joined with them by host
     and one of ``salts``, so that a hot host is split.
     """
-    found = cut(wrappers(pages, pages_per_host=pages_per_host, url_col=url_col, html_col=html_col))
+    found = cut(decisions(wrappers(pages, url_col=url_col, html_col=html_col)))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), _host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     known: dict[str, str] | None = None
-    if fits(found, most_broadcast):
-        known = {r["host"]: r["wrapper"] for r in found.collect()}
-        rows = rows.withColumn("wrapper", F.lit(None).cast("string"))
+    if fits(found, most_broadcast, "host", "decision"):
+        known = {r["host"]: r["decision"] for r in found.collect()}
+        rows = rows.withColumn("decision", F.lit(None).cast("string"))
     else:
         salted = found.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(salts)])))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left").select("id", "url", "host", "html", "wrapper")
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left").select("id", "url", "host", "html", "decision")
     shared = pages.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: dict[str, Wrapper] = {}
+        ready: dict[str, dict | None] = {}
         for batch in batches:
             out = []
             for host, page, own in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
@@ -419,7 +424,9 @@ def extract(pages: DataFrame, *, pages_per_host: int = 24, most_broadcast: int =
                     if len(ready) > 10_000:
                         ready.clear()
                     text = own.as_py() if shared.value is None else shared.value.get(host)
-                    ready[host] = Wrapper.loads(text) if text else None
+                    ready[host] = json.loads(text) if text else None
+                    if ready[host] and "fixed" in ready[host]:
+                        ready[host]["fixed"] = frozenset(ready[host]["fixed"])
                 out.append(main_text(page.as_py(), ready[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["id", "url", "text"])
 
