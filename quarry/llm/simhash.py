@@ -27,24 +27,58 @@ from quarry.llm.common import cut, fits, text_key
 BLOCK = 1 << 16  # shingles whose bits are unpacked at once
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and exactly the six gaps
+
+
+def _spans(words: list[bytes], shingle_words: int) -> list[tuple[int, int]]:
+    """Where the shingles are in the words joined by a space."""
+    if len(words) <= shingle_words:
+        return [(0, sum(map(len, words)) + len(words) - 1)]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    return list(zip(starts[: len(words) - shingle_words + 1].tolist(), ends[shingle_words - 1 :].tolist(), strict=True))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, shingle_words: int) -> int:
     """The fingerprint as a signed 64-bit number; 0 without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and exactly the six gaps
+    words = _words(text)
     if not words:
         return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle_words:
-        spans = [(0, len(joined))]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = ends - sizes
-        spans = list(zip(starts[: len(words) - shingle_words + 1].tolist(), ends[shingle_words - 1 :].tolist(), strict=True))
+    joined, spans = b" ".join(words), _spans(words, shingle_words)
     digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, len(spans), BLOCK):
-        hashes = np.array([digest(joined[a:b], 42) for a, b in spans[at : at + BLOCK]], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(spans), bitorder="little").view("<i8")[0])
+        ones += _ones(np.array([digest(joined[a:b], 42) for a, b in spans[at : at + BLOCK]], np.uint64))
+    return _majority(ones, len(spans))
+
+
+def word_fingerprints(text: str | None) -> tuple[int, int, int]:
+    """A hash of the word sequence and two fingerprints of the different words, signed; 0 without words."""
+    words = _words(text)
+    if not words:
+        return 0, 0, 0
+    own = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64)
+    again = own * np.uint64(0x9E3779B97F4A7C15)
+    again = (again ^ (again >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    again ^= again >> np.uint64(32)
+    key = int(np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64).view(np.int64)[0])
+    return key, _majority(_ones(own), len(own)), _majority(_ones(again), len(own))
+
+
+def shingles(text: str | None, shingle_words: int) -> np.ndarray:
+    """The different hashes of the shingles, signed."""
+    words = _words(text)
+    joined = b" ".join(words)
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in _spans(words, shingle_words)] if words else [], np.uint64)).view(np.int64)
 
 
 def fingerprints(docs: DataFrame, *, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,6 +93,18 @@ def fingerprints(docs: DataFrame, *, shingle_words: int = 4, id_col: str = "doc_
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key long, fp long")
 
 
+def sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``id``, ``key`` (a hash of the text), ``fp`` (a hash of the word sequence), ``w1`` and ``w2`` (fingerprints of its different words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [word_fingerprints(x.as_py()) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[k] for x in found], pa.int64()) for k in range(3))], names=["id", "key", "fp", "w1", "w2"])
+
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key long, fp long, w1 long, w2 long")
+
+
 def segment_counts(fps: np.ndarray, segment_bits: int) -> np.ndarray:
     """The bit count of each segment, packed in fields as wide as the segment."""
     counts, width = fps.astype(np.uint64), 1
@@ -70,50 +116,93 @@ def segment_counts(fps: np.ndarray, segment_bits: int) -> np.ndarray:
 
 
 def grid_points(fps: np.ndarray, segment_bits: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(point, fingerprint) for both faces: the own grid point and, for radius 1, the neighbouring ones that counts can take."""
-    counts = segment_counts(fps, segment_bits)
+    """(points, places in ``fps``) for both faces: the own grid point and, for radius 1, the neighbouring ones that counts can take."""
+    counts, places = segment_counts(fps, segment_bits), np.arange(len(fps))
     one, field = np.uint64(1), np.uint64((1 << segment_bits) - 1)
     for face in (0, 1):
         own = (counts >> np.uint64(32 * face)) & np.uint64(0xFFFFFFFF)
         tag = np.uint64(face << 32)
-        yield own | tag, fps
+        yield own | tag, places
         for at in range(0, 32 if radius else 0, segment_bits):
             value = (own >> np.uint64(at)) & field
             up, down = value < segment_bits, value > 0
-            yield (own[up] + (one << np.uint64(at))) | tag, fps[up]
-            yield (own[down] - (one << np.uint64(at))) | tag, fps[down]
+            yield (own[up] + (one << np.uint64(at))) | tag, places[up]
+            yield (own[down] - (one << np.uint64(at))) | tag, places[down]
 
 
 def ball_points(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(point, fingerprint) for all points of the 64-bit space within ``radius`` (at most 2) of the fingerprint."""
-    bits = [np.uint64(1 << at) for at in range(64)]
-    yield fps.astype(np.uint64), fps
+    """(points, places in ``fps``) for all points of the 64-bit space within ``radius`` (at most 2) of the fingerprint."""
+    bits, own, places = [np.uint64(1 << at) for at in range(64)], fps.astype(np.uint64), np.arange(len(fps))
+    yield own, places
     for i in range(64 if radius else 0):
-        yield fps.astype(np.uint64) ^ bits[i], fps
+        yield own ^ bits[i], places
         for j in range(i + 1, 64 if radius > 1 else 0):
-            yield fps.astype(np.uint64) ^ bits[i] ^ bits[j], fps
+            yield own ^ bits[i] ^ bits[j], places
 
 
 def _points(fps: DataFrame, kind, *args) -> DataFrame:
-    """One row (point, fp) for all that ``kind`` yields."""
+    """Rows (point, fp, node) for all that ``kind`` yields of the columns of ``fps`` but ``node``, which are fingerprints; without a column ``node``, rows (point, fp)."""
+    columns = [c for c in fps.columns if c != "node"]
+    names = ["point", "fp", "node"][: 3 if "node" in fps.columns else 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            for pair in kind(own, *args):
-                held.append(pair)
-                if sum(len(x) for x, _ in held) > 100_000:
-                    yield _batch(held)
-                    held = []
+            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+            held: list[list[np.ndarray]] = []
+            for j in range(len(columns)):
+                for points, places in kind(own[j].view(np.uint64), *args):
+                    held.append([points.view(np.int64) + (j << 34), *(x[places] for x in (own[j], *own[len(columns) :]))])
+                    if sum(len(x[0]) for x in held) > 100_000:
+                        yield _batch(held)
+                        held = []
             if held:
                 yield _batch(held)
 
     def _batch(held):
-        point, fp = (np.concatenate([x[k] for x in held]).view(np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(point), pa.array(fp)], names=["point", "fp"])
-
-    return fps.select("fp").mapInArrow(run, "point long, fp long")
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in held])) for k in range(len(names))], names=names)
+
+    return fps.select(*columns, *names[2:]).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _by_point(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Of a stream sorted by its first column: (columns of whole points, False), and (columns of a piece, True) of points with more than ``cap`` rows."""
+    held, full = None, None
+    for batch in batches:
+        new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        if full is not None:  # the rest of a point that is too full
+            end = int(np.searchsorted(held[0], full, side="right"))
+            if end:
+                yield [x[:end] for x in held], True
+            held = [x[end:] for x in held]
+        if not len(held[0]):
+            continue
+        last = int(np.searchsorted(held[0], held[0][-1]))  # the last point may go on in the next batch
+        if last:
+            yield from _parted([x[:last] for x in held], cap)
+        held, full = [x[last:] for x in held], None
+        if len(held[0]) > cap:
+            full = int(held[0][0])
+            yield held, True
+            held = [x[:0] for x in held]
+    if held is not None and len(held[0]):
+        yield from _parted(held, cap)
+
+
+def _parted(columns: list[np.ndarray], cap: int) -> Iterator[tuple[list[np.ndarray], bool]]:
+    begin = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]]))
+    size = np.diff(begin, append=len(columns[0]))
+    for at, n in zip(begin[size > cap].tolist(), size[size > cap].tolist(), strict=True):
+        yield [x[at : at + n] for x in columns], True
+    if (size > cap).any():
+        fits_ = np.repeat(size <= cap, size)
+        columns = [x[fits_] for x in columns]
+    yield columns, False
+
+
+def _link_batch(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+    low, high = (pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64())) if b is None else (pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)))
+    return pa.RecordBatch.from_arrays([low, high], names=["a", "b"])
 
 
 def _spanning(fps: np.ndarray, max_distance: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -138,48 +227,108 @@ def _linked(cells: DataFrame, max_distance: int, cell_cap: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        point, fp, full = np.empty(0, np.int64), np.empty(0, np.int64), None
-        for batch in batches:
-            point, fp = (np.concatenate([h, batch.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate((point, fp)))
-            if full is not None:  # the rest of a point that is too full
-                end = int(np.searchsorted(point, full, side="right"))
-                yield _links(fp[:end], None)
-                point, fp = point[end:], fp[end:]
-            if not len(point):
-                continue
-            last = int(np.searchsorted(point, point[-1]))  # the last point may go on in the next batch
-            yield from _within(point[:last], fp[:last])
-            point, fp, full = point[last:], fp[last:], None
-            if len(point) > cell_cap:
-                yield _links(fp, None)
-                point, fp, full = point[:0], fp[:0], int(point[0])
-        yield from _within(point, fp)
-
-    def _links(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-        low, high = (pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64())) if b is None else (pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)))
-        return pa.RecordBatch.from_arrays([low, high], names=["a", "b"])
-
-    def _within(point: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(point):
-            return
-        begin = np.flatnonzero(np.concatenate([[True], point[1:] != point[:-1]]))
+        for (point, fp), crowded in _by_point(batches, cell_cap):
+            yield _link_batch(fp, None) if crowded else _within(point, fp)
+
+    def _within(point: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        begin = np.flatnonzero(np.concatenate([[True], point[1:] != point[:-1]])) if len(point) else np.empty(0, np.int64)
         size = np.diff(begin, append=len(point))
         twos = begin[size == 2]
         one, other = fp[twos], fp[twos + 1] if len(twos) else fp[:0]
         near = np.bitwise_count(one.view(np.uint64) ^ other.view(np.uint64)) <= max_distance
-        ends, crowded = [(one[near], other[near])], [fp[:0]]
+        ends = [(one[near], other[near])]
         for at, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            own = fp[at : at + n]
-            if n > cell_cap:
-                crowded.append(own)
-            else:
-                ends += [(np.full(len(others), one, np.uint64).view(np.int64), others.view(np.int64)) for one, others in _spanning(own.view(np.uint64), max_distance)]
-        yield _links(*(np.concatenate([x[k] for x in ends]) for k in (0, 1)))
-        yield _links(np.concatenate(crowded), None)
+            own = fp[at : at + n].view(np.uint64)
+            ends += [(np.full(len(others), one, np.uint64).view(np.int64), others.view(np.int64)) for one, others in _spanning(own, max_distance)]
+        return _link_batch(*(np.concatenate([x[k] for x in ends]) for k in (0, 1)))
 
     return cells.select("point", "fp").repartition("point").sortWithinPartitions("point").mapInArrow(run, "a long, b long").distinct()
 
 
+SMALL, LARGE = 8, 256  # members of a point
+
+
+def _nearest(fp: np.ndarray, most_bits: int) -> Iterator[tuple[int, int]]:
+    """Places of a tree of nearest links between members of a point, at up to ``most_bits``: each member is linked to the nearest one that is linked already."""
+    n, at = len(fp), 0
+    best, source, left = np.full(n, 255, np.uint8), np.zeros(n, np.int64), np.ones(n, bool)
+    for _ in range(n - 1):
+        left[at] = False
+        distance = np.bitwise_count(fp ^ fp[at])
+        closer = left & (distance < best)
+        best[closer], source[closer] = distance[closer], at
+        at = int(np.argmin(np.where(left, best, 255)))
+        if best[at] <= most_bits:
+            yield int(source[at]), at
+
+
+def _neighbours(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of members that follow each other when sorted by the fingerprint, turned by 0, 16, 32 and 48 bits, and of all with the first."""
+    for turn in (0, 16, 32, 48):
+        turned = (fp << np.uint64(turn)) | (fp >> np.uint64(64 - turn)) if turn else fp
+        order = np.argsort(turned, kind="stable")
+        yield order[:-1], order[1:]
+    yield np.zeros(len(fp), np.int64), np.arange(len(fp))
+
+
+def _candidates(cells: DataFrame, most_bits: int, piece: int = 100_000) -> DataFrame:
+    """Candidate links (a, b), a < b, of nodes that meet in a point of ``cells`` (point, fp, node) with fingerprints at up to ``most_bits``. A point of up to ``SMALL``
+    members gives those of all; of up to ``LARGE`` a tree of nearest ones; beyond, members are linked to their neighbours in four orders and to the first one. A point that
+    is larger than a ``piece`` is taken piece by piece. So their number grows with the members, and none is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (point, fp, node), _ in _by_point(batches, piece):
+            fp = fp.view(np.uint64)
+            begin = np.flatnonzero(np.concatenate([[True], point[1:] != point[:-1]]))
+            size = np.diff(begin, append=len(point))
+            of = np.repeat(size, size)
+            ends = []
+            for step in range(1, min(SMALL, len(point))):
+                at = np.flatnonzero((point[step:] == point[:-step]) & (of[step:] <= SMALL))
+                near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= most_bits]
+                ends.append((node[near], node[near + step]))
+            for at, n in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+                own, ids = fp[at : at + n], node[at : at + n]
+                if n <= LARGE:
+                    tree = np.array(list(_nearest(own, most_bits)), np.int64).reshape(-1, 2)
+                    ends.append((ids[tree[:, 0]], ids[tree[:, 1]]))
+                else:
+                    for x, y in _neighbours(own):
+                        near = np.bitwise_count(own[x] ^ own[y]) <= most_bits
+                        ends.append((ids[x[near]], ids[y[near]]))
+            if ends:
+                yield _link_batch(*(np.concatenate([x[k] for x in ends]) for k in (0, 1)))
+
+    met = cells.repartition("point").sortWithinPartitions("point").mapInArrow(run, "a long, b long")
+    return met.where("a < b").distinct()
+
+
+def similar_links(docs: DataFrame, by_doc: DataFrame, *, shingle_words: int, similarity: float, most_bits: int = 16, most_broadcast: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b), a < b, between word sequences whose sets of shingles have a Jaccard similarity of ``similarity`` or more. ``by_doc`` has a row (id, key, fp, w1, w2) per
+    document, fp being a hash of the word sequence.
+
+    Fingerprints of five-word shingles differ in a third of the bits of a face at a similarity of 0.8, too many for a grid. So candidates meet in the grids of two
+    fingerprints of the different words, which an edited word changes much less; they are verified by their shingles. Texts are read again for nodes with a candidate only.
+    """
+    nodes = cut(by_doc.groupBy("fp").agg(F.min("w1").alias("w1"), F.min("w2").alias("w2"), F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("one")))
+    width = 2 if fits(nodes, 4_000_000) else 1
+    met = cut(_candidates(_points(nodes.select("w1", "w2", F.col("fp").alias("node")), grid_points, width, 1), most_bits))
+    asked = cut(nodes.join(met.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp").select(F.col("fp").alias("_node"), F.col("one.id").alias("_own_id"), F.col("one.key").alias("_own_key")))
+    rows = docs.select(F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"), F.col(text_col).cast("string").alias("_text"))
+    rows = rows.join(F.broadcast(asked) if fits(asked, most_broadcast, "_own_id") else asked, (F.col("_key") == F.col("_own_key")) & F.col("_id").eqNullSafe(F.col("_own_id")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(x.as_py(), shingle_words) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "s"])
+
+    sets = cut(rows.select("_node", "_text").mapInArrow(run, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s")))
+    first, second = sets.select(F.col("node").alias("a"), F.col("s").alias("s1")), sets.select(F.col("node").alias("b"), F.col("s").alias("s2"))
+    pairs = met.join(first, "a").join(second, "b").where(F.least(F.size("s1"), F.size("s2")) >= similarity * F.greatest(F.size("s1"), F.size("s2")))
+    pairs = pairs.select("a", "b", F.size(F.array_intersect("s1", "s2")).alias("both"), (F.size("s1") + F.size("s2")).alias("all"))
+    return pairs.where(F.col("both") >= F.lit(similarity) * (F.col("all") - F.col("both"))).select("a", "b")
+
+
 def links(fps: DataFrame, *, max_distance: int = 4, segment_bits: tuple[int, ...] | None = None, cell_cap: int = 10_000) -> DataFrame:
     """Links (a, b), a < b, between distinct fingerprints ``fp`` that connect exactly those which pairs at up to ``max_distance`` connect.
 
@@ -190,7 +339,7 @@ def links(fps: DataFrame, *, max_distance: int = 4, segment_bits: tuple[int, ...
     widths = segment_bits or ((2, 1) if fits(fps, 4_000_000) else (1,))
     if max_distance not in (0, 2, 4) or not {*widths} <= {1, 2, 4, 8}:
         raise ValueError("max_distance must be 0, 2 or 4, and segment_bits of 1, 2, 4 and 8")
-    found, crowd = None, fps
+    found, crowd = None, fps.select("fp")
     for width in widths:
         met = cut(_linked(_points(crowd, grid_points, width, max_distance // 2 and 1), max_distance, cell_cap))
         near = met.where("b IS NOT NULL")
@@ -226,16 +375,27 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, shingle_words: int = 4, max_distance: int = 4, segment_bits: tuple[int, ...] | None = None, cell_cap: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id``, ``key`` (hash of its text), ``fp`` (signed fingerprint), ``root`` (a fingerprint that names the component) and ``component_id``.
+def near_duplicates(docs: DataFrame, *, shingle_words: int = 4, max_distance: int = 4, similarity: float | None = None, segment_bits: tuple[int, ...] | None = None, cell_cap: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``id``, ``key`` (hash of its text), ``fp``, ``root`` (an fp that names the component) and ``component_id``.
+
+    Texts are linked whose fingerprints (``fp``, signed) differ in at most ``max_distance`` bits; or, given a ``similarity``, whose sets of shingles have that Jaccard similarity or
+    more, ``fp`` then being a hash of the word sequence.
 
     The component is the smallest id that links reach; a null id never is, unless a component has no other. A document without
-    words, or a null text, has the fingerprint 0, which links like any other. Fewer words than a shingle make one shingle.
-    Repeated rows have the same fingerprint and component. An empty table gives an empty result. Other columns aren't read.
+    words, or a null text, has the fingerprint 0, which links like any other; by similarity, all such documents are alike. Fewer words than a shingle make one shingle.
+    Very long texts are read whole, in blocks. Of fingerprint bits that half the shingles have, none is set. Repeated rows have the same fingerprint and component. An empty table
+    gives an empty result. Other columns aren't read, so their names can't clash.
     """
-    by_doc = cut(fingerprints(docs, shingle_words=shingle_words, id_col=id_col, text_col=text_col))
+    if similarity is None:
+        by_doc = cut(fingerprints(docs, shingle_words=shingle_words, id_col=id_col, text_col=text_col))
+    else:
+        by_doc = cut(sequences(docs, id_col=id_col, text_col=text_col))
     fps = cut(by_doc.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
-    linked = components(links(fps, max_distance=max_distance, segment_bits=segment_bits, cell_cap=cell_cap))
+    if similarity is None:
+        found = links(fps, max_distance=max_distance, segment_bits=segment_bits, cell_cap=cell_cap)
+    else:
+        found = similar_links(docs, by_doc, shingle_words=shingle_words, similarity=similarity, id_col=id_col, text_col=text_col)
+    linked = components(found)
     linked = cut(linked.join(fps, linked["node"] == fps["fp"]).select("fp", "root", "least"))
     roots = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))
     far = linked.join(roots, "root").select("fp", "root", "component_id")
@@ -248,7 +408,8 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 4, max_distance: in
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 200_000, **how) -> DataFrame:
     """The rows of ``docs``, all columns, but of each near-duplicate component only the document with the smallest id.
 
-    Of repeated rows of that document one stays; if it comes with several texts in one component, that of the smallest hash. What goes is joined with the
+    Of repeated rows of that document one stays; if it comes with several texts in one component, that of the smallest hash. Null and empty texts, very long ones and empty
+    tables are as in ``near_duplicates``. Rows travel as one struct, so that columns may have any names. What goes is joined with the
     documents: up to ``most_broadcast`` of them are broadcast, so that texts aren't shuffled.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
@@ -259,11 +420,11 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     gone = cut(own.join(stay, same, "left_anti").select(F.col("id").alias("_q_id"), F.col("key").alias("_q_key")))
     again = cut(own.where("n > 1").join(stay, same, "left_semi").select(F.col("id").alias("_q_id"), F.col("key").alias("_q_key")))
 
-    rows = docs.withColumn("_q_text_key", text_key(F.col(text_col)))
-    match = F.col(id_col).eqNullSafe(F.col("_q_id")) & (F.col("_q_text_key") == F.col("_q_key"))
-    sized = lambda df: F.broadcast(df) if fits(df, most_broadcast) else df
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"))
+    match = F.col("id").eqNullSafe(F.col("_q_id")) & (F.col("key") == F.col("_q_key"))
+    sized = lambda df: F.broadcast(df) if fits(df, most_broadcast, "_q_id") else df
     kept = rows.join(sized(gone), match, "left_anti")
     if not again.isEmpty():  # rows that stay, but repeat
         once = sized(again)
-        kept = kept.join(once, match, "left_anti").unionByName(kept.join(once, match, "left_semi").dropDuplicates([id_col, "_q_text_key"]))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = kept.join(once, match, "left_anti").unionByName(kept.join(once, match, "left_semi").dropDuplicates(["id", "key"]))
+    return kept.select("row.*")

@@ -51,6 +51,33 @@ def components(rows, most=4, k=4):
     return fps, [min((x for x in groups[find(i)] if x is not None), default=None) for i in range(len(rows))]
 
 
+def shingle_set(text, k=5):
+    w = WORD.findall((text or "").translate(UPPER))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def similar(rows, most=0.8, k=5):
+    """Pairs of positions whose texts are that similar, those without words among them."""
+    sets = [shingle_set(t, k) for _, t in rows]
+    alike = lambda x, y: len(x & y) >= most * len(x | y)
+    return [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])]
+
+
+def closed(n, pairs):
+    """The component of each of n positions, told by its smallest one."""
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    return [find(i) for i in range(n)]
+
+
 def targets(totals, weights=(5, 2, 1), most=3):
     names = sorted(s for s in totals if s is not None) + ([None] if None in totals else [])
     weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}

@@ -81,6 +81,13 @@ def test_mixing_targets_and_copies(spark):
     assert copies.columns == [*df.columns, "copy"] and copies.count() == sum(r["copies"] for r in out)
 
 
+def test_mixing_does_not_depend_on_the_partitioning(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    columns = ["id", "target", "rate", "copies", "taken"]
+    first, second = (sorted(map(tuple, mixing.mix(docs.repartition(n)).select(*columns).collect())) for n in (3, 11))
+    assert first == second
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None)], [(1, "a b", "x")], [(1, "", "x"), (2, "a", None)]])
 def test_mixing_of_little(spark, rows):
     _, found = mixed(spark, rows)
