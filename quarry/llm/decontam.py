@@ -111,8 +111,9 @@ def hits(docs: DataFrame, items: DataFrame, *, window: int = 10, most_broadcast:
     """One row per document text that an item's run occurs in: ``id``, ``key`` (hash of the text), ``spans`` (arrays [start, end) of hit words, united,
     in order), ``n_hit`` (words in them) and ``items`` (ids of the items with occurring runs, as sorted strings).
 
-    Texts that differ in id or content are apart; repeated rows are one. Null texts have no words and are never hit; a null item id
-    counts as an item but isn't listed. Empty tables give an empty result. Other columns aren't read.
+    Texts that differ in id or content are apart; repeated rows are one. Null and empty texts have no words and are never hit; a null item id
+    counts as an item but isn't listed. Of equal fingerprints in a window the later one is kept, which any of them would do. Very long texts are read whole. Empty tables give an
+    empty result. Other columns aren't read, so their names can't clash.
     """
     if not 2 * GRAM <= window + 1 <= 64:
         raise ValueError(f"a window of {window} words can't be winnowed by {GRAM}-grams")
@@ -125,7 +126,7 @@ def hits(docs: DataFrame, items: DataFrame, *, window: int = 10, most_broadcast:
     known = cut(known.select("m.fp", "m.size").distinct())
     runs = _each(bench, _runs(F.col("words"), _all_starts(F.col("words"), F.col("run_size")), F.col("run_size")), "r", "item")
     runs = cut(runs.select("item", "r.size", "r.run").distinct())
-    small = fits(known, most_broadcast) and fits(runs, most_broadcast)
+    small = fits(known, most_broadcast) and fits(runs, most_broadcast, "run", "item")
 
     rows = docs.select(F.col(doc_id).alias("id"), text_key(F.col(doc_text)).alias("key"), item_words(F.col(doc_text)).alias("words"))
     marks = _each(with_fingerprints(rows, window=window, short=short), "marks", "m", "id", "key").select("id", "key", "m.fp", "m.size")
@@ -133,7 +134,7 @@ def hits(docs: DataFrame, items: DataFrame, *, window: int = 10, most_broadcast:
     # extension: again the words, of the texts that met a fingerprint only, and all runs that contain a k-gram which was met
     own = met.withColumnsRenamed({"id": "i", "key": "k"})
     texts = docs.select(F.col(doc_id).alias("id"), text_key(F.col(doc_text)).alias("key"), F.col(doc_text).alias("text"))
-    texts = texts.join(F.broadcast(own) if fits(met, most_broadcast) else own, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i"))).drop("i", "k")
+    texts = texts.join(F.broadcast(own) if fits(met, most_broadcast, "id", "met") else own, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i"))).drop("i", "k")
     found = texts.dropDuplicates(["id", "key"]).select("id", "key", "met", item_words(F.col("text")).alias("words"))
     found = _each(_with_starts(found, window, short), "runs", "r", "id", "key").select("id", "key", "r.at", "r.size", "r.run")
     # a text holds a run at many places; which runs are the items' is asked once for each
@@ -167,7 +168,11 @@ def _with_starts(rows: DataFrame, window: int, short: tuple[int, ...]) -> DataFr
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, doc_id: str = "doc_id", doc_text: str = "text", **how) -> DataFrame:
-    """One row per document: ``id``, ``key``, ``n_words``, ``n_hit``, ``items`` (empty if none), ``spans`` and ``contaminated``."""
+    """One row per document: ``id``, ``key``, ``n_words``, ``n_hit``, ``items`` (empty if none), ``spans`` and ``contaminated``.
+
+    Null and empty texts, repeated rows, null item ids and empty tables are as in ``hits``; each repeated row has its result. Very long texts are read whole. Other columns aren't
+    read, so their names can't clash.
+    """
     found = hits(docs, items, window=window, doc_id=doc_id, doc_text=doc_text, **how).withColumnsRenamed({"id": "i", "key": "k"})
     rows = docs.select(F.col(doc_id).alias("id"), text_key(F.col(doc_text)).alias("key"), F.size(item_words(F.col(doc_text))).cast("long").alias("n_words"))
     joined = rows.join(found, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left")
@@ -183,10 +188,13 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, doc_id
 
 
 def clean(docs: DataFrame, items: DataFrame, *, window: int = 10, most_broadcast: int = 200_000, doc_id: str = "doc_id", doc_text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, all columns, that no item's run occurs in."""
+    """The rows of ``docs``, all columns, that no item's run occurs in.
+
+    Null and empty texts stay, as do all rows if there are no items; repeated rows go or stay alike; very long texts are read whole; an empty table gives an empty one. Rows
+    travel as one struct, so that columns may have any names.
+    """
     found = hits(docs, items, window=window, doc_id=doc_id, doc_text=doc_text, most_broadcast=most_broadcast, **how)
     found = cut(found.select(F.col("id").alias("_q_id"), F.col("key").alias("_q_key")))
-    found = F.broadcast(found) if fits(found, most_broadcast) else found
-    rows = docs.withColumn("_q_text_key", text_key(F.col(doc_text)))
-    kept = rows.join(found, (F.col("_q_text_key") == F.col("_q_key")) & F.col(doc_id).eqNullSafe(F.col("_q_id")), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = F.broadcast(found) if fits(found, most_broadcast, "_q_id") else found
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), text_key(F.col(doc_text)).alias("key"))
+    return rows.join(found, (F.col("key") == F.col("_q_key")) & F.col("id").eqNullSafe(F.col("_q_id")), "left_anti").select("row.*")
