@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, fits, stored, words
+from quarry.llm.common import cut, fits, free_name, stored, words
 
 MARGINS = 1 << 13  # bins of the rounding's margins, which lie between -1 and 1
 WIDEST = 700.0  # of an exponent
@@ -53,24 +53,28 @@ def _rate(multiplier: Column, x: Column, most: float) -> Column:
     return most / (1 + (most - 1) * F.exp(-tilt))
 
 
-def multipliers(sizes: DataFrame, goals: DataFrame, *, most: float, rounds: int = 60, tolerance: float = 1e-7, most_broadcast: int = 50_000) -> DataFrame:
+def multipliers(sizes: DataFrame, goals: DataFrame, *, most: float, rounds: int = 200, tolerance: float = 1e-7, most_broadcast: int = 50_000) -> DataFrame:
     """One row (source, total, mean, target, multiplier) a source; the multiplier is null where all rates are ``most``.
 
     ``sizes`` has rows (source, size, n). Each round is one aggregation of it. A round steps by Newton's rule where that stays in the bracket of
-    the root, else to the bracket's middle, or twice as far while there is no bracket.
+    the root, else to the bracket's middle, or twice as far while there is no bracket; halving alone reaches any tolerance of doubles in less than ``rounds`` steps.
     """
     means = sizes.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     state = goals.join(means, goals["source"].eqNullSafe(means["source"])).select(goals["source"], "total", "mean", "target")
     open_ = (F.col("target") < most * F.col("total")) & (F.col("total") > 0)
     state = state.withColumns({"multiplier": F.when(open_, F.lit(0.0)), "low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "gap": F.lit(None).cast("double")})
     state = stored(state.coalesce(1))
-    small = fits(state, most_broadcast)
-    for _ in range(rounds):
+    small = fits(state, most_broadcast, "source")
+    for left in range(rounds, -1, -1):
+        if not left:
+            raise RuntimeError(f"the multipliers did not reach a gap of {tolerance} in {rounds} rounds")
         now = state.where("multiplier IS NOT NULL").select(F.col("source").alias("s"), "multiplier", "mean")
         rows = sizes.join(F.broadcast(now) if small else now, sizes["source"].eqNullSafe(F.col("s")))
         x = F.col("size") / F.col("mean")
         rate = _rate(F.col("multiplier"), x, most)
-        grams = rows.groupBy("s").agg(F.sum(rate * F.col("size") * F.col("n")).alias("reached"), F.sum(rate * (1 - rate / most) * x * F.col("size") * F.col("n")).alias("slope"))
+        reached, slope = rate * F.col("size") * F.col("n"), rate * (1 - rate / most) * x * F.col("size") * F.col("n")
+        # decimals add up to the same in any order, so the multipliers don't depend on the partitioning
+        grams = rows.groupBy("s").agg(*[F.sum(v.cast("decimal(34,8)")).cast("double").alias(name) for v, name in ((reached, "reached"), (slope, "slope"))])
         met = state.join(F.broadcast(grams) if small else grams, state["source"].eqNullSafe(grams["s"]), "left")
         gap = F.col("reached") - F.col("target")
         met = met.withColumns({"low": F.when(gap < 0, F.col("multiplier")).otherwise(F.col("low")), "high": F.when(gap > 0, F.col("multiplier")).otherwise(F.col("high")), "gap": F.abs(gap) / F.col("total")})
@@ -110,29 +114,30 @@ def _copies() -> Column:
     return (F.col("whole") + F.when(_extra(), 1).otherwise(0)).cast("long")
 
 
-def solve(sized: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = 3, share: float = 1.0, fills: int = 6, near: float = 1e-4, most_broadcast: int = 50_000) -> tuple[DataFrame, bool]:
-    """One row (source, total, mean, target, multiplier, steps) a source, and whether that is small enough to broadcast. Up to ``fills`` steps are made, until
-    all sources are as ``near`` to their targets as that share."""
+def solve(sized: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = 3, share: float = 1.0, near: float = 1e-4, most_broadcast: int = 50_000) -> tuple[DataFrame, bool]:
+    """One row (source, total, mean, target, multiplier, steps) a source, and whether that is small enough to broadcast. Steps are made until all sources are as ``near`` to
+    their targets as that share, or no document is left that fits."""
     sizes = cut(sized.groupBy(F.col("_source").alias("source"), F.col("_size").alias("size")).agg(F.count("*").alias("n")))
     sizes = sizes.coalesce(1 + sizes.count() // 100_000)
     totals = cut(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("double").alias("total")).coalesce(1))
     shared = targets(totals.withColumn("total", F.col("total") * share), weights, most / share)
     goals = stored(shared.select("source", (F.col("total") / share).alias("total"), "target"))
     solved = multipliers(sizes, goals, most=float(most), most_broadcast=most_broadcast)
-    small = fits(solved, most_broadcast)
+    small = fits(solved, most_broadcast, "source")
     sure = _rated(sized, solved, most, small).groupBy(F.col("_source").alias("s")).agg(F.sum(F.col("whole") * F.col("_size")).alias("sure"))
     state = solved.join(F.broadcast(sure) if small else sure, F.col("source").eqNullSafe(F.col("s"))).withColumn("room", F.col("target") - F.col("sure")).drop("s", "sure")
     state = stored(state.withColumn("steps", F.array().cast("array<struct<last:bigint,most:double>>")).coalesce(1))
-    for _ in range(fills):
+    while True:
         open_ = _rated(sized, state, most, small).where(F.col("bin").isNotNull() & (F.col("_size") <= F.col("room")) & ~_extra())
         bins = open_.groupBy(F.col("_source").alias("source"), "bin").agg(F.sum("_size").alias("words"), F.max("room").alias("room"))
         upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
         full = bins.withColumn("upto", upto).where(F.col("upto") <= F.col("room")).groupBy(F.col("source").alias("s")).agg(F.max("bin").alias("last"), F.max("upto").alias("got"))
         met = state.join(F.broadcast(full) if small else full, F.col("source").eqNullSafe(F.col("s")), "left")
         step = F.struct(F.coalesce("last", F.lit(-1).cast("long")).alias("last"), F.col("room").alias("most"))
-        met = met.withColumns({"steps": F.concat("steps", F.array(step)), "room": F.col("room") - F.coalesce("got", F.lit(0))})
-        state = stored(met.select(*state.columns).coalesce(1))
-        if (state.agg(F.max(F.try_divide(F.col("room"), F.col("target")))).first()[0] or 0.0) <= near:
+        met = met.withColumns({"steps": F.when(F.col("got") > 0, F.concat("steps", F.array(step))).otherwise(F.col("steps")), "room": F.col("room") - F.coalesce("got", F.lit(0))})
+        before, state = state, stored(met.select(*state.columns).coalesce(1))
+        after = state.agg(F.max(F.try_divide(F.col("room"), F.col("target"))).alias("far"), F.sum(F.size("steps")).alias("steps")).first()
+        if (after["far"] or 0.0) <= near or after["steps"] == before.agg(F.sum(F.size("steps"))).first()[0]:
             break
     # what is left is too large for the room; the smallest of it goes in if that comes nearer to the target
     rest = _rated(sized, state, most, small).where(F.col("bin").isNotNull() & ~_extra() & (F.col("_size") < 2 * F.col("room")))
@@ -147,8 +152,9 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = 3,
     """One row per document: ``id``, ``source``, ``size`` (words), ``source_size``, ``target``, ``rate``, ``copies`` and ``taken``.
 
     Sources share ``share`` of all words. ``copies`` are whole and at most ``most``; ``taken`` is copies times size. A null text has size 0;
-    documents of size 0 take nothing and get one copy. A null source is a source. Repeated rows are decided alike, and each counts. The hash is of id and
-    text, so reruns agree. An empty table gives an empty result; other columns aren't read.
+    documents of size 0 take nothing and get one copy. A null source is a source. Repeated rows are decided alike, and each counts. Very long texts are read whole. The hash that
+    orders documents is of id and text, and sums don't depend on the order of rows, so reruns agree; documents of equal margins are decided alike. An empty table gives an empty
+    result; other columns aren't read, so their names can't clash.
     """
     sized = cut(docs.select(*_sized(docs, id_col, text_col, source_col)))
     solved, small = solve(sized, weights=weights, most=most, share=share)
@@ -158,12 +164,14 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = 3,
 
 
 def mixed(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = 3, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows and columns of ``docs``, each as often as ``mix`` has copies of it, with a last column ``copy``: 1, 2, ...
+    """The rows and columns of ``docs``, each as often as ``mix`` has copies of it, with a last column ``copy``: 1, 2, ... It has underscores after its name while ``docs`` has such a
+    column.
 
-    Texts aren't shuffled: decisions depend on a row and its source's solution only.
+    Nulls, empty and very long texts, ties, repeated rows and empty tables are as in ``mix``. Rows travel as one struct, so that columns may have any names. Texts aren't
+    shuffled: decisions depend on a row and its source's solution only.
     """
     solved, small = solve(cut(docs.select(*_sized(docs, id_col, text_col, source_col))), weights=weights, most=most, share=share)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *_sized(docs, id_col, text_col, source_col))
     rated = _rated(rows, solved, most, small)
     rated = rated.select("_row", _copies().alias("_n")).where("_n > 0")
-    return rated.select("_row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("copy"))
+    return rated.select("_row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias(free_name(docs, "copy")))
