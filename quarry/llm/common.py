@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one is set."""
+    """The session's ``spark.checkpoint.dir``. Only where that is unset and the session is local, as in tests, a temporary one is set; on a cluster the executors wouldn't share it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
     return context.getCheckpointDir()
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LOWER, UPPER
+from quarry.llm.common import LOWER, UPPER, cut
 
 _LOWER = str.maketrans(UPPER, LOWER)
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.DOTALL)
@@ -43,13 +43,18 @@ class Trie:
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         """(verdict, rule) of the longest match."""
+        found = self.ranked(host, path)
+        return found and found[1]
+
+    def ranked(self, host: str, path: str) -> tuple[tuple[int, int], tuple[str, str]] | None:
+        """((labels, path's length), (verdict, rule)) of the longest match."""
         node, segments, best = self.root, path.split("/"), None
-        for label in reversed(host.split(".")):
+        for k, label in enumerate(reversed(host.split("."))):
             node = node.get(label) if label != "/" else None
             if node is None:
                 break
-            if "/" in node:
-                best = self._path(node["/"], segments) or best
+            if "/" in node and (found := self._path(node["/"], segments)):
+                best = (k + 1, len(found[1]) - found[1].find("/") if "/" in found[1] else 0), found
         return best
 
     @staticmethod
@@ -68,19 +73,38 @@ class Trie:
 def judge(pages: DataFrame, entries: list[tuple[str, str, str]], *, default: str = "allow", id_col: str = "page_id", url_col: str = "url", most_entries: int = 1_000_000) -> DataFrame:
     """One row per page: its id, ``host``, ``path``, ``rule`` (null without a match) and ``verdict`` (``default`` without one).
 
-    The trie is broadcast, so the number of entries is checked against ``most_entries``. A null url has an empty host and path.
-    Repeated rows give repeated results; an empty table an empty one; other columns aren't read.
+    Tries of up to ``most_entries`` entries are broadcast. More entries are dealt out to several, through which the urls pass in turn, each pass a table in the shared folder; the
+    longest match of all counts, so the result is the same. A null or empty url has an empty host and path; very long urls are read whole. Of entries alike in host and path
+    the last one counts. Repeated rows give repeated results; an empty table an empty one; other columns aren't read, so their names can't clash.
     """
-    if len(entries) > most_entries:
-        raise ValueError(f"{len(entries)} entries are too many to broadcast; the bound is {most_entries}")
-    shared = pages.sparkSession.sparkContext.broadcast(Trie(entries))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), *[F.lit(None).cast(t).alias(c) for c, t in (("labels", "int"), ("length", "int"), ("rule", "string"), ("verdict", "string"))])
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, url string, labels int, length int, rule string, verdict string"
+    parts = [entries[k : k + most_entries] for k in range(0, len(entries), most_entries)] or [[]]
+    for k, part in enumerate(parts):
+        rows = (cut(rows) if k else rows).mapInArrow(_pass(pages.sparkSession.sparkContext.broadcast(Trie(part))), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split = [split_url(x) for x in batch.column(1).to_pylist()]
-            found = [shared.value.find(*x) for x in split]
-            cols = [[x[0] for x in split], [x[1] for x in split], [x and x[1] for x in found], [x[0] if x else default for x in found]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in cols)], names=["id", "host", "path", "rule", "verdict"])
+            found = [split_url(x) for x in batch.column(1).to_pylist()]
+            cols = [pa.array([x[k] for x in found], pa.string()) for k in (0, 1)]
+            verdicts = pa.array([x or default for x in batch.column(5).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, batch.column(4), verdicts], names=["id", "host", "path", "rule", "verdict"])
+
+    return rows.mapInArrow(split, f"id {rows.schema['id'].dataType.simpleString()}, host string, path string, rule string, verdict string")
+
 
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, host string, path string, rule string, verdict string")
+def _pass(shared):
+    """Put the match of a trie where it is at least as long as the one found before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for url, *before in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
+                found = shared.value.ranked(*split_url(url))
+                if found and (before[0] is None or found[0] >= (before[0], before[1])):
+                    before = [*found[0], found[1][1], found[1][0]]
+                out.append(before)
+            cols = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["id", "url", "labels", "length", "rule", "verdict"])
+
+    return run
