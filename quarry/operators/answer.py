@@ -110,7 +110,7 @@ def traces(answers: DataFrame, *, model: str) -> DataFrame:
         F.lit(model).alias("model"),
         number("input_tokens").alias("input_tokens"),
         number("output_tokens").alias("output_tokens"),
-        *[F.lit(None).cast("int").alias(c) for c in ("retrieval_ms", "llm_ms", "latency_ms")],
+        *[number(c).alias(c) for c in ("retrieval_ms", "llm_ms", "latency_ms")],
         F.lit(None).cast("string").alias("error"),
         F.lit(None).cast("string").alias("metadata"),
     )

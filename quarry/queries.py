@@ -13,7 +13,6 @@ from quarry.sources.files import scratch
 from quarry.streaming import arrivals
 
 TARGET = 60  # words of a piece
-QUERY_IDS = 50  # the first vectors are the queries of an evaluation
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -31,54 +30,55 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings")
 
 
-def _asked(spark: SparkSession, d: str, n: int) -> DataFrame:
-    return _vectors(spark, d).where(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), "embedding")
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 is a query."""
+    return _vectors(spark, d).where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 _AS = {"id_col": "vec_id", "vector_col": "embedding"}
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieve.dense_topk(_vectors(spark, d), _asked(spark, d, 5), 10, **_AS)
+    found = retrieve.dense_topk(_vectors(spark, d), _asked(spark, d), 10, **_AS)
     return found.select("qid", "vec_id", F.round("score", 6).alias("score"), _long("rank").alias("rank"))
 
 
 def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieve.dense_topk(_vectors(spark, d), _asked(spark, d, 5), 10, where=F.col("label") == 1, **_AS)
+    found = retrieve.dense_topk(_vectors(spark, d), _asked(spark, d), 10, where=F.col("label") == 1, **_AS)
     return found.select("qid", "vec_id", F.round("score", 6).alias("score"), _long("rank").alias("rank"))
 
 
 def dense_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieve.retrieve(_vectors(spark, d), _asked(spark, d, 5), Retrieval(), doc="label", **_AS)
+    found = retrieve.retrieve(_vectors(spark, d), _asked(spark, d), Retrieval(), doc="label", **_AS)
     return found.select("qid", "vec_id", _long("label").alias("label"), F.round("score", 6).alias("score"), _long("rank").alias("rank"))
 
 
 def cap_per_doc(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieve.dense_topk(_vectors(spark, d), _asked(spark, d, 20), 40, keep=("label",), **_AS)
+    found = retrieve.dense_topk(_vectors(spark, d), _asked(spark, d), 40, keep=("label",), **_AS)
     return retrieve.cap_per_doc(found, 3, doc="label").select("qid", "vec_id", _long("label").alias("label"), _long("rank").alias("rank"))
 
 
 def cosine_expression(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    one = v.where("vec_id = 0").select(F.col("embedding").alias("q"))  # one row
-    return v.join(F.broadcast(one)).select("vec_id", F.round(C.cosine("embedding", "q"), 6).alias("score"))
+    asked = F.broadcast(_asked(spark, d).withColumnRenamed("embedding", "q"))  # a stated set against all rows
+    return v.crossJoin(asked).select("qid", "vec_id", F.round(C.cosine("embedding", "q"), 6).alias("score"))
 
 
 def reciprocal_rank_fusion(spark: SparkSession, d: str) -> DataFrame:
-    first = retrieve.dense_topk(_vectors(spark, d), _asked(spark, d, 5), 20, **_AS)
-    second = retrieve.dense_topk(_vectors(spark, d), _asked(spark, d, 5), 20, where=F.col("label") == 1, **_AS)
+    first = retrieve.dense_topk(_vectors(spark, d), _asked(spark, d), 20, **_AS)
+    second = retrieve.dense_topk(_vectors(spark, d), _asked(spark, d), 20, where=F.col("label") == 1, **_AS)
     found = retrieve.fuse(first, second, 10, id_col="vec_id")
     return found.select("qid", "vec_id", F.round("score", 6).alias("score"), _long("rank").alias("rank"))
 
 
 _SCORES = """
   SELECT q.vec_id AS qid, p.vec_id, p.label, list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
-  FROM embeddings p, embeddings q WHERE q.vec_id < {n} {where}"""
+  FROM embeddings p, embeddings q WHERE q.vec_id % 20 = 0 {where}"""
 _RANKS = "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM ({scores})"
 
 
-def _ranked_sql(n: int, where: str = "") -> str:
-    return _RANKS.format(scores=_SCORES.format(n=n, where=where))
+def _ranked_sql(where: str = "") -> str:
+    return _RANKS.format(scores=_SCORES.format(where=where))
 
 
 # -- identity and text
@@ -196,16 +196,21 @@ def embed_stats(spark: SparkSession, d: str) -> DataFrame:
     return found.select("texts", "hits", "embedded", _long("api_calls").alias("api_calls"), "tokens", "usd")
 
 
+def _listed(vector: Column | str, scale: int) -> Column:
+    """A vector's numbers in units of 1 / scale, whole, comma-joined."""
+    return F.array_join(F.transform(vector, lambda x: F.round(x.cast("double") * scale).cast("long").cast("string")), ",")
+
+
 def embed_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The first three numbers of each distinct text's vector: made by the model function, and joined back to all documents."""
+    """Each distinct text's vector, made by the model function and joined back to all documents, as whole numbers of 1/1000."""
     keyed = _keyed(spark, d)
     none = spark.createDataFrame([], "key string")
     vectors = embed.embedded(embed.misses(keyed, none), embed.HashEmbedder())
-    return embed.joined(keyed, vectors).select("doc_id", *[F.round(F.element_at("vector", k + 1).cast("double"), 5).alias(f"v{k}") for k in range(3)])
+    return embed.joined(keyed, vectors).select("doc_id", _listed("vector", 1000).alias("vector"))
 
 
 def hash_vector(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", embed.hash_vector("text").alias("v")).select("doc_id", *[F.round(F.element_at("v", k + 1), 9).alias(f"v{k}") for k in range(3)])
+    return _docs(spark, d).select("doc_id", _listed(embed.hash_vector("text"), 100_000_000).alias("vector"))
 
 
 # -- incremental state: an old state is made from the table
@@ -231,11 +236,11 @@ def ingest_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ingest_report(spark: SparkSession, d: str) -> DataFrame:
-    return _planned(spark, d).groupBy("action").agg(F.count("*").alias("n"))
+    return spark.createDataFrame(list(ingest.counts(_planned(spark, d)).items()), "action string, n long").where("n > 0")  # four rows
 
 
 def prune(spark: SparkSession, d: str) -> DataFrame:
-    return _old_state(spark, d).join(_items(spark, d).select("uri"), "uri", "left_anti").select("uri", "doc_id")
+    return _planned(spark, d).where("action = 'prune'").select("uri", F.col("known_doc_id").alias("doc_id"))
 
 
 def upsert_snapshot(spark: SparkSession, d: str) -> DataFrame:
@@ -270,14 +275,35 @@ _OLD = """old AS (
 )"""
 
 
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as one chunk, with its document's payload."""
+    rows = _docs(spark, d).withColumn("doc_id", F.col("doc_id").cast("string"))
+    chunks = rows.select(F.concat(F.lit("c"), "doc_id").alias("chunk_id"), "doc_id", (F.col("doc_id").cast("int") % 4).alias("chunk_index"), "text", F.col("text").alias("embed_text"), F.when(F.col("lang") != "en", F.col("lang")).alias("kind"))
+    about = rows.select("doc_id", F.col("lang").alias("title"), F.concat(F.lit("0/"), "source").alias("uri"), "source", F.lit("txt").alias("doc_type"), F.lit(None).cast("timestamp").alias("last_modified"), F.lit(1).alias("pipeline_version"), F.array().cast("array<string>").alias("acl"))
+    return store.payload(chunks, about)
+
+
 def payload_project(spark: SparkSession, d: str) -> DataFrame:
-    docs, labels = _docs(spark, d), table(spark, d, "labels")
-    rows = docs.join(labels, "doc_id").select("doc_id", F.coalesce("source", F.lit("")).alias("uri"), F.coalesce("lang", F.lit("text")).alias("kind"), _long("quality").alias("quality"), _long("toxic").alias("toxic"), "n_chars")
-    return rows
+    return _points(spark, d).select("chunk_id", "doc_id", _long("chunk_index").alias("chunk_index"), "text", "kind", "title", "uri", "source", "doc_type", _long("pipeline_version").alias("pipeline_version"))
 
 
 def exact_count(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).groupBy("source").agg(F.count("*").alias("n"))
+    rows = _docs(spark, d)
+    return spark.createDataFrame([("all", store.count_points(rows)), ("src0", store.count_points(rows, F.col("source") == "src0")), ("none", store.count_points(rows, F.col("lang").isNull()))], "what string, n long")
+
+
+def with_new_cache_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose key the cache has stay as they are; of texts that repeat, the one with the smallest id is new."""
+    keyed = _keyed(spark, d).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    cache = keyed.where("doc_id % 3 = 0").select("key", F.lit("old").alias("model"))
+    return store.with_new_cache_rows(cache, keyed.select("key", F.lit("new").alias("model"))).select("key", "model")
+
+
+def retrieved(spark: SparkSession, d: str) -> DataFrame:
+    """Hits with their payload: ids divisible by seven as hits of their source's question, and some that no point has."""
+    hits = _docs(spark, d).where("doc_id % 7 = 0").select(F.col("source").alias("qid"), F.concat(F.when(F.col("doc_id") % 5 == 0, "x").otherwise("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.lit(0.5).alias("score"), F.col("doc_id").alias("rank"))
+    found = retrieve.retrieved(hits, _points(spark, d).withColumn("vector", F.lit(0)))
+    return found.select("qid", "chunk_id", "rank", "text", "kind", "uri")
 
 
 def scroll_doc(spark: SparkSession, d: str) -> DataFrame:
@@ -289,27 +315,28 @@ def scroll_doc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d).join(table(spark, d, "labels"), "doc_id")
-    order = Window.partitionBy("lang").orderBy("doc_id")
-    return docs.withColumn("rank", F.row_number().over(order)).where("rank <= 40").select(F.col("lang").alias("qid"), "doc_id", "rank", "n_chars", "text", "source")
+    """All labelled documents as hits: forty ids are a question's, in the order of ids."""
+    docs = _docs(spark, d).join(table(spark, d, "labels"), "doc_id").withColumn("qid", F.floor(F.col("doc_id") / 40))
+    order = Window.partitionBy("qid").orderBy("doc_id")
+    return docs.withColumn("rank", F.row_number().over(order)).select("qid", "doc_id", "rank", "n_chars", "text", "source", "lang")
 
 
 def assemble_budget(spark: SparkSession, d: str) -> DataFrame:
-    found = assemble.within_budget(_hits(spark, d), 30_000, cost="n_chars")
+    found = assemble.within_budget(_hits(spark, d), 12_000, cost="n_chars")
     return found.select("qid", "doc_id", _long("rank").alias("rank"), _long("so_far").alias("so_far"))
 
 
 def render_document(spark: SparkSession, d: str) -> DataFrame:
     rows = _hits(spark, d).withColumns({"title": F.concat(F.lit('A "b" & <'), "source", F.lit("'s>")), "uri": F.col("source"), "page_start": F.when(F.col("doc_id") % 3 > 0, F.lit(3)), "page_end": F.when(F.col("doc_id") % 3 == 2, F.lit(5)), "breadcrumb": F.when(F.col("doc_id") % 2 == 0, F.lit("x > y"))})
-    return assemble.rendered(rows.withColumn("text", F.substring("text", 1, 40))).select("qid", "doc_id", "block")
+    return assemble.rendered(rows).select("qid", "doc_id", "block")
 
 
 def citations_extract(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations")
-    draft = F.concat(F.substring("text", 1, 20), F.lit(" ["), (F.col("turn") % 4).cast("string"), F.lit("] and [7] , so [2][1]."))
+    draft = F.concat("text", F.lit(" ["), (F.col("turn") % 4).cast("string"), F.lit("] and [7] , so [2][1]."))
     numbers = answer.valid_numbers("draft", F.array(F.lit(1), F.lit(9)), F.lit(3))
     rows = turns.withColumn("draft", draft).withColumn("numbers", numbers).withColumn("answer", answer.cleaned("draft", F.col("numbers")))
-    return rows.select("conv_id", "turn", F.array_join(F.transform("numbers", lambda x: x.cast("string")), ",").alias("numbers"), F.element_at(F.split("answer", r"\[(?=[123]\])"), -1).alias("tail"))
+    return rows.select("conv_id", "turn", F.array_join(F.transform("numbers", lambda x: x.cast("string")), ",").alias("numbers"), "answer")
 
 
 # -- evaluation
@@ -334,8 +361,8 @@ def golden_match(spark: SparkSession, d: str) -> DataFrame:
 
 def _ranks(spark: SparkSession, d: str) -> DataFrame:
     """The expected entry of a query is any other vector of its label."""
-    hits = retrieve.dense_topk(_vectors(spark, d), _asked(spark, d, QUERY_IDS), 11, keep=("label",), **_AS)
-    wanted = _vectors(spark, d).where(F.col("vec_id") < QUERY_IDS).select(F.col("vec_id").alias("qid"), F.col("label").alias("wanted"))
+    hits = retrieve.dense_topk(_vectors(spark, d), _asked(spark, d), 11, keep=("label",), **_AS)
+    wanted = _vectors(spark, d).where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("wanted"))
     others = retrieve.cut_to(hits.where("qid != vec_id"), 10)
     met = others.join(wanted, "qid").where("label = wanted").groupBy("qid").agg(F.min("rank").alias("rank"))
     return wanted.select("qid").join(met, "qid", "left")
@@ -351,11 +378,44 @@ def first_hit_rank(spark: SparkSession, d: str) -> DataFrame:
     return found.select("qid", F.coalesce(_long("first_hit_rank"), F.lit(0).cast("long")).alias("first_hit_rank"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "hit_5")
 
 
+def _golden(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of forty ids: by chunk, by file and place, by file and words, and by a file that isn't there. Every fifth expects a refusal."""
+    ids = _docs(spark, d).select(F.floor(F.col("doc_id") / 40).alias("id")).distinct()
+    none = lambda **known: F.struct(*[known.get(n, F.lit(None).cast(t)).alias(n) for n, t in (("uri", "string"), ("chunk_index", "int"), ("chunk_id", "string"), ("span", "string"))])
+    entries = F.array(none(chunk_id=F.concat(F.lit("c"), (F.col("id") * 40 + 7).cast("string"))), none(uri=F.lit("any/src3"), chunk_index=F.lit(2)), none(uri=F.lit("src5"), span=F.lit(" THE  of ")), none(uri=F.lit("src99"), chunk_index=F.lit(0)))
+    return ids.select("id", entries.alias("expected"), F.when(F.col("id") % 5 == 0, "refusal").otherwise("factual").alias("kind"))
+
+
+def _golden_hits(spark: SparkSession, d: str) -> DataFrame:
+    rows = _points(spark, d).withColumn("n", F.col("doc_id").cast("long"))
+    return rows.select(F.floor(F.col("n") / 40).alias("qid"), (F.col("n") % 40 + 1).alias("rank"), "chunk_id", "uri", "chunk_index", "text")
+
+
+def first_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.first_ranks(_golden(spark, d), _golden_hits(spark, d)).select("qid", _long("entry").alias("entry"), _long("rank").alias("rank"))
+
+
+def _answer_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Each question's answer cites the chunks of ids divisible by three; every fourth is refused."""
+    cites = _golden_hits(spark, d).where("rank % 3 = 0").groupBy("qid").agg(F.collect_list(F.struct("chunk_id")).alias("cited"))
+    answers = _golden(spark, d).select(F.col("id").alias("qid"), (F.col("id") % 4 == 0).alias("refused")).join(cites, "qid", "left").withColumn("cited", F.when(~F.col("refused"), F.col("cited")))
+    return evaluate.answer_scores(_golden(spark, d), answers, _points(spark, d))
+
+
+def answer_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _answer_scores(spark, d).select("qid", "refusal", "refused", "refusal_correct", F.round("citation_precision", 6).alias("citation_precision"), "citation_hit")
+
+
 def eval_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Labels as judged answers: toxic ones were refused, quality is a citation's match, and every fifth question expects a refusal."""
-    rows = table(spark, d, "labels").select(F.col("doc_id").alias("qid"), (F.col("doc_id") % 5 == 0).alias("refusal"), (F.col("toxic") == 1).alias("refused"), F.when(F.col("doc_id") % 4 != 0, F.col("quality").cast("double")).alias("citation_precision"))
-    scores = rows.withColumn("refusal_correct", F.col("refused") == F.col("refusal")).withColumn("citation_hit", F.coalesce("citation_precision", F.lit(0.0)) > 0)
-    return evaluate.answer_summary(scores).select("metric", F.round("value", 6).alias("value"))
+    return evaluate.answer_summary(_answer_scores(spark, d)).select("metric", F.round("value", 6).alias("value"))
+
+
+def trace_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Questions' answers as traces: two chunks each, the second one cited."""
+    pair = F.array(*[F.struct(F.concat(F.lit("c"), (F.col("id") * 40 + k).cast("string")).alias("chunk_id"), F.col("id").cast("string").alias("doc_id"), (F.col("id") / 3).alias("score")) for k in (0, 1)])
+    rows = _golden(spark, d).select(F.col("id").alias("qid"), F.concat(F.lit("q"), F.col("id").cast("string")).alias("question"), pair.alias("chunks"), F.concat(F.lit("a"), F.col("id").cast("string")).alias("answer"), (F.col("id") % 4 == 0).alias("refused"), (F.col("id") % 9).cast("int").alias("latency_ms"))
+    found = answer.traces(rows.withColumn("cited", F.slice("chunks", 2, 1)), model="m")
+    return found.select("query", "answer", "refused", "model", _long("latency_ms").alias("latency_ms"), F.array_join("cited_chunk_ids", ",").alias("cited"), F.get("retrieved", F.lit(1))["score"].alias("score"))
 
 
 def baseline_compare(spark: SparkSession, d: str) -> DataFrame:
@@ -373,10 +433,6 @@ def dedupe_questions(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.deduplicated(table(spark, d, "conversations"), question="text", order=("conv_id", "turn")).select("conv_id", "turn")
 
 
-def trace_latency(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("longest"), F.count_if(F.col("value") > 50).alias("slow"))
-
-
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return arrivals.event_counts(table(spark, d, "events"))
 
@@ -389,7 +445,7 @@ def smoke_rate(spark: SparkSession, d: str) -> DataFrame:
     """Labelled documents as smoke questions: each cites itself, expects a file of its own source, and toxic ones are refused."""
     docs = _docs(spark, d).join(table(spark, d, "labels"), "doc_id")
     expected = docs.select(F.col("doc_id").alias("qid"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("0/"), "source")).alias("expect_file"), F.when(F.col("doc_id") % 2 > 0, F.substring("text", 3, 9)).alias("expect_text"), (F.col("doc_id") % 10 == 0).alias("expect_refusal"))
-    given = docs.select(F.col("doc_id").alias("qid"), F.substring("text", 1, 30).alias("answer"), (F.col("toxic") == 1).alias("refused"), F.array(F.struct(F.concat((F.col("doc_id") % 20).cast("string"), F.lit("/"), "source").alias("uri"))).alias("cited"))
+    given = docs.select(F.col("doc_id").alias("qid"), F.col("text").alias("answer"), (F.col("toxic") == 1).alias("refused"), F.array(F.struct(F.concat((F.col("doc_id") % 20).cast("string"), F.lit("/"), "source").alias("uri"))).alias("cited"))
     found = evaluate.smoke_rate(evaluate.smoke(expected, given))
     return found.select("n", "failed", F.round("rate", 6).alias("rate"))
 
@@ -420,6 +476,27 @@ def plain_text(spark: SparkSession, d: str) -> DataFrame:
     return _parsed_pages(spark, d).select("uri", parse.plain_text("blocks").alias("text"), parse.page_count("blocks").isNull().alias("no_pages"))
 
 
+def _parts(spark: SparkSession, d: str, text: Column, extension: str) -> DataFrame:
+    from quarry.sources.files import table_as_files
+
+    return parse.parsed(table_as_files(table(spark, d, "part").withColumn("text", text), source="parts", uri="p_partkey", content="text", extension=extension))
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    rows = docs.select("uri", F.posexplode("blocks").alias("i", "b"))
+    return rows.select("uri", _long("i").alias("i"), "b.type", "b.text", F.coalesce(_long("b.level"), F.lit(0).cast("long")).alias("level"), F.coalesce("b.table_html", F.lit("")).alias("html"), F.coalesce("b.language", F.lit("")).alias("language"))
+
+
+def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
+    text = F.format_string("# %s\n\nPart **%d** of `%s`,\nin [stock](http://x.y).\n\n## Details\n\n- size %d\n  - type %s\n- end\n\n| brand | size |\n| --- | --- |\n| %s | %d |\n\n```sql\nselect %d\n```\n", *[F.col(f"p_{c}") for c in ("name", "partkey", "brand", "size", "type", "brand", "size", "partkey")])
+    return _blocks(_parts(spark, d, text, "md"))
+
+
+def html_lists(spark: SparkSession, d: str) -> DataFrame:
+    text = F.format_string("<html><body><ul><li>%s <b>x</b><ol><li>%s<li>deep<ul><li>er</ul></ol></li><li>%s</ul><table><thead><tr><th>k<th>v</thead><tr><td>%d<td>a<table><tr><td>in</table></tr><tr></tr><tr><td>one</table><pre><code class=\"language-sql\">select %d</code></pre></body></html>", *[F.col(f"p_{c}") for c in ("name", "brand", "type", "partkey", "partkey")])
+    return _blocks(_parts(spark, d, text, "html"))
+
+
 def _nations(spark: SparkSession, d: str) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
     return table(spark, d, "nation").groupBy("n_regionkey").agg(F.transform(rows, lambda r: F.array(r["n_nationkey"].cast("string"), F.concat(r["n_name"], F.lit(" | x")))).alias("rows"))
@@ -439,19 +516,19 @@ def pages_without_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25(spark: SparkSession, d: str) -> DataFrame:
-    queries = table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("text"))
+    queries = table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("qid"), "text")
     found = retrieve.bm25_topk(_docs(spark, d), queries, 5, id_col="doc_id")
     return found.select("qid", "doc_id", F.round("score", 5).alias("score"), _long("rank").alias("rank"))
 
 
-_HITS = f"""hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM ({_ranked_sql(QUERY_IDS)} QUALIFY rank <= 11) WHERE qid <> vec_id),
-  wanted AS (SELECT vec_id AS qid, label AS wanted FROM embeddings WHERE vec_id < {QUERY_IDS}),
+_HITS = f"""hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM ({_ranked_sql()} QUALIFY rank <= 11) WHERE qid <> vec_id),
+  wanted AS (SELECT vec_id AS qid, label AS wanted FROM embeddings WHERE vec_id % 20 = 0),
   ranks AS (SELECT w.qid, min(h.place) FILTER (h.place <= 10 AND h.label = w.wanted) AS rank FROM wanted w LEFT JOIN hits h USING (qid) GROUP BY w.qid)"""
 _METRICS = ", ".join(f"avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END) AS r{k}" for k in evaluate.KS)
 _SUMMARY = f"""summary AS (SELECT avg(coalesce(1.0 / rank, 0)) AS mrr, {_METRICS} FROM ranks), metrics AS (SELECT 'mrr' AS metric, round(mrr, 6) AS value FROM summary """ + " ".join(
     f"UNION ALL SELECT '{m}@{k}', round(r{k}, 6) FROM summary" for k in evaluate.KS for m in ("recall", "hit")
 ) + ")"
-_LABELLED = "labelled AS (SELECT d.*, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents d JOIN labels USING (doc_id) QUALIFY rank <= 40)"
+_LABELLED = "labelled AS (SELECT d.*, d.doc_id // 40 AS qid, row_number() OVER (PARTITION BY d.doc_id // 40 ORDER BY d.doc_id) AS rank FROM documents d JOIN labels USING (doc_id))"
 _BM_TERMS = r"list_filter(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 _H1 = r"regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
 _TITLE = r"regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -484,24 +561,37 @@ _PACK = rf"""WITH RECURSIVE s AS (
   UNION ALL SELECT n.doc_id, n.i, CASE WHEN p.cur > 0 AND p.cur + n.n <= {TARGET} THEN p.cur + n.n ELSE n.n END, CASE WHEN p.cur > 0 AND p.cur + n.n <= {TARGET} THEN p.piece ELSE p.piece + 1 END FROM p JOIN n ON n.doc_id = p.doc_id AND n.i = p.i + 1
 ), pieces AS (SELECT doc_id, piece AS i, string_agg(s, ' ' ORDER BY n.i) AS piece, CAST(sum(n) AS BIGINT) AS tokens FROM p JOIN n USING (doc_id, i) GROUP BY doc_id, p.piece)"""
 
+_POINTS_SQL = "'c' || doc_id AS chunk_id, CAST(doc_id AS VARCHAR) AS doc_id, doc_id % 4 AS chunk_index, text, '0/' || source AS uri"
+_GOLDEN = rf"""points AS (SELECT *, doc_id // 40 AS qid, doc_id % 40 + 1 AS rank, contains({_NORM.format(x="text")}, 'the of') AS words FROM documents),
+  entries AS (SELECT qid, rank, unnest([0, 1, 2, 3]) AS entry, unnest([doc_id % 40 = 7, source = 'src3' AND doc_id % 4 = 2, source = 'src5' AND words, false]) AS met FROM points)"""
+_SCORED = """cites AS (SELECT qid, rank, bool_or(met) AS met FROM entries WHERE rank % 3 = 0 AND qid % 4 <> 0 AND qid % 5 <> 0 GROUP BY qid, rank),
+  scored AS (SELECT q.qid, q.qid % 5 = 0 AS refusal, q.qid % 4 = 0 AS refused, p FROM (SELECT DISTINCT qid FROM points) q LEFT JOIN (SELECT qid, avg(CAST(met AS DOUBLE)) AS p FROM cites GROUP BY qid) USING (qid))"""
+def _blocks_sql(extension: str, *blocks: tuple) -> str:
+    """The blocks (type, text, level, table_html, language), given as SQL, of a document for each part."""
+    rows = ", ".join(f"{{'i': {i}, 'type': '{kind}', 'text': {text}, 'level': {level}, 'html': {html}, 'language': '{language}'}}" for i, (kind, text, level, html, language) in enumerate(blocks))
+    return f"SELECT uri, CAST(b.i AS BIGINT) AS i, b.type AS type, b.text AS text, CAST(b.level AS BIGINT) AS level, b.html AS html, b.language AS language FROM (SELECT p_partkey || '.{extension}' AS uri, unnest([{rows}]) AS b FROM part)"
+
+
+_HASH_VECTOR = """WITH b AS (SELECT doc_id, list_transform(range(0, 32), lambda i: (CAST('0x' || substr(sha256(text), CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) - 128) / 128) AS v FROM documents), l AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM b)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         dense_retrieve, dense_topk, dense_topk_filtered, cap_per_doc, cosine_expression, reciprocal_rank_fusion, doc_id, content_hash, cache_key, token_count, normalize_text, norm_span, sentences, snippet, file_names, supported_files,
         sentence_pack, chunk_ids, chunk_overlap, min_words, seeded_sample, cache_misses, embed_stats, embed_vectors, hash_vector, ingest_plan, ingest_report, prune, upsert_snapshot, list_documents, find_document, cached_vectors,
-        payload_project, exact_count, scroll_doc, assemble_budget, render_document, citations_extract, golden_match, recall_at_k, first_hit_rank, eval_summary, baseline_compare, duplicate_ids, dedupe_questions, trace_latency,
-        event_windows, stream_windows, smoke_rate, html_title, html_h1, html_blocks, plain_text, md_table, html_table, pages_without_text, bm25,
+        payload_project, exact_count, scroll_doc, assemble_budget, render_document, citations_extract, golden_match, first_ranks, answer_scores, trace_rows, recall_at_k, first_hit_rank, eval_summary, baseline_compare, duplicate_ids, dedupe_questions, with_new_cache_rows, retrieved,
+        event_windows, stream_windows, smoke_rate, html_title, html_h1, html_blocks, markdown_blocks, html_lists, plain_text, md_table, html_table, pages_without_text, bm25,
     )
 }
 
 ORACLES = {
-    "dense_topk": f"SELECT qid, vec_id, round(score, 6) AS score, rank FROM ({_ranked_sql(5)}) WHERE rank <= 10",
-    "dense_topk_filtered": f"SELECT qid, vec_id, round(score, 6) AS score, rank FROM ({_ranked_sql(5, 'AND p.label = 1')}) WHERE rank <= 10",
+    "dense_topk": f"SELECT qid, vec_id, round(score, 6) AS score, rank FROM ({_ranked_sql()}) WHERE rank <= 10",
+    "dense_topk_filtered": f"SELECT qid, vec_id, round(score, 6) AS score, rank FROM ({_ranked_sql('AND p.label = 1')}) WHERE rank <= 10",
     "dense_retrieve": f"""SELECT qid, vec_id, CAST(label AS BIGINT) AS label, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank
-      FROM (SELECT * FROM ({_ranked_sql(5)}) WHERE rank <= 40 QUALIFY row_number() OVER (PARTITION BY qid, label ORDER BY rank) <= 3) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) <= 8""",
-    "cap_per_doc": f"SELECT qid, vec_id, CAST(label AS BIGINT) AS label, rank FROM ({_ranked_sql(20)}) WHERE rank <= 40 QUALIFY row_number() OVER (PARTITION BY qid, label ORDER BY rank) <= 3",
-    "cosine_expression": "SELECT p.vec_id, round(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings p, embeddings q WHERE q.vec_id = 0",
-    "reciprocal_rank_fusion": f"""WITH f AS (SELECT qid, vec_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM ({_ranked_sql(5)}) WHERE rank <= 20 UNION ALL SELECT * FROM ({_ranked_sql(5, 'AND p.label = 1')}) WHERE rank <= 20) GROUP BY ALL)
+      FROM (SELECT * FROM ({_ranked_sql()}) WHERE rank <= 40 QUALIFY row_number() OVER (PARTITION BY qid, label ORDER BY rank) <= 3) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) <= 8""",
+    "cap_per_doc": f"SELECT qid, vec_id, CAST(label AS BIGINT) AS label, rank FROM ({_ranked_sql()}) WHERE rank <= 40 QUALIFY row_number() OVER (PARTITION BY qid, label ORDER BY rank) <= 3",
+    "cosine_expression": "SELECT q.vec_id AS qid, p.vec_id, round(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings p, embeddings q WHERE q.vec_id % 20 = 0",
+    "reciprocal_rank_fusion": f"""WITH f AS (SELECT qid, vec_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM ({_ranked_sql()}) WHERE rank <= 20 UNION ALL SELECT * FROM ({_ranked_sql('AND p.label = 1')}) WHERE rank <= 20) GROUP BY ALL)
       SELECT qid, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM f QUALIFY rank <= 10""",
     "doc_id": f"SELECT doc_id, {_uuid_sql('''source || ':' || doc_id''')} AS uuid FROM documents",
     "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
@@ -520,10 +610,8 @@ ORACLES = {
     "cache_misses": "SELECT DISTINCT sha256(text || chr(0) || 'm' || chr(0) || '64') AS key FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0)",
     "embed_stats": f"""WITH m AS (SELECT DISTINCT text FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0)), t AS (SELECT count(*) AS embedded, CAST(sum({_TOKENS.format(x='text')}) AS BIGINT) AS tokens FROM m)
       SELECT (SELECT count(*) FROM documents) AS texts, (SELECT count(*) FROM documents) - embedded AS hits, embedded, CAST(ceil(embedded / 256) AS BIGINT) AS api_calls, tokens, round(tokens / 1e6 * 0.13, 9) AS usd FROM t""",
-    "hash_vector": """WITH b AS (SELECT doc_id, list_transform(range(0, 32), lambda i: (CAST('0x' || substr(sha256(text), CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) - 128) / 128) AS v FROM documents), l AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM b)
-      SELECT doc_id, round(v[1] / n, 9) AS v0, round(v[2] / n, 9) AS v1, round(v[3] / n, 9) AS v2 FROM l""",
-    "embed_vectors": """WITH b AS (SELECT doc_id, list_transform(range(0, 32), lambda i: (CAST('0x' || substr(sha256(text), CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) - 128) / 128) AS v FROM documents), l AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM b)
-      SELECT doc_id, round(CAST(CAST(v[1] / n AS FLOAT) AS DOUBLE), 5) AS v0, round(CAST(CAST(v[2] / n AS FLOAT) AS DOUBLE), 5) AS v1, round(CAST(CAST(v[3] / n AS FLOAT) AS DOUBLE), 5) AS v2 FROM l""",
+    "hash_vector": f"{_HASH_VECTOR} SELECT doc_id, array_to_string(list_transform(v, lambda x: CAST(round(x / n * 100000000) AS BIGINT)), ',') AS vector FROM l",
+    "embed_vectors": f"{_HASH_VECTOR} SELECT doc_id, array_to_string(list_transform(v, lambda x: CAST(round(CAST(CAST(x / n AS FLOAT) AS DOUBLE) * 1000) AS BIGINT)), ',') AS vector FROM l",
     "ingest_plan": f"WITH {_OLD} SELECT uri, action FROM planned",
     "ingest_report": f"WITH {_OLD} SELECT action, count(*) AS n FROM planned GROUP BY action",
     "prune": f"WITH {_OLD} SELECT uri, doc_id FROM old ANTI JOIN items USING (uri)",
@@ -532,38 +620,64 @@ ORACLES = {
     "list_documents": "SELECT source, 'doc/' || doc_id AS uri, sha256(text) AS content_hash FROM documents WHERE source = 'src0' AND starts_with('doc/' || doc_id, 'doc/1') ORDER BY uri",
     "find_document": "SELECT source, 'doc/' || doc_id AS uri, sha256(text) AS content_hash FROM documents WHERE source = 'src0' AND doc_id = 40",
     "cached_vectors": "SELECT doc_id, text IN (SELECT text FROM documents WHERE doc_id % 3 = 0) AS hit FROM documents",
-    "payload_project": "SELECT doc_id, coalesce(source, '') AS uri, coalesce(lang, 'text') AS kind, CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic, n_chars FROM documents JOIN labels USING (doc_id)",
-    "exact_count": "SELECT source, count(*) AS n FROM documents GROUP BY source",
+    "payload_project": f"SELECT {_POINTS_SQL}, lang AS title, source, 'txt' AS doc_type, CAST(1 AS BIGINT) AS pipeline_version, CASE WHEN lang <> 'en' THEN lang END AS kind FROM documents",
+    "exact_count": "SELECT 'all' AS what, count(*) AS n FROM documents UNION ALL SELECT 'src0', count(*) FILTER (source = 'src0') FROM documents UNION ALL SELECT 'none', count(*) FILTER (lang IS NULL) FROM documents",
+    "with_new_cache_rows": "SELECT sha256(text || chr(0) || 'm' || chr(0) || '64') AS key, CASE WHEN min(doc_id) % 3 = 0 THEN 'old' ELSE 'new' END AS model FROM documents GROUP BY text",
+    "retrieved": "SELECT source AS qid, 'c' || doc_id AS chunk_id, doc_id AS rank, text, CASE WHEN lang <> 'en' THEN lang ELSE 'text' END AS kind, '0/' || source AS uri FROM documents WHERE doc_id % 7 = 0 AND doc_id % 5 <> 0",
     "scroll_doc": "SELECT conv_id AS doc_id, turn AS chunk_index, role, text FROM conversations WHERE conv_id = 1 ORDER BY turn",
-    "assemble_budget": f"WITH {_LABELLED} SELECT lang AS qid, doc_id, rank, CAST(sum(n_chars) OVER (PARTITION BY lang ORDER BY rank) AS BIGINT) AS so_far FROM labelled QUALIFY so_far <= 30000 OR rank = 1",
+    "assemble_budget": f"WITH {_LABELLED} SELECT qid, doc_id, rank, CAST(sum(n_chars) OVER (PARTITION BY qid ORDER BY rank) AS BIGINT) AS so_far FROM labelled QUALIFY so_far <= 12000 OR rank = 1",
     "render_document": f"""WITH {_LABELLED}, x AS (SELECT *, 'A "b" & <' || source || '''s>' AS title FROM labelled)
-      SELECT lang AS qid, doc_id, '<document id="' || rank || '" title=' || {_attribute_sql('title')} || ' uri=' || {_attribute_sql('source')} || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' page="3"' ELSE ' page="3-5"' END || '>' || chr(10)
-        || CASE WHEN doc_id % 2 = 0 THEN 'x > y' || chr(10) || chr(10) ELSE '' END || substr(text, 1, 40) || chr(10) || '</document>' AS block FROM x""",
-    "citations_extract": """SELECT conv_id, turn, CASE turn % 4 WHEN 2 THEN '2,1' WHEN 1 THEN '1,2' WHEN 3 THEN '3,2,1' ELSE '2,1' END AS numbers, '1].' AS tail FROM conversations""",
+      SELECT qid, doc_id, '<document id="' || rank || '" title=' || {_attribute_sql('title')} || ' uri=' || {_attribute_sql('source')} || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' page="3"' ELSE ' page="3-5"' END || '>' || chr(10)
+        || CASE WHEN doc_id % 2 = 0 THEN 'x > y' || chr(10) || chr(10) ELSE '' END || text || chr(10) || '</document>' AS block FROM x""",
+    "citations_extract": r"""SELECT conv_id, turn, CASE turn % 4 WHEN 2 THEN '2,1' WHEN 1 THEN '1,2' WHEN 3 THEN '3,2,1' ELSE '2,1' END AS numbers,
+      trim(regexp_replace(regexp_replace(text || ' ' || CASE WHEN turn % 4 = 0 THEN '' ELSE '[' || turn % 4 || ']' END || ' and  , so [2][1].', '[ \t]{2,}', ' ', 'g'), '[ \t]+([.,;:])', '\1', 'g')) AS answer FROM conversations""",
     "golden_match": f"WITH d AS (SELECT doc_id, {_NORM.format(x='text')} AS t FROM documents), i AS (SELECT item_id, {_NORM.format(x='text')} AS s FROM benchmark) SELECT item_id, doc_id FROM i JOIN d ON contains(t, s) WHERE s <> ''",
     "recall_at_k": f"WITH {_HITS}, {_SUMMARY} SELECT * FROM metrics",
     "first_hit_rank": f"WITH {_HITS} SELECT qid, coalesce(rank, 0) AS first_hit_rank, round(coalesce(1.0 / rank, 0), 6) AS reciprocal_rank, CAST(coalesce(rank <= 5, false) AS DOUBLE) AS hit_5 FROM ranks",
-    "eval_summary": """WITH x AS (SELECT doc_id % 5 = 0 AS refusal, toxic = 1 AS refused, CASE WHEN doc_id % 4 <> 0 THEN CAST(quality AS DOUBLE) END AS p FROM labels)
-      SELECT 'false_refusal_rate' AS metric, round(avg(CAST(refused AS DOUBLE)) FILTER (NOT refusal), 6) AS value FROM x UNION ALL SELECT 'refusal_accuracy', round(avg(CAST(refused AS DOUBLE)) FILTER (refusal), 6) FROM x
-      UNION ALL SELECT 'citation_precision', round(avg(p) FILTER (NOT refusal), 6) FROM x UNION ALL SELECT 'citation_hit_rate', round(avg(CASE WHEN coalesce(p, 0) > 0 THEN 1.0 ELSE 0.0 END) FILTER (NOT refusal), 6) FROM x""",
+    "first_ranks": f"WITH {_GOLDEN} SELECT qid, entry, CAST(min(rank) FILTER (met) AS BIGINT) AS rank FROM entries GROUP BY qid, entry",
+    "answer_scores": f"WITH {_GOLDEN}, {_SCORED} SELECT qid, refusal, refused, refused = refusal AS refusal_correct, round(p, 6) AS citation_precision, coalesce(p, 0) > 0 AS citation_hit FROM scored",
+    "eval_summary": f"""WITH {_GOLDEN}, {_SCORED}
+      SELECT 'false_refusal_rate' AS metric, round(avg(CAST(refused AS DOUBLE)) FILTER (NOT refusal), 6) AS value FROM scored UNION ALL SELECT 'refusal_accuracy', round(avg(CAST(refused AS DOUBLE)) FILTER (refusal), 6) FROM scored
+      UNION ALL SELECT 'citation_precision', round(avg(p) FILTER (NOT refusal), 6) FROM scored UNION ALL SELECT 'citation_hit_rate', round(avg(CASE WHEN coalesce(p, 0) > 0 THEN 1.0 ELSE 0.0 END) FILTER (NOT refusal), 6) FROM scored""",
+    "trace_rows": "SELECT 'q' || id AS query, 'a' || id AS answer, id % 4 = 0 AS refused, 'm' AS model, id % 9 AS latency_ms, 'c' || (id * 40 + 1) AS cited, round(id / 3, 4) AS score FROM (SELECT DISTINCT doc_id // 40 AS id FROM documents)",
     "baseline_compare": f"""WITH {_HITS}, {_SUMMARY}, base AS (SELECT metric, value + 0.125 AS value FROM metrics WHERE metric <> 'hit@10' UNION ALL SELECT 'judge_x', 0.5)
       SELECT coalesce(b.metric, c.metric) AS metric, round(b.value, 6) AS baseline, c.value AS current, round(c.value - b.value, 6) AS delta FROM base b FULL JOIN metrics c ON b.metric = c.metric""",
     "duplicate_ids": "SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1",
     "dedupe_questions": f"SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY {_NORM.format(x='text')} ORDER BY conv_id, turn) = 1",
-    "trace_latency": "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, max(value) AS longest, count(*) FILTER (value > 50) AS slow FROM events GROUP BY event_type",
     "event_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "stream_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
-    "smoke_rate": f"""WITH x AS (SELECT doc_id, toxic = 1 AS refused, doc_id % 3 = 0 OR doc_id % 10 = 0 AS file, doc_id % 2 = 0 OR contains({_NORM.format(x='substr(text, 1, 30)')}, {_NORM.format(x='substr(text, 3, 9)')}) AS held FROM documents JOIN labels USING (doc_id)),
+    "smoke_rate": f"""WITH x AS (SELECT doc_id, toxic = 1 AS refused, doc_id % 3 = 0 OR doc_id % 10 = 0 AS file, doc_id % 2 = 0 OR contains({_NORM.format(x='text')}, {_NORM.format(x='substr(text, 3, 9)')}) AS held FROM documents JOIN labels USING (doc_id)),
       y AS (SELECT CASE WHEN doc_id % 10 = 0 THEN refused ELSE NOT refused AND file AND held END AS passed FROM x) SELECT count(*) AS n, count(*) FILTER (NOT passed) AS failed, round(avg(CAST(passed AS DOUBLE)), 6) AS rate FROM y""",
     "html_title": f"SELECT page_id || '.html' AS uri, trim(regexp_replace({_unescaped(_TITLE)}, '\\s+', ' ', 'g')) AS title FROM pages",
     "html_h1": f"SELECT page_id || '.html' AS uri, trim(regexp_replace({_unescaped(_H1)}, '\\s+', ' ', 'g')) AS h1 FROM pages",
     "html_blocks": f"SELECT {_uuid_sql(chr(39) + 'pages:' + chr(39) + ' || page_id || ' + chr(39) + '.html' + chr(39))} AS doc_id, i AS block_index, CASE WHEN head THEN 'heading' ELSE 'paragraph' END AS type, text, CAST(CASE WHEN head THEN 1 ELSE 0 END AS BIGINT) AS level FROM ({_BLOCKS})",
     "plain_text": f"SELECT page_id || '.html' AS uri, string_agg(text, chr(10) || chr(10) ORDER BY i) AS text, true AS no_pages FROM ({_BLOCKS}) GROUP BY page_id",
+    "markdown_blocks": _blocks_sql(
+        "md",
+        ("heading", "p_name", 1, "''", ""),
+        ("paragraph", "'Part ' || p_partkey || ' of ' || p_brand || ', in stock.'", 0, "''", ""),
+        ("heading", "'Details'", 2, "''", ""),
+        ("list_item", "'size ' || p_size", 1, "''", ""),
+        ("list_item", "'type ' || p_type", 2, "''", ""),
+        ("list_item", "'end'", 1, "''", ""),
+        ("table", "'| brand | size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_brand || ' | ' || p_size || ' |'", 0, "'<table><thead><tr><th>brand</th><th>size</th></tr></thead><tbody><tr><td>' || p_brand || '</td><td>' || p_size || '</td></tr></tbody></table>'", ""),
+        ("code", "'select ' || p_partkey", 0, "''", "sql"),
+    ),
+    "html_lists": _blocks_sql(
+        "html",
+        ("list_item", "p_name || ' x'", 1, "''", ""),
+        ("list_item", "p_brand", 2, "''", ""),
+        ("list_item", "'deep'", 2, "''", ""),
+        ("list_item", "'er'", 3, "''", ""),
+        ("list_item", "p_type", 1, "''", ""),
+        ("table", "'| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_partkey || ' | ain |' || chr(10) || '| one |  |'", 0, "'<table><thead><tr><th>k</th><th>v</th></tr></thead><tbody><tr><td>' || p_partkey || '</td><td>ain</td></tr><tr><td>one</td></tr></tbody></table>'", ""),
+        ("code", "'select ' || p_partkey", 0, "''", "sql"),
+    ),
     "md_table": """SELECT n_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' \\| x |', chr(10) ORDER BY n_nationkey) AS md FROM nation GROUP BY n_regionkey""",
     "html_table": """SELECT n_regionkey, '<table><thead><tr><th>key</th><th>name &amp; &lt;more&gt;</th></tr></thead><tbody>' || string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || ' | x</td></tr>', '' ORDER BY n_nationkey) || '</tbody></table>' AS html FROM nation GROUP BY n_regionkey""",
     "pages_without_text": """SELECT conv_id, coalesce(array_to_string(list_filter(range(1, 9), lambda x: NOT list_contains(list(turn) FILTER (trim(coalesce(text, '')) <> ''), x)), ','), '') AS pages FROM conversations GROUP BY conv_id""",
     "bm25": f"""WITH t AS (SELECT doc_id, {_BM_TERMS.format(x='text')} AS ts FROM documents), st AS (SELECT count(*) AS total, avg(len(ts)) AS mean FROM t), e AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM t),
-      c AS (SELECT doc_id, n, term, count(*) AS tf FROM e GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY term), q AS (SELECT DISTINCT item_id AS qid, unnest({_BM_TERMS.format(x='substr(text, 1, 60)')}) AS term FROM benchmark WHERE item_id < 5),
+      c AS (SELECT doc_id, n, term, count(*) AS tf FROM e GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY term), q AS (SELECT DISTINCT item_id AS qid, unnest({_BM_TERMS.format(x='text')}) AS term FROM benchmark WHERE item_id % 20 = 0),
       s AS (SELECT qid, doc_id, sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM c JOIN f USING (term) JOIN q USING (term), st GROUP BY ALL)
       SELECT qid, doc_id, round(score, 5) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 5""",
 }

@@ -43,13 +43,20 @@ def event_counts(events: DataFrame, *, late: str = "1 hour", window: str = "1 da
 
 
 def streamed_counts(spark: SparkSession, path: str, folder: str, **how: str) -> DataFrame:
-    """``event_counts`` of a table read as a stream: all that is there, in batches, into a table in ``folder``. The state is kept in the folder too, so that a later call goes on."""
+    """``event_counts`` of a table read as a stream: all that is there, in batches. Each batch writes the windows that it changed, under its number, so that a batch that is
+    repeated changes nothing and the watermark frees the state of windows that are over; of a window the last batch counts. The state is kept in the folder too, so that a
+    later call goes on."""
     reader, (above, _, name) = spark.readStream.schema(spark.read.parquet(path).schema), path.rpartition("/")
     # a stream reads folders: of a table that is one file, that with the file's name
     events = reader.parquet(path) if FileSystem(spark).is_folder(path) else reader.option("pathGlobFilter", name).parquet(above)
 
-    def batch(rows: DataFrame, _: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{folder}/counts")
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 
-    event_counts(events, **how).writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/counts")
+    counts = event_counts(events, **how)
+    counts.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    if not FileSystem(spark).is_folder(f"{folder}/changes"):
+        return spark.createDataFrame([], counts.schema)
+    changes = spark.read.schema(counts.schema.add("batch", "long")).parquet(f"{folder}/changes")
+    last = changes.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("last"))
+    return last.select("start", "event_type", "last.n", "last.total")
