@@ -133,3 +133,24 @@ def clamp(x: Column, low: int, high: int) -> Column:
 def citation_numbers(answer: Column | str) -> Column:
     """The numbers of ``[n]`` markers of one to three digits, in order, with repeats."""
     return F.transform(F.regexp_extract_all(_c(answer), F.lit(r"\[(\d{1,3})\]"), F.lit(1)), lambda x: x.cast("int"))
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that it names several times, or in a lambda, computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, first: Column, step) -> Column:
+    """The running results of ``step`` over an array, from ``first`` on. Results are gathered in blocks, so that a long array isn't copied for each element."""
+    none = F.array_remove(F.array(first), first)
+    start = F.struct(first.alias("last"), none.alias("block"), F.array_remove(F.array(none), none).alias("blocks"))
+
+    def add(s: Column, x: Column) -> Column:
+        full, now = F.size(s["block"]) >= 256, F.array(step(s["last"], x))
+        return F.struct(
+            step(s["last"], x).alias("last"),
+            F.when(full, now).otherwise(F.concat(s["block"], now)).alias("block"),
+            F.when(full, F.concat(s["blocks"], F.array(s["block"]))).otherwise(s["blocks"]).alias("blocks"),
+        )
+
+    return F.aggregate(values, start, add, lambda s: F.flatten(F.concat(s["blocks"], F.array(s["block"]))))

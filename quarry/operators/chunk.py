@@ -135,12 +135,12 @@ def packed_units(all_: Iterable[dict], s: Chunking, count: Counter) -> Iterator[
     """Groups of units that make a chunk each. Tables stand alone; others fill up to the target; a group of texts hands its last
     sentences on to a text that begins the next one, if both fit into the maximum."""
     group: list[dict] = []
+    held = 0  # tokens of the group
     tail: str | None = None
     for u in all_:
-        full = group and sum(x["tokens"] for x in group) + u["tokens"] > s.target_tokens
-        if group and (full or u["kind"] == "table"):
+        if group and (held + u["tokens"] > s.target_tokens or u["kind"] == "table"):
             yield group
-            tail, group = overlap(group, s, count), []
+            tail, group, held = overlap(group, s, count), [], 0
         if u["kind"] == "table":
             yield [u]
             tail = None
@@ -149,7 +149,9 @@ def packed_units(all_: Iterable[dict], s: Chunking, count: Counter) -> Iterator[
             lead = _unit(tail, "text", count, u["page"])
             if lead["tokens"] + u["tokens"] <= s.max_tokens:
                 group.append(lead)
+                held += lead["tokens"]
         group.append(u)
+        held += u["tokens"]
     if group:
         yield group
 
@@ -210,16 +212,22 @@ def chunk(docs: DataFrame, settings: Chunking = Chunking(), make_counter: Callab
 def pack_sentences(text: Column | str, target: int) -> Column:
     """Plain text to pieces: sentences greedily up to ``target`` words, as an array of structs (piece, tokens).
 
-    One fold carries the number of the piece; sentences then gather by it, so nothing grows by repeated copies but an array of numbers.
+    A running count of the piece's words, which begins anew where a piece does, tells where pieces begin; their sentences are then slices. What is used more than once is bound to a
+    name first, so that it is computed once.
     """
-    all_ = F.transform(C.sentences(text), lambda x: F.struct(x.alias("s"), C.token_count(x).alias("n")))
-    start = F.struct(F.lit(0).alias("cur"), F.array().cast("array<struct<piece:string,tokens:int>>").alias("done"))
 
-    def step(state: Column, x: Column) -> Column:
-        closes = (state["cur"] == 0) | (state["cur"] + x["n"] > target)
-        last = F.element_at(state["done"], -1)
-        grown = F.concat(F.slice(state["done"], F.lit(1), F.size(state["done"]) - 1), F.array(F.struct(F.concat(last["piece"], F.lit(" "), x["s"]).alias("piece"), (last["tokens"] + x["n"]).alias("tokens"))))
-        added = F.concat(state["done"], F.array(F.struct(x["s"].alias("piece"), x["n"].alias("tokens"))))
-        return F.struct(F.when(closes, x["n"]).otherwise(state["cur"] + x["n"]).alias("cur"), F.when(closes | (F.size(state["done"]) == 0), added).otherwise(grown).alias("done"))
-
-    return F.aggregate(all_, start, step, lambda s: s["done"])
+    def cut(x: Column) -> Column:
+        n = F.size(x["s"])
+        before = lambda i: F.coalesce(F.get(x["held"], i - 1), F.lit(0))
+        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (before(i) == 0) | (before(i) + F.get(x["n"], i) > target))
+        spans = lambda at: F.zip_with(at["at"], F.concat(F.slice(at["at"], 2, n), F.array(n)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        piece = lambda p: F.struct(F.array_join(F.slice(x["s"], p["a"] + 1, p["b"] - p["a"]), " ").alias("piece"), F.get(x["held"], p["b"] - 1).alias("tokens"))
+        return F.transform(C.bound(F.struct(first.alias("at")), spans), piece)
+
+    def counted(x: Column) -> Column:
+        held = C.running(x["n"], F.lit(0), lambda s, v: F.when((s == 0) | (s + v > target), v).otherwise(s + v))
+        return C.bound(F.struct(x["s"].alias("s"), x["n"].alias("n"), held.alias("held")), cut)
+
+    sized = lambda x: C.bound(F.struct(x["s"].alias("s"), F.transform(x["s"], C.token_count).alias("n")), counted)
+    nothing = F.array().cast("array<struct<piece:string,tokens:int>>")
+    return C.bound(F.struct(C.sentences(text).alias("s")), lambda x: F.when(F.size(x["s"]) > 0, sized(x)).otherwise(nothing))

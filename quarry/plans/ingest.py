@@ -96,15 +96,17 @@ def _index(store: Store, docs: DataFrame, embedder: embed.Embedder, settings: Se
     done = good.select("doc_id").union(gone)
     store.commit(
         {
-            "index": upserted(store.read("index"), points.select(*store.read("index").columns), done),
-            "documents": upserted(known, rows.unionByName(failed), docs.select("doc_id").union(gone)),
-            "ir": upserted(store.read("ir"), good.select(*store.read("ir").columns), done),
-            "embedding_cache": with_new_cache_rows(cache, new),
+            "index": (points.select(*store.read("index").columns), done),
+            "documents": (rows.unionByName(failed), docs.select("doc_id").union(gone)),
+            "ir": (good.select(*store.read("ir").columns), done),
+            "embedding_cache": (new.select(*cache.columns).join(cache.select("key"), "key", "left_anti"), new.select("key").limit(0)),
         }
     )
     errors = [(r["uri"], (r["error"] or "").split("\n")[0]) for r in bad.select("uri", "error").orderBy("uri").limit(1000).collect()]
     tally = rows.agg(F.count_if(F.col("status") == "indexed").alias("indexed"), F.count_if(F.col("status") == "empty").alias("empty"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks")).first()
-    return {"indexed": tally["indexed"], "empty": tally["empty"], "chunks": tally["chunks"], "failed": bad.count(), "errors": errors, "embed": stats}
+    report = {"indexed": tally["indexed"], "empty": tally["empty"], "chunks": tally["chunks"], "failed": bad.count(), "errors": errors, "embed": stats}
+    store.unstage()
+    return report
 
 
 def ingest(spark: SparkSession, store: Store, root: str, embedder: embed.Embedder, settings: Settings = Settings(), *, force: bool = False, prune: bool = True, dry_run: bool = False, make_counter: Callable | None = None) -> dict:
@@ -139,4 +141,4 @@ def reindex(store: Store, embedder: embed.Embedder, settings: Settings = Setting
 
 def delete_documents(store: Store, doc_ids: DataFrame) -> None:
     """Remove documents from all tables."""
-    store.commit({name: store.read(name).join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti") for name in ("index", "documents", "ir")})
+    store.commit({name: (None, doc_ids.select("doc_id")) for name in ("index", "documents", "ir")})

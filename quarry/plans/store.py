@@ -7,6 +7,7 @@ change together. The path that a plan reads is never written.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,25 +23,44 @@ class IndexConfigMismatchError(RuntimeError):
     """The index was made with another embedding model, other dimensions or another pipeline version."""
 
 
+class ConcurrentCommitError(RuntimeError):
+    """Another writer has changed the store since this one read it."""
+
+
+BUCKETS = 64  # of a new store; for large ones so many that a bucket is some gigabytes
+KEYS = {"embedding_cache": "key"}  # of other tables doc_id
+
+
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.files = spark, root.rstrip("/"), FileSystem(spark)
+    """Tables in buckets by a hash of their key. A commit writes the buckets that it touches, each as a new folder, and replaces the manifest, which says where each table's
+    buckets are: readers see the state before or after it. The number of buckets is a store's for good."""
+
+    def __init__(self, spark: SparkSession, root: str, *, buckets: int = BUCKETS):
+        self.spark, self.root, self.files, self._new_buckets = spark, root.rstrip("/"), FileSystem(spark), buckets
+        self._run, self._staged = uuid.uuid4().hex, []
 
     # -- manifest
 
     def manifest(self) -> dict:
         path = f"{self.root}/manifest.json"
-        return json.loads(self.files.read(path)) if self.files.exists(path) else {"version": 0, "tables": {}, "config": None}
-
-    def _swap(self, manifest: dict) -> None:
-        self.files.replace(f"{self.root}/manifest.json", json.dumps(manifest, indent=1))
+        return json.loads(self.files.read(path)) if self.files.exists(path) else {"version": 0, "buckets": self._new_buckets, "tables": {}, "history": [], "config": None}
+
+    def _swap(self, before: dict, **changes) -> dict:
+        """Replace the manifest by the next version, if no other writer has claimed that."""
+        claim = f"{self.root}/_claims/{before['version'] + 1}"
+        if self.manifest()["version"] != before["version"] or not self.files.claim(claim):
+            raise ConcurrentCommitError(f"version {before['version'] + 1} of {self.root} is another writer's (or a broken one's: {claim})")
+        after = before | changes | {"version": before["version"] + 1}
+        self.files.replace(f"{self.root}/manifest.json", json.dumps(after, indent=1))
+        self.files.delete(f"{self.root}/_claims/{before['version']}")
+        return after
 
     def guard(self, config: dict) -> None:
         """Record the index's configuration, or compare it with the recorded one and name all that differs."""
         manifest = self.manifest()
         old = manifest["config"]
         if old is None:
-            self._swap(manifest | {"config": config})
+            self._swap(manifest, config=config)
             return
         differs = [f"{k}: index has {old.get(k)!r}, settings have {config.get(k)!r}" for k in sorted({*old, *config}) if old.get(k) != config.get(k)]
         if differs:
@@ -51,37 +71,49 @@ class Store:
 
     def drop_index(self) -> None:
         manifest = self.manifest()
-        manifest["tables"].pop("index", None)
-        self._swap(manifest | {"config": None})
+        self._swap(manifest, tables={n: t for n, t in manifest["tables"].items() if n != "index"}, config=None)
 
     # -- tables
 
-    def read(self, name: str) -> DataFrame:
-        version = self.manifest()["tables"].get(name)
-        if version is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/v={version}")
-
-    def commit(self, tables: dict[str, DataFrame], *, keep: int = 2) -> None:
-        """Write new snapshots and make them current together. Of each table the last ``keep`` snapshots stay for readers that are under way."""
-        manifest = self.manifest()
-        version = manifest["version"] + 1
-        for name, rows in tables.items():
-            conformed(rows, SCHEMAS[name]).write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
-        history = manifest.get("history", {})
-        for name in tables:
-            history[name] = [*history.get(name, []), version]
-        self._swap(manifest | {"version": version, "tables": manifest["tables"] | dict.fromkeys(tables, version), "history": {n: v[-keep:] for n, v in history.items()}})
-        for name in tables:
-            for old in history[name][:-keep]:
-                self.files.delete(f"{self.root}/{name}/v={old}")
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table, or what some buckets of it hold."""
+        held = self.manifest()["tables"].get(name, {})
+        paths = [f"{self.root}/{name}/{folder}/bucket={b}" for b, folder in held.items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
+
+    def commit(self, changes: dict[str, tuple[DataFrame | None, DataFrame]], *, keep: int = 2) -> None:
+        """Make changes to several tables current together: of each (new rows or None, keys whose old rows go). Only buckets with such a key, or a new row, are read and
+        written. The last ``keep`` states stay for readers that are under way."""
+        before = self.manifest()
+        folder = f"v{before['version'] + 1}-{uuid.uuid4().hex[:8]}"
+        tables = {name: dict(held) for name, held in before["tables"].items()}
+        for name, (new, touched) in changes.items():
+            key = KEYS.get(name, "doc_id")
+            of = F.pmod(F.xxhash64(F.col(key)), F.lit(before["buckets"])).cast("int")
+            new = conformed(self.spark.createDataFrame([], SCHEMAS[name]) if new is None else new, SCHEMAS[name])
+            asked = sorted(r[0] for r in touched.select(key).unionByName(new.select(key)).select(of.alias("b")).distinct().collect())  # at most as many as buckets
+            if not asked:
+                continue
+            rows = upserted(self.read(name, asked), new, touched, key).withColumn("bucket", of)
+            rows.repartition("bucket", F.pmod(F.xxhash64(*[F.col(c) for c in SCHEMAS[name].fieldNames()[:3]]), F.lit(8))).write.partitionBy("bucket").parquet(f"{self.root}/{name}/{folder}")
+            written = {str(b) for b in asked if self.files.exists(f"{self.root}/{name}/{folder}/bucket={b}")}
+            tables[name] = {b: f for b, f in tables.get(name, {}).items() if int(b) not in asked} | dict.fromkeys(written, folder)
+        after = self._swap(before, tables=tables, history=[*before["history"], before["tables"]][-keep:])
+        held = lambda states: {(n, f, b) for state in states for n, table in state.items() for b, f in table.items()}
+        for name, old, b in held([*before["history"], before["tables"]]) - held([*after["history"], after["tables"]]):
+            self.files.delete(f"{self.root}/{name}/{old}/bucket={b}")
 
     def stage(self, name: str, rows: DataFrame) -> DataFrame:
-        """Rows written once for several readers within a run."""
-        path = f"{self.root}/_stage/{name}"
-        rows.write.mode("overwrite").parquet(path)
+        """Rows written once for several readers within a run, in a folder of the run's own."""
+        path = f"{self.root}/_stage/{self._run}/{name}-{len(self._staged)}"
+        rows.write.parquet(path)
+        self._staged.append(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def unstage(self) -> None:
+        """Delete what this run has staged."""
+        self.files.delete(f"{self.root}/_stage/{self._run}")
+
 
 def conformed(rows: DataFrame, schema: T.StructType) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])

@@ -72,6 +72,12 @@ class FileSystem:
         options[0] = option
         context.rename(fs.makeQualified(new), fs.makeQualified(p), options)
 
+    def claim(self, path: str) -> bool:
+        """Make an empty file; false if there is one already."""
+        fs, p = self._at(path)
+        fs.mkdirs(p.getParent())
+        return bool(fs.createNewFile(p))
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)
@@ -95,8 +101,11 @@ class FileSystem:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a run's own tables, in that which the cluster shares (``spark.checkpoint.dir``), or a temporary one where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")
+    """A new folder for a run's own tables, in that which the cluster shares (``spark.checkpoint.dir``), or a temporary one where that is unset and the session is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
+    shared = shared or tempfile.mkdtemp(prefix="quarry-")
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
