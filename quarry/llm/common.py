@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.columns import running
+
 #: The six white-space characters that part words: \x09-\x0D and \x20.
 WORD_GAPS = "\t\n\x0b\x0c\r "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,22 +71,6 @@ def settled(rows: DataFrame, *names: str) -> DataFrame:
     return rows.select(*rest, F.explode_outer(F.array(F.struct(*names))).alias("_settled")).select(*rest, "_settled.*")
 
 
-def running(values: Column, first: Column, step) -> Column:
-    """The running results of ``step`` over an array, from ``first`` on. Results are gathered in blocks, so that a long array isn't copied for each element."""
-    none = F.array_remove(F.array(first), first)
-    start = F.struct(first.alias("last"), none.alias("block"), F.array_remove(F.array(none), none).alias("blocks"))
-
-    def add(s: Column, x: Column) -> Column:
-        full, now = F.size(s["block"]) >= 256, F.array(step(s["last"], x))
-        return F.struct(
-            step(s["last"], x).alias("last"),
-            F.when(full, now).otherwise(F.concat(s["block"], now)).alias("block"),
-            F.when(full, F.concat(s["blocks"], F.array(s["block"]))).otherwise(s["blocks"]).alias("blocks"),
-        )
-
-    return F.aggregate(values, start, add, lambda s: F.flatten(F.concat(s["blocks"], F.array(s["block"]))))
-
-
 def united(spans: Column, apart) -> Column:
     """Sorted spans (structs with ``start`` and ``end``) of which those that aren't ``apart`` (a test of an end and a later start) are one: a struct with the first
     one's fields and the largest end. Give a column that has been computed, for it's used several times."""
