@@ -77,7 +77,7 @@ def _eval(spark: SparkSession, args: argparse.Namespace, s: Settings) -> int:
         return 2
     store = Store(spark, s.store)
     golden = evaluate.read_golden(spark, args.golden)
-    golden = golden.orderBy("id").limit(args.limit) if args.limit else golden
+    golden = evaluate.first_of(spark, golden, args.golden, args.limit) if args.limit else golden
     depth = max(s.evaluation.k, 10, s.retrieval.top_k)
     questions = golden.select(F.col("id").alias("qid"), "question")
     hits, contexts = ask(spark, store, questions, s, depth)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -73,12 +74,14 @@ def _citation(number: Column, chunk: Column) -> Column:
 
 
 def drafted(questions: DataFrame, generate: Generate, concurrency: int = 4) -> DataFrame:
-    """Questions (qid, question, context, chunks) with the model's draft. Without a context the model isn't called."""
+    """Questions (qid, question, context, chunks) with the model's draft, in as many partitions as a shuffle has, each with up to ``concurrency`` calls under way. Without a context the
+    model isn't called."""
     asked = questions.where(F.coalesce("context", F.lit("")) != "").select("qid", "question", "context")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [generate(q.as_py() or "", c.as_py()) for q, c in zip(batch.column(1), batch.column(2), strict=True)]
+            with ThreadPoolExecutor(concurrency) as pool:
+                found = list(pool.map(lambda q, c: generate(q or "", c), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
             cols = [
                 pa.array([f.get("answer", "") for f in found], pa.string()),
                 pa.array([list(f.get("citations", ())) for f in found], pa.list_(pa.int32())),
@@ -89,7 +92,7 @@ def drafted(questions: DataFrame, generate: Generate, concurrency: int = 4) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["qid", "answer", "citations", "insufficient_context", "input_tokens", "output_tokens"])
 
     kind = questions.schema["qid"].dataType.simpleString()
-    made = asked.repartition(concurrency).mapInArrow(run, f"qid {kind}, answer string, citations array<int>, insufficient_context boolean, input_tokens int, output_tokens int")
+    made = asked.repartition("qid").mapInArrow(run, f"qid {kind}, answer string, citations array<int>, insufficient_context boolean, input_tokens int, output_tokens int")
     return questions.join(made, "qid", "left").withColumn("answer", F.coalesce("answer", F.lit("")))
 
 

@@ -7,6 +7,7 @@ import math
 import random
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -68,22 +69,24 @@ def retried(call: Callable, *, attempts: int = 5, first_wait: float = 0.5, most_
 
 
 def embedded(keyed: DataFrame, embedder: Embedder, settings: Embedding = Embedding()) -> DataFrame:
-    """Rows (key, text) to (key, vector); ``concurrency`` partitions call the model at a time, in batches of ``batch_size``."""
+    """Rows (key, text) to (key, vector), in as many partitions as a shuffle has; each has up to ``concurrency`` calls of the model under way, of ``batch_size`` texts."""
     size = min(settings.batch_size, MOST_BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                texts = part.column(1).to_pylist()
-                vectors = retried(lambda texts=texts: embedder.embed(texts))
-                if len(vectors) != len(texts):
-                    raise ValueError(f"{len(texts)} texts, but {len(vectors)} vectors")
-                if any(len(v) != embedder.dims for v in vectors):
-                    raise ValueError(f"a vector hasn't {embedder.dims} dimensions")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=["key", "vector"])
-
-    return keyed.select("key", "text").repartition(settings.concurrency).mapInArrow(run, "key string, vector array<float>")
+        with ThreadPoolExecutor(settings.concurrency) as pool:
+            for batch in batches:
+                yield from pool.map(vectors, [batch.slice(at, size) for at in range(0, batch.num_rows, size)])
+
+    def vectors(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = part.column(1).to_pylist()
+        found = retried(lambda: embedder.embed(texts))
+        if len(found) != len(texts):
+            raise ValueError(f"{len(texts)} texts, but {len(found)} vectors")
+        if any(len(v) != embedder.dims for v in found):
+            raise ValueError(f"a vector hasn't {embedder.dims} dimensions")
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.float32()))], names=["key", "vector"])
+
+    return keyed.select("key", "text").repartition("key").mapInArrow(run, "key string, vector array<float>")
 
 
 def with_keys(rows: DataFrame, text: str, model: str, dims: int) -> DataFrame:

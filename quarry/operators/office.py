@@ -1,6 +1,6 @@
 """Office documents to blocks, read from their zipped XML with the standard library.
 
-Word files give headings, list items, paragraphs and tables; slides and sheets are pages. PDF has no reader here: it fails with a clear error.
+Word files give headings, list items, paragraphs and tables; slides and sheets are pages, in the order of the file's index. Of PDF files the text layer is read.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 from quarry.operators.htmldoc import block, collapsed
+from quarry.operators.pdf import read as pdf_text
 from quarry.operators.tables import to_html, to_markdown
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -73,15 +74,24 @@ def docx(data: bytes) -> tuple[str | None, list[dict]]:
     return next((b["text"] for b in out if b["type"] == "heading"), None), out
 
 
-def _numbered(z: zipfile.ZipFile, pattern: str) -> Iterator[tuple[int, str]]:
-    found = ((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(pattern, n)))
-    return iter(sorted(found))
+def _in_order(z: zipfile.ZipFile, index: str, tag: str, pattern: str) -> list[tuple[str, str]]:
+    """(name, part) of what a file's index lists, in its order, by the ids of its relationships; without them, the parts by number."""
+    folder, _, name = index.rpartition("/")
+    relations = f"{folder}/_rels/{name}.rels"
+    if index in z.namelist() and relations in z.namelist():
+        parts = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(z.read(relations))}
+        listed = [(x.get("name", ""), parts.get(x.get(f"{R}id"), "")) for x in ET.fromstring(z.read(index)).iter(tag)]
+        paths = [(title, target.lstrip("/") if target.startswith("/") else f"{folder}/{target}") for title, target in listed]
+        if paths and all(path in z.namelist() for _, path in paths):
+            return paths
+    found = (re.fullmatch(pattern, n) for n in z.namelist())
+    return [("", n) for _, n in sorted((int(m[1]), m[0]) for m in found if m)]
 
 
 def pptx(data: bytes) -> tuple[str | None, list[dict]]:
     out: list[dict] = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for page, (_, name) in enumerate(_numbered(z, r"ppt/slides/slide(\d+)\.xml"), 1):
+        for page, (_, name) in enumerate(_in_order(z, "ppt/presentation.xml", f"{P}sldId", r"ppt/slides/slide(\d+)\.xml"), 1):
             for shape in ET.fromstring(z.read(name)).iter():
                 if shape.tag == f"{P}sp":
                     kind = shape.find(f"{P}nvSpPr/{P}nvPr/{P}ph")
@@ -120,7 +130,7 @@ def xlsx(data: bytes) -> tuple[str | None, list[dict]]:
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in s.iter(f"{S}t")) for s in ET.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{S}si")]
         names = [s.get("name", "") for s in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{S}sheet")]
-        for page, (_, name) in enumerate(_numbered(z, r"xl/worksheets/sheet(\d+)\.xml"), 1):
+        for page, (title, name) in enumerate(_in_order(z, "xl/workbook.xml", f"{S}sheet", r"xl/worksheets/sheet(\d+)\.xml"), 1):
             rows = []
             for r in ET.fromstring(z.read(name)).iter(f"{S}row"):
                 cells: dict[int, str] = {}
@@ -129,11 +139,13 @@ def xlsx(data: bytes) -> tuple[str | None, list[dict]]:
                     raw = value.text or "" if value is not None else "".join(t.text or "" for t in c.iter(f"{S}t"))
                     cells[_column(c.get("r", ""))] = shared[int(raw)] if c.get("t") == "s" and raw else raw
                 rows.append([cells.get(k, "") for k in range(1, max(cells, default=0) + 1)])
-            out.append(block("heading", names[page - 1] if page <= len(names) else f"Sheet {page}", 1) | {"page": page})
+            out.append(block("heading", title or (names[page - 1] if page <= len(names) else f"Sheet {page}"), 1) | {"page": page})
             if any(rows):
                 out.append(_table([r for r in rows if r], True, page))
     return next((b["text"] for b in out), None), out
 
 
 def pdf(data: bytes) -> tuple[str | None, list[dict]]:
-    raise UnsupportedError("PDF files can't be read: no PDF library is available")
+    """The text layer's paragraphs with their pages; the first one is the title."""
+    out = [block("paragraph", text) | {"page": page} for page, text in pdf_text(data)]
+    return next((b["text"] for b in out), None), out

@@ -169,3 +169,56 @@ def test_parsed_files_are_normalised(spark):
     df = spark.createDataFrame([("  t ", [("paragraph", "  ", None, None, None, None, None), ("code", "\n  x\n", None, None, None, None, None), ("table", "", None, None, None, "<table></table>", None)])], f"title string, blocks {parse.BLOCK_ARRAY}")
     found = parse.normalised(df).first()
     assert found["title"] == "t" and [b["text"] for b in found["blocks"]] == ["  x", ""]
+
+
+def pdf_file(streams, *, packed=False, fonts=b"<< /F1 5 0 R >>"):
+    """A file of pages with these content streams; page objects may be packed in an object stream."""
+    import zlib
+
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 5: b"<< /Type /Font /Subtype /Type0 /ToUnicode 6 0 R >>"}
+    cmap = b"1 beginbfchar <0041> <00E9> endbfchar 1 beginbfrange <0061> <007A> <0061> endbfrange"
+    pages = {10 + k: b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (30 + k) for k in range(len(streams))}
+    objects[2] = b"<< /Type /Pages /Kids [%s] /Resources << /Font %s >> >>" % (b" ".join(b"%d 0 R" % k for k in pages), fonts)
+    out = b"%PDF-1.7\n"
+    if packed:
+        table, body = b"", b""
+        for k, v in pages.items():
+            table += b"%d %d " % (k, len(body))
+            body += v + b" "
+        data = zlib.compress(table + body)
+        out += b"9 0 obj << /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >> stream\n%s\nendstream endobj\n" % (len(pages), len(table), len(data), data)
+    else:
+        objects |= pages
+    for k, text in {6: cmap, **{30 + k: x for k, x in enumerate(streams)}}.items():
+        data = zlib.compress(text)
+        out += b"%d 0 obj << /Filter /FlateDecode /Length %d >> stream\n%s\nendstream endobj\n" % (k, len(data), data)
+    for k, v in objects.items():
+        out += b"%d 0 obj %s endobj\n" % (k, v)
+    return out + b"trailer << /Root 1 0 R >>\nstartxref\n0\n%%EOF"
+
+
+def test_pdf_text():
+    plain = b"BT /F2 12 Tf 72 700 Td (A title) Tj ET BT /F2 10 Tf 72 650 Td (First \\(one\\) line) Tj 0 -12 Td [(sec) -20 (ond) -300 (line)] TJ 0 -40 Td (Next \\351) Tj ET"
+    mapped = b"BT /F1 10 Tf 1 0 0 1 72 700 Tm <00410061> Tj T* ET"
+    for packed in (False, True):
+        found = parse.parse_bytes("pdf", pdf_file([plain, mapped, b""], packed=packed))
+        assert found["error"] is None and found["title"] == "A title"
+        assert [(b["page"], b["text"]) for b in found["blocks"]] == [(1, "A title"), (1, "First (one) line second line"), (1, "Next é"), (2, "éa")]
+    assert "encrypted" in parse.parse_bytes("pdf", pdf_file([plain]).replace(b"/Root", b"/Encrypt 1 0 R /Root"))["error"]
+    for broken in (b"", b"%PDF-1.4", pdf_file([plain])[:400], b"%PDF-1.4 1 0 obj << /Type /Catalog /Pages 1 0 R >> endobj"):
+        assert parse.parse_bytes("pdf", broken)["blocks"] in (None, [])
+
+
+def test_sheets_are_named_by_their_relationships():
+    import io
+    import zipfile
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Second file" r:id="r2"/><sheet name="First file" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        for k in (1, 2):
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f'<worksheet xmlns="{main}"><sheetData><row><c r="A1"><v>{k}</v></c></row></sheetData></worksheet>')
+    blocks = parse.parse_bytes("xlsx", data.getvalue())["blocks"]
+    assert [(b["type"], b["text"].splitlines()[0], b["page"]) for b in blocks] == [("heading", "Second file", 1), ("table", "| 2 |", 1), ("heading", "First file", 2), ("table", "| 1 |", 2)]
