@@ -114,7 +114,8 @@ def read_back(formatted: DataFrame, *, sort: bool = True) -> DataFrame:
     """Parse formatted conversations again: per conversation the turns, what a model is trained on, and the length.
 
     Rows (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars); the first hash is over role, newline, text, newline of each
-    turn, the second over all text within the spans, unescaped. ``sort=False`` takes the rows as ``format_conversations`` returns them.
+    turn, the second over all text within the spans, unescaped. ``sort=False`` takes the rows as ``format_conversations`` returns them. Null and empty texts are empty; an empty table
+    gives an empty one; very long conversations stream; other columns aren't read.
     """
     rows = formatted.select("conv_id", "part", "at", "formatted", "spans")
     if sort:

@@ -119,8 +119,8 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
 def judge(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id``, the measures, ``base_failed`` and ``kept``.
 
-    A null or empty text has no words and fails. Repeated rows have repeated results; an empty table an empty one; other columns
-    aren't read.
+    A null or empty text has no words and fails. Very long texts are read whole; a ratio that equals its threshold passes. Repeated rows have repeated results; an empty table an
+    empty one; other columns aren't read, so their names can't clash.
     """
     base, kept = compile_rules(rules)
     return measure(docs, id_col=id_col, text_col=text_col).withColumns({"base_failed": base, "kept": kept})
