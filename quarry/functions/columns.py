@@ -154,3 +154,12 @@ def running(values: Column, first: Column, step) -> Column:
         )
 
     return F.aggregate(values, start, add, lambda s: F.flatten(F.concat(s["blocks"], F.array(s["block"]))))
+
+
+def run_hashes(words: Column, size: int) -> Column:
+    """A hash of each run of ``size`` (a power of two) words: those of runs of 2n are made from those of n."""
+    joined = lambda by: lambda g: F.zip_with(g, F.slice(g, by + 1, F.greatest(F.size(g), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    runs, width = F.transform(words, lambda w: F.xxhash64(w)), 1
+    while width < size:
+        runs, width = bound(runs, joined(width)), 2 * width
+    return bound(runs, lambda g: F.slice(g, F.lit(1), F.greatest(F.size(g) - (size - 1), F.lit(0))))

@@ -351,8 +351,8 @@ def golden_match(spark: SparkSession, d: str) -> DataFrame:
     items = items.withColumn("n", F.size(words("span")))
     docs = _docs(spark, d).select("doc_id", C.norm("text").alias("norm"))
     # inner words of a span stand between blanks; its outer ones may be parts of a document's words, so the key is what is in between
-    long_ = items.where(F.col("n") >= k + 2).select("item_id", "span", F.xxhash64(F.array_join(F.slice(words("span"), 2, k), " ")).alias("key"))
-    grams = docs.select("doc_id", words("norm").alias("w")).select("doc_id", F.explode_outer(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " "))))).alias("key"))
+    long_ = items.where(F.col("n") >= k + 2).select("item_id", "span", F.get(C.run_hashes(F.slice(words("span"), 2, k), k), F.lit(0)).alias("key"))
+    grams = docs.select("doc_id", F.explode_outer(F.array_distinct(C.run_hashes(words("norm"), k))).alias("key")).where("key IS NOT NULL")
     met = grams.join(long_.select("key").distinct(), "key", "left_semi").join(long_, "key").select("doc_id", "item_id", "span").distinct()
     found = met.join(docs, "doc_id").where(F.col("norm").contains(F.col("span"))).select("item_id", "doc_id")
     short = docs.join(items.where(F.col("n") < k + 2), F.col("norm").contains(F.col("span"))).select("item_id", "doc_id")
