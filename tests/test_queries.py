@@ -25,5 +25,5 @@ def test_entry_and_registration(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = queries.dense_topk_filtered(spark, SMALL)._jdf.queryExecution().toString()
     assert "EqualTo(label,1)" in plan
-    plan = queries.exact_count(spark, SMALL)._jdf.queryExecution().toString()
-    assert "ReadSchema: struct<source:string>" in plan
+    plan = queries.supported_files(spark, SMALL)._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<doc_id:bigint>" in plan
