@@ -100,6 +100,8 @@ class File:
         self.objects: dict[int, tuple[object, bytes]] = {}
         packed = []
         starts = list(_OBJECT.finditer(data))
+        if not starts:
+            raise PdfError("the PDF file has no objects")
         for m, after in zip(starts, [*starts[1:], None], strict=True):
             body = data[m.end() : after.start() if after else len(data)]
             head, marker, rest = body.partition(b"stream")
