@@ -3,7 +3,7 @@
 Text stands for itself; ``{{ expression }}`` is replaced by a value. Statements: ``{% for x in e %}`` (with ``loop.index``,
 ``loop.index0``, ``loop.first``, ``loop.last``), ``{% if e %}``/``{% elif e %}``/``{% else %}``, ``{% set x = e %}`` and
 ``{% generation %}``, whose output a model is trained on; each block ends in ``{% end... %}``. A ``-`` beside a delimiter strips white space there.
-Expressions: strings, integers, ``true``, ``false``, ``none``, names, ``a.b``, ``a[b]``, ``~ + - == != < <= > >= in and or not``,
+Expressions: strings, integers, ``true``, ``false``, ``none``, names, ``a.b``, ``a[b]``, ``~ + - == != < <= > >= in, not in, and or not``,
 ``x if c else y``, and filters ``|name``. There are no calls, a name is looked up in the given values only, and ``a.b`` reads keys
 of mappings only, so that a template reaches nothing else. Constant parts are computed once, when the template is compiled; what
 remains becomes nested Python closures that yield pieces lazily, so a conversation of any length renders in bounded memory.
@@ -20,7 +20,7 @@ class TemplateError(ValueError):
     pass
 
 
-_DELIMITER = re.compile(r"\{([{%])(-?)(.*?)(-?)[}%]\}", re.DOTALL)
+_DELIMITER = re.compile(r"""\{([{%])(-?)((?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"])*?)(-?)[}%]\}""", re.DOTALL)  # what is quoted ends no tag
 _TOKEN = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[~+\-<>|.\[\]()=]))""")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 _BINARY: dict[str, Callable[[Any, Any], Any]] = {
@@ -108,9 +108,14 @@ class _Expression:
 
     def compare(self) -> tuple:
         value = self.add()
-        while op := self.take("==", "!=", "<", "<=", ">", ">=", "in"):
-            value = ("binary", op, value, self.add())
-        return value
+        while True:
+            if op := self.take("==", "!=", "<", "<=", ">", ">=", "in"):
+                value = ("binary", op, value, self.add())
+            elif self.tokens[self.at : self.at + 2] == [("name", "not"), ("name", "in")]:
+                self.at += 2
+                value = ("not", ("binary", "in", value, self.add()))
+            else:
+                return value
 
     def add(self) -> tuple:
         value = self.filtered()

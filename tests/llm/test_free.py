@@ -525,6 +525,8 @@ def test_conversations_come_back(spark, monkeypatch):
         ("{{ 'a' ~ 1 + 2 }}{{ ('b' if 1 < 2 else 'c')|upper }}", {}, None),
         ("{{ 'b' if 1 < 2 else 'c' }}{{ 'x'|upper ~ '\\n' }}", {}, "bX\n"),
         ("x  {{- a -}}  y", {"a": "-"}, "x-y"),
+        ("{{ '}}' ~ a }}{% if a == '%}' %}1{% else %}2{% endif %}", {"a": "%}"}, "}}%}1"),
+        ("{% if a not in 'xy' and not b %}1{% endif %}{{ 'n' if a not in 'z' else 'y' }}", {"a": "z", "b": 0}, "1y"),
         ("{% set t = m['k'] %}{{ t }}{{ t[0] }}{{ none }}{{ u.v }}", {"m": {"k": "hi"}, "u": {}}, "hih"),
     ],
 )
