@@ -303,16 +303,21 @@ def _candidates(cells: DataFrame, most_bits: int, piece: int = 100_000) -> DataF
     return met.where("a < b").distinct()
 
 
-def similar_links(docs: DataFrame, by_doc: DataFrame, *, shingle_words: int, similarity: float, most_bits: int = 16, most_broadcast: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_links(docs: DataFrame, by_doc: DataFrame, *, shingle_words: int, similarity: float, most_bits: int = 10, most_broadcast: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b), a < b, between word sequences whose sets of shingles have a Jaccard similarity of ``similarity`` or more. ``by_doc`` has a row (id, key, fp, w1, w2) per
     document, fp being a hash of the word sequence.
 
     Fingerprints of five-word shingles differ in a third of the bits of a face at a similarity of 0.8, too many for a grid. So candidates meet in the grids of two
-    fingerprints of the different words, which an edited word changes much less; they are verified by their shingles. Texts are read again for nodes with a candidate only.
+    fingerprints of the different words, which an edited word changes much less (by 4 of 64 bits, at that similarity); of those that are at up to ``most_bits`` in one and twice that
+    in both, the shingles are compared. Texts are read again for nodes with a candidate only.
     """
     nodes = cut(by_doc.groupBy("fp").agg(F.min("w1").alias("w1"), F.min("w2").alias("w2"), F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("one")))
     width = 2 if fits(nodes, 4_000_000) else 1
-    met = cut(_candidates(_points(nodes.select("w1", "w2", F.col("fp").alias("node")), grid_points, width, 1), most_bits))
+    met = _candidates(_points(nodes.select("w1", "w2", F.col("fp").alias("node")), grid_points, width, 1), most_bits)
+    # what meets by chance in one fingerprint is far apart in the other
+    ones = lambda end: nodes.select(F.col("fp").alias(end), *[F.col(w).alias(f"{w}{end}") for w in ("w1", "w2")])
+    apart = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in ("w1", "w2")), F.lit(0))
+    met = cut(met.join(ones("a"), "a").join(ones("b"), "b").where(apart <= 2 * most_bits).select("a", "b"))
     asked = cut(nodes.join(met.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp").select(F.col("fp").alias("_node"), F.col("one.id").alias("_own_id"), F.col("one.key").alias("_own_key")))
     rows = docs.select(F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"), F.col(text_col).cast("string").alias("_text"))
     rows = rows.join(F.broadcast(asked) if fits(asked, most_broadcast, "_own_id") else asked, (F.col("_key") == F.col("_own_key")) & F.col("_id").eqNullSafe(F.col("_own_id")))
