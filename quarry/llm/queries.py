@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontam, htmltext, langid, licenses, mixing, pii, quality, simhash, urlfilter
+from quarry.llm import chat, decontam, divergence, htmltext, langid, licenses, mixing, neighbours, pii, quality, simhash, stamps, urlfilter
 from quarry.llm.common import table
 
 URL_RULES = [
@@ -77,6 +77,20 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *[f"n_{k}" for k in pii.BASE], "base_sha256", "spans", "n_term", "n_secret")
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    return found.select(F.col("query_id").cast("long").alias("query_id"), "rank", F.col("id").cast("long").alias("vec_id"), "score")
+
+
+def op12_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stamps.normalise(table(spark, sf_dir, "stamps"))
+    return found.select("stamp_id", "_utc.*")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), least_docs=30, k=50)
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_license_scan": op2_license_scan,
@@ -88,4 +102,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_personal_data": op9_personal_data,
     "op10_url_filter": op10_url_filter,
+    "op11_nearest": op11_nearest,
+    "op12_stamps": op12_stamps,
+    "op13_divergence": op13_divergence,
 }
