@@ -76,9 +76,9 @@ def counted(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
 
 
 def _probability(n: Column, total: Column, kept: Column) -> Column:
-    """1 + floor(SCALE * (n + PRIOR) / (total + PRIOR * kept)), exact for counts of any size."""
+    """1 + floor(SCALE * (n + PRIOR) / (total + PRIOR * kept)), exact for counts of any size. Where nothing is kept it isn't used."""
     wide = "decimal(20,0)"
-    above, below = F.lit(SCALE).cast("decimal(10,0)") * (n + PRIOR).cast(wide), (total + PRIOR * kept).cast(wide)
+    above, below = F.lit(SCALE).cast("decimal(10,0)") * (n + PRIOR).cast(wide), F.greatest(total + PRIOR * kept, F.lit(1)).cast(wide)
     return F.lit(1) + F.call_function("div", above, below)
 
 
