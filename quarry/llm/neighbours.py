@@ -41,9 +41,26 @@ class Index:
         self.lines, self.width, self.least = lines, width, threshold(lines, width, missed)
         self.vectors, self.lengths = vectors, np.sqrt((vectors * vectors).sum(axis=1))
         self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1], lines))
-        projected = (vectors / self.lengths[:, None]) @ self.axes
-        self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(projected, self.order.T, axis=0).T.copy()
+        unit = vectors / self.lengths[:, None]
+        projected, self.unit = (unit @ self.axes).T, unit.astype(np.float32)
+        order = np.argsort(projected, axis=1, kind="stable")
+        # the sorted arrays one after the other, each shifted beyond the one before, so that one call finds a query's windows on all lines
+        self.reach = float(np.abs(projected).max(initial=0)) + 1
+        self.shift = 3 * self.reach * np.arange(lines)
+        self.sorted = (np.take_along_axis(projected, order, axis=1) + self.shift[:, None]).ravel()
+        self.ranks = np.empty(order.shape, np.uint16 if len(vectors) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.ranks, order, np.arange(len(vectors), dtype=self.ranks.dtype)[None, :], axis=1)
+
+    def windows(self, at: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """The first rank in each line's window, and the number of ranks."""
+        ends = [np.searchsorted(self.sorted, np.clip(at + side * self.width * radius, -self.reach, self.reach) + self.shift) for side in (-1, 1)]
+        return ends[0] - np.arange(self.lines) * len(self.vectors), ends[1] - ends[0]
+
+    def collisions(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """In how many windows each vector's rank lies: without a sign, ranks before the first are beyond any size."""
+        kind = self.ranks.dtype
+        inside = (self.ranks - first.astype(kind)[:, None]) < np.minimum(size, np.iinfo(kind).max).astype(kind)[:, None]
+        return inside.view(np.uint8).sum(axis=0, dtype=np.uint16)
 
     def cosines(self, rows: np.ndarray, query: np.ndarray, length: float) -> np.ndarray:
         """One formula for all, on the vectors as they are; equal pairs give equal results wherever they meet."""
@@ -51,31 +68,22 @@ class Index:
 
     def search(self, query: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest, nearest first, ties by ``ids``."""
-        n, length = len(self.vectors), float(np.sqrt((query * query).sum()))
+        n, length, radius = len(self.vectors), float(np.sqrt((query * query).sum())), RADIUS
         at = (query / length) @ self.axes
-        counts, seen = np.zeros(n, np.int32), np.zeros(n, bool)
-        low = np.array([np.searchsorted(s, a) for s, a in zip(self.sorted, at)])
-        high, radius = low.copy(), RADIUS
-        rows, scores = np.zeros(0, np.int64), np.zeros(0)
+        seen, rows, scores = np.zeros(n, bool), np.zeros(0, np.int64), np.zeros(0)
         while True:
-            if radius > 2 or n <= k:
-                found = np.nonzero(~seen)[0]
-            else:
-                for j in range(self.lines):
-                    a, b = np.searchsorted(self.sorted[j], (at[j] - self.width * radius, at[j] + self.width * radius))
-                    a, b = min(a, low[j]), max(b, high[j])
-                    if a < low[j]:
-                        counts[self.order[j, a : low[j]]] += 1
-                    if b > high[j]:
-                        counts[self.order[j, high[j] : b]] += 1
-                    low[j], high[j] = a, b
-                found = np.nonzero((counts >= self.least) & ~seen)[0]
+            whole = radius > 2 or n <= k
+            found = np.nonzero(~seen if whole else (self.collisions(*self.windows(at, radius)) >= self.least) & ~seen)[0]
             if len(found):
                 seen[found] = True
+                # a product of single precision tells which of them can be among the k; those are measured by the formula
+                near = self.unit[found] @ (query / length).astype(np.float32)
+                least = max(np.partition(near, -k)[-k] if len(near) > k else -2, scores[-1] if len(rows) == k else -2)
+                found = found[near >= least - 1e-5]
                 rows, scores = np.concatenate([rows, found]), np.concatenate([scores, self.cosines(found, query, length)])
                 best = np.lexsort((ids[rows], -scores))[:k]
                 rows, scores = rows[best], scores[best]
-            if radius > 2 or n <= k or len(rows) == k and math.sqrt(max(0.0, 2 - 2 * scores[-1])) <= radius:
+            if whole or len(rows) == k and math.sqrt(max(0.0, 2 - 2 * scores[-1])) <= radius:
                 return rows, scores
             radius *= GROWTH
 
