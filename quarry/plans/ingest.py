@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.config import Settings
 from quarry.operators import chunk, embed
 from quarry.operators.parse import parsed
-from quarry.plans.store import Store, payload, upserted, with_new_cache_rows
+from quarry.plans.store import SCHEMAS, Store, payload
 from quarry.sources.files import scan_folder, uri_prefix
 
 ERROR_CHARS = 4000
@@ -46,19 +46,24 @@ def counts(planned: DataFrame) -> dict[str, int]:
 
 def index_files(store: Store, files: DataFrame, embedder: embed.Embedder, settings: Settings, *, pruned: DataFrame | None = None, make_counter: Callable | None = None) -> dict:
     """Parse, chunk, embed and index files, and drop documents (doc_id) that are gone. One failed file fails no other, and keeps its old points."""
-    return _index(store, store.stage("parsed", parsed(files)), embedder, settings, pruned=pruned, make_counter=make_counter)
+    try:
+        return _index(store, store.stage("parsed", parsed(files)), embedder, settings, pruned=pruned, make_counter=make_counter)
+    finally:
+        store.unstage()
 
 
 def _index(store: Store, docs: DataFrame, embedder: embed.Embedder, settings: Settings, *, pruned: DataFrame | None, make_counter: Callable | None) -> dict:
     spark = store.spark
     good, bad = docs.where("error IS NULL"), docs.where("error IS NOT NULL")
     chunks = store.stage("chunks", chunk.chunk(good, settings.chunking, make_counter))
-    cache = store.read("embedding_cache")
+    # of the cache and of the known documents only what this run's keys may meet is opened
+    keys = embed.with_keys(chunks, "embed_text", embedder.model, embedder.dims).select("key")
+    cache = store.stage("cached", store.lookup("embedding_cache", keys))
     keyed, new = embed.cached_embed(chunks, cache, embedder, settings.embedding)
     new = store.stage("vectors", new)  # the model is called once
     stats = embed.embed_stats(keyed, embed.misses(keyed, cache, "embed_text"), settings.embedding).first().asDict()
 
-    known = store.read("documents")
+    known = store.stage("known", store.lookup("documents", docs.select("doc_id")))
     now = F.current_timestamp()
     sizes = chunks.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
     created = known.select("doc_id", F.col("created_at").alias("old_created_at"))
@@ -96,16 +101,15 @@ def _index(store: Store, docs: DataFrame, embedder: embed.Embedder, settings: Se
     done = good.select("doc_id").union(gone)
     store.commit(
         {
-            "index": (points.select(*store.read("index").columns), done),
+            "index": (points.select(*SCHEMAS["index"].fieldNames()), done),
             "documents": (rows.unionByName(failed), docs.select("doc_id").union(gone)),
-            "ir": (good.select(*store.read("ir").columns), done),
-            "embedding_cache": (new.select(*cache.columns).join(cache.select("key"), "key", "left_anti"), new.select("key").limit(0)),
+            "ir": (good.select(*SCHEMAS["ir"].fieldNames()), done),
+            "embedding_cache": (new.select(*cache.columns), new.select("key").limit(0)),
         }
     )
     errors = [(r["uri"], (r["error"] or "").split("\n")[0]) for r in bad.select("uri", "error").orderBy("uri").limit(1000).collect()]
     tally = rows.agg(F.count_if(F.col("status") == "indexed").alias("indexed"), F.count_if(F.col("status") == "empty").alias("empty"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks")).first()
     report = {"indexed": tally["indexed"], "empty": tally["empty"], "chunks": tally["chunks"], "failed": bad.count(), "errors": errors, "embed": stats}
-    store.unstage()
     return report
 
 
@@ -136,7 +140,10 @@ def reindex(store: Store, embedder: embed.Embedder, settings: Settings = Setting
         store.drop_index()
     store.guard(config_of(settings))
     docs = store.read("ir").withColumn("error", F.lit(None).cast("string"))
-    return _index(store, store.stage("parsed", docs), embedder, settings, pruned=None, make_counter=make_counter)
+    try:
+        return _index(store, store.stage("parsed", docs), embedder, settings, pruned=None, make_counter=make_counter)
+    finally:
+        store.unstage()
 
 
 def delete_documents(store: Store, doc_ids: DataFrame) -> None:

@@ -1,19 +1,30 @@
-"""A versioned store: tables are Parquet snapshots, and a manifest names the current one of each.
+"""A versioned store of append-only segments, merged when they are read.
 
-A write makes new snapshots and then replaces the manifest, so readers see all of the old state or all of the new one, and several tables
-change together. The path that a plan reads is never written.
+A commit appends: for each table a segment of new rows, and a set of tombstones, the keys whose older rows go. It reads no old rows, so it writes in proportion to what
+changes. The state is a numbered manifest, published under a name that must be new: readers see the state before or after, several tables change together, and of two
+writers one comes first. The other puts its commit on top, unless both changed a key. Nothing has to be claimed beforehand, so a writer that dies locks nothing; what it
+left is deleted when its lease is over.
+
+Reading joins older segments against later tombstones. Segments are merged by size tiers, so there are few and a row is rewritten a logarithmic number of times. Each
+segment has a Bloom filter of its keys, which tells lookups what they needn't open.
 """
 
 from __future__ import annotations
 
+import copy
 import json
+import math
+import time
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry import schemas
+from quarry.plans import membership
 from quarry.sources.files import FileSystem
 
 SCHEMAS: dict[str, T.StructType] = {"documents": schemas.STATE, "ir": schemas.DOCUMENT, "index": schemas.POINT, "embedding_cache": schemas.CACHE}
@@ -24,95 +35,296 @@ class IndexConfigMismatchError(RuntimeError):
 
 
 class ConcurrentCommitError(RuntimeError):
-    """Another writer has changed the store since this one read it."""
+    """Another writer has changed the same keys since this one read the store."""
 
 
-BUCKETS = 64  # of a new store; for large ones so many that a bucket is some gigabytes
+BUCKETS = 64  # of a new store: folders within a segment
 KEYS = {"embedding_cache": "key"}  # of other tables doc_id
+INSERT_ONLY = {"embedding_cache"}  # equal keys have equal rows there, so writers can't conflict
+FANOUT = 4  # segments of a tier that are merged, and the ratio of sizes from tier to tier
+SMALLEST = 1 << 20  # bytes; segments below are of one tier
+KEEP = 16  # states that stay, for readers that are under way and for writers that began with one
+LEASE = 6 * 3600.0  # seconds after which a writer that hasn't committed counts as dead
 
 
 class Store:
-    """Tables in buckets by a hash of their key. A commit writes the buckets that it touches, each as a new folder, and replaces the manifest, which says where each table's
-    buckets are: readers see the state before or after it. The number of buckets is a store's for good."""
+    """Tables in segments. ``manifest()['tables'][name]`` has ``rows``, the segments, and ``gone``, the tombstones, each with the version (``seq``) of its commit: a tombstone removes
+    rows of segments with a smaller one. ``applied`` is the version up to which a merged segment has been rid of removed rows."""
 
-    def __init__(self, spark: SparkSession, root: str, *, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, *, buckets: int = BUCKETS, lease: float = LEASE, clock: Callable[[], float] = time.time):
         self.spark, self.root, self.files, self._new_buckets = spark, root.rstrip("/"), FileSystem(spark), buckets
-        self._run, self._staged = uuid.uuid4().hex, []
-
-    # -- manifest
-
-    def manifest(self) -> dict:
-        path = f"{self.root}/manifest.json"
-        return json.loads(self.files.read(path)) if self.files.exists(path) else {"version": 0, "buckets": self._new_buckets, "tables": {}, "history": [], "config": None}
-
-    def _swap(self, before: dict, **changes) -> dict:
-        """Replace the manifest by the next version, if no other writer has claimed that."""
-        claim = f"{self.root}/_claims/{before['version'] + 1}"
-        if self.manifest()["version"] != before["version"] or not self.files.claim(claim):
-            raise ConcurrentCommitError(f"version {before['version'] + 1} of {self.root} is another writer's (or a broken one's: {claim})")
-        after = before | changes | {"version": before["version"] + 1}
-        self.files.replace(f"{self.root}/manifest.json", json.dumps(after, indent=1))
-        self.files.delete(f"{self.root}/_claims/{before['version']}")
+        self._run, self._staged, self._made, self._lease, self._clock = uuid.uuid4().hex, [], 0, lease, clock
+
+    # -- manifests
+
+    def _versions(self) -> list[str]:
+        return sorted(n for n in self.files.names(f"{self.root}/_log") if n.endswith(".json") and n[0].isdigit())
+
+    def manifest(self, name: str | None = None) -> dict:
+        if name is None and not (versions := self._versions()):
+            return {"version": 0, "buckets": self._new_buckets, "tables": {}, "config": None}
+        return json.loads(self.files.read(f"{self.root}/_log/{name or versions[-1]}"))
+
+    def _publish(self, change: Callable[[dict], dict], keep: int = KEEP) -> dict:
+        """Make ``change(newest manifest)`` the next version, as often as another writer is faster."""
+        while True:
+            latest = self.manifest()
+            after = change(copy.deepcopy(latest) | {"made": {}}) | {"version": latest["version"] + 1}
+            if self.files.publish(f"{self.root}/_log/{after['version']:012d}.json", json.dumps(after, indent=1)):
+                break
+        self.vacuum(keep)
         return after
 
     def guard(self, config: dict) -> None:
         """Record the index's configuration, or compare it with the recorded one and name all that differs."""
-        manifest = self.manifest()
-        old = manifest["config"]
+
+        def compared(old: dict | None) -> None:
+            differs = [] if old is None else [f"{k}: index has {old.get(k)!r}, settings have {config.get(k)!r}" for k in sorted({*old, *config}) if old.get(k) != config.get(k)]
+            if differs:
+                raise IndexConfigMismatchError("; ".join(differs))
+
+        def recorded(latest: dict) -> dict:
+            compared(latest["config"])
+            return latest | {"config": config}
+
+        old = self.config()
+        compared(old)
         if old is None:
-            self._swap(manifest, config=config)
-            return
-        differs = [f"{k}: index has {old.get(k)!r}, settings have {config.get(k)!r}" for k in sorted({*old, *config}) if old.get(k) != config.get(k)]
-        if differs:
-            raise IndexConfigMismatchError("; ".join(differs))
+            self._publish(recorded)
 
     def config(self) -> dict | None:
         return self.manifest()["config"]
 
     def drop_index(self) -> None:
-        manifest = self.manifest()
-        self._swap(manifest, tables={n: t for n, t in manifest["tables"].items() if n != "index"}, config=None)
+        self._publish(lambda latest: latest | {"tables": {n: t for n, t in latest["tables"].items() if n != "index"}, "config": None})
+
+    # -- what is in folders
+
+    def _folder(self) -> str:
+        self._made += 1
+        self.files.replace(f"{self.root}/_leases/{self._run}.json", json.dumps({"until": self._clock() + self._lease}))
+        return f"{self._run}-{self._made}"
+
+    def _bucket(self, key: str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+
+    def _segment(self, name: str, rows: DataFrame, buckets: int) -> dict | None:
+        """Write rows as a segment with the filter of its keys; none if there is no row."""
+        key, folder = KEYS.get(name, "doc_id"), self._folder()
+        path = f"{self.root}/{name}/{folder}"
+        dealt = rows.withColumn("bucket", self._bucket(key, buckets)).hint("rebalance", F.col("bucket"))  # adaptive execution splits large buckets
+        dealt.sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{path}/rows")
+        back = self.spark.read.schema(SCHEMAS[name]).parquet(f"{path}/rows")
+        n, keys = back.agg(F.count("*"), F.approx_count_distinct(key)).first()
+        if not n:
+            self.files.delete(path)
+            return None
+        blocks = membership.blocks_for(int(keys * 1.1) + 1)
+        membership.built(back, key, blocks).write.parquet(f"{path}/keys")
+        return {"id": folder, "rows": n, "bytes": self.files.size(f"{path}/rows"), "blocks": blocks, "applied": 0}
+
+    def _tombstones(self, name: str, keys: DataFrame) -> dict | None:
+        """Write keys (with ``seq``, null for that of the commit) as tombstones; none if there is no key."""
+        folder = self._folder()
+        path = f"{self.root}/{name}/{folder}"
+        keys.write.parquet(f"{path}/gone")
+        n = self.spark.read.parquet(f"{path}/gone").count()
+        if not n:
+            self.files.delete(path)
+            return None
+        return {"id": folder, "rows": n}
+
+    def _rows(self, name: str, segment: dict, buckets: list[int] | None = None) -> DataFrame:
+        rows = self.spark.read.schema(T.StructType([*SCHEMAS[name].fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.root}/{name}/{segment['id']}/rows")
+        rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))  # prunes folders
+        return rows.drop("bucket")
+
+    def _gone(self, name: str, state: dict) -> DataFrame:
+        """Rows (key, seq): each removed key with the last version that removed it."""
+        key = KEYS.get(name, "doc_id")
+        sets = [self.spark.read.schema(f"{key} string, seq long").parquet(f"{self.root}/{name}/{g['id']}/gone").withColumn("seq", F.coalesce("seq", F.lit(g["seq"]))) for g in state["gone"]]
+        return reduce(DataFrame.unionByName, sets).groupBy(key).agg(F.max("seq").alias("_gone_seq"))
+
+    def _visible(self, name: str, state: dict, segments: list[dict], buckets: dict[str, list[int]] | None = None) -> DataFrame:
+        """The rows of segments that no later tombstone removes."""
+        key, newest = KEYS.get(name, "doc_id"), max((g["seq"] for g in state["gone"]), default=0)
+        done = lambda s: max(s["seq"], s["applied"])
+        frames = [(done(s), self._rows(name, s, buckets and buckets[s["id"]])) for s in segments]
+        parts = [rows for at, rows in frames if at >= newest]
+        older = [rows.withColumn("_seq", F.lit(at).cast("long")) for at, rows in frames if at < newest]
+        if older:
+            gone = self._gone(name, state).withColumnRenamed(key, "_gone_key")
+            rows = reduce(DataFrame.unionByName, older)
+            parts.append(rows.join(gone, (F.col(key) == F.col("_gone_key")) & (F.col("_seq") < F.col("_gone_seq")), "left_anti").drop("_seq"))
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], SCHEMAS[name])
 
     # -- tables
 
-    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
-        """A table, or what some buckets of it hold."""
-        held = self.manifest()["tables"].get(name, {})
-        paths = [f"{self.root}/{name}/{folder}/bucket={b}" for b, folder in held.items() if buckets is None or int(b) in buckets]
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
-
-    def commit(self, changes: dict[str, tuple[DataFrame | None, DataFrame]], *, keep: int = 2) -> None:
-        """Make changes to several tables current together: of each (new rows or None, keys whose old rows go). Only buckets with such a key, or a new row, are read and
-        written. The last ``keep`` states stay for readers that are under way."""
-        before = self.manifest()
-        folder = f"v{before['version'] + 1}-{uuid.uuid4().hex[:8]}"
-        tables = {name: dict(held) for name, held in before["tables"].items()}
+    def read(self, name: str) -> DataFrame:
+        """A table."""
+        state = self.manifest()["tables"].get(name, {"rows": [], "gone": []})
+        rows = self._visible(name, state, state["rows"])
+        return rows.dropDuplicates([KEYS[name]]) if state.get("repeats") else rows
+
+    def _asked(self, name: str, state: dict, keys: DataFrame) -> DataFrame:
+        """The distinct keys with ``part`` for each segment that may hold them, by the segments' filters."""
+        key = KEYS.get(name, "doc_id")
+        sizes = self.spark.createDataFrame([(k, s["blocks"]) for k, s in enumerate(state["rows"])], "part int, blocks int")
+        filters = [self.spark.read.schema("block int, bits binary").parquet(f"{self.root}/{name}/{s['id']}/keys").withColumn("part", F.lit(k)) for k, s in enumerate(state["rows"])]
+        return membership.maybe(keys.select(key).where(F.col(key).isNotNull()).distinct(), key, reduce(DataFrame.unionByName, filters), sizes)
+
+    def lookup(self, name: str, keys: DataFrame) -> DataFrame:
+        """The rows of a table with one of the keys. Only buckets of segments whose filter may hold a key are opened: for keys that are all new, none or, by chance, a few."""
+        manifest, key = self.manifest(), KEYS.get(name, "doc_id")
+        state = manifest["tables"].get(name)
+        if not state or not state["rows"]:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        asked = self._asked(name, state, keys)
+        buckets: dict[str, list[int]] = {}
+        for r in asked.select("part", self._bucket(key, manifest["buckets"]).alias("bucket")).distinct().collect():  # at most segments times buckets
+            buckets.setdefault(state["rows"][r["part"]]["id"], []).append(r["bucket"])
+        found = self._visible(name, state, [s for s in state["rows"] if s["id"] in buckets], buckets)
+        found = found.join(keys.select(key).distinct(), key, "left_semi").select(*SCHEMAS[name].fieldNames())
+        return found.dropDuplicates([key]) if name in INSERT_ONLY else found
+
+    def commit(self, changes: dict[str, tuple[DataFrame | None, DataFrame]], *, keep: int = KEEP) -> dict:
+        """Make changes to several tables current together: of each (new rows or None, keys whose old rows go). Returns the manifest.
+
+        Raises ``ConcurrentCommitError`` if another commit since this one began has changed one of the keys; commits of other keys stay, under this one.
+        """
+        base = self.manifest()
+        made: dict[str, tuple[dict | None, dict | None]] = {}
         for name, (new, touched) in changes.items():
-            key = KEYS.get(name, "doc_id")
-            of = F.pmod(F.xxhash64(F.col(key)), F.lit(before["buckets"])).cast("int")
-            new = conformed(self.spark.createDataFrame([], SCHEMAS[name]) if new is None else new, SCHEMAS[name])
-            asked = sorted(r[0] for r in touched.select(key).unionByName(new.select(key)).select(of.alias("b")).distinct().collect())  # at most as many as buckets
-            if not asked:
-                continue
-            rows = upserted(self.read(name, asked), new, touched, key).withColumn("bucket", of)
-            rows.repartition("bucket", F.pmod(F.xxhash64(*[F.col(c) for c in SCHEMAS[name].fieldNames()[:3]]), F.lit(8))).write.partitionBy("bucket").parquet(f"{self.root}/{name}/{folder}")
-            written = {str(b) for b in asked if self.files.exists(f"{self.root}/{name}/{folder}/bucket={b}")}
-            tables[name] = {b: f for b, f in tables.get(name, {}).items() if int(b) not in asked} | dict.fromkeys(written, folder)
-        after = self._swap(before, tables=tables, history=[*before["history"], before["tables"]][-keep:])
-        held = lambda states: {(n, f, b) for state in states for n, table in state.items() for b, f in table.items()}
-        for name, old, b in held([*before["history"], before["tables"]]) - held([*after["history"], after["tables"]]):
-            self.files.delete(f"{self.root}/{name}/{old}/bucket={b}")
+            state, key = base["tables"].get(name), KEYS.get(name, "doc_id")
+            rows = None if new is None else self._segment(name, conformed(new, SCHEMAS[name]), base["buckets"])
+            # keys that no segment can hold need no tombstone
+            gone = self._tombstones(name, self._asked(name, state, touched).select(key, F.lit(None).cast("long").alias("seq")).distinct()) if state and state["rows"] else None
+            made[name] = (rows, gone)
+
+        def on_top(latest: dict) -> dict:
+            seq = latest["version"] + 1
+            for name, (rows, gone) in made.items():
+                state = latest["tables"].setdefault(name, {"rows": [], "gone": []})
+                if latest["version"] != base["version"]:
+                    self._compare(name, base, latest, *changes[name])
+                state["repeats"] = state.get("repeats", False) or name in INSERT_ONLY and any(s["seq"] > base["version"] for s in state["rows"])
+                state["rows"] += [rows | {"seq": seq}] if rows else []
+                state["gone"] += [gone | {"seq": seq}] if gone else []
+                latest["made"][name] = {"rows": rows and rows["id"], "gone": gone and gone["id"]}
+            return latest
+
+        after = self._publish(on_top, keep)
+        self._end()
+        for name in changes:
+            self.compact(name, keep=keep)
+        return after
+
+    def _compare(self, name: str, base: dict, latest: dict, new: DataFrame | None, touched: DataFrame) -> None:
+        """Raise if commits since ``base`` have changed a key of this one. What each commit made is in its manifest, and stays as long as that, whatever has been merged."""
+        if name in INSERT_ONLY:
+            return
+        key, theirs, there = KEYS.get(name, "doc_id"), [], set(self._versions())
+        for version in range(base["version"] + 1, latest["version"] + 1):
+            manifest = f"{version:012d}.json"
+            if manifest not in there:
+                raise ConcurrentCommitError(f"too many commits since version {base['version']} of {self.root}")
+            made = self.manifest(manifest)["made"].get(name, {})
+            theirs += [self.spark.read.schema(f"{key} string").parquet(f"{self.root}/{name}/{folder}/{kind}").select(key) for kind, folder in made.items() if folder]
+        if not theirs:
+            return
+        ours = touched.select(key) if new is None else touched.select(key).unionByName(new.select(key))
+        if not ours.join(reduce(DataFrame.unionByName, theirs).distinct(), key, "left_semi").isEmpty():
+            raise ConcurrentCommitError(f"another commit since version {base['version']} of {self.root} changed the same keys of {name}")
+
+    def compact(self, name: str, *, whole: bool = False, keep: int = KEEP) -> bool:
+        """Merge the segments of each size tier that has ``FANOUT`` of them, all if tombstones have come to a quarter of the rows, and the tombstones once they are as many sets. Readers
+        aren't disturbed, and commits that come meanwhile stay on top. Whether anything was merged."""
+        manifest = self.manifest()
+        state = manifest["tables"].get(name)
+        if not state:
+            return False
+        done = lambda s: max(s["seq"], s["applied"])
+        tiers: dict[int, list[dict]] = {}
+        for s in state["rows"]:
+            tiers.setdefault(max(0, int(math.log(max(1, s["bytes"]) / SMALLEST, FANOUT)) + (s["bytes"] > SMALLEST)), []).append(s)
+        if whole or 4 * sum(g["rows"] for g in state["gone"]) > sum(s["rows"] for s in state["rows"]):
+            due = [s for t in tiers.values() for s in t] if len(state["rows"]) > 1 or state["gone"] else []
+        else:
+            due = [s for t in tiers.values() if len(t) >= FANOUT for s in t]
+        sets = state["gone"] if len(state["gone"]) >= FANOUT else []
+        if not due and not sets:
+            return False
+        rows = self._visible(name, state, due) if due else None
+        if due and name in INSERT_ONLY:
+            rows = rows.dropDuplicates([KEYS[name]])
+        merged = self._segment(name, rows, manifest["buckets"]) if due else None
+        key = KEYS.get(name, "doc_id")
+        tombstones = self._tombstones(name, self._gone(name, {"gone": sets}).select(key, F.col("_gone_seq").alias("seq"))) if sets else None
+
+        def replaced(latest: dict) -> dict:
+            now = latest["tables"].get(name, {"rows": [], "gone": []})
+            ids = {s["id"] for s in [*due, *sets]}
+            if not ids <= {s["id"] for s in [*now["rows"], *now["gone"]]}:
+                raise ConcurrentCommitError("merged by another")
+            now["rows"] = [s for s in now["rows"] if s["id"] not in ids]
+            now["rows"] += [merged | {"seq": max(s["seq"] for s in due), "applied": manifest["version"]}] if merged else []
+            now["gone"] = [g for g in now["gone"] if g["id"] not in ids]
+            now["gone"] += [tombstones | {"seq": max(g["seq"] for g in sets)}] if tombstones else []
+            oldest = min((done(s) for s in now["rows"]), default=None)
+            now["gone"] = [g for g in now["gone"] if oldest is not None and g["seq"] > oldest]
+            if len(now["rows"]) == 1:
+                now["repeats"] = False
+            return latest
+
+        try:
+            self._publish(replaced, keep)
+        except ConcurrentCommitError:
+            return False
+        finally:
+            self._end()
+        return True
+
+    def _end(self) -> None:
+        if not self._staged:
+            self.files.delete(f"{self.root}/_leases/{self._run}.json")
+
+    def vacuum(self, keep: int = KEEP) -> None:
+        """Delete all but the last ``keep`` manifests, and folders that none of those names, unless they are of a writer whose lease goes on."""
+        versions = self._versions()
+        held = {x["id"] for v in versions[-keep:] for t in self.manifest(v)["tables"].values() for x in [*t["rows"], *t["gone"]]}
+        alive = {self._run}
+        for lease in self.files.names(f"{self.root}/_leases"):
+            try:
+                until = json.loads(self.files.read(f"{self.root}/_leases/{lease}"))["until"]
+            except Exception as e:
+                if "FileNotFound" not in str(e):
+                    raise
+                continue  # its writer has ended
+            if until > self._clock():
+                alive.add(lease.removesuffix(".json"))
+            else:
+                self.files.delete(f"{self.root}/_leases/{lease}")
+        past = {x["id"] for v in versions[:-keep] for t in self.manifest(v)["tables"].values() for x in [*t["rows"], *t["gone"]]}
+        for name in [*SCHEMAS, "_stage"]:
+            for folder in self.files.names(f"{self.root}/{name}"):
+                if folder not in held and (folder in past or folder.split("-")[0] not in alive):
+                    self.files.delete(f"{self.root}/{name}/{folder}")
+        for v in versions[:-keep]:
+            self.files.delete(f"{self.root}/_log/{v}")
 
     def stage(self, name: str, rows: DataFrame) -> DataFrame:
         """Rows written once for several readers within a run, in a folder of the run's own."""
-        path = f"{self.root}/_stage/{self._run}/{name}-{len(self._staged)}"
+        path = f"{self.root}/_stage/{self._folder()}-{name}"
         rows.write.parquet(path)
         self._staged.append(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def unstage(self) -> None:
         """Delete what this run has staged."""
-        self.files.delete(f"{self.root}/_stage/{self._run}")
+        for path in self._staged:
+            self.files.delete(path)
+        self._staged.clear()
+        self._end()
 
 
 def conformed(rows: DataFrame, schema: T.StructType) -> DataFrame:

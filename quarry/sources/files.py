@@ -72,11 +72,37 @@ class FileSystem:
         options[0] = option
         context.rename(fs.makeQualified(new), fs.makeQualified(p), options)
 
-    def claim(self, path: str) -> bool:
-        """Make an empty file; false if there is one already."""
+    def publish(self, path: str, text: str) -> bool:
+        """Write beside the path, then rename to it; false if there is a file already. Readers see no part of it. As atomic as the file system's rename."""
         fs, p = self._at(path)
-        fs.mkdirs(p.getParent())
-        return bool(fs.createNewFile(p))
+        new = self.jvm.org.apache.hadoop.fs.Path(p.getParent(), f"_{uuid.uuid4().hex}")
+        stream = fs.create(new, True)
+        try:
+            stream.write(bytearray(text.encode("utf-8")))
+        finally:
+            stream.close()
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.conf)
+        option = self.jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        options = self.jvm.java.lang.reflect.Array.newInstance(option.getClass(), 1)
+        options[0] = option
+        try:
+            context.rename(fs.makeQualified(new), fs.makeQualified(p), options)
+        except Exception as e:
+            fs.delete(new, False)
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        return True
+
+    def names(self, path: str) -> list[str]:
+        """What is directly in a folder, by name; nothing if there is none."""
+        fs, p = self._at(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def size(self, path: str) -> int:
+        """Bytes of all files below."""
+        fs, p = self._at(path)
+        return fs.getContentSummary(p).getLength()
 
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
