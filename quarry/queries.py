@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import Chunking, Embedding, Retrieval
 from quarry.functions import columns as C
-from quarry.operators import answer, assemble, chunk, embed, evaluate, parse, retrieve, tables
+from quarry.operators import answer, assemble, chunk, embed, evaluate, parse, retrieve, sections, tables
 from quarry.plans import ingest, store
 from quarry.sources.files import scratch
 from quarry.streaming import arrivals
@@ -167,6 +167,16 @@ def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", _long("chunk_index").alias("chunk_index"), "chunk_id", "section_id", "breadcrumb", "text", _long("token_count").alias("token_count"), "kind")
 
 
+def doc_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Documents read as outlines: lines of up to eight words are headings, of a level by their length, and the first line is the title."""
+    line = lambda x: F.struct(F.when(C.token_count(x) <= 8, "heading").otherwise("paragraph").alias("type"), (F.char_length(x) % 6 + 1).alias("level"), x.alias("text"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.get(lines, F.lit(0)).alias("title"), F.transform(lines, line).alias("blocks"))
+    found = sections.section_rows(docs)
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
+    return found.select("doc_id", _long("section").alias("section"), "section_id", "breadcrumb", _long("occurrence").alias("occurrence"), text.alias("text"))
+
+
 def min_words(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where(C.token_count("text") >= 12).select("doc_id")
 
@@ -578,12 +588,26 @@ QUERIES = {
     f.__name__: f
     for f in (
         dense_retrieve, dense_topk, dense_topk_filtered, cap_per_doc, cosine_expression, reciprocal_rank_fusion, doc_id, content_hash, cache_key, token_count, normalize_text, norm_span, sentences, snippet, file_names, supported_files,
-        sentence_pack, chunk_ids, chunk_overlap, min_words, seeded_sample, cache_misses, embed_stats, embed_vectors, hash_vector, ingest_plan, ingest_report, prune, upsert_snapshot, list_documents, find_document, cached_vectors,
+        sentence_pack, chunk_ids, chunk_overlap, doc_sections, min_words, seeded_sample, cache_misses, embed_stats, embed_vectors, hash_vector, ingest_plan, ingest_report, prune, upsert_snapshot, list_documents, find_document, cached_vectors,
         payload_project, exact_count, scroll_doc, assemble_budget, render_document, citations_extract, golden_match, first_ranks, answer_scores, trace_rows, recall_at_k, first_hit_rank, eval_summary, baseline_compare, duplicate_ids, dedupe_questions, with_new_cache_rows, retrieved,
         event_windows, stream_windows, smoke_rate, html_title, html_h1, html_blocks, markdown_blocks, html_lists, plain_text, md_table, html_table, pages_without_text, bm25,
     )
 }
 
+_SECTIONS = rf"""WITH lines AS (
+  SELECT doc_id, i, t, ls[1] AS title, {_TOKENS.format(x="t")} <= 8 AS head, length(t) % 6 + 1 AS level
+  FROM (SELECT doc_id, ls, unnest(ls) AS t, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+), numbered AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM lines
+), bodies AS (SELECT doc_id, k, any_value(trim(title, ' ')) AS title, string_agg(t, chr(10) ORDER BY i) AS text FROM numbered WHERE NOT head GROUP BY doc_id, k
+), above AS (
+  SELECT b.doc_id, b.k, h.k AS place, h.t, h.level, min(h.level) OVER (PARTITION BY b.doc_id, b.k ORDER BY h.k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lowest
+  FROM bodies b JOIN numbered h ON h.doc_id = b.doc_id AND h.head AND h.k <= b.k
+), chains AS (SELECT doc_id, k, list(t ORDER BY place) AS names FROM above WHERE lowest IS NULL OR level < lowest GROUP BY doc_id, k
+), crumbs AS (
+  SELECT b.doc_id, b.k, b.text, array_to_string(list_concat([b.title], CASE WHEN names IS NULL THEN [] WHEN names[1] = b.title THEN names[2:] ELSE names END), ' > ') AS breadcrumb FROM bodies b LEFT JOIN chains c ON c.doc_id = b.doc_id AND c.k = b.k
+), found AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS section, breadcrumb, row_number() OVER (PARTITION BY doc_id, breadcrumb ORDER BY k) AS occurrence, text FROM crumbs)
+SELECT doc_id, section, {_uuid_sql("doc_id || ':section:' || occurrence || ':' || breadcrumb")} AS section_id, breadcrumb, occurrence, text FROM found"""
+
 ORACLES = {
     "dense_topk": f"SELECT qid, vec_id, round(score, 6) AS score, rank FROM ({_ranked_sql()}) WHERE rank <= 10",
     "dense_topk_filtered": f"SELECT qid, vec_id, round(score, 6) AS score, rank FROM ({_ranked_sql('AND p.label = 1')}) WHERE rank <= 10",
@@ -603,6 +627,7 @@ ORACLES = {
     "snippet": "SELECT doc_id, replace(CASE WHEN length(text) > 240 THEN substr(text, 1, 239) || '…' ELSE text END, chr(10), ' ') AS snippet FROM documents",
     "file_names": r"SELECT page_id, regexp_extract(url, '^[^?#]*?([^/?#]*)(?:[?#].*)?$', 1) AS file, CASE WHEN file = '' THEN '' ELSE 'html' END AS suffix FROM pages",
     "supported_files": """SELECT CASE doc_id % 5 WHEN 0 THEN 'md' WHEN 1 THEN 'html' WHEN 2 THEN 'txt' WHEN 3 THEN 'pdf' ELSE '' END AS suffix, doc_id % 5 IN (0, 1, 3) AS supported, count(*) AS n FROM documents GROUP BY ALL""",
+    "doc_sections": _SECTIONS,
     "sentence_pack": f"{_PACK} SELECT doc_id, CAST(i AS BIGINT) AS i, piece, tokens FROM pieces",
     "chunk_ids": f"{_PACK} SELECT CAST(doc_id AS VARCHAR) AS doc, CAST(i AS BIGINT) AS i, {_uuid_sql('''doc_id || ':' || i || ':' || hash''')} AS chunk_id FROM (SELECT p.doc_id, p.i, sha256(d.text) AS hash FROM pieces p JOIN documents d USING (doc_id))",
     "min_words": f"SELECT doc_id FROM documents WHERE {_TOKENS.format(x='text')} >= 12",
