@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
+from quarry.plans import numbering
 from quarry.schemas import GOLDEN
 
 KS = (1, 3, 5, 8, 10)
@@ -161,8 +162,8 @@ def deduplicated(candidates: DataFrame, *, question: str = "question", order: Se
 
 
 def numbered(candidates: DataFrame, order: str = "arrival") -> DataFrame:
-    """Ids ``syn-0001``, ... in order. Candidates are a bounded sample's."""
-    return candidates.withColumn("id", F.format_string("syn-%04d", F.row_number().over(Window.orderBy(order))))
+    """Ids ``syn-0001``, ... in order, of any number of candidates."""
+    return numbering.numbered(candidates, order, name="_n").withColumn("id", F.format_string("syn-%04d", "_n")).drop("_n")
 
 
 def smoke(expected: DataFrame, answers: DataFrame) -> DataFrame:

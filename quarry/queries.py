@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import Chunking, Embedding, Retrieval
 from quarry.functions import columns as C
-from quarry.operators import answer, assemble, cells, chunk, embed, evaluate, parse, retrieve, sections, tables
+from quarry.operators import answer, assemble, cells, chunk, embed, evaluate, parse, retrieve, sections, spans, tables
 from quarry.plans import ingest, store
 from quarry.sources.files import scratch
 from quarry.streaming import arrivals
@@ -360,20 +360,22 @@ def citations_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def golden_match(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items whose text occurs in a document, white space and case aside. A span that occurs shares its first eight words with the document, so
-    documents meet items by a hash of eight words in a row, and the texts are compared only where they met."""
-    k = 8
-    words = lambda c: F.split(c, " ")
-    items = table(spark, d, "benchmark").select("item_id", C.norm("text").alias("span")).where("span != ''")
-    items = items.withColumn("n", F.size(words("span")))
-    docs = _docs(spark, d).select("doc_id", C.norm("text").alias("norm"))
-    # inner words of a span stand between blanks; its outer ones may be parts of a document's words, so the key is what is in between
-    long_ = items.where(F.col("n") >= k + 2).select("item_id", "span", F.get(C.run_hashes(F.slice(words("span"), 2, k), k), F.lit(0)).alias("key"))
-    grams = docs.select("doc_id", F.explode_outer(F.array_distinct(C.run_hashes(words("norm"), k))).alias("key")).where("key IS NOT NULL")
-    met = grams.join(long_.select("key").distinct(), "key", "left_semi").join(long_, "key").select("doc_id", "item_id", "span").distinct()
-    found = met.join(docs, "doc_id").where(F.col("norm").contains(F.col("span"))).select("item_id", "doc_id")
-    short = docs.join(items.where(F.col("n") < k + 2), F.col("norm").contains(F.col("span"))).select("item_id", "doc_id")
-    return found.union(short)
+    """Benchmark items whose text occurs in a document, white space and case aside."""
+    return spans.span_matches(_docs(spark, d), table(spark, d, "benchmark"), span="text")
+
+
+def golden_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Short spans, the names of brands, nations and part types and the first words of benchmark items, in documents and pages' texts."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("item_id"), F.array_join(F.slice(F.split(C.norm("text"), " "), F.lit(1), F.pmod("item_id", F.lit(6)).cast("int") + 1), " ").alias("span"))
+    nations = table(spark, d, "nation").select(F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("item_id"), F.substring("n_name", 1, 2).alias("span"))
+    return spans.span_matches(_docs(spark, d), items.unionByName(nations))
+
+
+def dedupe_numbered(spark: SparkSession, d: str) -> DataFrame:
+    """The first of each question in conversations, numbered in their order."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("question"))
+    kept = evaluate.deduplicated(rows, order=("conv_id", "turn")).withColumn("arrival", F.struct("conv_id", "turn"))
+    return evaluate.numbered(kept).select("id", "conv_id", "turn")
 
 
 def _ranks(spark: SparkSession, d: str) -> DataFrame:
@@ -596,7 +598,7 @@ QUERIES = {
     for f in (
         dense_retrieve, dense_topk, indexed_topk, dense_topk_filtered, cap_per_doc, cosine_expression, reciprocal_rank_fusion, doc_id, content_hash, cache_key, token_count, normalize_text, norm_span, sentences, snippet, file_names, supported_files,
         sentence_pack, chunk_ids, chunk_overlap, doc_sections, min_words, seeded_sample, cache_misses, embed_stats, embed_vectors, hash_vector, ingest_plan, ingest_report, prune, upsert_snapshot, list_documents, find_document, cached_vectors,
-        payload_project, exact_count, scroll_doc, assemble_budget, render_document, citations_extract, golden_match, first_ranks, answer_scores, trace_rows, recall_at_k, first_hit_rank, eval_summary, baseline_compare, duplicate_ids, dedupe_questions, with_new_cache_rows, retrieved,
+        payload_project, exact_count, scroll_doc, assemble_budget, render_document, citations_extract, golden_match, golden_terms, first_ranks, answer_scores, trace_rows, recall_at_k, first_hit_rank, eval_summary, baseline_compare, duplicate_ids, dedupe_questions, dedupe_numbered, with_new_cache_rows, retrieved,
         event_windows, stream_windows, smoke_rate, html_title, html_h1, html_blocks, markdown_blocks, html_lists, plain_text, md_table, html_table, pages_without_text, bm25,
     )
 }
@@ -675,6 +677,8 @@ ORACLES = {
     "baseline_compare": f"""WITH {_HITS}, {_SUMMARY}, base AS (SELECT metric, value + 0.125 AS value FROM metrics WHERE metric <> 'hit@10' UNION ALL SELECT 'judge_x', 0.5)
       SELECT coalesce(b.metric, c.metric) AS metric, round(b.value, 6) AS baseline, c.value AS current, round(c.value - b.value, 6) AS delta FROM base b FULL JOIN metrics c ON b.metric = c.metric""",
     "duplicate_ids": "SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1",
+    "dedupe_numbered": f"SELECT printf('syn-%04d', row_number() OVER (ORDER BY conv_id, turn)) AS id, conv_id, turn FROM (SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY {_NORM.format(x='text')} ORDER BY conv_id, turn) = 1)",
+    "golden_terms": f"WITH d AS (SELECT doc_id, {_NORM.format(x='text')} AS t FROM documents), i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, array_to_string(string_split({_NORM.format(x='text')}, ' ')[1 : item_id % 6 + 1], ' ') AS s FROM benchmark UNION ALL SELECT 'nation ' || n_nationkey, lower(substr(n_name, 1, 2)) FROM nation) SELECT item_id, doc_id FROM i JOIN d ON contains(t, s) WHERE s <> ''",
     "dedupe_questions": f"SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY {_NORM.format(x='text')} ORDER BY conv_id, turn) = 1",
     "event_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "stream_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
