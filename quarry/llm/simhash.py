@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, fits, text_key
+from quarry.llm.common import cut, fits, stored, text_key
 
 BLOCK = 1 << 16  # shingles whose bits are unpacked at once
 
@@ -61,19 +61,6 @@ def fingerprint(text: str | None, shingle_words: int) -> int:
     return _majority(ones, len(spans))
 
 
-def word_fingerprints(text: str | None) -> tuple[int, int, int]:
-    """A hash of the word sequence and two fingerprints of the different words, signed; 0 without words."""
-    words = _words(text)
-    if not words:
-        return 0, 0, 0
-    own = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64)
-    again = own * np.uint64(0x9E3779B97F4A7C15)
-    again = (again ^ (again >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    again ^= again >> np.uint64(32)
-    key = int(np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64).view(np.int64)[0])
-    return key, _majority(_ones(own), len(own)), _majority(_ones(again), len(own))
-
-
 def shingles(text: str | None, shingle_words: int) -> np.ndarray:
     """The different hashes of the shingles, signed."""
     words = _words(text)
@@ -93,16 +80,58 @@ def fingerprints(docs: DataFrame, *, shingle_words: int = 4, id_col: str = "doc_
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key long, fp long")
 
 
-def sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id``, ``key`` (a hash of the text), ``fp`` (a hash of the word sequence), ``w1`` and ``w2`` (fingerprints of its different words)."""
+SAMPLED, OFTEN = 8, 3  # one text in so many is counted; so many of those make a shingle frequent
+SLOTS = 1 << 24  # of the table of frequent shingles: 2 MB, whatever the corpus
+
+
+def frequent(docs: DataFrame, *, shingle_words: int, text_col: str = "text") -> np.ndarray:
+    """A table of ``SLOTS`` truth values: of shingles (by their hash) that many texts have. It comes from a sample of the texts, and several shingles share a slot; it only decides an order, so no result
+    depends on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py(), shingle_words))], names=["h"])
+
+    text = F.col(text_col).cast("string")
+    rows = docs.where(F.pmod(text_key(F.col(text_col)), F.lit(SAMPLED)) == 0).select(text.alias("text")).mapInArrow(run, "h long")
+    slot = F.pmod("h", F.lit(SLOTS))
+    many = rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).select(slot.alias("slot"))
+    blocks = many.groupBy(F.floor(F.col("slot") / 32_768).alias("block")).agg(F.bitmap_construct_agg(F.col("slot") % 32_768).alias("bits"))
+    table = np.zeros((SLOTS // 32_768, 32_768), bool)
+    for r in blocks.collect():  # at most SLOTS / 32,768 rows of 4 KB
+        table[r["block"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+    return table.ravel()
+
+
+def prefix_size(n, similarity: float):
+    """So many of the first of n shingles, in any order that all sets share, meet one of the first of every set that is similar enough."""
+    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+
+
+def sequences(docs: DataFrame, *, shingle_words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``id``, ``key`` (a hash of the text), ``fp`` (a hash of the word sequence), ``sim`` (the fingerprint of its shingles), ``n`` (its different shingles) and
+    ``prefix`` (the first of those by ``prefix_size``, rare ones before frequent ones)."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent(docs, shingle_words=shingle_words, text_col=text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            found = [word_fingerprints(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[k] for x in found], pa.int64()) for k in range(3))], names=["id", "key", "fp", "w1", "w2"])
+            found = []
+            for x in batch.column(2):
+                words = _words(x.as_py())
+                joined = b" ".join(words)
+                hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in _spans(words, shingle_words)] if words else [], np.uint64)
+                ones = sum((_ones(hashes[at : at + BLOCK]) for at in range(0, len(hashes), BLOCK)), np.zeros(64, np.int64))
+                own = np.unique(hashes)
+                order = np.lexsort((own, often[(own % np.uint64(SLOTS)).astype(np.int64)]))[: prefix_size(np.int64(len(own)), similarity) if len(own) else 0]
+                key = np.array([xxhash.xxh64_intdigest(joined, 42) if words else 0], np.uint64).view(np.int64)[0]
+                found.append((int(key), _majority(ones, len(hashes)), len(own), own[order].view(np.int64)))
+            columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(3)] + [pa.array([x[3] for x in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "key", "fp", "sim", "n", "prefix"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key long, fp long, w1 long, w2 long")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key long, fp long, sim long, n long, prefix array<long>")
 
 
 def segment_counts(fps: np.ndarray, segment_bits: int) -> np.ndarray:
@@ -245,93 +274,94 @@ def _linked(cells: DataFrame, max_distance: int, cell_cap: int) -> DataFrame:
     return cells.select("point", "fp").repartition("point").sortWithinPartitions("point").mapInArrow(run, "a long, b long").distinct()
 
 
-SMALL, LARGE = 8, 256  # members of a point
-
-
-def _nearest(fp: np.ndarray, most_bits: int) -> Iterator[tuple[int, int]]:
-    """Places of a tree of nearest links between members of a point, at up to ``most_bits``: each member is linked to the nearest one that is linked already."""
-    n, at = len(fp), 0
-    best, source, left = np.full(n, 255, np.uint8), np.zeros(n, np.int64), np.ones(n, bool)
-    for _ in range(n - 1):
-        left[at] = False
-        distance = np.bitwise_count(fp ^ fp[at])
-        closer = left & (distance < best)
-        best[closer], source[closer] = distance[closer], at
-        at = int(np.argmin(np.where(left, best, 255)))
-        if best[at] <= most_bits:
-            yield int(source[at]), at
-
-
-def _neighbours(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of members that follow each other when sorted by the fingerprint, turned by 0, 16, 32 and 48 bits, and of all with the first."""
-    for turn in (0, 16, 32, 48):
-        turned = (fp << np.uint64(turn)) | (fp >> np.uint64(64 - turn)) if turn else fp
-        order = np.argsort(turned, kind="stable")
-        yield order[:-1], order[1:]
-    yield np.zeros(len(fp), np.int64), np.arange(len(fp))
-
-
-def _candidates(cells: DataFrame, most_bits: int, piece: int = 100_000) -> DataFrame:
-    """Candidate links (a, b), a < b, of nodes that meet in a point of ``cells`` (point, fp, node) with fingerprints at up to ``most_bits``. A point of up to ``SMALL``
-    members gives those of all; of up to ``LARGE`` a tree of nearest ones; beyond, members are linked to their neighbours in four orders and to the first one. A point that
-    is larger than a ``piece`` is taken piece by piece. So their number grows with the members, and none is left out."""
+def _pairs(of: np.ndarray, n: np.ndarray, group: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs within equal ``of`` (sorted, then by ``n``) that are in different groups and of sizes which the similarity allows."""
+    begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
+    size = np.diff(begin, append=len(of))
+    # a member's partners are those after it in its run, up to a size
+    end = np.repeat(begin + size, size)
+    for step in range(1, min(64, int(size.max(initial=1)))):
+        at = np.arange(len(of) - step)
+        at = at[(at + step < end[at]) & (np.repeat(size, size)[at] <= 64)]
+        at = at[(n[at] >= similarity * n[at + step] - 1e-9) & (group[at] != group[at + step])]
+        yield at, at + step
+    for first, m in zip(begin[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+        own = slice(first, first + m)
+        last = first + np.searchsorted(n[own], n[own] / similarity + 1e-9, side="right")
+        for i in range(first, first + m) if (group[own] != group[first]).any() else ():
+            other = np.arange(i + 1, last[i - first])
+            other = other[group[other] != group[i]]
+            yield np.full(len(other), i), other
+
+
+def _meeting(rows: DataFrame, similarity: float, cap: int) -> DataFrame:
+    """Rows (a, b, na, nb, both) of nodes of different groups that share ``both`` of the tokens of ``rows`` (token, node, n, grp), a < b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (point, fp, node), _ in _by_point(batches, piece):
-            fp = fp.view(np.uint64)
-            begin = np.flatnonzero(np.concatenate([[True], point[1:] != point[:-1]]))
-            size = np.diff(begin, append=len(point))
-            of = np.repeat(size, size)
-            ends = []
-            for step in range(1, min(SMALL, len(point))):
-                at = np.flatnonzero((point[step:] == point[:-step]) & (of[step:] <= SMALL))
-                near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= most_bits]
-                ends.append((node[near], node[near + step]))
-            for at, n in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-                own, ids = fp[at : at + n], node[at : at + n]
-                if n <= LARGE:
-                    tree = np.array(list(_nearest(own, most_bits)), np.int64).reshape(-1, 2)
-                    ends.append((ids[tree[:, 0]], ids[tree[:, 1]]))
-                else:
-                    for x, y in _neighbours(own):
-                        near = np.bitwise_count(own[x] ^ own[y]) <= most_bits
-                        ends.append((ids[x[near]], ids[y[near]]))
-            if ends:
-                yield _link_batch(*(np.concatenate([x[k] for x in ends]) for k in (0, 1)))
-
-    met = cells.repartition("point").sortWithinPartitions("point").mapInArrow(run, "a long, b long")
-    return met.where("a < b").distinct()
-
-
-def similar_links(docs: DataFrame, by_doc: DataFrame, *, shingle_words: int, similarity: float, most_bits: int = 10, most_broadcast: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (a, b), a < b, between word sequences whose sets of shingles have a Jaccard similarity of ``similarity`` or more. ``by_doc`` has a row (id, key, fp, w1, w2) per
-    document, fp being a hash of the word sequence.
-
-    Fingerprints of five-word shingles differ in a third of the bits of a face at a similarity of 0.8, too many for a grid. So candidates meet in the grids of two
-    fingerprints of the different words, which an edited word changes much less (by 4 of 64 bits, at that similarity); of those that are at up to ``most_bits`` in one and twice that
-    in both, the shingles are compared. Texts are read again for nodes with a candidate only.
+        names = ["a", "b", "na", "nb", "token"]
+        for (token, n, node, group), crowded in _by_point(batches, cap):
+            if crowded:
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array(token[:1])], names=names)
+                continue
+            held, count = [], 0
+            for i, j in _pairs(token, n, group, similarity):
+                low, high = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+                held.append((node[low], node[high], n[low], n[high]))
+                count += len(i)
+                if count > 500_000:
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(*held)), pa.nulls(count, pa.int64())], names=names)
+                    held, count = [], 0
+            if count:
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(*held)), pa.nulls(count, pa.int64())], names=names)
+
+    met = stored(rows.select("token", "n", "node", "grp").repartition("token").sortWithinPartitions("token", "n").mapInArrow(run, "a long, b long, na long, nb long, token long"))
+    found, crowds = met.where("token IS NULL").drop("token"), met.where("token IS NOT NULL").select("token").distinct()
+    if not crowds.isEmpty():  # tokens of more nodes than a task holds: a join, which adaptive execution splits
+        x, y = (rows.join(crowds, "token").select("token", F.col("node").alias(a), F.col("n").alias(f"n{a}"), F.col("grp").alias(f"g{a}")) for a in "ab")
+        sizes = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9
+        found = found.unionByName(x.join(y.hint("merge"), "token").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & sizes).select("a", "b", "na", "nb"))
+    return found.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
+
+
+def similar_links(docs: DataFrame, by_doc: DataFrame, *, shingle_words: int, similarity: float, cell_cap: int = 1_000_000, most_broadcast: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b), a < b, that connect exactly what pairs of word sequences connect whose sets of shingles have a Jaccard similarity of ``similarity`` or more. ``by_doc`` are ``sequences``.
+
+    First, what fingerprints link in their grids, and equal fingerprints, are verified by their shingles: that unites most of a group of near copies by few links. Fingerprints of
+    sets at 0.8 are often too far apart, so all other pairs that may be similar are then met by an exact rule: of similar sets the first shingles, in an order common to all, share one. Rare shingles are
+    first, so what many texts share brings few together. Pairs whose first shingles share too few, or that are of one group already, aren't compared; the others are verified.
     """
-    nodes = cut(by_doc.groupBy("fp").agg(F.min("w1").alias("w1"), F.min("w2").alias("w2"), F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("one")))
-    width = 2 if fits(nodes, 4_000_000) else 1
-    met = _candidates(_points(nodes.select("w1", "w2", F.col("fp").alias("node")), grid_points, width, 1), most_bits)
-    # what meets by chance in one fingerprint is far apart in the other
-    ones = lambda end: nodes.select(F.col("fp").alias(end), *[F.col(w).alias(f"{w}{end}") for w in ("w1", "w2")])
-    apart = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in ("w1", "w2")), F.lit(0))
-    met = cut(met.join(ones("a"), "a").join(ones("b"), "b").where(apart <= 2 * most_bits).select("a", "b"))
-    asked = cut(nodes.join(met.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp").select(F.col("fp").alias("_node"), F.col("one.id").alias("_own_id"), F.col("one.key").alias("_own_key")))
-    rows = docs.select(F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"), F.col(text_col).cast("string").alias("_text"))
-    rows = rows.join(F.broadcast(asked) if fits(asked, most_broadcast, "_own_id") else asked, (F.col("_key") == F.col("_own_key")) & F.col("_id").eqNullSafe(F.col("_own_id")))
+    nodes = cut(by_doc.groupBy("fp").agg(F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("one")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(x.as_py(), shingle_words) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "s"])
 
-    sets = cut(rows.select("_node", "_text").mapInArrow(run, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s")))
-    first, second = sets.select(F.col("node").alias("a"), F.col("s").alias("s1")), sets.select(F.col("node").alias("b"), F.col("s").alias("s2"))
-    pairs = met.join(first, "a").join(second, "b").where(F.least(F.size("s1"), F.size("s2")) >= similarity * F.greatest(F.size("s1"), F.size("s2")))
-    pairs = pairs.select("a", "b", F.size(F.array_intersect("s1", "s2")).alias("both"), (F.size("s1") + F.size("s2")).alias("all"))
-    return pairs.where(F.col("both") >= F.lit(similarity) * (F.col("all") - F.col("both"))).select("a", "b")
+    def verified(met: DataFrame) -> DataFrame:
+        """Of candidate links those of similar sets. Texts are read again for nodes with a candidate only."""
+        asked = cut(nodes.join(met.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp").select(F.col("fp").alias("_node"), F.col("one.id").alias("_own_id"), F.col("one.key").alias("_own_key")))
+        rows = docs.select(F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"), F.col(text_col).cast("string").alias("_text"))
+        rows = rows.join(F.broadcast(asked) if fits(asked, most_broadcast, "_own_id") else asked, (F.col("_key") == F.col("_own_key")) & F.col("_id").eqNullSafe(F.col("_own_id")))
+        sets = cut(rows.select("_node", "_text").mapInArrow(run, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s")))
+        first, second = sets.select(F.col("node").alias("a"), F.col("s").alias("s1")), sets.select(F.col("node").alias("b"), F.col("s").alias("s2"))
+        pairs = met.join(first, "a").join(second, "b").where(F.least(F.size("s1"), F.size("s2")) >= similarity * F.greatest(F.size("s1"), F.size("s2")) - 1e-9)
+        pairs = pairs.select("a", "b", F.size(F.array_intersect("s1", "s2")).alias("both"), (F.size("s1") + F.size("s2")).alias("all"))
+        return cut(pairs.where(F.col("both") >= F.lit(similarity) * (F.col("all") - F.col("both")) - 1e-9).select("a", "b"))
+
+    sims = cut(nodes.groupBy("sim").agg(F.min("fp").alias("least")))
+    equal = nodes.join(sims, "sim").where("fp > least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    near = links(sims.select(F.col("sim").alias("fp"))).select(F.col("a").alias("sim_a"), F.col("b").alias("sim_b"))
+    for end in "ab":
+        near = near.join(sims.select(F.col("sim").alias(f"sim_{end}"), F.col("least").alias(end)), f"sim_{end}")
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    close = verified(cut(near.unionByName(equal).distinct()))
+
+    groups = components(close).withColumnRenamed("node", "fp")
+    rows = nodes.select("fp", "n", "prefix").join(groups, "fp", "left").select(F.col("fp").alias("node"), "n", F.coalesce("root", "fp").alias("grp"), F.explode("prefix").alias("token"))
+    met = _meeting(rows, similarity, cell_cap)
+    rest = lambda n: F.ceil(F.col(n) * similarity - 1e-9) - 1  # noqa: E731  shingles after the first ones
+    may = F.col("both") + F.greatest(rest("na"), rest("nb")) >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9
+    return close.unionByName(verified(cut(met.where(may).select("a", "b")))).distinct()
 
 
 def links(fps: DataFrame, *, max_distance: int = 4, segment_bits: tuple[int, ...] | None = None, cell_cap: int = 10_000) -> DataFrame:
@@ -394,7 +424,7 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 4, max_distance: in
     if similarity is None:
         by_doc = cut(fingerprints(docs, shingle_words=shingle_words, id_col=id_col, text_col=text_col))
     else:
-        by_doc = cut(sequences(docs, id_col=id_col, text_col=text_col))
+        by_doc = cut(sequences(docs, shingle_words=shingle_words, similarity=similarity, id_col=id_col, text_col=text_col))
     fps = cut(by_doc.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     if similarity is None:
         found = links(fps, max_distance=max_distance, segment_bits=segment_bits, cell_cap=cell_cap)
