@@ -4,12 +4,14 @@ A text is cut into sentences and each is brought into a normal form: words in lo
 ("licensed under the terms of"), the names of licences, their versions and "or any later version" are one symbol each. The table of known sentences is kept in that form, as
 a trie from words to identifiers; what a sentence holds of it, the longest first, gives its identifiers. Rules, from the most specific to the least, are sequences of
 identifiers; a match names a licence and uses its sentences up. Identifiers that no rule uses and that don't belong to the text of a licence found are reported as unknown.
+One sentence may grant several licences ("MIT or Apache-2.0"): each name after the first is an identifier of its own. A name that stands alone is a heading, which counts
+where no other sentence of the text names its family. A grant under a licence whose name isn't known is unknown, too.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import product
 
@@ -17,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Symbols of the normal form: @ a way of granting, = a licence's name, # a version, + "or any later version".
+# Symbols of the normal form: @ a way of granting, = a licence's name, ? a name that isn't known, # a version, + "or any later version".
 
 #: Known sentences, or the parts of them that don't vary, by identifier. What is in [ ] may be missing, and / parts alternatives.
 SENTENCES: dict[str, list[str]] = {
     "statement": ["@ = [#] [+]", "license = [#] [+]", "= [#] [+] applies"],
+    "unnamed": ["@ ? [#] [+]"],
     "mit-grant": ["permission is hereby granted free of charge to any person obtaining copy of this software and associated documentation files"],
     "mit-notice": ["above copyright notice and this permission notice shall be included in all copies or substantial portions of software"],
     "isc-grant": ["permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted"],
@@ -62,6 +65,9 @@ SENTENCES: dict[str, list[str]] = {
     "no-consent": [f"without {words} permission/consent" for words in ("prior", "express", "written", "prior written", "express written", "prior express", "prior express written", "express prior written", "explicit written", "explicit")],
 }
 
+#: What is known only in its place: where a name ends, or as a whole sentence, alternatives aside. "unnamed-heading" is a name that isn't known and a version, alone.
+PLACED: dict[str, list[str]] = {"alternative": ["[or/and] = [#] [+]"], "heading": ["= [#] [+]"]}
+
 #: Licences' names in the normal form's words, by family. Those in ONLY_GRANTED are names only after a way of granting.
 NAMES: dict[str, list[str]] = {
     "MIT": ["mit license", "mit x11 license", "x11 license", "expat license"],
@@ -117,8 +123,12 @@ for _parts in ("by", "by nc", "by nd", "by sa", "by nc nd", "by nc sa", "by nd n
     NAMES.setdefault(_family, []).extend([f"{head} {x}{tail}" for head in ("creative commons", "cc") for x in dict.fromkeys((_parts, _long, _old, _spread)) for tail in ("", " license")])
 
 VERBS = "licensed released distributed available published provided shared covered used redistributed offered issued".split()
-TERMS = ["", "terms of", "terms and conditions of", "conditions of", "terms of use of"]
+TERMS = ["", "of", "terms of", "terms and conditions of", "conditions of", "terms of use of"]
 GRANTS = [f"{v} {t}".strip() for v, t in product([*(f"{v} under" for v in VERBS), "covered by", "governed by", "subject to"], TERMS)] + [f"under {t}" for t in TERMS if t]
+#: Verbs after which any name of a licence is one; after the others it must be a "public license".
+GRANTING = ("licensed", "released", "distributed", "redistributed", "published", "provided", "available")
+#: Words before "license" that name none.
+UNNAMED = frozenset("this that these those following same above below your their his her our its such another other different separate similar any valid own license under of and or to in by for with is are may".split())
 LATER = ["or at your option any later version", "or any later version", "or at your option any later", "or any later", "or later", "or newer", "or later version", "or at its option any later version", "or greater"]
 
 
@@ -163,6 +173,8 @@ RULES = (
     Rule("=", ("mpl-contents",)),
     Rule("=", ("statement", "mpl-copy")),
     Rule("=", ("statement",)),
+    Rule("=", ("alternative",)),
+    Rule("=", ("heading",)),
     Rule("CC0-1.0", ("cc0-waiver",), "public domain"),
     Rule("public domain", ("public-domain",), "public domain"),
     Rule("proprietary", ("no-copy", "no-consent"), "proprietary", 0),
@@ -223,7 +235,7 @@ def _expanded(entry: str) -> Iterator[tuple[str, ...]]:
     """The sequences that an entry of the table stands for."""
     choices = []
     for part in re.findall(r"\[[^]]*\]|\S+", entry):
-        choices.append([(), tuple(part[1:-1].split())] if part[0] == "[" else [(x,) for x in part.split("/")])
+        choices.append([(), *(tuple(x.split()) for x in part[1:-1].split("/"))] if part[0] == "[" else [(x,) for x in part.split("/")])
     for chosen in product(*choices):
         yield tuple(x for part in chosen for x in part)
 
@@ -257,26 +269,68 @@ _PHRASES = _Trie(
         *((_plain(x), "@") for x in GRANTS),
         *((_plain(x), "+") for x in LATER),
         *((_plain(x), f"={family}") for family, names in NAMES.items() for x in names),
-        *(((*x, "licensed"), f"@{name}") for x, name in _ALL_NAMES),
     ]
 )
 _GRANTED = _Trie(_ALL_NAMES)
 
 
+def _listed(out: list[tuple[str, str]]) -> bool:
+    """Whether a further name of a list may follow: what was put ends with a name, with its version if it has one, or with such a name and "or" or "and"."""
+    k = len(out) - 1
+    if k > 0 and out[k][0] in ("or", "and"):
+        k -= 1
+    while k > 0 and out[k][0] in "#+":
+        k -= 1
+    return k >= 0 and out[k][0] == "="
+
+
+def _names_licensed(words: list[tuple[str, str]], at: int) -> tuple[int, int]:
+    """The place of "licensed" if names, with their versions, stand between a place and it ("Apache 2.0 licensed"), else 0; and where the names end, before which nothing has to be
+    tried again."""
+    k, named = at, 0
+    while True:
+        end, _ = _GRANTED.longest(words, k)
+        if end == k:
+            return 0, k
+        k = named = end
+        while k < len(words) and (words[k][1] == "number" or words[k][0] == "+"):
+            k = named = k + 1
+        if k < len(words) and words[k][0] in ("or", "and"):
+            k += 1
+        if k < len(words) and words[k][0] == "licensed":
+            return (k if k == named and _PHRASES.longest(words, k)[1] != "@" else 0), k
+
+
+def _unnamed(words: list[tuple[str, str]], at: int, public: bool) -> int:
+    """The end of a name of one to four words and "license" that begins at a place; with ``public`` only of a "public license". The place itself if there is none."""
+    for k in range(at, min(at + 5, len(words))):
+        word, value = words[k]
+        if word == "license" and k > at:
+            return k + 1 if not public or words[k - 1][0] == "public" else at
+        if value or word in UNNAMED:
+            break
+    return at
+
+
 def _with_symbols(words: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Put symbols for ways of granting, names and versions. After a way of granting, or the word license, short names are names too."""
+    """Put symbols for ways of granting, names and versions. After a way of granting, the word license, or a name, short names are names too."""
     out: list[tuple[str, str]] = []
-    at = 0
+    at, licensed, tried = 0, 0, 0
     while at < len(words):
-        end, meaning = _GRANTED.longest(words, at) if out and out[-1][0] in ("@", "license") else (at, "")
+        if at == licensed and at:
+            at += 1
+            continue
+        if at >= tried:
+            licensed, tried = _names_licensed(words, at)
+            if licensed:
+                out.append(("@", "licensed"))
+        end, meaning = _GRANTED.longest(words, at) if out and (out[-1][0] in ("@", "license") or _listed(out)) else (at, "")
         if end == at:
             end, meaning = _PHRASES.longest(words, at)
+        if end == at and out and out[-1][0] == "@":
+            end, meaning = _unnamed(words, at, out[-1][1] not in GRANTING), "?"
         if end > at:
-            if meaning[0] == "@":
-                out.append(("@", ""))
-                meaning = meaning[1:]
-            if meaning:
-                out.append((meaning[0], meaning[1:]))
+            out.append((meaning[0], words[at][0] if meaning == "@" else meaning[1:]))
             at = end
         else:
             word, value = words[at]
@@ -285,7 +339,13 @@ def _with_symbols(words: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return out
 
 
-_KNOWN = _Trie([(tuple(w for w, _ in _with_symbols([(w, "") for w in sequence])), name) for name, entries in SENTENCES.items() for entry in entries for sequence in _expanded(entry)])
+def _forms(table: dict[str, list[str]]) -> _Trie:
+    return _Trie([(tuple(w for w, _ in _with_symbols([(w, "") for w in sequence])), name) for name, entries in table.items() for entry in entries for sequence in _expanded(entry)])
+
+
+_KNOWN = _forms(SENTENCES)
+_FURTHER = _forms({"alternative": PLACED["alternative"]})
+_HEADING = _forms({"heading": PLACED["heading"]})
 
 
 _COMMON = ("just", "want", "what", "this", "with", "from")
@@ -302,7 +362,7 @@ def _anchors() -> tuple[str, ...]:
     for entries in SENTENCES.values():
         for entry in entries:
             for sequence in _expanded(entry):
-                plain = [w for w in sequence if w not in "@=#+" and len(w) > 3 and w not in _COMMON]
+                plain = [w for w in sequence if w not in "@=?#+" and len(w) > 3 and w not in _COMMON]
                 if plain:
                     found.add(_rarest(plain))
                 else:
@@ -336,21 +396,37 @@ def normalised(text: str) -> list[list[tuple[str, str]]]:
     return [normal_form(s) for s in _END.split(plain.lower()) if s.strip()]
 
 
+def _heading(words: list[tuple[str, str]]) -> tuple[int, str]:
+    """The end and the identifier of a heading: a sentence of nothing but names and versions, or of a name that isn't known and a version with a point."""
+    end, name = _HEADING.longest(words, 0)
+    if end and all(w in "=#+" or w in ("or", "and") for w, _ in words[end:]):
+        return end, name
+    unknown = _unnamed(words, 0, False)
+    if unknown and [w for w, _ in words[unknown:]] == ["#"] and "." in words[unknown][1]:
+        return len(words), "unnamed-heading"
+    return 0, ""
+
+
 def identify(words: list[tuple[str, str]]) -> list[tuple[str, tuple[str, str, bool]]]:
     """(identifier, (family or expression, version, or later)) of the known sentences in a normal form, in order, the longest where several begin."""
-    found, at = [], 0
+    found, at, named = [], 0, False  # whether what was found last names a licence and ends here
     while at < len(words):
         if words[at][0] == "spdx":
             found.append(("spdx", (words[at][1], "", False)))
-            at += 1
+            at, named = at + 1, False
             continue
         end, name = _KNOWN.longest(words, at)
+        if end == at and named:
+            end, name = _FURTHER.longest(words, at)
+        if end == at == 0:
+            end, name = _heading(words)
         if end == at:
-            at += 1
+            at, named = at + 1, False
             continue
         part = words[at:end]
-        found.append((name, (next((v for w, v in part if w == "="), ""), next((v for w, v in part if w == "#"), ""), any(w == "+" for w, _ in part))))
-        at = end
+        captures = next((v for w, v in part if w == "="), ""), next((v for w, v in part if w == "#"), ""), any(w == "+" for w, _ in part)
+        found.append((name, captures))
+        at, named = end, bool(captures[0])
     return found
 
 
@@ -372,7 +448,19 @@ def _names(rule: Rule, captures: tuple[str, str, bool]) -> list[tuple[str, str]]
         family = captures[0] if rule.licence == "=" else ""
         return [(_name(rule.licence, captures), "creative commons" if family.startswith("CC-") else KINDS.get(family, rule.kind))]
     parts = [[x.strip(".") for x in part.split("~")] for part in re.split(r"[&|()]+", captures[0])]
-    return [(" WITH ".join([SPDX.get(part[0], part[0].rstrip("-")), *part[1:]]), rule.kind) for part in parts if part[0]]
+    return [(" WITH ".join([SPDX.get(part[0], part[0].rstrip("-")), *part[1:]]), _declared(part[0], rule.kind)) for part in parts if part[0]]
+
+
+#: Kinds of SPDX identifiers by what they begin with.
+_DECLARED = {x.lower().split("-")[0]: KINDS.get(x, "permissive") for x in (*NAMES, *(r.licence for r in RULES if r.kind == "permissive")) if x != "="} | {"cc": "creative commons"}
+
+
+def _declared(identifier: str, unknown: str) -> str:
+    return _DECLARED.get(re.split(r"[-+]", identifier)[0], unknown)
+
+
+def _family(licence: str) -> str:
+    return licence if licence.startswith("CC-") else licence.split("-")[0]
 
 
 def _belongs(name: str, licence: str) -> bool:
@@ -405,6 +493,8 @@ def scan(text: str | None) -> tuple[list[str], list[tuple[str, str]]]:
             if all(marks[i + 1][0] - marks[i][0] - 1 <= rule.gap for i in part[:-1]):
                 used.update(part)
                 names = _names(rule, marks[k][2])
+                if rule.sentences == ("heading",) and any(_family(licence) == _family(names[0][0]) for _, _, licence, _ in found):
+                    continue
                 found += [(k, i, licence, kind) for i, (licence, kind) in enumerate(names)]
                 spans.append((k, k + size - 1, rule.gap, names[0][0] if names else ""))
     # what belongs to a licence's text beyond the sentences of its rule isn't another licence

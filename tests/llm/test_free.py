@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -224,7 +225,7 @@ you wrote the original software. 2. Altered source versions must be plainly mark
         ("Available under the European Union Public Licence v1.2", ["EUPL-1.2"]),
         ("This font is licensed under the SIL Open Font License, Version 1.1.", ["OFL-1.1"]),
         ("License: MIT", ["MIT"]),
-        ("It is Apache-2.0 licensed.", []),
+        ("It is Apache-2.0 licensed.", ["Apache-2.0"]),
         ("It must not be distributed to children.", []),
     ],
 )
@@ -232,6 +233,57 @@ def test_known_headers(text, wanted):
     assert [name for name, _ in licenses.scan(text)[1]] == wanted
 
 
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("Dual licensed under MIT or Apache-2.0.", ["MIT", "Apache-2.0"]),
+        ("Licensed under the MIT License, the BSD 3-Clause License and the GPL version 2 or later.", ["MIT", "BSD-3-Clause", "GPL-2.0-or-later"]),
+        ("Licensed under either of the Apache License, Version 2.0 or the MIT license at your option.", ["Apache-2.0", "MIT"]),
+        ("Released under MIT/Apache-2.0.", ["MIT", "Apache-2.0"]),
+        ("Dual licensed under MIT or Apache-2.0. You may not use this file except in compliance with the License.", ["MIT", "Apache-2.0"]),
+        ("Apache 2.0 licensed", ["Apache-2.0"]),
+        ("MIT and Apache 2.0 licensed code", ["MIT", "Apache-2.0"]),
+        ("GPL v3+ licensed", ["GPL-3.0-or-later"]),
+        ("MIT licensed", ["MIT"]),
+        ("MIT License", ["MIT"]),
+        ("Mozilla Public License, v. 2.0.", ["MPL-2.0"]),
+        ("# The MIT License (MIT)\n\nSome words.", ["MIT"]),
+        (f"BSD 3-Clause License\n\n{NOTICE}", ["BSD-3-Clause"]),
+        ("MIT License\n\nReleased under the MIT License.", ["MIT"]),
+        ("The MIT License is short.", []),
+        ("They study the MIT License and the Apache License at school.", []),
+        ("This is provided under the Zope Public License.", ["unknown"]),
+        ("Licensed under the Elastic License 2.0.", ["unknown"]),
+        ("Business Source License 1.1", ["unknown"]),
+        ("Covered by the Sample Public License", ["unknown"]),
+        ("He drives a car covered by a valid driving license.", []),
+        ("Distributed under the same license.", []),
+        ("Distributed under this license. Provided under your own license.", []),
+        ("MIT or Apache", []),
+        ("licensed MIT licensed or", ["MIT"]),
+        ("licensed under", []),
+    ],
+)
+def test_licences_named_together_alone_or_not_known(text, wanted):
+    assert [name for name, _ in licenses.scan(text)[1]] == wanted
+
+
+def test_licences_of_very_long_lists_in_linear_time():
+    began = time.monotonic()
+    names = [name for name, _ in licenses.scan("MIT or Apache 2.0, " * 30_000 + "licensed")[1]]
+    assert len(names) == 60_000 and set(names) == {"MIT", "Apache-2.0"}
+    assert licenses.scan("licensed under " + "mit apache " * 30_000 + "end")[1][-1] == ("Apache", "permissive")
+    assert licenses.scan("public license mit apache " * 30_000)[1] and time.monotonic() - began < 60
+
+
+@pytest.mark.parametrize(
+    ("expression", "kinds"),
+    [("GPL-2.0-only", ["copyleft"]), ("MIT OR LGPL-2.1+", ["permissive", "copyleft"]), ("CC-BY-4.0", ["creative commons"]), ("CC0-1.0", ["public domain"]), ("0BSD", ["permissive"]), ("LicenseRef-Own", ["declared"])],
+)
+def test_kinds_of_declared_licences(expression, kinds):
+    assert [kind for _, kind in licenses.scan(f"SPDX-License-Identifier: {expression}")[1]] == kinds
+
+
 SEQUENCES = sorted({(name, x) for name, entries in licenses.SENTENCES.items() for e in entries for x in licenses._expanded(e)})
 
 
@@ -242,7 +294,7 @@ def test_each_known_sentence_is_found_however_it_is_written(known, rng):
     raw = []
     for k, w in enumerate(sequence):
         short = [x for own in licenses.ONLY_GRANTED.values() for x in own] if k and sequence[k - 1] == "@" else []
-        raw += {"@": rng.choice(licenses.GRANTS), "=": rng.choice([x for own in licenses.NAMES.values() for x in own] + short), "#": rng.choice(["version 2.0", "v2", "v. 3.1", "1.1"]), "+": rng.choice(licenses.LATER)}.get(w, w).split(" ")
+        raw += {"@": rng.choice(licenses.GRANTS), "=": rng.choice([x for own in licenses.NAMES.values() for x in own] + short), "#": rng.choice(["version 2.0", "v2", "v. 3.1", "1.1"]), "+": rng.choice(licenses.LATER), "?": rng.choice(["zope public license", "plain common sense public license"])}.get(w, w).split(" ")
     text = "Foo bar "
     for w in raw:
         text += rng.choice(["", "", "", "the ", "a "]) + (w.upper() if rng.random() < 0.2 else w) + rng.choice([" ", " ", " ", ", ", "\n", "\n * ", "  "])
@@ -254,17 +306,23 @@ def test_each_known_sentence_is_found_however_it_is_written(known, rng):
 def test_identifiers_equal_a_plain_search():
     rng = random.Random(14)
     table = [(tuple(w for w, _ in licenses._with_symbols([(w, "") for w in x])), name) for name, entries in licenses.SENTENCES.items() for e in entries for x in licenses._expanded(e)]
+    further, alone = ([tuple(x) for x in licenses._expanded(licenses.PLACED[name][0])] for name in ("alternative", "heading"))
     for _ in range(300):
         words = []
         for _ in range(rng.randint(1, 6)):
-            x = list(rng.choice(table)[0])
+            x = list(rng.choice([*table, *((x, "") for x in further)])[0])
             words += x[: rng.randint(1, len(x))] + rng.choice([[], ["foo"]])
         words = [(w, "x" if w in "=#" else "") for w in words]
-        wanted, at = [], 0
+        wanted, at, named = [], 0, False
         while at < len(words):
             best = max((len(x) for x, _ in table if tuple(w for w, _ in words[at : at + len(x)]) == x), default=0)
             if best:
                 wanted.append(next(name for x, name in table if len(x) == best and tuple(w for w, _ in words[at : at + best]) == x))
+            for name, forms, here in (("alternative", further, named), ("heading", alone, at == 0 and all(w in ("=", "#", "+", "or", "and") for w, _ in words))):
+                if here and not best:
+                    best = max((len(x) for x in forms if tuple(w for w, _ in words[at : at + len(x)]) == x), default=0)
+                    wanted += [name] * (best > 0)
+            named = "=" in [w for w, _ in words[at : at + best]]
             at += best or 1
         assert [name for name, _ in licenses.identify(words)] == wanted
 
