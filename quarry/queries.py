@@ -170,10 +170,37 @@ def _as_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
-    found = chunk.chunk(_as_documents(spark, d), Chunking(TARGET, 90, 8, 40))
+    found = chunk.chunk(_as_documents(spark, d), CUTS)
     return found.select("doc_id", _long("chunk_index").alias("chunk_index"), "chunk_id", "section_id", "breadcrumb", "text", _long("token_count").alias("token_count"), "kind")
 
 
+#: Of the chunk queries: target, maximum, overlap and table maximum.
+CUTS = Chunking(TARGET, 90, 8, 40)
+
+
+def _as_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Each text as a document of blocks: lines of up to eight words are headings, of a level by their length, the first line is the title, and other lines are by their number a table
+    with a row for each sentence, code, a list item, or a paragraph. Each line is a page."""
+
+    def block(x: Column, i: Column) -> Column:
+        line = i + 1
+        head = C.token_count(x) <= 8
+        kind = F.when(head, "heading").when(line % 6 == 0, "table").when(line % 6 == 1, "code").when(line % 6 == 2, "list_item").otherwise("paragraph")
+        rows = F.when(kind == "table", tables.html_table(F.transform(C.sentences(x), lambda s: F.array(s)), F.array().cast("array<string>")))
+        level = F.when(head, F.char_length(x) % 6 + 1).when(kind == "list_item", line % 3 + 1)
+        return F.struct(kind.alias("type"), x.alias("text"), level.cast("int").alias("level"), line.cast("int").alias("page"), F.lit(None).cast("array<double>").alias("bbox"), rows.alias("table_html"), F.lit(None).cast("string").alias("language"))
+
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.get(lines, F.lit(0)).alias("title"), C.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"), F.transform(lines, block).alias("blocks"))
+
+
+def chunk_blocks(spark: SparkSession, d: str) -> DataFrame:
+    found = chunk.chunk(_as_outlines(spark, d), CUTS)
+    numbers = [_long(c).alias(c) for c in ("chunk_index", "token_count", "page_start", "page_end")]
+    return found.select("doc_id", "chunk_id", "section_id", "breadcrumb", "text", "kind", *numbers, _long("table_part.part").alias("part"), _long("table_part.total").alias("parts"))
+
+
 def doc_sections(spark: SparkSession, d: str) -> DataFrame:
     """Documents read as outlines: lines of up to eight words are headings, of a level by their length, and the first line is the title."""
     line = lambda x: F.struct(F.when(C.token_count(x) <= 8, "heading").otherwise("paragraph").alias("type"), (F.char_length(x) % 6 + 1).alias("level"), x.alias("text"))
@@ -597,13 +624,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         dense_retrieve, dense_topk, indexed_topk, dense_topk_filtered, cap_per_doc, cosine_expression, reciprocal_rank_fusion, doc_id, content_hash, cache_key, token_count, normalize_text, norm_span, sentences, snippet, file_names, supported_files,
-        sentence_pack, chunk_ids, chunk_overlap, doc_sections, min_words, seeded_sample, cache_misses, embed_stats, embed_vectors, hash_vector, ingest_plan, ingest_report, prune, upsert_snapshot, list_documents, find_document, cached_vectors,
+        sentence_pack, chunk_ids, chunk_overlap, chunk_blocks, doc_sections, min_words, seeded_sample, cache_misses, embed_stats, embed_vectors, hash_vector, ingest_plan, ingest_report, prune, upsert_snapshot, list_documents, find_document, cached_vectors,
         payload_project, exact_count, scroll_doc, assemble_budget, render_document, citations_extract, golden_match, golden_terms, first_ranks, answer_scores, trace_rows, recall_at_k, first_hit_rank, eval_summary, baseline_compare, duplicate_ids, dedupe_questions, dedupe_numbered, with_new_cache_rows, retrieved,
         event_windows, stream_windows, smoke_rate, html_title, html_h1, html_blocks, markdown_blocks, html_lists, plain_text, md_table, html_table, pages_without_text, bm25,
     )
 }
 
-_SECTIONS = rf"""WITH lines AS (
+_OUTLINE = rf"""lines AS (
   SELECT doc_id, i, t, ls[1] AS title, {_TOKENS.format(x="t")} <= 8 AS head, length(t) % 6 + 1 AS level
   FROM (SELECT doc_id, ls, unnest(ls) AS t, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
 ), numbered AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM lines
@@ -614,9 +641,59 @@ _SECTIONS = rf"""WITH lines AS (
 ), chains AS (SELECT doc_id, k, list(t ORDER BY place) AS names FROM above WHERE lowest IS NULL OR level < lowest GROUP BY doc_id, k
 ), crumbs AS (
   SELECT b.doc_id, b.k, b.text, array_to_string(list_concat([b.title], CASE WHEN names IS NULL THEN [] WHEN names[1] = b.title THEN names[2:] ELSE names END), ' > ') AS breadcrumb FROM bodies b LEFT JOIN chains c ON c.doc_id = b.doc_id AND c.k = b.k
-), found AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS section, breadcrumb, row_number() OVER (PARTITION BY doc_id, breadcrumb ORDER BY k) AS occurrence, text FROM crumbs)
+)"""
+_SECTIONS = rf"""WITH {_OUTLINE}, found AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS section, breadcrumb, row_number() OVER (PARTITION BY doc_id, breadcrumb ORDER BY k) AS occurrence, text FROM crumbs)
 SELECT doc_id, section, {_uuid_sql("doc_id || ':section:' || occurrence || ':' || breadcrumb")} AS section_id, breadcrumb, occurrence, text FROM found"""
 
+
+
+def _sentences_sql(x: str) -> str:
+    return _SENTENCES.replace("(text,", f"({x},")
+
+
+#: Greedy packing with overlap over blocks(doc_id, k, i, kind, text, title, page), where k tells sections apart: what is too long is cut, units are packed one by one.
+_CHUNKED = rf"""sized AS (SELECT *, {_TOKENS.format(x="text")} AS n FROM blocks
+), cut AS (SELECT *, kind = 'table' AS rows, {_sentences_sql("text")} AS ss FROM sized WHERE n > CASE WHEN kind = 'table' THEN {CUTS.table_max_tokens} WHEN kind = 'code' THEN 1e9 ELSE {CUTS.max_tokens} END
+), items AS (SELECT doc_id, i, rows, unnest(ss) AS s, unnest(range(1, len(ss) + 1)) AS j FROM cut
+), counted AS (SELECT doc_id, i, j, rows, s, n, n + CASE WHEN rows THEN 2 ELSE 0 END AS w, NOT rows AND n > {CUTS.max_tokens} AS long, CASE WHEN rows THEN {CUTS.table_max_tokens - 5} ELSE {CUTS.target_tokens} END AS room
+  FROM (SELECT *, {_TOKENS.format(x="s")} AS n FROM items)
+), runs AS (
+  SELECT doc_id, i, j, w AS held, long, 1 AS piece FROM counted WHERE j = 1
+  UNION ALL SELECT c.doc_id, c.i, c.j, CASE WHEN NOT (r.long OR c.long) AND r.held + c.w <= room THEN r.held + c.w ELSE c.w END, c.long, CASE WHEN NOT (r.long OR c.long) AND r.held + c.w <= room THEN r.piece ELSE r.piece + 1 END
+  FROM runs r JOIN counted c ON c.doc_id = r.doc_id AND c.i = r.i AND c.j = r.j + 1
+), pieces AS (
+  SELECT doc_id, i, piece, bool_or(r.long) AS long, CASE WHEN any_value(rows) THEN '|  |' || chr(10) || '| --- |' || string_agg(chr(10) || '| ' || replace(s, '|', '\|') || ' |', '' ORDER BY j) ELSE string_agg(s, ' ' ORDER BY j) END AS text
+  FROM runs r JOIN counted USING (doc_id, i, j) GROUP BY doc_id, i, piece
+), slices AS (SELECT doc_id, i, piece, CASE WHEN long THEN list_transform(range(0, len(ws), {CUTS.target_tokens}), lambda a: array_to_string(ws[a + 1:a + {CUTS.target_tokens}], ' ')) ELSE [text] END AS texts FROM (SELECT *, regexp_split_to_array(trim(text), '\s+') AS ws FROM pieces)
+), parted AS (
+  SELECT doc_id, i, piece, 0 AS slice, text, piece AS part, max(piece) OVER (PARTITION BY doc_id, i) AS parts FROM pieces JOIN (SELECT DISTINCT doc_id, i FROM cut WHERE rows) USING (doc_id, i)
+  UNION ALL SELECT doc_id, i, piece, unnest(range(len(texts))), unnest(texts), NULL, NULL FROM slices JOIN (SELECT DISTINCT doc_id, i FROM cut WHERE NOT rows) USING (doc_id, i)
+  UNION ALL SELECT doc_id, i, 0, 0, text, NULL, NULL FROM sized ANTI JOIN cut USING (doc_id, i)
+), units AS (
+  SELECT p.doc_id, k, page, kind, part, parts, p.text, {_TOKENS.format(x="p.text")} AS n, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.i, piece, slice) AS no
+  FROM parted p JOIN (SELECT doc_id, i, k, page, CASE WHEN kind IN ('table', 'code') THEN kind ELSE 'text' END AS kind FROM blocks) b ON b.doc_id = p.doc_id AND b.i = p.i
+), packed AS (
+  SELECT doc_id, no, k, 1 AS g, text AS txt, n AS held, 1 AS size, kind = 'text' AS plain, kind, page AS p0, page AS p1, part, parts FROM units WHERE no = 1
+  UNION ALL
+  SELECT doc_id, no, k, CASE WHEN new THEN g + 1 ELSE g END, CASE WHEN NOT new THEN txt || chr(10) || chr(10) || text WHEN leads THEN lead || chr(10) || chr(10) || text ELSE text END,
+    CASE WHEN NOT new THEN held + n WHEN leads THEN m + n ELSE n END, CASE WHEN NOT new THEN size + 1 WHEN leads THEN 2 ELSE 1 END, (new OR plain) AND kind = 'text', kind, CASE WHEN new THEN page ELSE p0 END, page, part, parts
+  FROM (SELECT *, coalesce(new AND lead <> '' AND kind = 'text' AND m + n <= {CUTS.max_tokens}, false) AS leads FROM (SELECT *, {_TOKENS.format(x="lead")} AS m FROM (
+    SELECT *, CASE WHEN new AND same AND plain AND taken < len(ss) THEN array_to_string(ss[len(ss) - taken + 1:], ' ') END AS lead FROM (
+    SELECT *, greatest(1, len(list_filter(range(1, len(ss) + 1), lambda a: list_sum(ns[a:]) <= {CUTS.overlap_tokens}))) AS taken FROM (
+    SELECT *, list_transform(ss, lambda s: {_TOKENS.format(x="s")}) AS ns FROM (
+    SELECT u.*, g, txt, held, size, plain, p0, u.k = p.k AS same, u.k <> p.k OR held + u.n > {CUTS.target_tokens} OR u.kind = 'table' OR p.kind = 'table' AS new, {_sentences_sql("txt")} AS ss
+    FROM packed p JOIN units u ON u.doc_id = p.doc_id AND u.no = p.no + 1))))))
+), whole AS (SELECT * FROM packed QUALIFY row_number() OVER (PARTITION BY doc_id, g ORDER BY no DESC) = 1)"""
+
+
+def _chunks_sql(blocks: str, sections: str, documents: str) -> str:
+    """The chunks of blocks, given sections (doc_id, k, breadcrumb, occurrence) and documents (doc_id, hash)."""
+    return f"""WITH RECURSIVE {blocks}, {_CHUNKED}, named AS (
+      SELECT CAST(doc_id AS VARCHAR) AS doc_id, g - 1 AS chunk_index, hash, occurrence, breadcrumb, txt AS text, CASE WHEN size = 1 THEN kind ELSE 'text' END AS kind, p0, p1, part, parts FROM whole JOIN ({sections}) USING (doc_id, k) JOIN ({documents}) USING (doc_id))
+    SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, {_uuid_sql("doc_id || ':' || chunk_index || ':' || hash")} AS chunk_id, {_uuid_sql("doc_id || ':section:' || occurrence || ':' || breadcrumb")} AS section_id, breadcrumb, text,
+      CAST({_TOKENS.format(x="breadcrumb || chr(10) || chr(10) || text")} AS BIGINT) AS token_count, kind"""
+
+
 ORACLES = {
     "dense_topk": f"SELECT qid, vec_id, round(score, 6) AS score, rank FROM ({_ranked_sql()}) WHERE rank <= 10",
     "dense_topk_filtered": f"SELECT qid, vec_id, round(score, 6) AS score, rank FROM ({_ranked_sql('AND p.label = 1')}) WHERE rank <= 10",
@@ -639,6 +716,19 @@ ORACLES = {
     "doc_sections": _SECTIONS,
     "sentence_pack": f"{_PACK} SELECT doc_id, CAST(i AS BIGINT) AS i, piece, tokens FROM pieces",
     "chunk_ids": f"{_PACK} SELECT CAST(doc_id AS VARCHAR) AS doc, CAST(i AS BIGINT) AS i, {_uuid_sql('''doc_id || ':' || i || ':' || hash''')} AS chunk_id FROM (SELECT p.doc_id, p.i, sha256(d.text) AS hash FROM pieces p JOIN documents d USING (doc_id))",
+    "chunk_overlap": _chunks_sql(
+        "blocks AS (SELECT doc_id, 1 AS k, i, 'paragraph' AS kind, text, i AS page FROM (SELECT doc_id, unnest(ls) AS text, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE trim(text, ' ') <> '')",
+        "SELECT doc_id, 1 AS k, 'Document ' || doc_id AS breadcrumb, 1 AS occurrence FROM documents",
+        "SELECT doc_id, sha256(text) AS hash FROM documents",
+    )
+    + " FROM named",
+    "chunk_blocks": _chunks_sql(
+        f"""{_OUTLINE}, blocks AS (SELECT doc_id, k, i, CASE i % 6 WHEN 0 THEN 'table' WHEN 1 THEN 'code' WHEN 2 THEN 'list' ELSE 'paragraph' END AS kind,
+          CASE i % 6 WHEN 1 THEN '```' || chr(10) || t || chr(10) || '```' WHEN 2 THEN repeat('  ', CAST(i % 3 AS INT)) || '- ' || t ELSE t END AS text, i AS page FROM numbered WHERE NOT head)""",
+        "SELECT doc_id, k, breadcrumb, row_number() OVER (PARTITION BY doc_id, breadcrumb ORDER BY k) AS occurrence FROM crumbs",
+        "SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents",
+    )
+    + ", CAST(p0 AS BIGINT) AS page_start, CAST(p1 AS BIGINT) AS page_end, CAST(CASE WHEN kind = 'table' THEN part END AS BIGINT) AS part, CAST(CASE WHEN kind = 'table' THEN parts END AS BIGINT) AS parts FROM named",
     "min_words": f"SELECT doc_id FROM documents WHERE {_TOKENS.format(x='text')} >= 12",
     "seeded_sample": f"SELECT doc_id FROM documents WHERE {_TOKENS.format(x='text')} >= 12 ORDER BY md5(doc_id || ':7'), doc_id LIMIT 60",
     "cache_misses": "SELECT DISTINCT sha256(text || chr(0) || 'm' || chr(0) || '64') AS key FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0)",
