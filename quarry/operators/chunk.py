@@ -59,6 +59,20 @@ def _packed(items: Iterable, over: Callable[[list], bool]) -> Iterator[list]:
         yield group
 
 
+def _filled(items: Iterable[str], count: Counter, room: int) -> Iterator[list[str]]:
+    """Greedy groups of texts whose counts add up to ``room`` at most, or of one text."""
+    group, held = [], 0
+    for x in items:
+        n = count(x)
+        if group and held + n > room:
+            yield group
+            group, held = [], 0
+        group.append(x)
+        held += n
+    if group:
+        yield group
+
+
 def sections(title: str, blocks: Iterable[dict]) -> Iterator[tuple[list[str], list[dict]]]:
     """(breadcrumb, blocks) of each heading that has blocks of its own. A heading is under the last ones of lower levels; a first
     heading that repeats the title isn't repeated."""
@@ -88,8 +102,7 @@ def long_text(text: str, s: Chunking, count: Counter) -> Iterator[str]:
     run: list[str] = []
 
     def close() -> Iterator[str]:
-        sizes = {x: count(x) for x in set(run)}
-        for group in _packed(run, lambda g: sum(sizes[x] for x in g) > s.target_tokens):
+        for group in _filled(run, count, s.target_tokens):
             yield " ".join(group)
         run.clear()
 
@@ -127,7 +140,7 @@ def overlap(group: list[dict], s: Chunking, count: Counter) -> str | None:
     if s.overlap_tokens <= 0 or any(u["kind"] != "text" for u in group):
         return None
     all_ = sentences("\n\n".join(u["text"] for u in group))
-    taken = next(_packed(reversed(all_), lambda g: sum(map(count, g)) > s.overlap_tokens), [])
+    taken = next(_filled(reversed(all_), count, s.overlap_tokens), [])
     return " ".join(reversed(taken)).strip() or None if len(taken) < len(all_) else None
 
 

@@ -182,17 +182,23 @@ def _as_outlines(spark: SparkSession, d: str) -> DataFrame:
     """Each text as a document of blocks: lines of up to eight words are headings, of a level by their length, the first line is the title, and other lines are by their number a table
     with a row for each sentence, code, a list item, or a paragraph. Each line is a page."""
 
-    def block(x: Column, i: Column) -> Column:
-        line = i + 1
-        head = C.token_count(x) <= 8
-        kind = F.when(head, "heading").when(line % 6 == 0, "table").when(line % 6 == 1, "code").when(line % 6 == 2, "list_item").otherwise("paragraph")
+    def block(b: Column) -> Column:
+        x, line, head, kind = (b[n] for n in ("x", "line", "head", "kind"))
         rows = F.when(kind == "table", tables.html_table(F.transform(C.sentences(x), lambda s: F.array(s)), F.array().cast("array<string>")))
         level = F.when(head, F.char_length(x) % 6 + 1).when(kind == "list_item", line % 3 + 1)
         return F.struct(kind.alias("type"), x.alias("text"), level.cast("int").alias("level"), line.cast("int").alias("page"), F.lit(None).cast("array<double>").alias("bbox"), rows.alias("table_html"), F.lit(None).cast("string").alias("language"))
 
+    def counted(b: Column) -> Column:
+        line = b["line"]
+        kind = F.when(b["head"], "heading").when(line % 6 == 0, "table").when(line % 6 == 1, "code").when(line % 6 == 2, "list_item").otherwise("paragraph")
+        return C.bound(F.struct(b["x"].alias("x"), line.alias("line"), b["head"].alias("head"), kind.alias("kind")), block)
+
+    def typed(x: Column, i: Column) -> Column:
+        return C.bound(F.struct(x.alias("x"), (i + 1).alias("line"), (C.token_count(x) <= 8).alias("head")), counted)
+
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     docs = table(spark, d, "documents")
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.get(lines, F.lit(0)).alias("title"), C.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"), F.transform(lines, block).alias("blocks"))
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.get(lines, F.lit(0)).alias("title"), C.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"), F.transform(lines, typed).alias("blocks"))
 
 
 def chunk_blocks(spark: SparkSession, d: str) -> DataFrame:
