@@ -2,12 +2,13 @@
 
 A page is a stream of block tags and text slots (inline markup belongs to the slot). The streams of a host are aligned one after the other, element by element from the root: a
 tag is the same where its name, its classes and what it stands in are. Mismatches widen the wrapper. A tag that only some of its parent's pages have becomes optional,
-``( )?``; one that repeats in its parent a repeated group, ``( )+``; a text that differs becomes a slot, ``#``, and one that all pages have stays fixed. Aligning two
-wrappers is the same as aligning the pages of both, in any order, so tasks make wrappers of the pages they read and those of a host are aligned at the end. All pages count.
+``( )?``; one that repeats in its parent a repeated group, ``( )+``; a text that differs becomes a slot, ``#``, and one that all pages with texts in that element have stays
+fixed, wherever in the element it stands. Aligning two wrappers is the same as aligning the pages of both, in any order, so tasks make wrappers of the pages they read and those of
+a host are aligned at the end. All pages count.
 
-The wrapper tells what the article is. Where the host's pages mark it (``article``, ``main`` and their like), it is the marked part. Elsewhere it is the deepest container that holds
-what varies from page to page; fixed texts are the site's and go. Menus, footers, forms and the like go by their tags, roles or names, since their texts may vary too. A page
-is read along its host's wrapper, in linear time.
+The wrapper tells which texts are the site's (fixed) and how much of what varies is in each element; a page is read along it, by the elements that it has itself, so an odd
+page changes no other one. Where a page marks its article (``article``, ``main`` and their like), the marks choose within what varies; elsewhere the article is the deepest container
+that holds it. Menus, footers, forms and the like go by their tags, roles or names, since their texts may vary too. All of it takes linear time.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes".split())
 SKIPPED = frozenset("head script style noscript template iframe textarea title svg math object canvas audio video select option button form nav footer aside dialog menu input fieldset noembed noframes".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
-SKIPPED_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead notice notices cookie cookies consent gdpr popup modal newsletter subscribe signup comment comments respond disqus share sharing social".split())
+SKIPPED_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead notice notices cookie cookies consent gdpr popup modal newsletter subscribe signup comment comments respond replies reviews disqus share sharing social related recommended paywall bio".split())
 #: What a skipped name may be joined with: cookie-bar, main-menu, ad-box-2. A class with any other part, such as has-sidebar or social-studies, isn't skipped.
-BESIDE_NAMES = frozenset("area bar block bottom box button buttons container form global group header inner item items left link links list main outer page panel primary right secondary section site slot thread top unit widget wrap wrapper".split())
-#: The article is in the first kind that the host's pages have.
+BESIDE_NAMES = frozenset("area articles author bar block bottom box button buttons container form global group header inner item items left link links list main offer outer page panel posts primary reader right secondary section site slot stories thread top user unit widget wrap wrapper".split())
+#: What marks an article, the surest first.
 MAIN_KINDS = ("article", "body-of-article", "main", "named")
 MAIN_NAMES = frozenset("article content story entry main".split())
 PLAIN = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())  # what their classes are called doesn't count
@@ -40,6 +41,9 @@ CONTAINERS = frozenset("html body div section main article center table tbody tr
 #: An element that ends an open one of these, if it begins in it.
 ENDED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SHARE = 0.9  # of the varying text that the article's container holds
+LONG = 20  # letters; where an article's slots are longer, shorter ones don't tell its container
+LEAST_MARKED = 0.25  # of a page's varying text; marks with less aren't the article's
+LEAST_WIDE = 5  # pages, and half of the host's, that tell a fixed text within a marked article
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"/?([A-Za-z][^\s/>]*)")
 _PARTS = re.compile(r"[^a-z]+")
@@ -125,18 +129,19 @@ class Page:
     """A page's elements and slots.
 
     ``elements`` are (path, parent's path, key, whether it repeats in its parent); a path is a hash of the keys from the root, and an element in one of the same key is the
-    same node, so that nesting doesn't deepen the paths without end. ``slots`` are (path, text, letters in links, kinds of the elements around). Texts that aren't the article's by
-    a tag, role or name around them are left out. Character references are decoded and white space is one space.
+    same node, so that nesting doesn't deepen the paths without end. ``slots`` are (path, text, letters in links, marks); marks are the kinds and numbers of marked elements around, of
+    each kind the outermost. Texts that aren't the article's by a tag, role or name around them are left out; ``by_name=False`` leaves out none by name. Character references are
+    decoded and white space is one space.
     """
 
-    def __init__(self, page: str | None):
+    def __init__(self, page: str | None, by_name: bool = True):
         self.elements: list[tuple[str, str, str, bool]] = []
-        self.slots: list[tuple[str, str, int, frozenset[str]]] = []
-        open_: list[tuple] = []  # name, kind, path, key, kinds, skipped before, children's keys
+        self.slots: list[tuple[str, str, int, tuple[tuple[str, int], ...]]] = []
+        open_: list[tuple] = []  # name, kind, path, key, marks, skipped before, children's keys
         root: dict[str, bool] = {}
         run: list[str] = []
-        skipped = articles = links = linked = 0
-        kinds: frozenset[str] = frozenset()
+        skipped = articles = links = linked = number = 0
+        marks: tuple[tuple[str, int], ...] = ()
         counts = {}  # open elements of each name
 
         def close_run() -> None:
@@ -144,12 +149,12 @@ class Page:
             text = " ".join("".join(run).split())
             run.clear()
             if text:
-                self.slots.append((open_[-1][2] if open_ else "", text, linked, kinds))
+                self.slots.append((open_[-1][2] if open_ else "", text, linked, marks))
             linked = 0
 
         def pop() -> None:
-            nonlocal skipped, articles, kinds
-            name, kind, _, _, kinds, skipped, _ = open_.pop()
+            nonlocal skipped, articles, marks
+            name, kind, _, _, marks, skipped, _ = open_.pop()
             counts[name] -= 1
             articles -= kind in ("article", "main")
 
@@ -199,50 +204,46 @@ class Page:
                 own = {} if path != parent else siblings
             else:
                 path, key, own = (open_[-1][2], open_[-1][3], open_[-1][6]) if open_ else ("", "", root)
-            open_.append((name, kind, path, key, kinds, skipped, own))
+            open_.append((name, kind, path, key, marks, skipped, own))
             counts[name] = counts.get(name, 0) + 1
             if kind in MAIN_KINDS:
                 if kind != "named" and skipped < 1_000_000:  # what a name would skip isn't skipped if the article is in it
                     skipped = 0
-                kinds = kinds | {kind}
-            elif kind:
+                if all(kind != k for k, _ in marks):
+                    number += 1
+                    marks = (*marks, (kind, number))
+            elif kind == "-" or kind and by_name:
                 skipped += 1_000_000 if kind == "-" else 1
             articles += kind in ("article", "main")
         close_run()
 
-    def places(self) -> list[list[str]]:
-        """For each slot its places: among the first and the last three of its path."""
-        total: dict[str, int] = {}
-        for path, *_ in self.slots:
-            total[path] = total.get(path, 0) + 1
-        at: dict[str, int] = {}
-        out = []
-        for path, *_ in self.slots:
-            k = at.get(path, 0)
-            at[path] = k + 1
-            out.append([f"{path}{i:+}" for i in (k, k - total[path]) if -3 <= i < 3])
-        return out
+
+def _letters(text: str, linked: int) -> tuple[int, int]:
+    """Letters outside links, and those if they are many."""
+    n = max(0, len(text) - linked)
+    return n, n if n > LONG else 0
 
 
 class Wrapper:
-    """``nodes``: {path: [parent's path, key, pages, repeats, sum of its first places, letters of text]}; ``texts``: {place: [text's hash, or none where it varies, length,
-    pages]}; ``kinds``: the kinds of MAIN_KINDS that have a text, with the number of pages."""
+    """``nodes``: {path: [parent's path, key, pages, repeats, sum of its first places, letters of text, those in long slots]}; ``texts``: {path: [pages with slots in it, whether a
+    text isn't in all of them, {hash of a text that is: [letters, those of it that are long, sum of first places]}]}, so that a path has no more texts than its least page."""
 
-    def __init__(self, nodes=None, texts=None, kinds=None, pages: int = 0):
-        self.nodes, self.texts, self.kinds, self.pages = nodes or {}, texts or {}, kinds or {}, pages
+    def __init__(self, nodes=None, texts=None, pages: int = 0):
+        self.nodes, self.texts, self.pages = nodes or {}, texts or {}, pages
 
     @classmethod
     def of(cls, page: Page) -> Wrapper:
-        nodes: dict[str, list] = {"": ["", "", 1, False, 0, 0]}
+        nodes: dict[str, list] = {"": ["", "", 1, False, 0, 0, 0]}
         for at, (path, parent, key, again) in enumerate(page.elements):
-            node = nodes.setdefault(path, [parent, key, 1, False, at, 0])
+            node = nodes.setdefault(path, [parent, key, 1, False, at, 0, 0])
             node[3] = node[3] or again
         texts: dict[str, list] = {}
-        for (path, text, linked, _), places in zip(page.slots, page.places(), strict=True):
-            nodes[path][5] += max(0, len(text) - linked)
-            for place in places:
-                texts[place] = [_hash(text), len(text), 1]
-        return cls(nodes, texts, {k: 1 for k in {k for *_, kinds in page.slots for k in kinds}}, 1)
+        for at, (path, text, linked, _) in enumerate(page.slots):
+            own = texts.setdefault(path, [1, False, {}])[2].setdefault(_hash(text), [0, 0, at])
+            for k, n in enumerate(_letters(text, linked)):
+                own[k] += n
+                nodes[path][5 + k] += n
+        return cls(nodes, texts, 1)
 
     @classmethod
     def infer(cls, pages: list[str | None]) -> Wrapper:
@@ -253,25 +254,27 @@ class Wrapper:
 
     def align(self, other: Wrapper) -> None:
         """Widen this wrapper so that it has what the other one has."""
-        for path, (parent, key, pages, repeats, places, letters) in other.nodes.items():
-            node = self.nodes.setdefault(path, [parent, key, 0, False, 0, 0])
-            node[2:] = node[2] + pages, node[3] or repeats, node[4] + places, node[5] + letters
-        for place, (text, size, pages) in other.texts.items():
-            own = self.texts.setdefault(place, [text, size, 0])
-            own[:] = (text, size, own[2] + pages) if own[0] == text else (None, 0, own[2] + pages)
-        for kind, pages in other.kinds.items():
-            self.kinds[kind] = self.kinds.get(kind, 0) + pages
+        for path, (parent, key, pages, repeats, places, letters, long) in other.nodes.items():
+            node = self.nodes.setdefault(path, [parent, key, 0, False, 0, 0, 0])
+            node[2:] = node[2] + pages, node[3] or repeats, node[4] + places, node[5] + letters, node[6] + long
+        for path, (pages, varies, texts) in other.texts.items():
+            own = self.texts.get(path)
+            if not own:
+                self.texts[path] = [pages, varies, {h: list(x) for h, x in texts.items()}]
+                continue
+            both = {h: [x + y for x, y in zip(own[2][h], texts[h], strict=True)] for h in own[2].keys() & texts.keys()}
+            own[:] = own[0] + pages, own[1] or varies or len(own[2]) + len(texts) > 2 * len(both), both
         self.pages += other.pages
 
     def dumps(self) -> str:
-        return json.dumps([self.nodes, self.texts, self.kinds, self.pages], separators=(",", ":"))
+        return json.dumps([self.nodes, self.texts, self.pages], separators=(",", ":"))
 
     @classmethod
     def loads(cls, text: str) -> Wrapper:
         return cls(*json.loads(text))
 
     def expression(self) -> str:
-        """The wrapper as a union-free expression, children by their mean place."""
+        """The wrapper as a union-free expression: in an element its slot, its fixed texts and its children, by their mean places."""
         below: dict[str, list[str]] = {}
         for path, node in self.nodes.items():
             if path:
@@ -280,8 +283,8 @@ class Wrapper:
         def part(path: str) -> str:
             parent, key, pages, repeats, *_ = self.nodes[path]
             inner = " ".join(part(x) for x in sorted(below.get(path, ()), key=lambda x: (self.nodes[x][4] / self.nodes[x][2], x)))
-            texts = [self.texts[f"{path}{k:+}"] for k in range(3) if f"{path}{k:+}" in self.texts]
-            inner = " ".join([*("#" if t[0] is None else f"'{t[0]}'" for t in texts), *([inner] if inner else [])])
+            _, varies, texts = self.texts.get(path, (0, False, {}))
+            inner = " ".join([*["#"] * varies, *(f"'{h}'" for h in sorted(texts, key=lambda h: (texts[h][2], h))), *([inner] if inner else [])])
             if not path:
                 return inner
             out = f"({key}: {inner})" if inner else f"({key})"
@@ -290,57 +293,85 @@ class Wrapper:
         return part("") if self.nodes else ""
 
     def decision(self) -> dict:
-        """What pages are read by: ``kind``, that which the host marks its articles by; or ``path``, the container of what varies, and ``fixed``, the host's own texts (path and hash)."""
-        kind = next((k for k in MAIN_KINDS if k in self.kinds), "")
-        if kind:
-            return {"kind": kind}
-        if all(text is not None for text, *_ in self.texts.values()):  # one page, or copies of one: nothing varies
+        """What pages are read by: ``fixed``, the hashes of the host's own texts by path, of them those in most pages, ``wide``; and ``mass``, for each path below which something varies the
+        mean number of letters in a page that has it, in long slots if there are any, in thousandths. Nothing if nothing varies: one page, or copies of one."""
+        if not any(varies for _, varies, _ in self.texts.values()):
             return {}
-        fixed = {(place[:-2], text): size * pages for place, (text, size, pages) in self.texts.items() if text is not None and pages > 1 and self.pages > 2}
-        mass = {path: node[5] for path, node in self.nodes.items()}
-        for (path, _), letters in fixed.items():
-            mass[path] = max(0, mass[path] - letters)
-        for path in reversed(self._from_the_root()):
-            if path:
-                mass[self.nodes[path][0]] += mass[path]
-        at, below = "", {}
-        for path, node in self.nodes.items():
-            if path and node[1].split(" ")[0] in CONTAINERS:
-                below.setdefault(node[0], []).append(path)
-        while heavy := [x for x in below.get(at, ()) if mass[x] >= SHARE * mass[""]]:
-            at = min(heavy)
-        return {"path": at, "fixed": sorted(f"{path} {text}" for path, text in fixed)}
-
-    def _from_the_root(self) -> list[str]:
-        below: dict[str, list[str]] = {}
-        for path, node in self.nodes.items():
-            if path:
-                below.setdefault(node[0], []).append(path)
-        out = [""] if "" in self.nodes else []
-        for path in out:
-            out += below.get(path, ())
-        return out
+        fixed: dict[str, list[str]] = {}
+        wide: dict[str, list[str]] = {}
+        own = {path: [node[5], node[6]] for path, node in self.nodes.items()}
+        for path, (pages, _, texts) in self.texts.items():
+            if texts and pages > 1 and self.pages > 2:
+                fixed[path] = sorted(texts)
+                if pages >= LEAST_WIDE and 2 * pages >= self.pages:
+                    wide[path] = fixed[path]
+                own[path] = [n - sum(found[k] for found in texts.values()) for k, n in enumerate(own[path])]
+        k = 1 if any(long for _, long in own.values()) else 0
+        mass = {path: 1000 * letters[k] // self.nodes[path][2] for path, letters in own.items() if letters[k]}
+        return {"mass": dict(sorted(mass.items())), "fixed": dict(sorted(fixed.items())), "wide": dict(sorted(wide.items()))}
+
+
+def _container(page: Page, mass: dict[str, int]) -> set[str]:
+    """The paths of the deepest container of what varies, among the page's own elements; the smallest hash of those that hold the same."""
+    children: dict[str, dict[str, str]] = {}
+    for path, parent, key, _ in page.elements:
+        children.setdefault(parent, {})[path] = key
+    order = [""]
+    for path in order:
+        order += children.get(path, ())
+    total = {path: mass.get(path, 0) for path in order}
+    for path in reversed(order):
+        for child in children.get(path, ()):
+            total[path] += total[child]
+    at = ""
+    while heavy := [x for x, key in children.get(at, {}).items() if key.split(" ")[0] in CONTAINERS and total[x] and total[x] >= SHARE * total[""]]:
+        at = min(heavy)
+    inside = [at]
+    for path in inside:
+        inside += children.get(path, ())
+    return set(inside)
+
+
+def _marked(slots: list[tuple], varying: list[int]) -> list[bool]:
+    """Of each slot, whether it is in the elements whose marks are the article's: the surest kind of which one element has as much of what varies as the marked texts outside that
+    kind. Of its elements those count that have half as much as the largest; teasers have less. Articles within the chosen elements, if they aren't that kind, aren't theirs."""
+    masses: dict[tuple[str, int], int] = {}
+    for (*_, marks), n in zip(slots, varying, strict=True):
+        for mark in marks:
+            masses[mark] = masses.get(mark, 0) + n
+    present = [k for k in MAIN_KINDS if any(k == kind for kind, _ in masses)]
+    for kind in present:
+        largest = max(n for (k, _), n in masses.items() if k == kind)
+        outside = sum(n for (*_, marks), n in zip(slots, varying, strict=True) if marks and all(k != kind for k, _ in marks))
+        if largest >= outside or kind == present[-1]:
+            chosen = {mark for mark, n in masses.items() if mark[0] == kind and 2 * n >= largest}
+            refused = kind != "article" and all(k != "article" for k, _ in chosen)
+            return [any(m in chosen and not (refused and any(k == "article" and x > m[1] for k, x in marks)) for m in marks) for *_, marks in slots]
+    return [False] * len(slots)
 
 
 def main_text(page: str | None, decision: dict | None) -> str:
-    """The article's text: the slots that the host's wrapper says are the article's, in order, joined by a space. Empty for null.
+    """The article's text: the slots that the host's wrapper and the page's marks say are the article's, in order, joined by a space. Empty for null.
 
-    A page without anything of the host's article is read by itself: by the first kind that it has, else all of its slots.
+    Without a decision, all texts count as varying. Fixed texts within a marked article go where what varies in it is more; where it's less, pages are near copies. A page without
+    anything that varies is read whole, and one whose texts all go by name is read with them.
     """
-    own = Page(page)
-    taken: list[str] = []
-    if decision and "kind" in decision:
-        taken = [text for _, text, _, kinds in own.slots if decision["kind"] in kinds]
-    elif decision and "path" in decision:
-        inside, fixed = {decision["path"]}, decision["fixed"]
-        for path, parent, *_ in own.elements:
-            if parent in inside:
-                inside.add(path)
-        taken = [text for path, text, *_ in own.slots if path in inside and f"{path} {_hash(text)}" not in fixed]
-    if not taken:
-        kind = next((k for k in MAIN_KINDS if any(k in kinds for *_, kinds in own.slots)), None)
-        taken = [text for _, text, _, kinds in own.slots if kind is None or kind in kinds]
-    return " ".join(taken)
+    own, host = Page(page), decision or {}
+    slots = own.slots or Page(page, by_name=False).slots
+    fixed = [bool(host) and path in host["fixed"] and _hash(text) in host["fixed"][path] for path, text, *_ in slots]
+    wide = [found and slot[0] in host["wide"] for found, slot in zip(fixed, slots, strict=True)]
+    varying = [0 if found else _letters(text, linked)[0] for found, (_, text, linked, _) in zip(wide, slots, strict=True)]
+    taken: list[int] = []
+    if any(marks for *_, marks in slots):
+        taken = [k for k, wanted in enumerate(_marked(slots, varying)) if wanted]
+        if sum(varying[k] for k in taken) < LEAST_MARKED * sum(varying):
+            taken = []
+        elif 2 * sum(varying[k] for k in taken) >= sum(len(slots[k][1]) for k in taken):
+            taken = [k for k in taken if not wide[k]]
+    if not taken and host:
+        inside = _container(own, host["mass"])
+        taken = [k for k, (path, *_) in enumerate(slots) if path in inside and not fixed[k]]
+    return " ".join(slots[k][1] for k in taken or range(len(slots)))
 
 
 def _host(url: F.Column) -> F.Column:
@@ -415,19 +446,17 @@ def extract(pages: DataFrame, *, most_broadcast: int = 200_000, salts: int = 32,
     shared = pages.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: dict[str, dict | None] = {}
+        known_hosts: dict[str, dict] = {}
         for batch in batches:
             out = []
             for host, page, own in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
                 host = host.as_py()
-                if host not in ready:
-                    if len(ready) > 10_000:
-                        ready.clear()
+                if host not in known_hosts:
+                    if len(known_hosts) > 10_000:
+                        known_hosts.clear()
                     text = own.as_py() if shared.value is None else shared.value.get(host)
-                    ready[host] = json.loads(text) if text else None
-                    if ready[host] and "fixed" in ready[host]:
-                        ready[host]["fixed"] = frozenset(ready[host]["fixed"])
-                out.append(main_text(page.as_py(), ready[host]))
+                    known_hosts[host] = json.loads(text) if text else {}
+                out.append(main_text(page.as_py(), known_hosts[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["id", "url", "text"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, url string, text string")

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import json
 import random
 import re
 import time
@@ -63,7 +64,9 @@ def test_wrappers_are_union_free_expressions():
     pages = ["<div class=c><p>a</p></div>", "<div class=c><p>b</p><p>c</p><hr></div><div class=f>same</div>", "<div class=c><p>a</p><ul><li>1<li>2</ul></div><div class=f>same</div>"]
     assert htmltext.Wrapper.infer(pages[:1]).expression() == f"(div c: (p: '{htmltext._hash('a')}'))"
     found = htmltext.Wrapper.infer(pages)
-    assert found.expression() == f"(div c: (p: # 'X')+ ((ul: (li: 'Y' 'Z')+))?) ((div f: 'S'))?".translate(str.maketrans({"X": htmltext._hash("c"), "Y": htmltext._hash("1"), "Z": htmltext._hash("2"), "S": htmltext._hash("same")}))
+    assert found.expression() == f"(div c: (p: #)+ ((ul: (li: 'Y' 'Z')+))?) ((div f: 'S'))?".translate(str.maketrans({"Y": htmltext._hash("1"), "Z": htmltext._hash("2"), "S": htmltext._hash("same")}))
+    found.align(htmltext.Wrapper.infer(["<div class=c><p>a</p></div><div class=f>other, then</div><div class=f>same</div>"]))
+    assert "((div f: # 'S')+)?".replace("S", htmltext._hash("same")) in found.expression()  # fixed wherever it stands in its element
     assert htmltext.Wrapper.loads(found.dumps()).decision() == found.decision()
 
 
@@ -103,6 +106,67 @@ def test_what_all_pages_of_a_host_have_is_not_the_article(spark):
     assert [found[400 + k] for k in range(3)] == ["Lesson", "a b", "kept"]
 
 
+def sentence(n, k=0):
+    return f"In year {n} a river of {n * 7 + k} boats went past the town, and nobody counted the rest."
+
+
+def texts_of(pages):
+    decision = json.loads(json.dumps(htmltext.Wrapper.infer(pages).decision()))
+    return [htmltext.main_text(p, decision) for p in pages]
+
+
+def test_teasers_marked_as_articles_are_not_the_story():
+    pages = [f"<body><main><h1>Head {n}</h1><p>{sentence(n)}</p><p>{sentence(n, 1)}</p><section><article>Related one {n}</article><article>Related two {n}</article></section></main></body>" for n in range(10)]
+    want = [f"Head {n} {sentence(n)} {sentence(n, 1)}" for n in range(10)]
+    assert texts_of(pages) == want and [htmltext.main_text(p, None) for p in pages] == want
+    beside = [f"<body><article><p>{sentence(n)}</p></article><article>Next {n}</article></body>" for n in range(10)]
+    assert texts_of(beside) == [sentence(n) for n in range(10)]
+    equal = f"<body><article>{sentence(1)}</article><article>{sentence(2)}</article></body>"  # neither is the other's teaser
+    assert htmltext.main_text(equal, None) == f"{sentence(1)} {sentence(2)}"
+
+
+def test_an_odd_page_changes_no_other():
+    pages = [ACME.format(n=n) for n in range(50)]
+    odd = f"<body><div class=top>Acme portal your daily source</div><article>{sentence(3)}</article></body>"
+    assert texts_of([*pages, odd]) == [*(f"Story {n} of day {n}. Its end {n}" for n in range(50)), sentence(3)]
+    box = [f"<body><div class=txt><p>{sentence(n)}</p><p>{sentence(n, 1)}</p></div><article>Hint {n}</article></body>" for n in range(9)]  # a mark that isn't the article's
+    assert texts_of(box) == [f"{sentence(n)} {sentence(n, 1)}" for n in range(9)]
+
+
+def test_two_layouts_of_a_host():
+    first = [f"<body><div class=a><p>Acme portal</p><div class=b><p>{sentence(n)}</p></div></div></body>" for n in range(6)]
+    second = [f"<body><table><tr><td>Acme Ltd</td><td><div class=c>{sentence(n, 1)}</div></td></tr></table></body>" for n in range(6)]
+    assert texts_of(first + second) == [sentence(n) for n in range(6)] + [sentence(n, 1) for n in range(6)]
+
+
+def test_fixed_lines_go_wherever_they_stand():
+    lines = [f"<p>Line {k} is the same on all pages</p>" for k in range(10)]
+    pages = [f"<body><div>{''.join(lines[:5])}<p>{sentence(n)}</p>{'<p>more</p>' * (n % 2)}{''.join(lines[5:])}</div></body>" for n in range(8)]
+    assert texts_of(pages) == [sentence(n) + " more" * (n % 2) for n in range(8)]
+
+
+def test_columns_of_short_texts_are_not_the_article():
+    pages = [f"<body><table><tr><td class=x><p>{sentence(n)}</p></td><td class=y><p>Weather {n} degrees</p><p>Stocks {n} up</p></td></tr></table></body>" for n in range(8)]
+    assert texts_of(pages) == [sentence(n) for n in range(8)]
+
+
+def test_marked_articles_lose_what_is_the_sites():
+    pages = [f"<body><article><h1>Head {n}</h1><p>{sentence(n)}</p><p>{sentence(n, 1)}</p><p>Subscribe to our letter today</p><div>Notice: this site uses trackers</div></article></body>" for n in range(10)]
+    assert texts_of(pages) == [f"Head {n} {sentence(n)} {sentence(n, 1)}" for n in range(10)]
+    assert all("Subscribe" in htmltext.main_text(p, None) for p in pages)  # the page alone doesn't tell
+    near = [f"<body><article><h1>Head {n}</h1><p>{sentence(0)}</p></article></body>" for n in range(10)]  # near copies aren't emptied
+    assert texts_of(near) == [f"Head {n} {sentence(0)}" for n in range(10)]
+
+
+def test_articles_lose_parts_by_name_and_are_not_lost_by_one():
+    for name in ("author-bio", "related-stories", "user-reviews", "reader-replies", "paywall-offer", "recommended"):
+        assert htmltext.main_text(f"<article><p>Kept.</p><div class='{name}'>Gone</div></article>", None) == "Kept."
+    for name in ("author", "stories", "user-guide", "reader", "biography", "related-work-of-art"):
+        assert htmltext.main_text(f"<article><p>Kept.</p><div class='{name}'>too</div></article>", None) == "Kept. too"
+    assert htmltext.main_text("<body><div class=notice><p>The bridge is closed.</p></div></body>", None) == "The bridge is closed."
+    assert htmltext.main_text("<body><div class='story menu'><p>Soup</p></div><nav>x</nav></body>", None) == "Soup"
+
+
 def test_long_irregular_pages():
     rng = random.Random(1)
     blocks = [f"<{x} class='{rng.choice('abcdefgh')}'>t{k}</{x}>" for k in range(30_000) for x in [rng.choice(["p", "div", "h2", "blockquote", "section", "pre"])]]
