@@ -1,6 +1,7 @@
-"""Files as they arrive: a stream of new files, indexed batch by batch.
+"""Files as they arrive, indexed batch by batch: a stream of new files, and one of changes.
 
-A stream tells files by path: an edited file isn't delivered again, and a deleted one isn't noticed. ``plans.ingest`` stays the authority for both.
+``arrivals`` tells files by path: an edited file isn't delivered again, and a deleted one isn't noticed. ``ingest_changes`` follows both, on file systems that keep times of folders.
+``plans.ingest`` stays the authority.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from quarry.operators.embed import Embedder
 from quarry.operators.parse import supported
 from quarry.plans.ingest import config_of, index_files
 from quarry.plans.store import Store
-from quarry.sources.files import FileSystem, described
+from quarry.sources.files import FileSystem, described, uri_prefix
+from quarry.sources.folders import contents, listed
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -34,6 +36,28 @@ def ingest_arrivals(spark: SparkSession, store: Store, root: str, embedder: Embe
     return arrivals(spark, root).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_changes(spark: SparkSession, store: Store, root: str, embedder: Embedder, checkpoint: str, settings: Settings = Settings(), **options: object) -> StreamingQuery:
+    """Bring the store in line with what has changed below a folder since the checkpoint, then stop: new and edited files are indexed, and documents below it whose files are gone are
+    dropped where a folder tells that something in it went or came. A batch that is delivered again does the same again. Only supported files that changed are read."""
+    store.guard(config_of(settings))
+
+    def batch(rows: DataFrame, _: int) -> None:
+        try:
+            changed = store.stage("changed", rows)
+            files = described(contents(changed.where(supported("path"))))
+            gone = None
+            if changed.where("is_folder").limit(1).count():
+                there = listed(spark, root, **options).where("NOT is_folder").select(F.col("path").alias("uri"))
+                known = store.read("documents").where(F.col("uri").startswith(uri_prefix(spark, root)))
+                gone = store.stage("gone", known.join(there, "uri", "left_anti").select("doc_id"))
+            index_files(store, files, embedder, settings, pruned=gone)
+        finally:
+            store.unstage()
+
+    stream = listed(spark, root, stream=True, **options)
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def event_counts(events: DataFrame, *, late: str = "1 hour", window: str = "1 day") -> DataFrame:
     """Trace-like events counted by type in windows; works on a stream with a watermark and on a table."""
     kind = events.schema["ts"].dataType
