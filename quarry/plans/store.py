@@ -6,7 +6,8 @@ writers one comes first. The other puts its commit on top, unless both changed a
 left is deleted when its lease is over.
 
 Reading joins older segments against later tombstones. Segments are merged by size tiers, so there are few and a row is rewritten a logarithmic number of times. Each
-segment has a Bloom filter of its keys, which tells lookups what they needn't open.
+segment has a Bloom filter of its keys, which tells lookups what they needn't open. Segments keep the version of the schema that they were written in; reading takes
+older ones to the newest.
 """
 
 from __future__ import annotations
@@ -24,11 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry import schemas
-from quarry.plans import membership
+from quarry.plans import evolution, membership
 from quarry.sources.files import FileSystem
 
 SCHEMAS: dict[str, T.StructType] = {"documents": schemas.STATE, "ir": schemas.DOCUMENT, "index": schemas.POINT, "embedding_cache": schemas.CACHE}
 
+#: What has changed in a table's schema since it was first written, in order; the schema above is the last one.
+HISTORY: dict[str, list[evolution.Step]] = {}
+
 
 class IndexConfigMismatchError(RuntimeError):
     """The index was made with another embedding model, other dimensions or another pipeline version."""
@@ -121,7 +125,7 @@ class Store:
             return None
         blocks = membership.blocks_for(int(keys * 1.1) + 1)
         membership.built(back, key, blocks).write.parquet(f"{path}/keys")
-        return {"id": folder, "rows": n, "bytes": self.files.size(f"{path}/rows"), "blocks": blocks, "applied": 0}
+        return {"id": folder, "rows": n, "bytes": self.files.size(f"{path}/rows"), "blocks": blocks, "applied": 0, "schema": schema_version(name)}
 
     def _tombstones(self, name: str, keys: DataFrame) -> dict | None:
         """Write keys (with ``seq``, null for that of the commit) as tombstones; none if there is no key."""
@@ -135,9 +139,13 @@ class Store:
         return {"id": folder, "rows": n}
 
     def _rows(self, name: str, segment: dict, buckets: list[int] | None = None) -> DataFrame:
-        rows = self.spark.read.schema(T.StructType([*SCHEMAS[name].fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.root}/{name}/{segment['id']}/rows")
+        steps, version = HISTORY.get(name, []), segment.get("schema", 1)
+        if version > schema_version(name):
+            raise evolution.UnknownSchemaError(f"{self.root}: {name} has rows of version {version}, and this program knows {schema_version(name)}")
+        written = evolution.versions(SCHEMAS[name], steps)[version - 1]
+        rows = self.spark.read.schema(T.StructType([*written.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.root}/{name}/{segment['id']}/rows")
         rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))  # prunes folders
-        return rows.drop("bucket")
+        return evolution.upgraded(rows.drop("bucket"), version, SCHEMAS[name], steps)
 
     def _gone(self, name: str, state: dict) -> DataFrame:
         """Rows (key, seq): each removed key with the last version that removed it."""
@@ -236,9 +244,13 @@ class Store:
         if not ours.join(reduce(DataFrame.unionByName, theirs).distinct(), key, "left_semi").isEmpty():
             raise ConcurrentCommitError(f"another commit since version {base['version']} of {self.root} changed the same keys of {name}")
 
-    def compact(self, name: str, *, whole: bool = False, keep: int = KEEP) -> bool:
-        """Merge the segments of each size tier that has ``FANOUT`` of them, all if tombstones have come to a quarter of the rows, and the tombstones once they are as many sets. Readers
-        aren't disturbed, and commits that come meanwhile stay on top. Whether anything was merged."""
+    def upgrade(self, *, keep: int = KEEP) -> dict[str, bool]:
+        """Rewrite what is of an older schema in the newest one, which reading does not need; of each table, whether anything was."""
+        return {name: self.compact(name, outdated=True, keep=keep) for name in self.manifest()["tables"]}
+
+    def compact(self, name: str, *, whole: bool = False, outdated: bool = False, keep: int = KEEP) -> bool:
+        """Merge the segments of each size tier that has ``FANOUT`` of them, all if tombstones have come to a quarter of the rows, and the tombstones once they are as many sets; or only
+        what is ``outdated``, of an older schema. Readers aren't disturbed, and commits that come meanwhile stay on top. Whether anything was merged."""
         manifest = self.manifest()
         state = manifest["tables"].get(name)
         if not state:
@@ -247,11 +259,13 @@ class Store:
         tiers: dict[int, list[dict]] = {}
         for s in state["rows"]:
             tiers.setdefault(max(0, int(math.log(max(1, s["bytes"]) / SMALLEST, FANOUT)) + (s["bytes"] > SMALLEST)), []).append(s)
-        if whole or 4 * sum(g["rows"] for g in state["gone"]) > sum(s["rows"] for s in state["rows"]):
+        if outdated:
+            due = [s for s in state["rows"] if s.get("schema", 1) < schema_version(name)]
+        elif whole or 4 * sum(g["rows"] for g in state["gone"]) > sum(s["rows"] for s in state["rows"]):
             due = [s for t in tiers.values() for s in t] if len(state["rows"]) > 1 or state["gone"] else []
         else:
             due = [s for t in tiers.values() if len(t) >= FANOUT for s in t]
-        sets = state["gone"] if len(state["gone"]) >= FANOUT else []
+        sets = state["gone"] if len(state["gone"]) >= FANOUT and not outdated else []
         if not due and not sets:
             return False
         rows = self._visible(name, state, due) if due else None
@@ -327,6 +341,10 @@ class Store:
         self._end()
 
 
+def schema_version(name: str) -> int:
+    return 1 + len(HISTORY.get(name, ()))
+
+
 def conformed(rows: DataFrame, schema: T.StructType) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
 
