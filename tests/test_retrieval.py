@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.config import Retrieval
+from quarry.functions import columns as C
 from quarry.operators import answer, assemble, evaluate, generate, retrieve
 
 HIT = "qid string, chunk_id string, doc_id string, chunk_index int, title string, uri string, page_start int, page_end int, breadcrumb string, text string, score double, rank int"
@@ -186,3 +187,17 @@ def test_a_byte_pair_counter():
     assert count("hello world") == 2
     found = chunk.fold("T", [block("paragraph", "Some words here. " * 100)], Chunking(40, 60, 6, 30), count)
     assert len(found) > 3 and all(count(c["text"]) <= 66 for c in found)
+
+
+def test_all_scores_equal_the_expression(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "POINTS", 7)
+    monkeypatch.setattr(retrieve, "ASKED", 3)
+    vectors = [[float(i % 5 - 2), float(i % 3), 1.5] for i in range(40)] + [None, [0.0, 0.0, 0.0], [1.0, None, 2.0], [1.0, 2.0], []]
+    points = spark.createDataFrame(list(enumerate(vectors)), "chunk_id long, vector array<float>")
+    queries = points.where("chunk_id % 4 = 0 or chunk_id > 38").select(F.col("chunk_id").cast("string").alias("qid"), "vector")
+    found = retrieve.all_scores(points, queries)
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+    wanted = points.crossJoin(queries.withColumnRenamed("vector", "q")).select("qid", "chunk_id", C.cosine("vector", "q").alias("score"))
+    rows = lambda df: sorted((r["qid"], r["chunk_id"], "null" if r["score"] is None else f"{r['score'] + 0.0:.9f}".replace("-0.000000000", "0.000000000")) for r in df.collect())
+    assert rows(found) == rows(wanted)
+    assert retrieve.all_scores(points, queries.where("false")).count() == 0 and retrieve.all_scores(points.where("false"), queries).count() == 0
