@@ -82,6 +82,8 @@ def fingerprints(docs: DataFrame, *, shingle_words: int = 4, id_col: str = "doc_
 
 SAMPLED, OFTEN = 8, 3  # one text in so many is counted; so many of those make a shingle frequent
 SLOTS = 1 << 24  # of the table of frequent shingles: 2 MB, whatever the corpus
+CROWD = 32  # texts of a shingle beyond which it makes no pairs
+BITS = 2048  # of a sketch
 
 
 def frequent(docs: DataFrame, *, shingle_words: int, text_col: str = "text") -> np.ndarray:
@@ -109,9 +111,14 @@ def prefix_size(n, similarity: float):
     return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Of each of ``BITS`` classes of hashes, whether a set has an odd number. Sets differ in at least as many members as their sketches in bits."""
+    return np.packbits(np.bincount((hashes >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) % 2 == 1).tobytes()
+
+
 def sequences(docs: DataFrame, *, shingle_words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id``, ``key`` (a hash of the text), ``fp`` (a hash of the word sequence), ``sim`` (the fingerprint of its shingles), ``n`` (its different shingles) and
-    ``prefix`` (the first of those by ``prefix_size``, rare ones before frequent ones)."""
+    """One row per document: ``id``, ``key`` (a hash of the text), ``fp`` (a hash of the word sequence), ``sim`` (the fingerprint of its shingles), ``n`` (its different shingles),
+    ``prefix`` (the first of those by ``prefix_size``, rare ones before frequent ones) and ``sketch`` (of all of them)."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent(docs, shingle_words=shingle_words, text_col=text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,12 +133,12 @@ def sequences(docs: DataFrame, *, shingle_words: int, similarity: float, id_col:
                 own = np.unique(hashes)
                 order = np.lexsort((own, often[(own % np.uint64(SLOTS)).astype(np.int64)]))[: prefix_size(np.int64(len(own)), similarity) if len(own) else 0]
                 key = np.array([xxhash.xxh64_intdigest(joined, 42) if words else 0], np.uint64).view(np.int64)[0]
-                found.append((int(key), _majority(ones, len(hashes)), len(own), own[order].view(np.int64)))
-            columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(3)] + [pa.array([x[3] for x in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "key", "fp", "sim", "n", "prefix"])
+                found.append((int(key), _majority(ones, len(hashes)), len(own), own[order].view(np.int64), sketch(own)))
+            columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(3)] + [pa.array([x[3] for x in found], pa.list_(pa.int64())), pa.array([x[4] for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "key", "fp", "sim", "n", "prefix", "sketch"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key long, fp long, sim long, n long, prefix array<long>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key long, fp long, sim long, n long, prefix array<long>, sketch binary")
 
 
 def segment_counts(fps: np.ndarray, segment_bits: int) -> np.ndarray:
@@ -294,8 +301,8 @@ def _pairs(of: np.ndarray, n: np.ndarray, group: np.ndarray, similarity: float)
             yield np.full(len(other), i), other
 
 
-def _meeting(rows: DataFrame, similarity: float, cap: int) -> DataFrame:
-    """Rows (a, b, na, nb, both) of nodes of different groups that share ``both`` of the tokens of ``rows`` (token, node, n, grp), a < b."""
+def _met(rows: DataFrame, similarity: float, cap: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows`` (token, node, n, grp): a row (a, b, na, nb), a < b, for each token that two nodes of different groups share, and the tokens of more than ``cap`` nodes, which give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "b", "na", "nb", "token"]
@@ -315,22 +322,90 @@ def _meeting(rows: DataFrame, similarity: float, cap: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(*held)), pa.nulls(count, pa.int64())], names=names)
 
     met = stored(rows.select("token", "n", "node", "grp").repartition("token").sortWithinPartitions("token", "n").mapInArrow(run, "a long, b long, na long, nb long, token long"))
-    found, crowds = met.where("token IS NULL").drop("token"), met.where("token IS NOT NULL").select("token").distinct()
-    if not crowds.isEmpty():  # tokens of more nodes than a task holds: a join, which adaptive execution splits
-        x, y = (rows.join(crowds, "token").select("token", F.col("node").alias(a), F.col("n").alias(f"n{a}"), F.col("grp").alias(f"g{a}")) for a in "ab")
-        sizes = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9
-        found = found.unionByName(x.join(y.hint("merge"), "token").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & sizes).select("a", "b", "na", "nb"))
+    return met.where("token IS NULL").drop("token"), met.where("token IS NOT NULL").select("token").distinct()
+
+
+def _joined(rows: DataFrame, crowds: DataFrame, similarity: float) -> DataFrame:
+    """The same rows for tokens of more nodes than a task holds: a join, which adaptive execution splits."""
+    x, y = (rows.join(crowds, "token").select("token", F.col("node").alias(a), F.col("n").alias(f"n{a}"), F.col("grp").alias(f"g{a}")) for a in "ab")
+    sizes = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9
+    return x.join(y.hint("merge"), "token").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & sizes).select("a", "b", "na", "nb")
+
+
+def _meeting(rows: DataFrame, similarity: float, cap: int) -> DataFrame:
+    """Rows (a, b, na, nb, both) of nodes of different groups that share ``both`` of the tokens of ``rows`` (token, node, n, grp), a < b."""
+    found, crowds = _met(rows, similarity, cap)
+    if not crowds.isEmpty():
+        found = found.unionByName(_joined(rows, crowds, similarity))
     return found.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
 
 
+def _near(i: int, others: np.ndarray, sketches: np.ndarray, n: np.ndarray, group: np.ndarray, similarity: float) -> np.ndarray:
+    """Those of ``others`` (places) in other groups that may be similar to ``i`` by their sizes and sketches."""
+    sizes = (np.minimum(n[others], n[i]) >= similarity * np.maximum(n[others], n[i]) - 1e-9) & (group[others] != group[i])
+    others = others[sizes]
+    most = (1 - similarity) / (1 + similarity) * (n[others] + n[i]) + 1e-9  # members in which similar sets may differ
+    return others[np.bitwise_count(sketches[others] ^ sketches[i]).sum(1, dtype=np.int64) <= most]
+
+
+def _forest(sketches: np.ndarray, n: np.ndarray, group: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Links (one, others) that connect all members which sketches and groups connect, fewer than there are members."""
+    left = np.arange(len(n))
+    while len(left):
+        own = group[left] == group[left[0]]
+        reached, left = left[own].tolist(), left[~own]
+        while reached and len(left):
+            one = reached.pop()
+            near = _near(one, left, sketches, n, group, similarity)
+            if len(near):
+                yield one, near
+                there = np.isin(group[left], group[near])
+                reached.extend(left[there].tolist())
+                left = left[~there]
+
+
+def _all_near(sketches: np.ndarray, n: np.ndarray, group: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """All links (one, others) that sketches allow. The largest group's members are met by the others only."""
+    names, at, size = np.unique(group, return_inverse=True, return_counts=True)
+    order = np.argsort(at == np.argmax(size), kind="stable")
+    for k in range(len(n) - int(size.max())):
+        near = _near(int(order[k]), order[k + 1 :], sketches, n, group, similarity)
+        if len(near):
+            yield int(order[k]), near
+
+
+def _alike(rows: DataFrame, similarity: float, cap: int, links_of) -> tuple[DataFrame, DataFrame]:
+    """Distinct links (a, b), a < b, that ``links_of`` finds among the nodes of each token of ``rows`` (token, node, n, grp, sketch); and the tokens of more than ``cap`` nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (token, n, node, group, sketches), crowded in _by_point(batches, cap):
+            if crowded:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array(token[:1])], names=["a", "b", "token"])
+                continue
+            begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
+            for at, m in zip(begin.tolist(), np.diff(begin, append=len(token)).tolist(), strict=True):
+                of = slice(at, at + m)
+                if (group[of] == group[at]).all():
+                    continue
+                matrix = np.frombuffer(b"".join(sketches[of]), np.uint64).reshape(m, -1)
+                for one, others in links_of(matrix, n[of], group[of], similarity):
+                    x, y = node[at + one], node[at + others]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(y), pa.int64())], names=["a", "b", "token"])
+
+    met = cut(rows.select("token", "n", "node", "grp", "sketch").repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long, token long").distinct())
+    return met.where("token IS NULL").select("a", "b"), met.where("token IS NOT NULL").select("token")
+
+
 def similar_links(docs: DataFrame, by_doc: DataFrame, *, shingle_words: int, similarity: float, cell_cap: int = 1_000_000, most_broadcast: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b), a < b, that connect exactly what pairs of word sequences connect whose sets of shingles have a Jaccard similarity of ``similarity`` or more. ``by_doc`` are ``sequences``.
 
     First, what fingerprints link in their grids, and equal fingerprints, are verified by their shingles: that unites most of a group of near copies by few links. Fingerprints of
     sets at 0.8 are often too far apart, so all other pairs that may be similar are then met by an exact rule: of similar sets the first shingles, in an order common to all, share one. Rare shingles are
     first, so what many texts share brings few together. Pairs whose first shingles share too few, or that are of one group already, aren't compared; the others are verified.
+    A shingle of more than ``CROWD`` texts makes no pairs: its texts are compared by their sketches, which rule out no similar pair, in the task that holds them. First come as many links as connect what sketches
+    connect; they are verified and unite groups. Then all links between different groups that sketches still allow, which are those of the few that failed and of what they had connected.
     """
-    nodes = cut(by_doc.groupBy("fp").agg(F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("one")))
+    nodes = cut(by_doc.groupBy("fp").agg(F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("one")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,12 +431,31 @@ def similar_links(docs: DataFrame, by_doc: DataFrame, *, shingle_words: int, sim
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     close = verified(cut(near.unionByName(equal).distinct()))
 
-    groups = components(close).withColumnRenamed("node", "fp")
-    rows = nodes.select("fp", "n", "prefix").join(groups, "fp", "left").select(F.col("fp").alias("node"), "n", F.coalesce("root", "fp").alias("grp"), F.explode("prefix").alias("token"))
-    met = _meeting(rows, similarity, cell_cap)
+    def rows(more: str = "n") -> DataFrame:
+        """A row for each of the first shingles, with the group that the links known so far make."""
+        groups = components(close).withColumnRenamed("node", "fp")
+        return nodes.join(groups, "fp", "left").select(F.col("fp").alias("node"), *dict.fromkeys(("n", more)), F.coalesce("root", "fp").alias("grp"), F.explode("prefix").alias("token"))
+
+    found, crowds = _met(rows(), similarity, CROWD)
+    met = found.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
     rest = lambda n: F.ceil(F.col(n) * similarity - 1e-9) - 1  # noqa: E731  shingles after the first ones
+    # pairs that share a crowded shingle may be dropped here: those meet below
     may = F.col("both") + F.greatest(rest("na"), rest("nb")) >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9
-    return close.unionByName(verified(cut(met.where(may).select("a", "b")))).distinct()
+    close = cut(close.unionByName(verified(cut(met.where(may).select("a", "b")))).distinct())
+    crowds = cut(crowds)
+    if crowds.isEmpty():
+        return close
+    few, tried = F.broadcast(crowds) if fits(crowds, most_broadcast) else crowds, None
+    for links_of in (_forest, _all_near):
+        own = rows("sketch").join(few, "token")
+        met, over = _alike(own, similarity, cell_cap, links_of)
+        if tried is not None:
+            if not over.isEmpty():
+                met = met.unionByName(_joined(own, over, similarity).select("a", "b")).distinct()
+            met = met.join(tried, ["a", "b"], "left_anti")
+        tried = met
+        close = cut(close.unionByName(verified(cut(met))).distinct())
+    return close
 
 
 def links(fps: DataFrame, *, max_distance: int = 4, segment_bits: tuple[int, ...] | None = None, cell_cap: int = 10_000) -> DataFrame:

@@ -510,6 +510,25 @@ def test_similar_pairs_within_a_template(spark, words, pairs):
     assert found == {i: i - i % 2 for i, _ in rows}
 
 
+def test_a_large_group_of_near_copies_makes_no_pairs(spark, monkeypatch):
+    """Copies of one text with more and fewer edits: what all pairs connect is connected, by links that don't grow with the square of the group."""
+    rng, made = random.Random(22), []
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = [(k, edited(base, rng, rng.choice((1, 2, 3, 5, 8)))) for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for name in ("_met", "_alike"):
+        real = getattr(simhash, name)
+        monkeypatch.setattr(simhash, name, lambda *args, real=real: made.append(real(*args)) or made[-1])
+    found = {r["id"]: r["component_id"] for r in simhash.near_duplicates(df, shingle_words=5, similarity=0.8).collect()}
+    pairs = brute.similar(rows)
+    group = brute.closed(len(rows), pairs)
+    assert len(set(group)) > 5 and all((found[i] == found[j]) == (group[i] == group[j]) for i in range(len(rows)) for j in range(i))
+    assert len(made) == 3 and sum(links.count() for links, _ in made) < len(pairs) / 2
+    a, b = (np.unique(rng_.integers(0, 2**63, 300).astype(np.uint64)) for rng_ in (np.random.default_rng(1), np.random.default_rng(2)))
+    bits = [np.unpackbits(np.frombuffer(simhash.sketch(np.union1d(a, x)), np.uint8)) for x in (b[:40], b[20:60])]
+    assert 0 < int((bits[0] ^ bits[1]).sum()) <= 40 and (40 - int((bits[0] ^ bits[1]).sum())) % 2 == 0
+
+
 def test_meeting_rule_for_groups_of_all_sizes(spark, monkeypatch):
     """Pairs of different groups that share a token, with how many they share, for any size of a token's group and for tokens that a task can't hold."""
     rng = random.Random(20)
