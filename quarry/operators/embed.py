@@ -47,8 +47,8 @@ class HashEmbedder:
 def hash_vector(text: Column | str) -> Column:
     """``HashEmbedder`` as an expression, in doubles."""
     digest = F.sha2((F.col(text) if isinstance(text, str) else text).cast("binary"), 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: (F.conv(F.substring(digest, 2 * i + 1, F.lit(2)), 16, 10).cast("double") - 128) / 128)
-    return C.unit(raw)
+    raw = lambda d: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: (F.conv(F.substring(d, 2 * i + 1, F.lit(2)), 16, 10).cast("double") - 128) / 128)
+    return C.bound(digest, lambda d: C.unit(raw(d)))
 
 
 class PermanentError(RuntimeError):

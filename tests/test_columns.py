@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
+from quarry.operators import embed
 
 
 def one(spark, column, **values):
@@ -51,3 +52,11 @@ def test_attributes_are_quoted(spark, text):
 def test_cosine(spark):
     rows = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     assert [round(r[0], 6) for r in rows.select(C.cosine("a", "b")).collect()] == [0.707107, 0.0]
+
+
+def test_hash_vector_hashes_a_text_once(spark):
+    rows = spark.createDataFrame([("a",), ("",), (None,)], "text string")
+    found = rows.select(embed.hash_vector("text").alias("v"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+    assert [[round(x, 9) for x in r["v"]] for r in found.collect()] == [*([round(x, 9) for x in v] for v in embed.HashEmbedder().embed(["a", ""])), [0.0] * 32]
+    assert spark.createDataFrame([([3.0, 4.0],), ([0.0],), (None,)], "v array<double>").select(C.unit("v").alias("u")).collect() == [([0.6, 0.8],), ([0.0],), (None,)]
