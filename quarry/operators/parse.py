@@ -35,6 +35,8 @@ def _office(read) -> Parser:
     return lambda data: (*read(data), {})
 
 
+AT_ONCE = 100  # files whose blocks a task holds as Python objects
+
 #: extension: (kind of document, parser, version)
 PARSERS: dict[str, tuple[str, Parser, str]] = {
     **{x: ("markdown", _markdown, "1") for x in ("md", "markdown", "mdx")},
@@ -74,7 +76,7 @@ def parsed(files: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
             *kept, extensions, contents = batch.columns
             found = [parse_bytes(x.as_py(), d.as_py() or b"") for x, d in zip(extensions, contents, strict=True)]
             cols = [pa.array([f[n] for f in found], pa.string()) for n in made]
@@ -117,4 +119,5 @@ def pages_without_text(blocks: Column | str, pages: Column) -> Column:
 
 def exploded(docs: DataFrame) -> DataFrame:
     """One row per block, in order."""
-    return docs.select("doc_id", F.posexplode("blocks").alias("block_index", "b")).select("doc_id", "block_index", "b.*")
+    rows = docs.select("doc_id", F.posexplode_outer("blocks").alias("block_index", "b")).where("block_index IS NOT NULL")  # without outer, a filter on the array's size would have the blocks normalised again
+    return rows.select("doc_id", "block_index", "b.*")

@@ -222,3 +222,18 @@ def test_sheets_are_named_by_their_relationships():
             z.writestr(f"xl/worksheets/sheet{k}.xml", f'<worksheet xmlns="{main}"><sheetData><row><c r="A1"><v>{k}</v></c></row></sheetData></worksheet>')
     blocks = parse.parse_bytes("xlsx", data.getvalue())["blocks"]
     assert [(b["type"], b["text"].splitlines()[0], b["page"]) for b in blocks] == [("heading", "Second file", 1), ("table", "| 2 |", 1), ("heading", "First file", 2), ("table", "| 1 |", 2)]
+
+
+def test_blocks_are_normalised_once_and_parsed_in_parts(spark, monkeypatch):
+    from quarry import queries
+    from quarry.operators import parse
+    from tests.conftest import SMALL
+
+    for name in ("html_lists", "markdown_blocks", "html_blocks"):
+        assert queries.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().count("(size(filter(") == 0, name
+    tasks = queries._parts(spark, SMALL, F.col("p_name"), "md").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = spark.createDataFrame([("s", f"{k}.md", f"# t{k}" if k % 3 else "", "h", None, 1) for k in range(250)], "source string, uri string, content string, content_hash string, last_modified timestamp, size_bytes long").coalesce(1)
+    found = parse.parsed(files.withColumn("content", F.col("content").cast("binary")))
+    assert {r["uri"]: [b["text"] for b in r["blocks"]] for r in found.collect()} == {f"{k}.md": [f"t{k}"] if k % 3 else [] for k in range(250)}
+    assert parse.exploded(found).count() == 166
