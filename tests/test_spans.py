@@ -38,3 +38,11 @@ def test_numbers_follow_the_order(spark, rows):
     assert found.columns == ["v", "n", "place"] and [p for p, _ in got] == list(range(1, rows + 1)) and [v for _, v in got] == sorted(values)
     windows = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Window" in line]
     assert not windows or all("_part" in line for line in windows)
+
+
+def test_texts_are_read_three_times_at_most(spark):
+    from quarry import queries
+    from tests.conftest import SMALL
+
+    plan = queries.golden_terms(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id") <= 3
