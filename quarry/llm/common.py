@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import running
@@ -36,6 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_few(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """The same, read again by a task for so many rows, not by all that a shuffle has. For narrow tables that may be small: what reads them makes tasks and files by their size."""
+    shared_folder(df.sparkSession)
+    seen = Observation()
+    made = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    return made.coalesce(1 + seen.get["n"] // rows)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage by a table in the shared folder. For the state of loops: a checkpoint keeps what the optimiser knows of its
     columns, which grows with each round."""

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, fits, stored, text_key
+from quarry.llm.common import cut, cut_few, fits, stored, text_key
 
 BLOCK = 1 << 16  # shingles whose bits are unpacked at once
 
@@ -392,7 +392,7 @@ def _alike(rows: DataFrame, similarity: float, cap: int, links_of) -> tuple[Data
                     x, y = node[at + one], node[at + others]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(y), pa.int64())], names=["a", "b", "token"])
 
-    met = cut(rows.select("token", "n", "node", "grp", "sketch").repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long, token long").distinct())
+    met = cut_few(rows.select("token", "n", "node", "grp", "sketch").repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long, token long").distinct())
     return met.where("token IS NULL").select("a", "b"), met.where("token IS NOT NULL").select("token")
 
 
@@ -414,22 +414,22 @@ def similar_links(docs: DataFrame, by_doc: DataFrame, *, shingle_words: int, sim
 
     def verified(met: DataFrame) -> DataFrame:
         """Of candidate links those of similar sets. Texts are read again for nodes with a candidate only."""
-        asked = cut(nodes.join(met.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp").select(F.col("fp").alias("_node"), F.col("one.id").alias("_own_id"), F.col("one.key").alias("_own_key")))
+        asked = cut_few(nodes.join(met.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp").select(F.col("fp").alias("_node"), F.col("one.id").alias("_own_id"), F.col("one.key").alias("_own_key")))
         rows = docs.select(F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"), F.col(text_col).cast("string").alias("_text"))
         rows = rows.join(F.broadcast(asked) if fits(asked, most_broadcast, "_own_id") else asked, (F.col("_key") == F.col("_own_key")) & F.col("_id").eqNullSafe(F.col("_own_id")))
         sets = cut(rows.select("_node", "_text").mapInArrow(run, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s")))
         first, second = sets.select(F.col("node").alias("a"), F.col("s").alias("s1")), sets.select(F.col("node").alias("b"), F.col("s").alias("s2"))
         pairs = met.join(first, "a").join(second, "b").where(F.least(F.size("s1"), F.size("s2")) >= similarity * F.greatest(F.size("s1"), F.size("s2")) - 1e-9)
         pairs = pairs.select("a", "b", F.size(F.array_intersect("s1", "s2")).alias("both"), (F.size("s1") + F.size("s2")).alias("all"))
-        return cut(pairs.where(F.col("both") >= F.lit(similarity) * (F.col("all") - F.col("both")) - 1e-9).select("a", "b"))
+        return cut_few(pairs.where(F.col("both") >= F.lit(similarity) * (F.col("all") - F.col("both")) - 1e-9).select("a", "b"))
 
-    sims = cut(nodes.groupBy("sim").agg(F.min("fp").alias("least")))
+    sims = cut_few(nodes.groupBy("sim").agg(F.min("fp").alias("least")), 10_000)
     equal = nodes.join(sims, "sim").where("fp > least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
     near = links(sims.select(F.col("sim").alias("fp"))).select(F.col("a").alias("sim_a"), F.col("b").alias("sim_b"))
     for end in "ab":
         near = near.join(sims.select(F.col("sim").alias(f"sim_{end}"), F.col("least").alias(end)), f"sim_{end}")
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    close = verified(cut(near.unionByName(equal).distinct()))
+    close = verified(cut_few(near.unionByName(equal).distinct()))
 
     def rows(more: str = "n") -> DataFrame:
         """A row for each of the first shingles, with the group that the links known so far make."""
@@ -441,8 +441,8 @@ def similar_links(docs: DataFrame, by_doc: DataFrame, *, shingle_words: int, sim
     rest = lambda n: F.ceil(F.col(n) * similarity - 1e-9) - 1  # noqa: E731  shingles after the first ones
     # pairs that share a crowded shingle may be dropped here: those meet below
     may = F.col("both") + F.greatest(rest("na"), rest("nb")) >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9
-    close = cut(close.unionByName(verified(cut(met.where(may).select("a", "b")))).distinct())
-    crowds = cut(crowds)
+    close = cut_few(close.unionByName(verified(cut_few(met.where(may).select("a", "b")))).distinct())
+    crowds = cut_few(crowds)
     if crowds.isEmpty():
         return close
     few, tried = F.broadcast(crowds) if fits(crowds, most_broadcast) else crowds, None
@@ -454,7 +454,7 @@ def similar_links(docs: DataFrame, by_doc: DataFrame, *, shingle_words: int, sim
                 met = met.unionByName(_joined(own, over, similarity).select("a", "b")).distinct()
             met = met.join(tried, ["a", "b"], "left_anti")
         tried = met
-        close = cut(close.unionByName(verified(cut(met))).distinct())
+        close = cut_few(close.unionByName(verified(cut_few(met))).distinct())
     return close
 
 
@@ -470,7 +470,7 @@ def links(fps: DataFrame, *, max_distance: int = 4, segment_bits: tuple[int, ...
         raise ValueError("max_distance must be 0, 2 or 4, and segment_bits of 1, 2, 4 and 8")
     found, crowd = None, fps.select("fp")
     for width in widths:
-        met = cut(_linked(_points(crowd, grid_points, width, max_distance // 2 and 1), max_distance, cell_cap))
+        met = cut_few(_linked(_points(crowd, grid_points, width, max_distance // 2 and 1), max_distance, cell_cap))
         near = met.where("b IS NOT NULL")
         found = near if found is None else found.union(near)
         crowd = met.where("b IS NULL").select(F.col("a").alias("fp"))
@@ -481,26 +481,32 @@ def links(fps: DataFrame, *, max_distance: int = 4, segment_bits: tuple[int, ...
     return found.union(ball.join(least, "point").where("a < fp").select("a", F.col("fp").alias("b"))).distinct()
 
 
+LINKS = 100_000  # that a task of ``components`` holds
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (node, root) for each node with a link; the root is the smallest node.
 
     Large stars and small stars in turn, until neither changes a link: each round is two grouped minima and joins, and a checkpoint cuts the lineage. The number
-    of rounds grows with the logarithm of the longest path.
+    of rounds grows with the logarithm of the longest path. Up to ``LINKS`` links are one task's work, without a shuffle, whose tasks and files would be as many as it has partitions however few the links are;
+    more are shuffled.
     """
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges = cut(edges.select("a", "b"))
+    edges = cut_few(edges.select("a", "b"), LINKS)
     before = None
     while (now := state(edges)) != before:
-        before = now
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        before, few = now, now[0] <= LINKS
+        edges = edges.coalesce(1) if few else edges
+        sized = F.broadcast if few else lambda df: df
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        large = both.join(sized(least), "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         up = large.groupBy("b").agg(F.min("a").alias("m"))
-        met = large.join(up, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
-        edges = cut(met.select("e.a", "e.b").where("a < b").distinct())
+        met = large.join(sized(up), "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
+        edges = cut_few(met.select("e.a", "e.b").where("a < b").distinct(), LINKS)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
@@ -519,17 +525,17 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 4, max_distance: in
         by_doc = cut(fingerprints(docs, shingle_words=shingle_words, id_col=id_col, text_col=text_col))
     else:
         by_doc = cut(sequences(docs, shingle_words=shingle_words, similarity=similarity, id_col=id_col, text_col=text_col))
-    fps = cut(by_doc.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    fps = cut_few(by_doc.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), 10_000)
     if similarity is None:
         found = links(fps, max_distance=max_distance, segment_bits=segment_bits, cell_cap=cell_cap)
     else:
         found = similar_links(docs, by_doc, shingle_words=shingle_words, similarity=similarity, id_col=id_col, text_col=text_col)
     linked = components(found)
-    linked = cut(linked.join(fps, linked["node"] == fps["fp"]).select("fp", "root", "least"))
-    roots = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+    linked = cut_few(linked.join(fps, linked["node"] == fps["fp"]).select("fp", "root", "least"))
+    roots = cut_few(linked.groupBy("root").agg(F.min("least").alias("component_id")))
     far = linked.join(roots, "root").select("fp", "root", "component_id")
     alone = fps.where("n > 1").join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
-    labels = cut(far.union(alone)).withColumnRenamed("fp", "label_fp")
+    labels = cut_few(far.union(alone)).withColumnRenamed("fp", "label_fp")
     labelled = by_doc.join(labels, F.col("fp") == F.col("label_fp"), "left")
     return labelled.select("id", "key", "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "id").alias("component_id"))
 
@@ -546,8 +552,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     first = F.min(F.struct(F.when(F.col("id").eqNullSafe(F.col("component_id")), 0).otherwise(1), "id", "key"))
     stay = found.groupBy("root").agg(first.alias("one")).select(F.col("one.id").alias("_q_id"), F.col("one.key").alias("_q_key"))
     same = F.col("id").eqNullSafe(F.col("_q_id")) & (F.col("key") == F.col("_q_key"))
-    gone = cut(own.join(stay, same, "left_anti").select(F.col("id").alias("_q_id"), F.col("key").alias("_q_key")))
-    again = cut(own.where("n > 1").join(stay, same, "left_semi").select(F.col("id").alias("_q_id"), F.col("key").alias("_q_key")))
+    gone = cut_few(own.join(stay, same, "left_anti").select(F.col("id").alias("_q_id"), F.col("key").alias("_q_key")))
+    again = cut_few(own.where("n > 1").join(stay, same, "left_semi").select(F.col("id").alias("_q_id"), F.col("key").alias("_q_key")))
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"))
     match = F.col("id").eqNullSafe(F.col("_q_id")) & (F.col("key") == F.col("_q_key"))

@@ -584,6 +584,26 @@ def test_a_long_chain_is_one_component(spark):
     assert {r["root"] for r in simhash.components(chain).collect()} == {0}
 
 
+def test_few_links_take_few_tasks(spark, monkeypatch):
+    links, held = [(k, k + 1) for k in range(0, 60, 2)] + [(0, 8), (8, 30)], {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    wanted = {k: 0 if k in (0, 1, 8, 9, 30, 31) else k - k % 2 for k in range(60)}
+    before = {k: spark.conf.get(k) for k in held}
+    tracker, tasks = spark.sparkContext.statusTracker(), []
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for most in (100_000, 5):
+            monkeypatch.setattr(simhash, "LINKS", most, raising=False)
+            spark.sparkContext.setJobGroup(f"few links {most}", "")
+            assert {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()} == wanted
+            tasks.append(sum(tracker.getStageInfo(x).numTasks for job in tracker.getJobIdsForGroup(f"few links {most}") for x in tracker.getJobInfo(job).stageIds if tracker.getStageInfo(x)))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks[0] < 50 < tasks[1]
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = queries.op7_langid(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
