@@ -104,3 +104,16 @@ def test_expression_equals_the_fold(spark, text):
     groups = list(chunk._packed(chunk.sentences(text), lambda g: sum(map(chunk.count_words, g)) > 20))
     found = spark.createDataFrame([(text,)], "t string").select(F.explode_outer(chunk.pack_sentences("t", 20)).alias("p")).where("p IS NOT NULL").select("p.piece").collect()
     assert [r["piece"] for r in found] == [" ".join(g).rstrip(" ") if k < len(groups) - 1 else " ".join(g) for k, g in enumerate(groups)]
+
+
+def test_short_documents_share_batches(spark, monkeypatch):
+    block = "struct<type:string,text:string,level:int,page:int,bbox:array<double>,table_html:string,language:string>"
+    rows = [(f"d{k}", None if k % 7 == 0 else f"t{k}", "h", None if k % 5 == 0 else [("paragraph", f"a b {k}", None, k, None, None, None)] * (k % 3)) for k in range(1200)]
+    docs = spark.createDataFrame(rows, f"doc_id string, title string, content_hash string, blocks array<{block}>")
+    real, runs = type(docs).mapInArrow, []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, *a, **b: runs.append(run) or real(df, run, *a, **b))
+    found = chunk.chunk(docs)
+    batches = list(runs[0](iter(docs.select("doc_id", "title", "content_hash", "blocks").toArrow().to_batches(max_chunksize=700))))
+    wanted = [(f"d{k}", "\n\n".join([f"a b {k}"] * (k % 3))) for k in range(1200) if k % 5 and k % 3]
+    assert [(x["doc_id"], x["c"]["text"]) for b in batches for x in b.to_pylist()] == wanted and len(batches) == 1
+    assert sorted((r["doc_id"], r["text"]) for r in found.collect()) == sorted(wanted)
