@@ -201,3 +201,28 @@ def test_all_scores_equal_the_expression(spark, monkeypatch):
     rows = lambda df: sorted((r["qid"], r["chunk_id"], "null" if r["score"] is None else f"{r['score'] + 0.0:.9f}".replace("-0.000000000", "0.000000000")) for r in df.collect())
     assert rows(found) == rows(wanted)
     assert retrieve.all_scores(points, queries.where("false")).count() == 0 and retrieve.all_scores(points.where("false"), queries).count() == 0
+
+
+def shuffled(node):
+    """Rows that a plan's exchanges have written."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled(node.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return shuffled(node.plan())
+    below = sum(shuffled(node.children().apply(k)) for k in range(node.children().size()))
+    return below + (node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0)
+
+
+def test_all_scores_shuffle_a_row_once_for_each_block_it_meets(spark):
+    vectors = spark.range(3000).select(F.col("id").alias("chunk_id"), F.array(F.sin("id"), F.cos("id")).alias("vector"))
+    found = retrieve.all_scores(vectors.where("chunk_id < 600"), vectors.withColumnRenamed("chunk_id", "qid"))
+    assert found.toArrow().num_rows == 600 * 3000
+    assert shuffled(found._jdf.queryExecution().executedPlan()) == 600 + 3000
+
+
+def test_all_scores_round_as_the_expression(spark):
+    rng = np.random.default_rng(3)
+    values = [0.1234565, -0.1234565, 0.0000005, -0.0000005, 4e-7, -4e-7, 1.0, -1.0, 0.0, -0.0, 1.0000005, 0.3333335, float("nan"), float("inf"), *rng.uniform(-1, 1, 2000).tolist(), *(rng.integers(-(10**7), 10**7, 2000) / 1e7).tolist()]
+    wanted = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", 6)).collect()]
+    assert list(map(repr, retrieve._rounded(np.array(values), 6).tolist())) == list(map(repr, wanted))
